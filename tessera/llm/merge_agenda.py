@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import fresh, slices
+
 SPACE = "▁"
 #: Segments in a worker's table; beyond that it becomes the older table and a new one starts, so those in use stay.
-TABLE = 400_000
+TABLE = 150_000
 #: Segments longer than this are not kept.
 KEEP_CHARS = 64
 #: Texts are handed on in parts of about so many characters.
-PART_CHARS = 4_000_000
+PART_CHARS = 2_000_000
 
 
 #: Segments up to this length keep their agenda in a list, longer ones in a heap.
@@ -199,13 +201,13 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
     added = (["pieces array<int>"] if with_ids else []) + ["n_tokens long", "ids_sha256 string", "decoded string", "decoded_sha256 string"]
     names = {a.split(" ")[0] for a in added}
     base = docs.drop(*[c for c in docs.columns if c.lower() in names and c != text_col])
-    source = fresh_text(base)
+    source = fresh(base, ["text_in"])[0]
     fed = base.withColumn(source, F.col(text_col).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = _agenda(model, check)
         begin, end = array("I", [agenda.begin]).tobytes(), array("I", [agenda.end]).tobytes()
-        for b in batches:
+        for b in slices(batches):
             at = 0
             for part in _parts([t or "" for t in b.column(b.num_columns - 1).to_pylist()], PART_CHARS):
                 raw = [begin + x + end for x in agenda.encode(part)]
@@ -228,8 +230,3 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
     out_names = schema.names
     return fed.mapInArrow(run, schema)
 
-
-def fresh_text(df: DataFrame) -> str:
-    from tessera.llm.text import fresh
-
-    return fresh(df, ["text_in"])[0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import fresh
+from tessera.llm.text import fresh, slices
 
 #: Word counts of the n-grams whose coverage is measured.
 LENGTHS = (5, 8, 12)
@@ -147,7 +147,7 @@ def repetition(docs: DataFrame, text_col: str = "text", limits: dict | None = No
     source = fresh(base, ["text_in"])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(b.num_columns - 1).cast(pa.binary())
             at, k = 0, 0
             part: list[bytes] = []

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.text import slices
+
 #: Tokens in a block.
 BLOCK = 4_000_000
 #: Blocks in a run of the prefix scan.
@@ -57,7 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: Callable[[], Call
         part = f"{name}.{uuid.uuid4().hex}"
         encode, end = tokenizer(), np.array([separator], f"<u{width}")
         sink = None
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             for at in range(0, len(texts), BATCH):
                 for t in encode([t or "" for t in texts[at : at + BATCH]]):

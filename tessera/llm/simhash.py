@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.text import slices
 
 #: (lowest bit, width) of the three segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -60,7 +61,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = fingerprints(b.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 

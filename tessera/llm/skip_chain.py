@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import fresh
+from tessera.llm.text import fresh, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -351,7 +351,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", least: float = 0.9) -
     source = fresh(base, ["text_in"])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = find([t or "" for t in b.column(b.num_columns - 1).to_pylist()], weights, least)
             cols = [pa.array([sum(s[1] == k for s in own) for own, _ in got], pa.int64()) for k in range(len(KINDS))]
             cols.append(pa.array([hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in got], pa.string()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import fresh
+from tessera.llm.text import fresh, slices
 
 #: Labelled rows of each class, at most, that learning reads; half of them build the dictionary, half calibrate.
 SAMPLE_ROWS = 3_000
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             texts = [t or b"" for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scorer.scores(texts), pa.float64())], names=out_names)
 
