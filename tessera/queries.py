@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.plans import scalar_queries, spatial_queries  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
