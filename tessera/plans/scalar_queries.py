@@ -62,14 +62,14 @@ for _degree in range(4):
     _sh(_degree)
 
 
-@query("SELECT p_partkey AS id, CAST(greatest(CASE WHEN p_size % 3 = 0 THEN least(1e0, 1600e0 / p_partkey) * p_partkey WHEN p_size % 3 = 1 THEN round_even(p_partkey / 4e0, 0) ELSE 640 END, 1) AS BIGINT) AS width FROM part WHERE p_partkey > 0 AND p_size % 3 > 0 UNION ALL SELECT p_partkey, CAST(greatest(round_even(p_partkey / greatest(p_partkey / 1600e0, 1e0), 0), 1) AS BIGINT) FROM part WHERE p_partkey > 0 AND p_size % 3 = 0")
+@query("SELECT p_partkey AS id, CAST(greatest(CASE WHEN p_size % 3 = 0 THEN round_even(p_partkey / greatest(p_partkey / 1600e0, 1e0), 0) WHEN p_size % 3 = 1 THEN round_even(p_partkey / 4e0, 0) ELSE 640 END, 1) AS BIGINT) AS width FROM part")
 def image_size(spark, sf_dir):
     """The width an image is trained at: capped at 1600, a quarter, or 640 pixels."""
     from tessera.session import table
 
     w = F.col("p_partkey").cast("double")
     size = F.when(F.col("p_size") % 3 == 0, F.bround(w / F.greatest(w / 1600, F.lit(1.0)), 0)).when(F.col("p_size") % 3 == 1, F.bround(w / 4, 0)).otherwise(F.lit(640.0))
-    return table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("id"), F.greatest(size, F.lit(1.0)).cast("long").alias("width"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.greatest(size, F.lit(1.0)).cast("long").alias("width"))
 
 
 @query(

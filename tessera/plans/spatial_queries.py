@@ -59,11 +59,11 @@ def knn3_mean_dist2(spark, sf_dir):
     return spatial.mean_distance2(near).select("id", F.round("mean_d2", 9).alias("mean_d2"))
 
 
-@query(f"""WITH {POINTS}, c AS (SELECT * FROM pts WHERE id % 5 <> 0), d AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS w FROM c a JOIN c b ON a.id <> b.id)
+@query(f"""WITH {POINTS}, c AS (SELECT * FROM pts WHERE NOT background), d AS (SELECT a.id AS src, b.id AS dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS w FROM c a JOIN c b ON a.id <> b.id)
 SELECT src, dst, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS k FROM d) WHERE k <= 5""")
 def knn_edges(spark, sf_dir):
-    """A directed graph of cameras, each to its five nearest, held-out ones left out."""
-    near = spatial.knn(points(spark, sf_dir).where("id % 5 <> 0"), 5, 0.08)
+    """A directed graph of cameras, each to its five nearest, the held-out ones (label 0) left out."""
+    near = spatial.knn(points(spark, sf_dir).where("NOT background"), 5, 0.08)
     return near.select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.round(F.sqrt("d2"), 6).alias("weight"))
 
 
@@ -75,12 +75,12 @@ def chunk_crossfade(spark, sf_dir):
     return w.select("id", F.round("d_own", 6).alias("d_own"), F.round("d_other", 6).alias("d_other"), F.round("weight", 5).alias("weight"))
 
 
-@query(f"WITH {POINTS} SELECT * FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM pts WHERE label >= 3) WHERE id % 3 = 1")
+@query(f"WITH {POINTS} SELECT * FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM pts WHERE label >= 3) WHERE id IN (SELECT id FROM pts WHERE x > 0)")
 def rank_remap(spark, sf_dir):
     """Global ids to places in a sorted subset."""
     p = points(spark, sf_dir)
     places = blocks.dense_rank(p.where("label >= 3").select("id"), ["id"], "pos")
-    return p.where("id % 3 = 1").select("id").join(places, "id")
+    return p.where("x > 0").select("id").join(places, "id")
 
 
 @query(f"WITH {POINTS} SELECT id, EXISTS (SELECT 1 FROM pts b WHERE b.id = a.id + 1 AND b.label = a.label) AS paired FROM pts a WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE c.id = a.id AND c.label = 9)")
@@ -98,12 +98,12 @@ def block_bounds(spark, sf_dir):
     return m.select("block", "row_count", *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y", "min_z", "max_z")])
 
 
-_BLOCKS = f"blocks AS (SELECT id // 25 AS block, count(*) AS row_count, bool_or(background) AS background, min(x - {_R} / 9) AS min_x, max(x + {_R} / 9) AS max_x, min(y - {_R} / 9) AS min_y, max(y + {_R} / 9) AS max_y, min(z - {_R} / 9) AS min_z, max(z + {_R} / 9) AS max_z FROM pts WHERE x > 1e-1 OR x < -1e-1 GROUP BY 1)"
+_BLOCKS = f"blocks AS (SELECT id // 25 AS block, count(*) AS row_count, bool_or(background) AS background, min(x - {_R} / 9) AS min_x, max(x + {_R} / 9) AS max_x, min(y - {_R} / 9) AS min_y, max(y + {_R} / 9) AS max_y, min(z - {_R} / 9) AS min_z, max(z + {_R} / 9) AS max_z FROM pts GROUP BY 1)"
 _HIT = X.box_in_planes(["min_x", "min_y", "min_z"], ["max_x", "max_y", "max_z"], X.planes([*CLIP[:3], "-1.1e0", *CLIP[4:]]))
 
 
 def _manifest(spark, sf_dir):
-    p = points(spark, sf_dir).where("x > 1e-1 OR x < -1e-1").withColumn("block", F.floor(F.col("id") / 25).cast("long"))
+    p = points(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 25).cast("long"))
     return p, blocks.manifest(p, f"{_R} / 9")
 
 
@@ -113,7 +113,7 @@ def block_prune(spark, sf_dir):
     return blocks.candidates(m, _HIT).select("block", "row_count")
 
 
-@query(f"WITH {POINTS}, {_BLOCKS} SELECT p.id, p.id // 25 AS block FROM pts p WHERE (x > 1e-1 OR x < -1e-1) AND p.id // 25 IN (SELECT block FROM blocks WHERE {_HIT}) AND {_SEEN}")
+@query(f"WITH {POINTS}, {_BLOCKS} SELECT p.id, p.id // 25 AS block FROM pts p WHERE p.id // 25 IN (SELECT block FROM blocks WHERE {_HIT}) AND {_SEEN}")
 def block_scan_semi(spark, sf_dir):
     """Rows of the blocks that a camera can see, then the rows themselves."""
     p, m = _manifest(spark, sf_dir)
@@ -229,19 +229,19 @@ def duplicate_keys(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select(F.col("l_orderkey").alias("key"), "n")
 
 
-@query(f"WITH {POINTS}, b AS (SELECT id, CASE WHEN id % 11 = 3 THEN x + 1 ELSE x END AS x, label FROM pts WHERE id % 13 <> 5) SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'gone' ELSE 'changed' END AS state FROM pts a LEFT JOIN b ON a.id = b.id WHERE b.id IS NULL OR a.x IS DISTINCT FROM b.x")
+@query(f"WITH {POINTS}, b AS (SELECT id, CASE WHEN label = 3 THEN x + 1 ELSE x END AS x, label FROM pts WHERE label <> 5) SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'gone' ELSE 'changed' END AS state FROM pts a LEFT JOIN b ON a.id = b.id WHERE b.id IS NULL OR a.x IS DISTINCT FROM b.x")
 def changed_rows(spark, sf_dir):
-    p = points(spark, sf_dir).select("id", "x")
-    later = p.where("id % 13 <> 5").select("id", F.when(F.col("id") % 11 == 3, F.col("x") + 1).otherwise(F.col("x")).alias("nx"), F.lit(True).alias("there"))
+    p = points(spark, sf_dir).select("id", "x", "label")
+    later = p.where("label <> 5").select("id", F.when(F.col("label") == 3, F.col("x") + 1).otherwise(F.col("x")).alias("nx"), F.lit(True).alias("there"))
     j = p.join(later, "id", "left").where(F.col("there").isNull() | ~F.col("x").eqNullSafe(F.col("nx")))
     return j.select("id", F.when(F.col("there").isNull(), "gone").otherwise("changed").alias("state"))
 
 
-@query(f"WITH {POINTS}, a AS (SELECT id, x + y AS d FROM pts WHERE id % 3 <> 0), b AS (SELECT id, x - y + 1e-3 AS d FROM pts WHERE id % 4 <> 0) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'load' WHEN b.id IS NULL THEN 'demote' WHEN abs(a.d - b.d) <= 2e-1 * abs(a.d) THEN 'reuse' ELSE 'reload' END AS state FROM a FULL JOIN b ON a.id = b.id")
+@query(f"WITH {POINTS}, a AS (SELECT id, x + y AS d FROM pts WHERE label <> 1), b AS (SELECT id, x - y + 1e-3 AS d FROM pts WHERE label <> 2) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'load' WHEN b.id IS NULL THEN 'demote' WHEN abs(a.d - b.d) <= 2e-1 * abs(a.d) THEN 'reuse' ELSE 'reload' END AS state FROM a FULL JOIN b ON a.id = b.id")
 def prev_state_diff(spark, sf_dir):
     p = points(spark, sf_dir)
-    a = p.where("id % 3 <> 0").select("id", F.expr("x + y").alias("old"))
-    b = p.where("id % 4 <> 0").select("id", F.expr("x - y + 1e-3").alias("new"))
+    a = p.where("label <> 1").select("id", F.expr("x + y").alias("old"))
+    b = p.where("label <> 2").select("id", F.expr("x - y + 1e-3").alias("new"))
     j = a.join(b, "id", "full")
     state = F.when(F.col("old").isNull(), "load").when(F.col("new").isNull(), "demote").when(F.abs(F.col("old") - F.col("new")) <= 0.2 * F.abs("old"), "reuse").otherwise("reload")
     return j.select("id", state.alias("state"))

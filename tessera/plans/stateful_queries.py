@@ -39,11 +39,11 @@ def moving_average(spark, sf_dir):
     return stateful.ema(steps(spark, sf_dir), "camera").select("camera", F.round("ema", 6).alias("ema"))
 
 
-@query(f"WITH {STEPS}, m AS (SELECT camera AS id, max(value) AS g FROM steps WHERE step % 3 = 0 GROUP BY camera), o AS (SELECT camera AS id, max(value) AS g FROM steps WHERE step % 5 = 1 GROUP BY camera) SELECT coalesce(m.id, o.id) AS id, round(greatest(coalesce(m.g, o.g), coalesce(o.g, m.g)), 6) AS score FROM m FULL JOIN o ON m.id = o.id")
+@query(f"WITH {STEPS}, m AS (SELECT camera AS id, max(value) AS g FROM steps WHERE value >= 5e1 GROUP BY camera), o AS (SELECT camera AS id, max(value) AS g FROM steps WHERE value < 5e1 GROUP BY camera) SELECT coalesce(m.id, o.id) AS id, round(greatest(coalesce(m.g, o.g), coalesce(o.g, m.g)), 6) AS score FROM m FULL JOIN o ON m.id = o.id")
 def score_max_merge(spark, sf_dir):
     s = steps(spark, sf_dir)
-    new = s.where("step % 3 = 0").groupBy(F.col("camera").alias("id")).agg(F.max("value").alias("g"))
-    old = s.where("step % 5 = 1").groupBy(F.col("camera").alias("id")).agg(F.max("value").alias("o"))
+    new = s.where("value >= 50").groupBy(F.col("camera").alias("id")).agg(F.max("value").alias("g"))
+    old = s.where("value < 50").groupBy(F.col("camera").alias("id")).agg(F.max("value").alias("o"))
     return new.join(old, "id", "full").select("id", F.round(F.greatest("g", "o"), 6).alias("score"))
 
 
@@ -95,10 +95,10 @@ def profile_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k >= 50")
 
 
-@query("WITH s AS (SELECT o_custkey AS name, o_totalprice AS scale FROM orders WHERE o_orderkey % 5 = 0) SELECT name, round(max(scale), 4) AS scale, (SELECT round(median(scale), 4) FROM s WHERE scale > 0) AS med FROM s GROUP BY name")
+@query("WITH s AS (SELECT o_custkey AS name, o_totalprice AS scale FROM orders) SELECT name, round(max(scale), 4) AS scale, (SELECT round(median(scale), 4) FROM s WHERE scale > 0) AS med FROM s GROUP BY name")
 def depth_params(spark, sf_dir):
     """The median of the positive scales goes to every entry."""
-    s = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("name"), F.col("o_totalprice").alias("scale"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.col("o_totalprice").alias("scale"))
     med = s.where("scale > 0").agg(F.round(F.percentile("scale", 0.5), 4).alias("med"))
     return s.groupBy("name").agg(F.round(F.max("scale"), 4).alias("scale")).join(F.broadcast(med))
 
@@ -145,35 +145,35 @@ def prefix_sum(spark, sf_dir):
     return local.join(F.broadcast(before), "_part").select("id", (F.col("_b") + F.col("_upto") - F.col("label")).alias("at"))
 
 
-@query("WITH m AS (SELECT p_partkey AS pos, 1 AS d FROM part WHERE p_partkey % 50 = 3 UNION ALL SELECT p_partkey + 20, -1 FROM part WHERE p_partkey % 50 = 3), s AS (SELECT pos, sum(d) OVER (ORDER BY pos RANGE UNBOUNDED PRECEDING) AS inside FROM m) SELECT DISTINCT pos, inside::BIGINT AS depth FROM s")
+@query("WITH m AS (SELECT p_partkey AS pos, 1 AS d FROM part WHERE p_size = 3 UNION ALL SELECT p_partkey + 20, -1 FROM part WHERE p_size = 3), s AS (SELECT pos, sum(d) OVER (ORDER BY pos RANGE UNBOUNDED PRECEDING) AS inside FROM m) SELECT DISTINCT pos, inside::BIGINT AS depth FROM s")
 def range_marks(spark, sf_dir):
-    starts = table(spark, sf_dir, "part").where("p_partkey % 50 = 3").select(F.col("p_partkey").alias("pos"), F.lit(1).alias("d"))
+    starts = table(spark, sf_dir, "part").where("p_size = 3").select(F.col("p_partkey").alias("pos"), F.lit(1).alias("d"))
     marks = starts.unionByName(starts.select((F.col("pos") + 20).alias("pos"), F.lit(-1).alias("d"))).groupBy("pos").agg(F.sum("d").alias("d"))
     return marks.select("pos", F.sum("d").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
 
 
-@query("WITH t AS (SELECT c_custkey AS camera, 640 + c_custkey % 700 AS w, 480 + c_custkey % 300 AS h FROM customer WHERE c_custkey <= 40), n AS (SELECT *, ceil(w / 256e0)::BIGINT AS nx, ceil(h / 256e0)::BIGINT AS ny FROM t) SELECT camera, i + nx * j AS tile, w * i // nx AS x, h * j // ny AS y, w * (i + 1) // nx - w * i // nx AS tw, h * (j + 1) // ny - h * j // ny AS th FROM n, range(8) a(i), range(8) b(j) WHERE i < nx AND j < ny")
+@query("WITH t AS (SELECT c_custkey AS camera, 640 + c_custkey % 700 AS w, 480 + c_custkey % 300 AS h FROM customer), n AS (SELECT *, ceil(w / 256e0)::BIGINT AS nx, ceil(h / 256e0)::BIGINT AS ny FROM t) SELECT camera, i + nx * j AS tile, w * i // nx AS x, h * j // ny AS y, w * (i + 1) // nx - w * i // nx AS tw, h * (j + 1) // ny - h * j // ny AS th FROM n, range(8) a(i), range(8) b(j) WHERE i < nx AND j < ny")
 def tile_cover(spark, sf_dir):
     """Balanced tiles: each pixel of an image lies in one of them."""
-    t = table(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("camera"), (640 + F.col("c_custkey") % 700).alias("w"), (480 + F.col("c_custkey") % 300).alias("h"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("camera"), (640 + F.col("c_custkey") % 700).alias("w"), (480 + F.col("c_custkey") % 300).alias("h"))
     t = t.withColumns({"nx": F.ceil(F.col("w") / 256), "ny": F.ceil(F.col("h") / 256)})
     t = t.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)))
     cut = lambda n, k, m: F.expr(f"{n} * ({k}) DIV {m}")
     return t.select("camera", (F.col("i") + F.col("nx") * F.col("j")).alias("tile"), cut("w", "i", "nx").alias("x"), cut("h", "j", "ny").alias("y"), (cut("w", "i + 1", "nx") - cut("w", "i", "nx")).alias("tw"), (cut("h", "j + 1", "ny") - cut("h", "j", "ny")).alias("th"))
 
 
-@query(f"""WITH {POINTS}, r AS (SELECT id, x AS p, y * 1e-1 AS m, abs(z) * 1e-2 AS v, CASE WHEN id % 3 <> 0 THEN d0 END AS g, background AS frozen FROM pts),
+@query(f"""WITH {POINTS}, r AS (SELECT id, x AS p, y * 1e-1 AS m, abs(z) * 1e-2 AS v, CASE WHEN label <> 3 THEN d0 END AS g, background AS frozen FROM pts),
 n AS (SELECT *, g IS NOT NULL AND NOT frozen AS k, 9e-1 * m + 1e-1 * g AS m1, 999e-3 * v + 1e-3 * g * g AS v1 FROM r)
 SELECT id, round(CASE WHEN k THEN p - 1e-2 * (m1 / (1 - power(9e-1, 5))) / (sqrt(v1 / (1 - power(999e-3, 5))) + 1e-8) ELSE p END, 6) AS p, round(CASE WHEN k THEN m1 ELSE m END, 8) AS m, round(CASE WHEN k THEN v1 ELSE v END, 8) AS v FROM n""")
 def adam_one_step(spark, sf_dir):
-    r = points(spark, sf_dir).select("id", F.col("x").alias("p"), F.expr("y * 1e-1").alias("m"), F.expr("abs(z) * 1e-2").alias("v"), F.expr("CASE WHEN id % 3 <> 0 THEN d0 END").alias("g"), "background")
+    r = points(spark, sf_dir).select("id", F.col("x").alias("p"), F.expr("y * 1e-1").alias("m"), F.expr("abs(z) * 1e-2").alias("v"), F.expr("CASE WHEN label <> 3 THEN d0 END").alias("g"), "background")
     return stateful.adam_step(r, 5, 0.01, F.col("background")).select("id", F.round("p", 6).alias("p"), F.round("m", 8).alias("m"), F.round("v", 8).alias("v"))
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, p_partkey + 7 FROM part WHERE p_partkey % 10 = 0 AND p_partkey > 0), r AS (SELECT 5::BIGINT AS step UNION SELECT e.b FROM r JOIN e ON e.a = r.step) SELECT step FROM r")
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part UNION ALL SELECT p_partkey, p_partkey + 7 FROM part WHERE p_size = 10), r AS (SELECT 5::BIGINT AS step UNION SELECT e.b FROM r JOIN e ON e.a = r.step) SELECT step FROM r")
 def invalidated_steps(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey > 0")
-    edges = p.select(F.col("p_partkey").alias("before"), (2 * F.col("p_partkey")).alias("after")).unionByName(p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("before"), (F.col("p_partkey") + 7).alias("after")))
+    p = table(spark, sf_dir, "part")
+    edges = p.select(F.col("p_partkey").alias("before"), (2 * F.col("p_partkey")).alias("after")).unionByName(p.where("p_size = 10").select(F.col("p_partkey").alias("before"), (F.col("p_partkey") + 7).alias("after")))
     return stateful.downstream(edges, spark.createDataFrame([(5,)], "step long"))
 
 
@@ -198,14 +198,14 @@ def ssim(spark, sf_dir):
 
 @query(None)
 def random_walk(spark, sf_dir):
-    edges = spatial.knn(points(spark, sf_dir).where("id < 100"), 4, 0.2).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
-    return stateful.walks(edges, points(spark, sf_dir).where("id < 20").select(F.col("id").alias("node")), 12, 3)
+    edges = spatial.knn(points(spark, sf_dir), 4, 0.1).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
+    return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3)
 
 
 @query(None)
 def metropolis_walk(spark, sf_dir):
-    edges = spatial.knn(points(spark, sf_dir).where("id < 100"), 4, 0.2).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
-    return stateful.walks(edges, points(spark, sf_dir).where("id < 20").select(F.col("id").alias("node")), 12, 3, accept_by_degree=True)
+    edges = spatial.knn(points(spark, sf_dir), 4, 0.1).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
+    return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3, accept_by_degree=True)
 
 
 @query(None)

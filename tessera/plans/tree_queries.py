@@ -20,9 +20,9 @@ def leaf_cut(spark, sf_dir):
     return nodes(spark, sf_dir).where("child_count = 0").select("id", "depth")
 
 
-@query(f"WITH {NODES} SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM nodes WHERE child_count = 0 OR id < 3")
+@query(f"WITH {NODES} SELECT id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM nodes WHERE child_count = 0 OR depth < 2")
 def leaf_compaction(spark, sf_dir):
-    kept = nodes(spark, sf_dir).where("child_count = 0 OR id < 3").select("id")
+    kept = nodes(spark, sf_dir).where("child_count = 0 OR depth < 2").select("id")
     return blocks.dense_rank(kept, ["id"], "new_id")
 
 
@@ -87,11 +87,12 @@ def spt_sort(spark, sf_dir):
     return _ranges(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("root").orderBy(F.col("max_d").desc(), "id")).cast("long") - 1).select("root", "id", "pos")
 
 
-@query(f"{_RANGES}, dirty AS (SELECT DISTINCT root FROM spt WHERE id % 97 = 5) SELECT root, count(*) AS n FROM spt WHERE root IN (SELECT root FROM dirty) GROUP BY root")
+@query(f"{_RANGES}, dirty AS (SELECT DISTINCT root FROM spt JOIN n0 USING (id) WHERE n0.weight > 9.95e2) SELECT root, count(*) AS n FROM spt WHERE root IN (SELECT root FROM dirty) GROUP BY root")
 def spt_refresh(spark, sf_dir):
     """Only the subtrees that own changed rows are computed again."""
     r = _ranges(spark, sf_dir)
-    dirty = r.where("id % 97 = 5").select("root").distinct()
+    changed = nodes(spark, sf_dir).where("weight > 9.95e2").select("id")
+    dirty = r.join(changed, "id", "left_semi").select("root").distinct()
     return r.join(dirty, "root", "left_semi").groupBy("root").agg(F.count("*").alias("n"))
 
 
@@ -165,7 +166,7 @@ def visibility_any(spark, sf_dir):
     return j.groupBy("id").agg(F.bool_or(seen).alias("seen"))
 
 
-_STEP_SQL = f"""WITH {NODES}, cut AS (SELECT * FROM nodes WHERE depth = 5 OR (depth < 5 AND child_count = 0)), h AS (SELECT *, size > 125e-3 AND child_count > 0 AS split, id % 5 < 4 AS shut FROM cut),
+_STEP_SQL = f"""WITH {NODES}, cut AS (SELECT * FROM nodes WHERE depth = 5 OR (depth < 5 AND child_count = 0)), h AS (SELECT *, size > 125e-3 AND child_count > 0 AS split, weight < 9.8e2 AS shut FROM cut),
 up AS (SELECT h.parent AS id FROM h JOIN nodes p ON h.parent = p.id WHERE NOT split AND shut GROUP BY h.parent, p.child_count HAVING count(*) = p.child_count)
 SELECT id FROM h WHERE NOT split AND parent NOT IN (SELECT id FROM up) UNION ALL SELECT c.id FROM nodes c JOIN h ON c.parent = h.id WHERE h.split UNION ALL SELECT id FROM up"""
 
@@ -173,7 +174,7 @@ SELECT id FROM h WHERE NOT split AND parent NOT IN (SELECT id FROM up) UNION ALL
 @query(_STEP_SQL)
 def incremental_cut(spark, sf_dir):
     n = nodes(spark, sf_dir)
-    return tree.step_cut(n, tree.depth_cut(n, 5).select("id"), F.col("size") > 0.125, F.col("id") % 5 < 4)
+    return tree.step_cut(n, tree.depth_cut(n, 5).select("id"), F.col("size") > 0.125, F.col("weight") < 9.8e2)
 
 
 @query(f"WITH {NODES}, g(target) AS (VALUES (1e0), (5e-1), (25e-2), (12e-2), (6e-2), (3e-2)), c AS (SELECT target, count(*) AS n FROM g, nodes n LEFT JOIN nodes p ON n.parent = p.id WHERE (n.size < target AND (p.size IS NULL OR p.size >= target)) OR (n.child_count = 0 AND n.size >= target) GROUP BY target) SELECT target, n FROM c WHERE n <= 150 ORDER BY target LIMIT 1")
@@ -190,24 +191,24 @@ def random_cut(spark, sf_dir):
     return deep.groupBy(F.when(up, F.col("parent")).otherwise(F.col("id")).alias("id")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {NODES}, c AS (SELECT id, depth, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes WHERE child_count = 0 AND id % 3 = 0) SELECT 1000000 + 2 * k + s AS id, id AS parent, (depth + 1)::INT AS depth, CASE WHEN s = 0 THEN 1000000 + 2 * k + 1 ELSE 0 END AS next_sibling FROM c, (VALUES (0), (1)) v(s)")
+@query(f"WITH {NODES}, c AS (SELECT id, depth, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes WHERE child_count = 0 AND weight > 9.3e2) SELECT 1000000 + 2 * k + s AS id, id AS parent, (depth + 1)::INT AS depth, CASE WHEN s = 0 THEN 1000000 + 2 * k + 1 ELSE 0 END AS next_sibling FROM c, (VALUES (0), (1)) v(s)")
 def node_split(spark, sf_dir):
-    return tree.split_nodes(nodes(spark, sf_dir), F.col("id") % 3 == 0, 1_000_000)
+    return tree.split_nodes(nodes(spark, sf_dir), F.col("weight") > 9.3e2, 1_000_000)
 
 
-@query(f"WITH {NODES}, k AS (SELECT id, parent, row_number() OVER (ORDER BY id) - 1 AS new_id FROM nodes WHERE id % 4 <> 2) SELECT a.id, a.new_id, coalesce(b.new_id, -1) AS new_parent FROM k a LEFT JOIN k b ON a.parent = b.id")
+@query(f"WITH {NODES}, k AS (SELECT id, parent, row_number() OVER (ORDER BY id) - 1 AS new_id FROM nodes WHERE weight < 9.7e2) SELECT a.id, a.new_id, coalesce(b.new_id, -1) AS new_parent FROM k a LEFT JOIN k b ON a.parent = b.id")
 def active_compaction(spark, sf_dir):
-    return tree.compact(nodes(spark, sf_dir), F.col("id") % 4 != 2)
+    return tree.compact(nodes(spark, sf_dir), F.col("weight") < 9.7e2)
 
 
-@query(f"WITH {NODES}, d AS (SELECT *, child_count = 0 AND id % 3 = 1 AS dd FROM nodes), e AS (SELECT *, dd AND NOT (row_number() OVER (PARTITION BY parent ORDER BY id) = 1 AND bool_and(dd) OVER (PARTITION BY parent)) AS dead FROM d), f AS (SELECT *, count(*) FILTER (WHERE NOT dead) OVER (PARTITION BY parent) AS alive FROM e) SELECT id, parent, alive = 1 AND parent >= 0 AS promoted FROM f WHERE NOT dead")
+@query(f"WITH {NODES}, d AS (SELECT *, child_count = 0 AND weight > 9.6e2 AS dd FROM nodes), e AS (SELECT *, dd AND NOT (row_number() OVER (PARTITION BY parent ORDER BY id) = 1 AND bool_and(dd) OVER (PARTITION BY parent)) AS dead FROM d), f AS (SELECT *, count(*) FILTER (WHERE NOT dead) OVER (PARTITION BY parent) AS alive FROM e) SELECT id, parent, alive = 1 AND parent >= 0 AS promoted FROM f WHERE NOT dead")
 def relocate_dead(spark, sf_dir):
-    return tree.relocate(nodes(spark, sf_dir), F.col("id") % 3 == 1)
+    return tree.relocate(nodes(spark, sf_dir), F.col("weight") > 9.6e2)
 
 
-@query(f"WITH {NODES}, p AS (SELECT *, child_count = 0 AND id % 2 = 0 AS dead FROM nodes) SELECT parent, count(*) FILTER (WHERE dead) AS dead, max(id) FILTER (WHERE dead) AS last FROM p WHERE parent >= 0 GROUP BY parent HAVING count(*) FILTER (WHERE dead) > 0")
+@query(f"WITH {NODES}, p AS (SELECT *, child_count = 0 AND weight > 9.5e2 AS dead FROM nodes) SELECT parent, count(*) FILTER (WHERE dead) AS dead, max(id) FILTER (WHERE dead) AS last FROM p WHERE parent >= 0 GROUP BY parent HAVING count(*) FILTER (WHERE dead) > 0")
 def sibling_exclusion(spark, sf_dir):
-    n = nodes(spark, sf_dir).where("parent >= 0").withColumn("dead", F.expr("child_count = 0 AND id % 2 = 0"))
+    n = nodes(spark, sf_dir).where("parent >= 0").withColumn("dead", F.expr("child_count = 0 AND weight > 9.5e2"))
     return n.groupBy("parent").agg(F.count_if("dead").alias("dead"), F.max(F.when(F.col("dead"), F.col("id"))).alias("last")).where("dead > 0")
 
 
@@ -226,10 +227,10 @@ def linearise(spark, sf_dir):
     return blocks.dense_rank(walked.select("id", "path"), ["path"], "preorder").select("id", "preorder")
 
 
-@query(f"WITH {NODES}, m AS (SELECT id, parent, child_count, id % 6 <> 0 AS marked FROM nodes) SELECT a.id FROM m a WHERE a.marked AND NOT EXISTS (SELECT 1 FROM m c WHERE c.parent = a.id AND c.marked)")
+@query(f"WITH {NODES}, m AS (SELECT id, parent, child_count, weight < 9.8e2 AS marked FROM nodes) SELECT a.id FROM m a WHERE a.marked AND NOT EXISTS (SELECT 1 FROM m c WHERE c.parent = a.id AND c.marked)")
 def bottom_cut(spark, sf_dir):
     """Marked nodes none of whose children is marked."""
-    m = nodes(spark, sf_dir).where("id % 6 <> 0")
+    m = nodes(spark, sf_dir).where("weight < 9.8e2")
     return m.select("id").join(m.select(F.col("parent").alias("id")), "id", "left_anti")
 
 
