@@ -55,7 +55,7 @@ def largest_remainder(sizes: DataFrame, key: str, n: str, budget: int) -> DataFr
     """``budget`` units over the rows in proportion to n; what is left goes to
     the largest remainders, ties to the smaller key. The input is one row per
     block, so its window is small."""
-    total = sizes.agg(F.sum(n).alias("_t"))
+    total = sizes.agg(F.greatest(F.sum(n), F.lit(1)).alias("_t"))
     s = sizes.join(F.broadcast(total)).withColumns({"_base": F.floor(F.lit(budget) * F.col(n) / F.col("_t")).cast("long"), "_rem": (F.lit(budget) * F.col(n)) % F.col("_t")})
     everything = Window.partitionBy(F.lit(0))
     s = s.withColumns({"_k": F.row_number().over(everything.orderBy(F.col("_rem").desc(), key)), "_over": F.lit(budget) - F.sum("_base").over(everything)})

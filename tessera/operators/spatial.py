@@ -65,8 +65,9 @@ def cross_fade(points: DataFrame, centres: DataFrame, own: Column, band: float =
     d = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 + (F.col("z") - F.col("cz")) ** 2)
     pairs = points.withColumn("own", own).join(F.broadcast(centres)).withColumn("d", d)
     both = pairs.groupBy("id").agg(F.min(F.when(F.col("cam") == F.col("own"), F.col("d"))).alias("d_own"), F.min(F.when(F.col("cam") != F.col("own"), F.col("d"))).alias("d_other"))
-    ratio = F.col("d_own") / F.col("d_other")
-    return both.withColumn("weight", F.when(ratio <= 1 - band, F.lit(1.0)).when(ratio >= 1 + band, F.lit(0.0)).otherwise((F.lit(1 + band) - ratio) / F.lit(2 * band)))
+    own_d, other = F.col("d_own"), F.col("d_other")
+    between = ((1 + band) * other - own_d) / (2 * band * other)
+    return both.withColumn("weight", F.when(other.isNull() | (own_d <= (1 - band) * other), F.lit(1.0)).when(own_d >= (1 + band) * other, F.lit(0.0)).otherwise(between))
 
 
 def annulus(points: DataFrame, cx: float, cy: float, extent: float, inner: float = 0.5, outer: float = 1.5, always: Column | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def silhouette_vote(points: DataFrame, views: DataFrame, limit: float, min_views
     point is observed if it lies before the camera and inside the image, and
     outside if its image lies beyond ``limit`` from the centre."""
     p = points.join(F.broadcast(views)).withColumns({"w": F.col("z") - F.col("cz")})
-    p = p.withColumns({"u": (F.col("x") - F.col("cx")) / F.col("w"), "v": (F.col("y") - F.col("cy")) / F.col("w")})
+    p = p.withColumns({"u": F.try_divide(F.col("x") - F.col("cx"), F.col("w")), "v": F.try_divide(F.col("y") - F.col("cy"), F.col("w"))})
     seen = (F.col("w") > 0.01) & (F.abs("u") <= 1) & (F.abs("v") <= 1)
     beyond = seen & (F.col("u") * F.col("u") + F.col("v") * F.col("v") > limit * limit)
     votes = p.groupBy("id").agg(F.count_if(F.coalesce(seen, F.lit(False))).alias("observed"), F.count_if(F.coalesce(beyond, F.lit(False))).alias("outside"))

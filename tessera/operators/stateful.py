@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 
 def visit_counter(steps: DataFrame, key: str = "camera") -> DataFrame:
     return steps.withColumn("visit", F.row_number().over(Window.partitionBy(key).orderBy("step")).cast("long"))
@@ -137,6 +139,7 @@ def ssim_of_images(pixels: DataFrame, image: str = "image") -> DataFrame:
         s = ((2 * ma * mb + 0.01**2) * (2 * ab + 0.03**2)) / ((ma * ma + mb * mb + 0.01**2) * (va + vb + 0.03**2))
         return pd.DataFrame({image: [pdf[image].iloc[0]], "ssim": [float(s.mean())]})
 
+    ship(pixels.sparkSession)
     kind = pixels.schema[image].dataType.simpleString()
     return pixels.select(image, "x", "y", "a", "b").groupBy(image).applyInPandas(one, f"{image} {kind}, ssim double")
 
@@ -146,6 +149,8 @@ def align_rotations(pairs: DataFrame) -> DataFrame:
     rotation (r00..r22) nearest to its parent's (p00..p22); ties to the first."""
     from itertools import permutations, product
 
+    ship(pairs.sparkSession)
+
     turns = []
     for p in permutations(range(3)):
         for s in product((1, -1), repeat=3):
@@ -169,6 +174,7 @@ def align_rotations(pairs: DataFrame) -> DataFrame:
 
 def eigen_scales(cov: DataFrame) -> DataFrame:
     """id and the square roots s0 >= s1 >= s2 of the eigenvalues of a covariance (xx, xy, xz, yy, yz, zz)."""
+    ship(cov.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -112,7 +112,7 @@ def roll_up(nodes: DataFrame, start: Column, combine, name: str) -> DataFrame:
 
 def sibling_weights(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("parent")
-    return nodes.withColumn("share", F.when(F.col("parent") < 0, F.lit(1.0)).otherwise(F.col("weight") / F.sum("weight").over(w)))
+    return nodes.withColumn("share", F.when(F.col("parent") < 0, F.lit(1.0)).otherwise(F.try_divide(F.col("weight"), F.sum("weight").over(w))))
 
 
 def subtree_ranges(nodes: DataFrame, root_volume: float, volume: Column, own_min: Column) -> DataFrame:

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they
+    need no path of their own to it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
+    mark = hashlib.sha256()
+    for f in files:
+        with open(f, "rb") as g:
+            mark.update(f.encode() + g.read())
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), f"tessera-{mark.hexdigest()[:16]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, os.path.join("tessera", os.path.relpath(f, root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -33,10 +59,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

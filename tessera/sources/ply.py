@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
 from tessera.sources.reconstruction import Cursor, parsed
 
 #: PLY's names of number types.
@@ -41,6 +42,7 @@ def vertices(raw: bytes) -> np.ndarray:
 
 def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     """id, x, y, z, r, g, b in 0 to 1 (0.5 if the file has no colours), nx, ny, nz (0 if none)."""
+    ship(spark)
     names = ["id", "x", "y", "z", "r", "g", "b", "nx", "ny", "nz"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,6 +101,7 @@ def file_header(properties: list[tuple[str, str]], count: int) -> bytes:
 def splat_parts(splats: DataFrame, degree: int) -> DataFrame:
     """part, count and body: the rows of each range of ids as bytes of a file's
     body; a row that is not finite is an error."""
+    ship(splats.sparkSession)
     n = (degree + 1) ** 2 - 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: Camera model ids, names and numbers of parameters.
 MODELS = {
     0: ("SIMPLE_PINHOLE", 3), 1: ("PINHOLE", 4), 2: ("SIMPLE_RADIAL", 4), 3: ("RADIAL", 5), 4: ("OPENCV", 8), 5: ("OPENCV_FISHEYE", 8),
@@ -51,6 +53,7 @@ class Cursor:
 
 def parsed(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple]], schema: str) -> DataFrame:
     """The rows of every binary file at ``path``."""
+    ship(spark)
     names = [c.name for c in spark.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

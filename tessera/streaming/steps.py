@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.session import ship
+
 
 def score_max(stream: DataFrame) -> DataFrame:
     """The largest value of each camera so far (update or complete mode)."""
@@ -27,6 +29,8 @@ def coverage(stream: DataFrame, interval: float) -> DataFrame:
     camera, step and area; steps at or below the last one seen are repeats and
     do not count again."""
 
+    ship(stream.sparkSession)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         progress, last = state.get if state.exists else (0.0, -1)
         before = progress

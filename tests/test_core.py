@@ -121,3 +121,30 @@ def test_ssim_of_equal_images_is_one(spark):
     px = spark.range(400).select(F.lit(1).alias("image"), (F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"), F.rand(1).alias("a"))
     assert stateful.ssim_of_images(px.withColumn("b", F.col("a"))).first()["ssim"] == pytest.approx(1.0)
     assert stateful.ssim_of_images(px.withColumn("b", 1 - F.col("a"))).first()["ssim"] < 0.5
+
+
+def test_workers_find_the_package_by_themselves(tmp_path):
+    """A driver in another folder, without PYTHONPATH: workers get the package from the session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession, functions as F
+from tessera.operators import stateful
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+px = s.range(4).select(F.lit(1).alias("image"), "id", (F.col("id") % 2).alias("x"), F.floor(F.col("id") / 2).alias("y"), F.lit(0.5).alias("a"), F.lit(0.5).alias("b"))
+from tessera.session import ship
+ship(s)
+def run(batches):
+    from tessera.functions.expressions import SH0
+    for b in batches:
+        yield b.assign(v=SH0)[["v"]]
+assert s.range(1).mapInPandas(run, "v double").first()["v"] > 0.28
+assert stateful.ssim_of_images(px).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, timeout=120, capture_output=True)
