@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import fresh, slices
+from tessera.session import ship
 
 SPACE = "▁"
 #: Segments in a worker's table; beyond that it becomes the older table and a new one starts, so those in use stay.
@@ -196,6 +197,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", with
     empty table gives an empty table. A column of ``docs`` that has one of the
     new names is replaced.
     """
+    ship(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     added = (["pieces array<int>"] if with_ids else []) + ["n_tokens long", "ids_sha256 string", "decoded string", "decoded_sha256 string"]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import fresh, slices
+from tessera.session import ship
 
 #: Word counts of the n-grams whose coverage is measured.
 LENGTHS = (5, 8, 12)
@@ -141,6 +142,7 @@ def repetition(docs: DataFrame, text_col: str = "text", limits: dict | None = No
     itself, in memory of about 60 bytes a byte); an empty table gives an empty
     table. A column of ``docs`` with one of the new names is replaced.
     """
+    ship(docs.sparkSession)
     limits = LIMITS | (limits or {})
     names = {*MEASURES, "base_failed", "kept"}
     base = docs.drop(*[c for c in docs.columns if c.lower() in names and c != text_col])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.text import slices
+from tessera.session import ship
 
 #: Tokens in a block.
 BLOCK = 4_000_000
@@ -45,6 +46,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: Callable[[], Call
     repeated task writes the same file again: it appears under its name only
     when it is complete.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +109,8 @@ def scan(spark: SparkSession, folder: str, separator: int, width: int = 2, block
     complete = false; an empty file has none.
     """
 
+    ship(spark)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = file_system(folder)
         for b in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.text import slices
+from tessera.session import ship
 
 #: (lowest bit, width) of the three segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -65,6 +66,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fp = fingerprints(b.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
 

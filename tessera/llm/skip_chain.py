@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import fresh, slices
+from tessera.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -345,6 +346,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", least: float = 0.9) -
     rows are independent, so repeats get equal results; an empty table gives an
     empty table. A column of ``docs`` with one of the new names is replaced.
     """
+    ship(docs.sparkSession)
     weights = trained()
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in names and c != text_col])

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import fresh, slices
+from tessera.session import ship
 
 #: Labelled rows of each class, at most, that learning reads; half of them build the dictionary, half calibrate.
 SAMPLE_ROWS = 3_000
@@ -162,6 +163,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     one, so repeats get equal scores; an empty table gives an empty table. A
     column of ``docs`` with one of the new names is replaced.
     """
+    ship(docs.sparkSession)
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted") and c != text_col])
     source = fresh(base, ["text_in"])[0]
 
