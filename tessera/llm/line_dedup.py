@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tessera.llm.text import BLANKS, ascii_lower, fresh
 
 
-def line_key(line: Column) -> Column:
-    """A line without white space at its ends and with A-Z in lower case."""
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
+def trimmed(line: Column) -> Column:
+    """A line without white space at its ends."""
+    return F.btrim(line, F.lit(BLANKS))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -38,10 +38,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn(ident, F.xxhash64(text))
     split = F.split(text, "\n", -1)
-    hashed = F.transform(
-        split,
-        lambda x, i: F.struct(i.alias("pos"), F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit(1), line_key(x)).alias("h2"), (F.char_length(line_key(x)) >= min_chars).alias("long")),
-    )
+    # each line is normalised once: an inner transform, whose result the outer one hashes twice
+    keys = F.transform(F.split(ascii_lower(text), "\n", -1), trimmed)
+    hashed = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"), (F.char_length(k) >= min_chars).alias("long")))
     rows = base.select(F.col(id_col).alias("id"), F.col(ident).alias("ident"), F.explode(F.filter(hashed, lambda s: s["long"])).alias("s")).select("id", "ident", "s.pos", "s.h1", "s.h2")
     repeated = rows.groupBy("h1", "h2").agg(F.count_distinct(F.struct("id")).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("h1", "h2", "keep")
     dropped = rows.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "ident").agg(F.collect_set("pos").alias("gone"))
