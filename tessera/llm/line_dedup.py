@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import BLANKS, ascii_lower, fresh
+from tessera.session import staged
 
 
 def trimmed(line: Column) -> Column:
@@ -43,6 +44,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"), (F.char_length(k) >= min_chars).alias("long")))
     rows = base.select(F.col(id_col).alias("id"), F.col(ident).alias("ident"), F.explode(F.filter(hashed, lambda s: s["long"])).alias("s")).select("id", "ident", "s.pos", "s.h1", "s.h2")
     repeated = rows.groupBy("h1", "h2").agg(F.count_distinct(F.struct("id")).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("h1", "h2", "keep")
+    # written, so that the join has a shuffle of its own on both sides and the rows of a very common line can be split
+    repeated = staged(repeated, "repeated-lines").hint("merge")
     dropped = rows.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "ident").agg(F.collect_set("pos").alias("gone"))
     joined = base.join(
         dropped.select(F.col("id").alias("_id"), F.col("ident").alias("_ident"), F.col("gone").alias(gone)),
