@@ -4,9 +4,8 @@
 different payload once, under its SHA-256; ``records`` holds the exact WARC and
 HTTP header bytes of every record, with the digest they refer to.
 ``read_records`` joins them again into whole WARC records, whose payloads are
-digested anew as they are read. Payloads are shuffled once, when the first of
-equal ones is picked by its row; copies are dropped before that, and headers
-never carry them.
+digested anew as they are read. Payloads are shuffled once, when one of equal
+ones is picked by its row; headers never carry them.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import staged
+
 #: What every record says besides its own facts.
 WARC_DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,16 +67,18 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
     facts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.sha2(body, 256).alias("digest"), F.length(body).cast("long").alias("length"))
-    first = facts.groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = facts.join(first, "digest")
+    # written, so that the join has a shuffle of its own on both sides and the rows of a very common payload can be split
+    first = staged(facts.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-first")
+    joined = facts.join(first.hint("merge"), "digest")
     revisits = (F.col("length") >= least_bytes) & (F.col("page_id") != F.col("first"))
     headers(joined.withColumn("refers_to", F.when(revisits, F.col("first")))).write.mode("overwrite").parquet(f"{folder}/records")
-    # a payload's one row is found by the id it was first seen under; equal ids with other bodies differ in the digest
-    held = pages.select(F.col(id_col).alias("page_id"), body.alias("payload"))
-    firsts = first.select(F.col("digest").alias("_digest"), F.col("first").alias("_first"))
-    kept = held.join(firsts, held["page_id"].eqNullSafe(firsts["_first"]))
-    kept = kept.where(F.sha2("payload", 256) == F.col("_digest")).groupBy("_digest").agg(F.first("payload").alias("payload"))
-    kept.select(F.col("_digest").alias("digest"), "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
+    # a payload's one row is found by digest and first id: copies spread by their ids, and rows that repeat both meet where
+    # the join put them, so that each payload is shuffled once
+    held = pages.select(F.sha2(body, 256).alias("digest"), F.col(id_col).alias("id"), body.alias("payload"))
+    spread = lambda i: F.xxhash64("digest", i).alias("spread")
+    kept = held.select("digest", spread("id"), "payload").join(first.select("digest", spread("first")).hint("merge"), ["digest", "spread"])
+    once = kept.groupBy("digest", "spread").agg(F.first("payload").alias("payload"))
+    once.select("digest", "payload").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
