@@ -2,7 +2,9 @@
 
 Every round halves the distance to a component's smallest node, or better; the
 edges are written to the shared folder after each, so that a lost executor
-costs one round. Nothing but two numbers per round reaches the driver.
+costs one round; so are the least neighbours, which gives the joins shuffles of
+their own on both sides, so that the edges of one large hub can be split.
+Nothing but two numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ def _mark(edges: DataFrame) -> tuple:
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = staged(least, "least")
     return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     rest = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
