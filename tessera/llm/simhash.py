@@ -91,7 +91,10 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
             F.struct(whole.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i))).bitwiseOR(F.lit(tag(i))).cast("int").alias("key"), (F.shiftrightunsigned("fp", at + i).bitwiseAND(F.lit(1)) == 1).alias("bit"))
             for i in range(width)
         ]
-    index = nodes.select("fp", F.explode(F.array(*kinds)).alias("v")).select("fp", "v.key", "v.bit")
+    # every row becomes 67: dealt out by number, which the engine doesn't merge into few tasks for being small, and by
+    # another hash than the grouping's, or it would leave the rows where they are
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = nodes.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(F.array(*kinds)).alias("v")).select("fp", "v.key", "v.bit")
     a, b = index.select(F.col("fp").alias("a"), "key", F.col("bit").alias("abit")), index.select(F.col("fp").alias("b"), "key", F.col("bit").alias("bbit"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     halves = F.when(a["abit"].isNull(), F.col("a") < F.col("b")).otherwise(~F.col("abit") & F.col("bbit"))
