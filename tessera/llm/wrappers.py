@@ -11,14 +11,17 @@ Every page takes part. A task folds the pages it sees into one wrapper a host,
 so only wrappers are shuffled, and those of one host meet in two steps (first
 by host and salt): no task ever gets all pages of a host.
 
-A page's text is then read through its host's wrapper: the slots inside the
-main region (an article or main element, if the page has one), without those
-below menus, headers, footers, sidebars, notices, adverts, forms or comments,
-and, outside an article, without slots that say the same on all pages.
+A page's text is then read by matching its tree against its host's wrapper:
+the variable slots inside the main region (an article or main element, if the
+page has one), without those below menus, headers, footers, sidebars, notices,
+adverts, forms or comments. In the main region a line is template if all its
+slots have one text on all pages, or if all pages begin or end the repeats of
+an element with it; outside an article a slot's text is if all pages have it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -149,26 +152,42 @@ def walk(page: str) -> Iterator[tuple[str, str, list[str]]]:
     yield from close_to(0)
 
 
-# -- wrappers: a node is [key, optional, repeated, children, texts] ---------------
-# key "#": a text slot with the short texts that all pages have in it; key "()": a group
+# -- wrappers: a node is [key, optional, repeated, children, texts, varies, heads, tails]
+# key "#": a text slot with the short texts that all pages have in it, and whether it ever had two; key "()": a group.
+# heads, tails of an element: digests of what its first and last repeats say on all pages; it varies if pages differ in them
+
+#: How two nodes meet: of one page, of different pages, or of pages that may overlap.
+PAGE, PAGES, EITHER = "page", "pages", "either"
+
 
 def _key(node: list) -> str:
     return "(" + " ".join(_key(c) for c in node[3]) + ")" if node[0] == "()" else node[0]
 
 
-def _join(a: list, b: list, pages: bool) -> list:
+def _head(a: list, b: list) -> list:
+    n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def _join(a: list, b: list, how: str) -> list:
     """One node for two with the same key: of different pages, which must agree
     on a slot's texts, or of one page, whose slot then has the texts of both."""
-    texts = sorted(set(a[4]) & set(b[4]) if pages else set(a[4]) | set(b[4]))
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], pages), texts]
+    if how == PAGE:
+        texts, heads, tails = a[4] + b[4], a[6] + b[6], a[7] + b[7]
+        varies = a[5] or b[5] or a[4][:1] != b[4][:1]
+    else:
+        both = set(a[4]) & set(b[4])
+        texts, heads, tails = sorted(both), _head(a[6], b[6]), _head(a[7][::-1], b[7][::-1])[::-1]
+        varies = a[5] or b[5] or len(both) != len(set(a[4])) or len(both) != len(set(b[4])) or a[6] != b[6]
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], how), texts, varies, heads, tails]
 
 
-def fold(nodes: list) -> list:
+def fold(nodes: list, how: str = PAGE) -> list:
     """Neighbours that repeat, alone or up to four together, become repeated nodes and groups."""
     out: list = []
     for n in nodes:
         if out and _key(out[-1]) == _key(n):
-            out[-1] = _join(out[-1], n, False)
+            out[-1] = _join(out[-1], n, how)
             out[-1][2] = n[0] != "#"
         else:
             out.append(n)
@@ -182,99 +201,153 @@ def fold(nodes: list) -> list:
             if reps > 1:
                 group = out[k : k + width]
                 for r in range(1, reps):
-                    group = [_join(a, b, False) for a, b in zip(group, out[k + r * width : k + (r + 1) * width], strict=True)]
-                out[k : k + reps * width] = [["()", False, True, group, []]]
+                    group = [_join(a, b, how) for a, b in zip(group, out[k + r * width : k + (r + 1) * width], strict=True)]
+                out[k : k + reps * width] = [["()", False, True, group, [], False, [], []]]
             k += 1
     return out
 
 
-def align(a: list, b: list, pages: bool = True) -> list:
-    """Two child lists as one: what both have is joined, the rest is optional."""
+def align(a: list, b: list, how: str = PAGES) -> list:
+    """Two child lists as one: what both have is joined, the rest is optional.
+    A page aligned with itself is that page."""
+    if a is b:
+        return a
     ka, kb = [_key(n) for n in a], [_key(n) for n in b]
     if ka == kb:
-        return [_join(x, y, pages) for x, y in zip(a, b, strict=True)]
+        return [_join(x, y, how) for x, y in zip(a, b, strict=True)]
     out: list = []
     for op, a1, a2, b1, b2 in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [_join(x, y, pages) for x, y in zip(a[a1:a2], b[b1:b2], strict=True)]
+            out += [_join(x, y, how) for x, y in zip(a[a1:a2], b[b1:b2], strict=True)]
         else:
             out += [[n[0], True, *n[2:]] for n in a[a1:a2] + b[b1:b2]]
-    return fold(out)
+    return fold(out, PAGE if how == PAGE else EITHER)
+
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
-def tree(page: str) -> list:
-    """The wrapper of one page: the children of its root."""
+
+def tree(page: str, reader: Reader | None = None) -> list:
+    """The wrapper of one page: the children of its root. With a ``reader``,
+    texts, heads and tails come with the numbers of the reader's texts."""
     levels: list[list] = [[]]
+    says: list[list[str]] = [[]]
+    since: list[int] = []
     for what, value, _ in walk(page):
+        if reader is not None:
+            reader.see(what, value)
         if what == "open":
             levels.append([])
+            says.append([])
+            since.append(len(reader.texts) if reader is not None else 0)
         elif what == "close":
-            inner = fold(levels.pop())
-            levels[-1].append([value, False, False, inner, []])
+            inner, said, at = fold(levels.pop()), _digest(value + " ".join(says.pop())), since.pop()
+            says[-1].append(said)
+            run = [said if reader is None else (said, at, len(reader.texts))]
+            levels[-1].append([value, False, False, inner, [], False, run, run])
         elif value.strip():
             said = " ".join(html.unescape(value).split())
-            levels[-1].append(["#", False, False, [], [said] if len(said) <= SHORT else []])
+            says[-1].append(_digest(said))
+            short = len(said) <= SHORT
+            levels[-1].append(["#", False, False, [], [said if reader is None else (said, len(reader.texts) - 1)] if short else [], not short, [], []])
     return fold(levels[0])
 
 
 def expression(nodes: list) -> str:
     """The wrapper written as a regular expression over tags and slots."""
     out = []
-    for key, optional, repeated, inner, texts in nodes:
-        s = (json.dumps(texts[0], ensure_ascii=False) if len(texts) == 1 else "#TEXT") if key == "#" else expression(inner) if key == "()" else f"<{key}>{expression(inner)}</{key}>"
+    for key, optional, repeated, inner, texts, varies, *_ in nodes:
+        s = (json.dumps(texts[0], ensure_ascii=False) if texts and not varies else "#TEXT") if key == "#" else expression(inner) if key == "()" else f"<{key}>{expression(inner)}</{key}>"
         sign = {(True, True): "*", (True, False): "?", (False, True): "+"}.get((optional, repeated), "")
         out.append(f"({s}){sign}" if sign else s)
     return "".join(out)
 
 
 @lru_cache(maxsize=512)
-def _constant(wrapper: str) -> frozenset[tuple[str, str]]:
-    """Path and text of the slots that say the same on all pages; none if the wrapper is of fewer than three pages."""
+def _wrapper(wrapper: str) -> tuple[int, list, bool, bool]:
+    """Pages and nodes, and whether anything varies in the host's pages and in
+    their articles: pages that never differ don't tell template from text."""
     pages, nodes = json.loads(wrapper)
-    found: dict[str, set] = {}
 
-    def visit(level: list, path: str) -> None:
-        for key, _, _, inner, texts in level:
-            if key == "#":
-                found.setdefault(path, set()).update(texts)
-            else:
-                visit(inner, path if key == "()" else f"{path}/{key}")
+    def varies(level: list, tags: frozenset[str] | None) -> bool:
+        return any(n[0] != "#" and (((tags is None or n[0].split(".", 1)[0] in tags) and (n[1] or n[5])) or varies(n[3], tags)) for n in level)
+
+    return pages, nodes, varies(nodes, None), varies(nodes, MAIN)
 
-    visit(nodes, "")
-    return frozenset((p, t) for p, texts in found.items() for t in texts) if pages >= 3 else frozenset()
+
+def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None:
+    """Match a page's tree, made with a reader, against the wrapper: numbers of
+    texts that all pages have in their slot go to ``shared``, and to ``fixed``
+    if the slot never has another text, or all pages begin or end the repeats
+    of an element with them. What the wrapper doesn't have stays variable."""
+    ka, kb = [_key(n) for n in nodes], [_key(n) for n in wrapper]
+    if ka == kb:
+        pairs = list(zip(nodes, wrapper, strict=True))
+    else:
+        pairs = [(nodes[i + k], wrapper[j + k]) for i, j, n in SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks() for k in range(n)]
+    for n, w in pairs:
+        if n[0] == "#":
+            same = {k for said, k in n[4] if said in w[4]}
+            shared |= same
+            if not w[5]:
+                fixed |= same
+            continue
+        for runs, wants in ((n[6], w[6]), (n[7][::-1], w[7][::-1])):
+            for (said, at, end), want in zip(runs, wants, strict=False):
+                if said != want:
+                    break
+                fixed.update(range(at, end))
+        match(n[3], w[3], shared, fixed)
 
 
 def _outside(key: str) -> bool:
     return key.split(".", 1)[0] in OUTSIDE or "." in key
 
 
-def extract(page: str, wrapper: str) -> str:
-    """The main text of ``page``: blocks in page order, one line each."""
-    constant = _constant(wrapper)
-    inner: list[list[str]] = [[]]
-    outer: list[list[str]] = [[]]
-    main = skip = 0
-    seen_main = False
-    for what, value, stack in walk(page):
+class Reader:
+    """The texts of a page, and where each stands."""
+
+    def __init__(self) -> None:
+        #: text, number of its line, whether in an article or main element, whether in a region that is none of the main text
+        self.texts: list[tuple[str, int, bool, bool]] = []
+        self.line = self.main = self.skip = 0
+        self.seen_main = False
+
+    def see(self, what: str, value: str) -> None:
         if what == "text":
-            if skip:
-                continue
-            if main:
-                inner[-1].append(value)
-            elif value.strip() and ("/" + "/".join(stack), " ".join(html.unescape(value).split())) not in constant:
-                outer[-1].append(value)
-            continue
+            self.texts.append((value, self.line, self.main > 0, self.skip > 0))
+            return
         tag, step = value.split(".", 1)[0], 1 if what == "open" else -1
         if _outside(value) and not (tag in MAIN or tag in ("html", "body")):
-            skip += step
+            self.skip += step
         if tag in MAIN:
-            main += step
-            seen_main = True
+            self.main += step
+            self.seen_main = True
         if tag in BLOCKS:
-            inner.append([])
-            outer.append([])
-    lines = (" ".join(html.unescape("".join(b)).split()) for b in (inner if seen_main else outer))
-    return "\n".join(x for x in lines if x)
+            self.line += 1
+
+
+def extract(page: str, wrapper: str) -> str:
+    """The main text of ``page``: blocks in page order, one line each.
+
+    In an article or main element a line is left out if the wrapper has all of
+    it as fixed template text; elsewhere each text that all pages share is."""
+    reader = Reader()
+    nodes = tree(page, reader)
+    pages, how, differs, main_differs = _wrapper(wrapper)
+    shared: set[int] = set()
+    fixed: set[int] = set()
+    if pages >= 3 and differs:
+        match(nodes, how, shared, fixed)
+    lines: dict[int, list[int]] = {}
+    for k, (said, line, main, skip) in enumerate(reader.texts):
+        if not skip and (main if reader.seen_main else said.strip() and k not in shared):
+            lines.setdefault(line, []).append(k)
+    if reader.seen_main and main_differs:
+        lines = {n: texts for n, texts in lines.items() if any(k not in fixed and reader.texts[k][0].strip() for k in texts)}
+    out = (" ".join(html.unescape("".join(reader.texts[k][0] for k in texts)).split()) for texts in lines.values())
+    return "\n".join(x for x in out if x)
 
 
 # -- Spark -----------------------------------------------------------------------

@@ -384,6 +384,15 @@ def test_constant_slots_outside_an_article_go(spark):
     assert {r["text"] for r in wrappers.main_text(df).collect()} == {f"story {k} text" for k in range(4)}
 
 
+def test_template_text_in_an_article_goes(spark):
+    html = lambda k: f"<body><article><h2>The Daily</h2><h1>Title {k}</h1>" + "".join(f"<p>story {k} part {n}</p>" for n in range(1 + k % 3)) + "<p>Subscribe to our letter</p><div><a>Read more</a></div></article></body>"
+    df = spark.createDataFrame([(k, "http://t.example/", html(k)) for k in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()}
+    assert got == {k: "\n".join([f"Title {k}"] + [f"story {k} part {n}" for n in range(1 + k % 3)]) for k in range(6)}
+    same = spark.createDataFrame([(k, "http://t.example/", html(0)) for k in range(4)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.main_text(same).collect()} == {"The Daily\nTitle 0\nstory 0 part 0\nSubscribe to our letter\nRead more"}
+
+
 # -- op10 ---------------------------------------------------------------------
 
 ITEMS = [
