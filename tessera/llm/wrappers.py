@@ -16,7 +16,8 @@ the variable slots inside the main region (an article or main element, if the
 page has one), without those below menus, headers, footers, sidebars, notices,
 adverts, forms or comments. In the main region a line is template if all its
 slots have one text on all pages, or if all pages begin or end the repeats of
-an element with it; outside an article a slot's text is if all pages have it.
+an element with it; outside an article a slot's text is if all pages with the slot have it. At
+least three pages must have the slot or element.
 """
 
 from __future__ import annotations
@@ -60,8 +61,11 @@ HELD = 2_000
 #: Characters of all wrappers together up to which they are broadcast.
 BROADCAST_CHARS = 16_000_000
 SALTS = 32
-#: Characters up to which a slot's text may be template text.
+#: Characters up to which a wrapper holds a slot's text itself; of longer ones it holds LONG and a digest.
 SHORT = 120
+LONG = "\ue000"
+#: Pages that must have a slot for its text to be template text.
+LEAST = 3
 
 
 def events(page: str) -> Iterator[tuple[int, str, str]]:
@@ -152,8 +156,9 @@ def walk(page: str) -> Iterator[tuple[str, str, list[str]]]:
     yield from close_to(0)
 
 
-# -- wrappers: a node is [key, optional, repeated, children, texts, varies, heads, tails]
-# key "#": a text slot with the short texts that all pages have in it, and whether it ever had two; key "()": a group.
+# -- wrappers: a node is [key, optional, repeated, children, texts, varies, heads, tails, pages]
+# pages: how many pages surely have the node, and so its texts, heads and tails
+# key "#": a text slot with the texts (digests of long ones) that all pages with the slot have in it, and whether it ever had two; key "()": a group.
 # heads, tails of an element: digests of what its first and last repeats say on all pages; it varies if pages differ in them
 
 #: How two nodes meet: of one page, of different pages, or of pages that may overlap.
@@ -179,7 +184,8 @@ def _join(a: list, b: list, how: str) -> list:
         both = set(a[4]) & set(b[4])
         texts, heads, tails = sorted(both), _head(a[6], b[6]), _head(a[7][::-1], b[7][::-1])[::-1]
         varies = a[5] or b[5] or len(both) != len(set(a[4])) or len(both) != len(set(b[4])) or a[6] != b[6]
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], how), texts, varies, heads, tails]
+    pages = a[8] + b[8] if how == PAGES else max(a[8], b[8])
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], how), texts, varies, heads, tails, pages]
 
 
 def fold(nodes: list, how: str = PAGE) -> list:
@@ -202,7 +208,7 @@ def fold(nodes: list, how: str = PAGE) -> list:
                 group = out[k : k + width]
                 for r in range(1, reps):
                     group = [_join(a, b, how) for a, b in zip(group, out[k + r * width : k + (r + 1) * width], strict=True)]
-                out[k : k + reps * width] = [["()", False, True, group, [], False, [], []]]
+                out[k : k + reps * width] = [["()", False, True, group, [], False, [], [], max(n[8] for n in group)]]
             k += 1
     return out
 
@@ -225,7 +231,7 @@ def align(a: list, b: list, how: str = PAGES) -> list:
 
 
 def _digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def tree(page: str, reader: Reader | None = None) -> list:
@@ -245,12 +251,13 @@ def tree(page: str, reader: Reader | None = None) -> list:
             inner, said, at = fold(levels.pop()), _digest(value + " ".join(says.pop())), since.pop()
             says[-1].append(said)
             run = [said if reader is None else (said, at, len(reader.texts))]
-            levels[-1].append([value, False, False, inner, [], False, run, run])
+            levels[-1].append([value, False, False, inner, [], False, run, run, 1])
         elif value.strip():
             said = " ".join(html.unescape(value).split())
             says[-1].append(_digest(said))
-            short = len(said) <= SHORT
-            levels[-1].append(["#", False, False, [], [said if reader is None else (said, len(reader.texts) - 1)] if short else [], not short, [], []])
+            if len(said) > SHORT:
+                said = LONG + says[-1][-1]
+            levels[-1].append(["#", False, False, [], [said if reader is None else (said, len(reader.texts) - 1)], False, [], [], 1])
     return fold(levels[0])
 
 
@@ -278,7 +285,7 @@ def _wrapper(wrapper: str) -> tuple[int, list, bool, bool]:
 
 def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None:
     """Match a page's tree, made with a reader, against the wrapper: numbers of
-    texts that all pages have in their slot go to ``shared``, and to ``fixed``
+    texts that all pages with their slot, ``LEAST`` at least, have in it go to ``shared``, and to ``fixed``
     if the slot never has another text, or all pages begin or end the repeats
     of an element with them. What the wrapper doesn't have stays variable."""
     ka, kb = [_key(n) for n in nodes], [_key(n) for n in wrapper]
@@ -287,6 +294,10 @@ def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None
     else:
         pairs = [(nodes[i + k], wrapper[j + k]) for i, j, n in SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks() for k in range(n)]
     for n, w in pairs:
+        if w[8] < LEAST:
+            if n[0] != "#":
+                match(n[3], w[3], shared, fixed)
+            continue
         if n[0] == "#":
             same = {k for said, k in n[4] if said in w[4]}
             shared |= same
@@ -338,7 +349,7 @@ def extract(page: str, wrapper: str) -> str:
     pages, how, differs, main_differs = _wrapper(wrapper)
     shared: set[int] = set()
     fixed: set[int] = set()
-    if pages >= 3 and differs:
+    if pages >= LEAST and differs:
         match(nodes, how, shared, fixed)
     lines: dict[int, list[int]] = {}
     for k, (said, line, main, skip) in enumerate(reader.texts):

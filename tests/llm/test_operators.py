@@ -393,6 +393,15 @@ def test_template_text_in_an_article_goes(spark):
     assert {r["text"] for r in wrappers.main_text(same).collect()} == {"The Daily\nTitle 0\nstory 0 part 0\nSubscribe to our letter\nRead more"}
 
 
+def test_slots_of_one_page_stay_and_long_template_text_goes(spark):
+    notice = "All prices include the tax of the land in which the buyer lives; " * 4
+    only = ["<ul><li>one item</li></ul>", "<table><tr><td>one cell</td></tr></table>", "<h3>one heading</h3>", "<blockquote>one quote</blockquote>", ""]
+    html = lambda k: f"<body><div><b>{notice}</b></div><h1>Title {k}</h1>{only[k]}</body>"
+    df = spark.createDataFrame([(k, "http://s.example/", html(k)) for k in range(5)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()}
+    assert got == {0: "Title 0\none item", 1: "Title 1\none cell", 2: "Title 2\none heading", 3: "Title 3\none quote", 4: "Title 4"}
+
+
 # -- op10 ---------------------------------------------------------------------
 
 ITEMS = [
