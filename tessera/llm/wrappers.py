@@ -49,6 +49,8 @@ OUTSIDE = frozenset("head nav header footer aside form menu dialog button select
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+#: A mark after one of these, in one name, marks nothing.
+LAYOUT = frozenset(("has", "have", "no", "with", "without"))
 MAIN = frozenset(("article", "main"))
 #: A closing or opening of these ends an open paragraph.
 _P_ENDS = BLOCKS - {"br", "option", "select", "title", "body", "html"}
@@ -68,6 +70,13 @@ LONG = "\ue000"
 LEAST = 3
 
 
+def _marks(value: str) -> Iterator[str]:
+    """The words of a class, id or role that are marks; "has-sidebar" says how a page is laid out, and marks nothing."""
+    for name in value.split():
+        words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        yield from (w for k, w in enumerate(words) if w in MARKS and not (k and words[k - 1] in LAYOUT))
+
+
 def events(page: str) -> Iterator[tuple[int, str, str]]:
     """(1, tag, marks) for opened, (-1, tag, "") for closed elements, (0, text, "")
     for text; comments, declarations and the content of raw elements are left out."""
@@ -113,8 +122,7 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
         body = page[m.end() : gt]
         marks = ""
         if "=" in body:
-            found = {w for g in _MARK_ATTR.findall(body) for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(g)).lower())} & MARKS
-            marks = ".".join(sorted(found))
+            marks = ".".join(sorted({w for g in _MARK_ATTR.findall(body) for w in _marks("".join(g))}))
         yield 1, tag, marks
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
@@ -312,38 +320,54 @@ def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None
         match(n[3], w[3], shared, fixed)
 
 
-def _outside(key: str) -> bool:
-    return key.split(".", 1)[0] in OUTSIDE or "." in key
-
-
 class Reader:
     """The texts of a page, and where each stands."""
 
     def __init__(self) -> None:
-        #: text, number of its line, whether in an article or main element, whether in a region that is none of the main text
-        self.texts: list[tuple[str, int, bool, bool]] = []
-        self.line = self.main = self.skip = 0
+        #: text, number of its line, how it lies in articles (one of NONE to FREE), whether in an element of OUTSIDE,
+        #: marked elements around it (inside an article, only those inside it)
+        self.texts: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.line = self.skip = self.made = 0
+        self.mains: list[tuple[int, tuple[int, ...]]] = []
+        self.marks: tuple[int, ...] = ()
         self.seen_main = False
 
     def see(self, what: str, value: str) -> None:
         if what == "text":
-            self.texts.append((value, self.line, self.main > 0, self.skip > 0))
+            self.texts.append((value, self.line, self.mains[-1][0] if self.mains else NONE, self.skip > 0, self.marks))
             return
-        tag, step = value.split(".", 1)[0], 1 if what == "open" else -1
-        if _outside(value) and not (tag in MAIN or tag in ("html", "body")):
-            self.skip += step
+        tag, mark = value.split(".", 1)[0], "." in value
         if tag in MAIN:
-            self.main += step
-            self.seen_main = True
+            if what == "open":
+                held = (self.mains[-1][0] if self.mains else NONE, self.marks)
+                self.mains.append((MARKED if self.marks or held[0] == MARKED else FREE, self.marks))
+                self.marks = ()
+                self.seen_main = self.seen_main or not self.skip
+            else:
+                self.marks = self.mains.pop()[1]
+        elif tag not in ("html", "body"):
+            if tag in OUTSIDE:
+                self.skip += 1 if what == "open" else -1
+            elif mark and what == "open":
+                self.made += 1
+                self.marks = (*self.marks, self.made)
+            elif mark:
+                self.marks = self.marks[:-1]
         if tag in BLOCKS:
             self.line += 1
 
 
+#: A text in no article or main element, in one below a marked element, in one below none.
+NONE, MARKED, FREE = range(3)
+
+
 def extract(page: str, wrapper: str) -> str:
     """The main text of ``page``: blocks in page order, one line each.
 
     In an article or main element a line is left out if the wrapper has all of
-    it as fixed template text; elsewhere each text that all pages share is."""
+    it as fixed template text; elsewhere each text that all pages share is.
+    Articles below marked elements count if no other has text. Without an
+    article, a mark is void if most of the page's variable text is below it."""
     reader = Reader()
     nodes = tree(page, reader)
     pages, how, differs, main_differs = _wrapper(wrapper)
@@ -351,12 +375,27 @@ def extract(page: str, wrapper: str) -> str:
     fixed: set[int] = set()
     if pages >= LEAST and differs:
         match(nodes, how, shared, fixed)
-    lines: dict[int, list[int]] = {}
-    for k, (said, line, main, skip) in enumerate(reader.texts):
-        if not skip and (main if reader.seen_main else said.strip() and k not in shared):
-            lines.setdefault(line, []).append(k)
-    if reader.seen_main and main_differs:
-        lines = {n: texts for n, texts in lines.items() if any(k not in fixed and reader.texts[k][0].strip() for k in texts)}
+    if reader.seen_main:
+        for kind in (FREE, MARKED):
+            lines: dict[int, list[int]] = {}
+            for k, (_, line, main, skip, marks) in enumerate(reader.texts):
+                if main == kind and not skip and not marks:
+                    lines.setdefault(line, []).append(k)
+            said = any(reader.texts[k][0].strip() for texts in lines.values() for k in texts)
+            if said:
+                break
+        if main_differs:
+            lines = {n: texts for n, texts in lines.items() if any(k not in fixed and reader.texts[k][0].strip() for k in texts)}
+    else:
+        lines, size = {}, {}
+        rest = [(k, t) for k, t in enumerate(reader.texts) if t[0].strip() and not t[3] and k not in shared]
+        for _, (said, _, _, _, marks) in rest:
+            for m in marks:
+                size[m] = size.get(m, 0) + len(said)
+        total = sum(len(t[0]) for _, t in rest)
+        for k, (_, line, _, _, marks) in rest:
+            if all(2 * size[m] > total for m in marks):
+                lines.setdefault(line, []).append(k)
     out = (" ".join(html.unescape("".join(reader.texts[k][0] for k in texts)).split()) for texts in lines.values())
     return "\n".join(x for x in out if x)
 

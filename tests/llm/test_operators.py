@@ -402,6 +402,17 @@ def test_slots_of_one_page_stay_and_long_template_text_goes(spark):
     assert got == {0: "Title 0\none item", 1: "Title 1\none cell", 2: "Title 2\none heading", 3: "Title 3\none quote", 4: "Title 4"}
 
 
+def test_marks_do_not_take_whole_articles():
+    none = "[1, []]"
+    for around in ("content has-sidebar", "no-sidebar", "with-comments", "search-results", "page withoutWidgets"):
+        assert wrappers.extract(f'<body><div class="{around}"><article><p>The story</p><div class="share">Share</div></article></div></body>', none) == "The story"
+    for around in ("content has-sidebar", "search-results"):
+        assert wrappers.extract(f'<body><div class="{around}"><p>A long story is told here</p><div class="share">Share</div></div><div>short</div></body>', none).startswith("A long story is told here")
+    assert "Share" not in wrappers.extract('<body><div class="search"><p>A long story is told here</p><div class="share">Share</div></div></body>', none)
+    assert wrappers.extract('<body><article>Story</article><div class="related"><article>Teaser</article></div><aside><article>Other</article></aside></body>', none) == "Story"
+    assert wrappers.extract('<body><div class="sidebar">Side</div><p>The story is longer</p></body>', none) == "The story is longer"
+
+
 # -- op10 ---------------------------------------------------------------------
 
 ITEMS = [
