@@ -455,6 +455,19 @@ def test_leaks_without_broadcast(spark, monkeypatch):
     test_leaks(spark)
 
 
+def leaked(spark, item, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r["doc"]: r["n_changed"] for r in decontam.leaks(docs, bench).collect()}
+
+
+def test_leaks_with_dense_slots_and_first_names(spark):
+    item = "Tom ran 5 miles in 3 hours and Ann ran 8 miles in 4 hours"
+    got = leaked(spark, item, ["So. Bob ran 7 miles in 2 hours and Eve ran 9 miles in 6 hours.", item, "It took 5 miles in 3 hours or 8 miles in 4 hours", "He ran 7 miles in 2 hours"])
+    assert set(got) == {0, 1} and got[0] > 0 and got[1] == 0
+    assert set(leaked(spark, "Tom ran 5 miles home today", ["Kim ran 7 miles home today", "Kim sold 7 miles home today"])) == {0}
+
+
 def test_templates(spark):
     t = "Hello the Tom has 3 kg, of 1.5apples;\n\n and Ann *** 7 Km x."
     m = decontam.MARK
