@@ -468,6 +468,12 @@ def test_leaks_with_dense_slots_and_first_names(spark):
     assert set(leaked(spark, "Tom ran 5 miles home today", ["Kim ran 7 miles home today", "Kim sold 7 miles home today"])) == {0}
 
 
+def test_leaks_with_one_inconsistent_slot(spark):
+    item = "The shop had 12 red boxes on the long shelf near the old door and sold them all before noon, then the owner brought 12 new boxes and 5 bags from the store room behind the house"
+    got = leaked(spark, item, [item.replace("12 new", "13 new"), item.replace("12", "4").replace("5 bags", "4 bags")])
+    assert set(got) == {0, 1}
+
+
 def test_templates(spark):
     t = "Hello the Tom has 3 kg, of 1.5apples;\n\n and Ann *** 7 Km x."
     m = decontam.MARK
