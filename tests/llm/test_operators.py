@@ -421,10 +421,64 @@ ITEMS = [
     (3, "three words only"),
     (4, None),
     (5, ""),
+    (6, "yes"),
     (None, "some words without an id in this benchmark table here"),
 ]
 
 
+def plain_tokens(t):
+    """Words in lower case and their kinds: 0 word, 1 number, 2 unit, 3 name."""
+    own = [x for x in re.split(decontam.SEPARATORS + r"|[.,](?![0-9])|(?<![0-9])[.,]", t or "") if x]
+    out = []
+    for k, x in enumerate(own):
+        after = k and own[k - 1] < ":"
+        kind = 1 if x < ":" else 2 if after and x.lower() in decontam.UNITS.split() else 3 if len(x) > 1 and x[0].isupper() and x[1].islower() else 0
+        out.append((x.lower(), kind))
+    return out
+
+
+def plain_leaks(docs, items, width=5, max_slots=2, coverage=0.8):
+    """Every shift of every item against every document."""
+    out = {}
+    for doc, text in docs:
+        d = plain_tokens(text)
+        for item, said in items:
+            i = plain_tokens(said)
+            n = len(i)
+            if not n or not d or doc is None or item is None:
+                continue
+            w, every = min(width, n), []
+            for shift in range(-n + 1, len(d)):
+                tokens = []
+                for k, (a, ka) in enumerate(i):
+                    b, kb = d[shift + k] if 0 <= shift + k < len(d) else (None, None)
+                    same = a == b
+                    tokens.append((same or (ka == kb and ka > 0), same, same and 0 in (ka, kb), ((ka, a), b)))
+                at = [k for k in range(n - w + 1) if all(x[0] for x in tokens[k : k + w])]
+                inside = {p for k in at for p in range(k, k + w)}
+                slots = {tokens[p][3] for p in inside if not tokens[p][2]}
+                many = {s for s, c in collections.Counter(s for s, _ in slots).items() if c > 1}
+                enough = n >= width and sum(tokens[p][2] for p in inside) >= width - max_slots
+                if n < width and (shift or len(d) != n):
+                    continue
+                fine = lambda part: all(x[1] for x in part) or (enough and all(x[2] or x[3][0] not in many for x in part))
+                wins = [(k, all(x[1] for x in tokens[k : k + w]), [x[3] for x in tokens[k : k + w] if not x[2]]) for k in at if fine(tokens[k : k + w])]
+                if wins:
+                    every.append((-len(wins), shift, wins))
+            if not every:
+                continue
+            every.sort(key=lambda e: e[:2])
+            first = collections.defaultdict(set)
+            for _, _, z in every[0][2]:
+                for key, b in z:
+                    first[key].add(b)
+            wins = [x for e in every for x in e[2] if x[1] or not any(key in first and first[key] != {b} for key, b in x[2])]
+            found = {k for k, _, _ in wins}
+            if len(found) >= coverage * (n - w + 1):
+                out[doc, item] = (n - w + 1, len(found), len({s for x in wins for s in x[2] if s[0][1] != s[1]}))
+    return out
+
+
 def test_leaks(spark):
     d = [
         (1, "Intro text. " + ITEMS[0][1] + ". The end follows here."),
@@ -432,12 +486,13 @@ def test_leaks(spark):
         (3, "Intro. A farmer named Bob has 30 apples and gives Eve 7 apples before Kim eats 9 apples alone today. Bye."),
         (4, "Well, " + ITEMS[1][1].upper() + "!!"),
         (5, "the quick brown fox jumps over the lazy dog and that is all there is to it in this text"),
-        (6, "here are three words only, yes"),
+        (6, "Three words, only."),
         (7, None),
         (8, ""),
         (9, LONG),
         (None, ITEMS[1][1]),
         (4, "a second row of this id"),
+        (10, "oh yes, these are three words only, yes"),
     ]
     docs = spark.createDataFrame([(*x, "a", 1) for x in d], "doc_id long, text string, item string, pos int").repartition(3)
     bench = spark.createDataFrame([(*x, "b") for x in ITEMS], "item_id long, text string, doc string")
@@ -446,8 +501,10 @@ def test_leaks(spark):
     assert set(got) == {(1, 1), (2, 1), (4, 2), (6, 3)}
     assert got[1, 1] == 0 and got[2, 1] > 0
     left = sorted((r["doc_id"] is None, r["doc_id"]) for r in decontam.decontaminate(docs, bench).collect())
-    assert [x for _, x in left] == [3, 5, 7, 8, 9, None]
+    assert [x for _, x in left] == [3, 5, 7, 8, 9, 10, None]
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
+    twice = bench.unionByName(spark.createDataFrame([(1, "another text of item one that nobody ever says", "b"), (2, ITEMS[1][1], "b")], bench.schema))
+    assert {(r["doc"], r["item"]): r["n_changed"] for r in decontam.leaks(docs, twice).collect()} == got
 
 
 def test_leaks_without_broadcast(spark, monkeypatch):
@@ -466,16 +523,79 @@ def test_leaks_with_dense_slots_and_first_names(spark):
     got = leaked(spark, item, ["So. Bob ran 7 miles in 2 hours and Eve ran 9 miles in 6 hours.", item, "It took 5 miles in 3 hours or 8 miles in 4 hours", "He ran 7 miles in 2 hours"])
     assert set(got) == {0, 1} and got[0] > 0 and got[1] == 0
     assert set(leaked(spark, "Tom ran 5 miles home today", ["Kim ran 7 miles home today", "Kim sold 7 miles home today"])) == {0}
+    alice = "Alice has 3 apples. Bob gives Alice 4 more apples. How many apples does Alice have in the end?"
+    assert leaked(spark, alice, [alice.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "7").replace("4", "2")])[0] > 0
+    sums = "Compute 12 + 15 * 3 - 7 / 2 and then multiply by 9 to give 88, or divide by 4 to give 21"
+    assert leaked(spark, sums, ["Compute 14 + 11 * 5 - 6 / 8 and then multiply by 3 to give 71, or divide by 9 to give 1,250.5"])[0] > 0
 
 
 def test_leaks_with_one_inconsistent_slot(spark):
     item = "The shop had 12 red boxes on the long shelf near the old door and sold them all before noon, then the owner brought 12 new boxes and 5 bags from the store room behind the house"
     got = leaked(spark, item, [item.replace("12 new", "13 new"), item.replace("12", "4").replace("5 bags", "4 bags")])
     assert set(got) == {0, 1}
+    balls = "A bag holds 3 red balls and 5 blue balls and somebody draws two balls without looking"
+    assert set(leaked(spark, balls, [balls.replace("3", "4").replace("5", "4")])) == {0}
+
+
+def test_slots_agree_over_all_alignments(spark):
+    item = "Tom walks to Tom's old house and Tom buys bread there then Tom walks home and Tom eats what Tom bought while Tom hums and after that Tom sleeps until Tom hears a bell"
+    swap = lambda a, b: item[:52].replace("Tom", a) + " slowly" + item[52:].replace("Tom", b)
+    assert set(leaked(spark, item, [swap("Bob", "Bob"), swap("Bob", "Kim")])) == {0}
+
+
+def test_shared_preambles_do_not_join(spark):
+    rows_ = [(k, f"Read the question with care and choose the one right answer from the list below: what does the {a} say of the {b}") for k, (a, b) in enumerate([("sailor", "storm"), ("baker", "oven"), ("judge", "witness"), ("teacher", "pupil")])]
+    bench = spark.createDataFrame(rows_, "item_id long, text string")
+    words = bench.select(F.col("item_id").alias("item"), decontam.tokens(F.col("text")).alias("a")).withColumn("v", F.lit(0))
+    index = decontam._index(decontam._hashes(words), 5, 0.8)
+    own = index.where("n - ipos <= 10").count()
+    assert own and index.groupBy("h").count().where("count = 4").count() <= 10
+
+
+def test_leaks_equal_brute_force(spark):
+    r = random.Random(11)
+    names, units = ["Tom", "Ann", "Bob", "Eve", "Kim"], ["km", "kg", "hours"]
+
+    def question():
+        out = []
+        for _ in range(r.randint(4, 30)):
+            x = r.random()
+            out += [r.choice(names)] if x < 0.15 else [str(r.randint(1, 30)), r.choice(units)] if x < 0.25 else [str(r.randint(1, 30))] if x < 0.3 else [r.choice(WORDS)]
+        return " ".join(out)
+
+    def other(t):
+        figures, people = {}, dict(zip(names, r.sample(names, len(names)), strict=True))
+        return " ".join(people.get(x, figures.setdefault(x, str(r.randint(31, 90))) if x.isdigit() else x) for x in t.split())
+
+    items = [(k, question()) for k in range(25)]
+    docs, planted = [], set()
+    for k in range(150):
+        parts, item = [sentence(r, r.randint(0, 8))], r.randrange(25)
+        if k % 3:
+            t = items[item][1] if k % 3 == 1 else other(items[item][1])
+            words = t.split()
+            if k % 4 == 1:  # a word more, or another one
+                words.insert(r.randrange(len(words)), "indeed")
+            elif k % 4 == 2:
+                words[r.randrange(len(words))] = "indeed"
+            elif len(words) >= 8:
+                planted.add((k, item))
+            parts.append(" ".join(words))
+        docs.append((k, ". ".join([*parts, sentence(r, r.randint(0, 8))])))
+    want = plain_leaks(docs, items)
+    got = {(x["doc"], x["item"]): (x["n_windows"], x["n_found"], x["n_changed"]) for x in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert sum(got[k] == want[k] for k in got) >= 0.9 * len(got)  # alignments without a sought window add chance windows to the brute force alone
+    assert len(planted) > 20 and sum(p in got for p in planted) >= 0.9 * len(planted)
 
 
 def test_templates(spark):
-    t = "Hello the Tom has 3 kg, of 1.5apples;\n\n and Ann *** 7 Km x."
-    m = decontam.MARK
-    got = spark.range(1).select(decontam.marked(F.lit(t)).alias("a")).first()["a"]
-    assert got == f"hello the {m}mtom has {m}n3 {m}ukg of {m}n15apples and {m}mann {m}n7 {m}ukm x"
+    t = "Hello the Tom has 3 kg, of 1.5apples;\n\n and Ann *** 7 Km x. ÉTÉ Été A 1,250.5."
+    df = spark.range(1).select(decontam.tokens(F.lit(t)).alias("a"))
+    got = df.select(decontam._small(F.col("a")).alias("w"), decontam._kinds(F.col("a")).alias("k")).first()
+    assert list(zip(got["w"], got["k"], strict=True)) == plain_tokens(t)
+    assert got["w"] == ["hello", "the", "tom", "has", "3", "kg", "of", "1.5apples", "and", "ann", "7", "km", "x", "été", "été", "a", "1,250.5"]
+    assert got["k"] == [3, 0, 3, 0, 1, 2, 0, 1, 0, 3, 1, 2, 0, 0, 3, 0, 1]
+    bare = decontam._hashes(df).first()
+    assert [b if b <= 3 else 0 for b in bare["bare"]] == got["k"]
