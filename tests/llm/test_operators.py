@@ -547,7 +547,7 @@ def test_shared_preambles_do_not_join(spark):
     rows_ = [(k, f"Read the question with care and choose the one right answer from the list below: what does the {a} say of the {b}") for k, (a, b) in enumerate([("sailor", "storm"), ("baker", "oven"), ("judge", "witness"), ("teacher", "pupil")])]
     bench = spark.createDataFrame(rows_, "item_id long, text string")
     words = bench.select(F.col("item_id").alias("item"), decontam.tokens(F.col("text")).alias("a")).withColumn("v", F.lit(0))
-    index = decontam._index(decontam._hashes(words), 5, 0.8)
+    index = decontam._index(words, 5, 0.8)
     own = index.where("n - ipos <= 10").count()
     assert own and index.groupBy("h").count().where("count = 4").count() <= 10
 
@@ -593,9 +593,9 @@ def test_leaks_equal_brute_force(spark):
 def test_templates(spark):
     t = "Hello the Tom has 3 kg, of 1.5apples;\n\n and Ann *** 7 Km x. ÉTÉ Été A 1,250.5."
     df = spark.range(1).select(decontam.tokens(F.lit(t)).alias("a"))
-    got = df.select(decontam._small(F.col("a")).alias("w"), decontam._kinds(F.col("a")).alias("k")).first()
+    got = df.selectExpr(f"{decontam._small('a')} AS w", f"{decontam._kinds('a')} AS k").first()
     assert list(zip(got["w"], got["k"], strict=True)) == plain_tokens(t)
     assert got["w"] == ["hello", "the", "tom", "has", "3", "kg", "of", "1.5apples", "and", "ann", "7", "km", "x", "été", "été", "a", "1,250.5"]
     assert got["k"] == [3, 0, 3, 0, 1, 2, 0, 1, 0, 3, 1, 2, 0, 0, 3, 0, 1]
-    bare = decontam._hashes(df).first()
-    assert [b if b <= 3 else 0 for b in bare["bare"]] == got["k"]
+    bare = decontam._windows(df, 1).orderBy("pos").collect()
+    assert [b["bare0"] if b["bare0"] <= 3 else 0 for b in bare] == got["k"]
