@@ -4,12 +4,12 @@ Two zstandard dictionaries are built, one from text labelled good and one from
 text labelled bad. A text is compressed piece by piece under both: the
 difference of the two sizes, divided by the text's size, says which of them it
 is more like. A logistic calibration, fitted on labelled texts that the
-dictionaries have not seen, turns that difference into a probability; it also
-looks at how far the text compresses at all, because repeated junk compresses
-well under either dictionary.
+dictionaries have not seen, turns that difference into a probability; it looks
+at the text's length too, as the difference of a short text says less.
 
-Learning takes a bounded sample of the labelled rows, as the parameters say;
-scoring compresses every whole text.
+Learning takes a bounded sample of the labelled rows, as the parameters say.
+Their whole texts calibrate, as scoring compresses every whole text; only a
+dictionary takes no more of a text than a few pieces, spread over all of it.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import fresh, slices
-from tessera.session import ship
+from tessera.session import ship, staged
 
 #: Labelled rows of each class, at most, that learning reads; half of them build the dictionary, half calibrate.
 SAMPLE_ROWS = 3_000
-#: Characters, at most, that learning takes of each of these rows.
-SAMPLE_CHARS = 8_000
+#: Labelled rows of each class without which nothing is learned.
+LEAST_ROWS = 16
+#: Pieces, at most, that a dictionary takes of each of these rows, at equal distances over the whole text.
+PIECES = 8
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 #: Bytes that are compressed at a time: each piece starts anew from the dictionary.
@@ -53,10 +55,8 @@ class QualityModel:
 def _features(sizes: np.ndarray) -> np.ndarray:
     """From columns raw bytes, bytes under good, bytes under bad."""
     raw = sizes[:, 0] + 1
-    diff, both = (sizes[:, 2] - sizes[:, 1]) / raw, (sizes[:, 1] + sizes[:, 2]) / 2 / raw
-    least = np.minimum(sizes[:, 1], sizes[:, 2]) / raw
-    diff, both, long = np.clip(diff, -0.5, 0.5), np.clip(both, 0, 1.2), np.log(raw)
-    return np.stack([diff, both, both**2, diff * both, long, diff * long, np.clip(least, 0, 1.2) ** 3, np.minimum(both, 0.3)], axis=1)
+    diff, long = np.clip((sizes[:, 2] - sizes[:, 1]) / raw, -0.5, 0.5), np.log(raw)
+    return np.stack([diff, long, diff * long], axis=1)
 
 
 class Scorer:
@@ -100,32 +100,52 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(good: list[bytes], bad: list[bytes]) -> QualityModel:
-    """A model of texts with label 1 and label 0.
+def spread(text: bytes) -> list[bytes]:
+    """At most PIECES pieces of the text, the first one among them."""
+    starts = range(0, len(text), PIECE)
+    return [text[a : a + PIECE] for a in starts[:: -(-len(starts) // PIECES) or 1]]
 
-    Every second text of each list builds the dictionaries, the others
-    calibrate. With fewer than 16 texts of a class the model knows no more than
-    the share of good texts (0.5 if there are none at all).
-    """
+
+def dictionaries(good: list[bytes], bad: list[bytes], prior: float) -> QualityModel:
+    """A model without calibration from pieces of either class. Without enough
+    text for a dictionary it knows no more than ``prior``."""
     import zstandard
 
-    prior = (len(good) + 1) / (len(good) + len(bad) + 2)
-    none = QualityModel(b"", b"", (), (), (), prior)
-    if min(len(good), len(bad)) < 16:
-        return none
     try:
-        made = [zstandard.train_dictionary(DICTIONARY_BYTES, [t[i : i + PIECE] for t in texts[::2] for i in range(0, len(t), PIECE)]).as_bytes() for texts in (good, bad)]
-    except zstandard.ZstdError:  # too little text for a dictionary
-        return none
-    bare = QualityModel(*made, (), (), (), prior)
-    scorer = bare.scorer()
-    x = _features(np.array([scorer.sizes(t) for t in good[1::2] + bad[1::2]], float))
-    y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
+        made = [zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes() for pieces in (good, bad)]
+    except zstandard.ZstdError:
+        made = [b"", b""]
+    return QualityModel(*made, (), (), (), prior)
+
+
+def calibrated(bare: QualityModel, sizes: np.ndarray, y: np.ndarray) -> QualityModel:
+    """``bare`` with the weights that fit the labels ``y`` of texts with these
+    sizes; of one class alone nothing can be learned."""
+    if not bare.good or min(y.sum(), len(y) - y.sum()) < 1:
+        return QualityModel(b"", b"", (), (), (), bare.prior)
+    x = _features(sizes)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    # the sample takes as many rows of either class; the prior of the labels comes back in the intercept
     w = _logistic((x - mean) / scale, y)
-    w[0] += np.log(prior / (1 - prior)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    return QualityModel(*made, tuple(mean), tuple(scale), tuple(w), prior)
+    # the sample takes as many rows of either class; the prior of the labels comes back in the intercept
+    w[0] += np.log(bare.prior / (1 - bare.prior)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    return QualityModel(bare.good, bare.bad, tuple(mean), tuple(scale), tuple(w), bare.prior)
+
+
+def fit(good: list[bytes], bad: list[bytes], prior: float | None = None) -> QualityModel:
+    """A model of texts with label 1 and label 0, as ``learn`` makes it.
+
+    Every second text of each list builds the dictionaries, the others
+    calibrate. With fewer than LEAST_ROWS texts of a class the model knows no
+    more than ``prior``, the share of good texts (0.5 if there are none at all).
+    """
+    prior = (len(good) + 1) / (len(good) + len(bad) + 2) if prior is None else prior
+    if min(len(good), len(bad)) < LEAST_ROWS:
+        return QualityModel(b"", b"", (), (), (), prior)
+    bare = dictionaries(*([p for t in texts[::2] for p in spread(t)] for texts in (good, bad)), prior)
+    if not bare.good:
+        return bare
+    scorer = bare.scorer()
+    return calibrated(bare, np.array([scorer.sizes(t) for t in good[1::2] + bad[1::2]], float), np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2])))
 
 
 def held_out(id_col: str) -> Column:
@@ -136,23 +156,53 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> QualityModel:
     """Fit on at most ``rows`` labelled, not held out rows of each class: those
     with the smallest hash of their id, so that the sample does not depend on
-    partitions. Only these rows' texts, cut to SAMPLE_CHARS, reach the driver."""
+    partitions.
+
+    Their whole texts are written to the shared folder once; the driver gets
+    pieces of one half and three sizes a row of the other. Defined results: an
+    id with several labels has the largest; one with several texts the largest
+    of them; a null text is the empty one; null ids and labels are passed over.
+    """
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    n1, n0 = share.get(1, 0), share.get(0, 0)
+    prior = (n1 + 1) / (n1 + n0 + 2)
+    if min(n1, n0) < LEAST_ROWS:
+        return QualityModel(b"", b"", (), (), (), prior)
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).select(F.col(id_col).alias("_id"), "y", F.xxhash64(id_col).alias("_o")).orderBy("_o", "_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     # 2 * rows ids at most: a fixed bound
-    text = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("y", "_o", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t"))
-    got = sorted((r["_o"], r["y"], r["t"]) for r in text.dropDuplicates(["_o"]).collect())
-    model = fit([t.encode() for _, y, t in got if y == 1], [t.encode() for _, y, t in got if y == 0])
-    n1, n0 = share.get(1, 0), share.get(0, 0)
-    prior = (n1 + 1) / (n1 + n0 + 2)
-    w = model.weights
-    if w:
-        w = (w[0] + np.log(prior / (1 - prior)) - np.log(model.prior / (1 - model.prior)), *w[1:])
-    return QualityModel(model.good, model.bad, model.mean, model.scale, w, prior)
+    text = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_id", "y", "_o", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    sample = staged(text.groupBy("_id", "y", "_o").agg(F.max("t").alias("t")), "quality-sample")
+    order = sorted((r["_o"], r["_id"], r["y"]) for r in sample.select("_id", "y", "_o").collect())
+    second = {i for y in (0, 1) for i in [k for _, k, c in order if c == y][1::2]}
+
+    def reader(model: QualityModel | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = None if model is None else model.scorer()
+            for b in slices(batches):
+                at = [k for k, i in enumerate(b.column(0).to_pylist()) if (i in second) == (scorer is not None)]
+                texts = b.column(3).take(pa.array(at, pa.int64())).cast(pa.binary()).to_pylist()
+                got = pa.array([spread(t) for t in texts], pa.list_(pa.binary())) if scorer is None else pa.array([scorer.sizes(t) for t in texts], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in (0, 1, 2)), got], names=["_id", "y", "_o", "got"])
+
+        return run
+
+    def read(model: QualityModel | None, kind: str) -> list[list]:
+        schema = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("_id", "y", "_o"))
+        rows = sample.mapInArrow(reader(model), f"{schema}, got array<{kind}>").collect()  # bounded by rows and PIECES
+        return [[(r["y"], r["got"]) for r in sorted(rows, key=lambda r: (r["_o"], r["_id"])) if r["y"] == y] for y in (1, 0)]
+
+    good, bad = read(None, "binary")
+    if min(len(good), len(bad)) < LEAST_ROWS // 2:
+        return QualityModel(b"", b"", (), (), (), prior)
+    bare = dictionaries(*([bytes(p) for _, pieces in rows for p in pieces] for rows in (good, bad)), prior)
+    if not bare.good:
+        return bare
+    both = [r for rows in read(bare, "bigint") for r in rows]
+    return calibrated(bare, np.array([s for _, s in both], float).reshape(-1, 3), np.array([float(y) for y, _ in both]))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -185,6 +185,26 @@ def test_repetition_of_random_texts():
         assert tuple(int(got[m][k]) for m in repetition.MEASURES) == plain_repetition(t)
 
 
+def test_repetition_verifies_equal_hashes():
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    a, b = ("".join(pair[x] for x in bits) for pair in ("ab", "ba"))  # collide in every polynomial modulo 2 ** 64
+    got = repetition.measure([f"{a}\n{b}\n{a}".encode()])
+    assert got["n_dup_lines"][0] == 1 and got["dup_line_chars"][0] == 4096
+    same = np.zeros(6, np.uint64)  # hashes that say nothing
+    assert repetition._twice(same, [np.array([1, 1, 2, 3, 2, 4])]).tolist() == [True, True, True, False, True, False]
+
+
+def test_repetition_rejects_beyond_the_base(spark):
+    r = random.Random(6)
+    fresh = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20)) for _ in range(14)]
+    text = "\n".join([*fresh, *fresh[:4]])
+    clean = "\n".join(fresh)
+    got = rows(repetition.repetition(spark.createDataFrame([(0, text), (1, clean)], "doc_id long, text string")), "base_failed", "kept")
+    assert got == {0: (False, False), 1: (False, True)}
+
+
 # -- op4 ----------------------------------------------------------------------
 
 def test_agenda_equals_library(docs, texts):
@@ -233,6 +253,38 @@ def test_quality(spark, docs, texts):
     assert zstd_quality.score_quality(empty(docs), model).count() == 0
 
 
+def test_quality_equals_recomputed_scores(spark):
+    r = random.Random(14)
+    good = [sentence(r, r.choice((30, 60, 3000))) for _ in range(80)]
+    bad = [" ".join(w.upper() + "!! ###" for w in sentence(r, 40).split()) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 80)) for k in range(140)], "doc_id long, quality int")
+    model = zstd_quality.learn(d.repartition(5).unionByName(d.where("doc_id = 1").withColumn("text", F.lit(""))), labels.unionByName(labels.limit(9)))
+    order = [x["doc_id"] for x in labels.where(~zstd_quality.held_out("doc_id")).orderBy(F.xxhash64("doc_id")).collect()]
+    ones = sum(k < 80 for k in order)
+    want = zstd_quality.fit([good[k].encode() for k in order if k < 80], [bad[k - 80].encode() for k in order if k >= 80], (ones + 1) / (len(order) + 2))
+    assert model == want
+
+    import math
+
+    import zstandard
+
+    pack = [zstandard.ZstdCompressor(level=zstd_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (model.good, model.bad)]
+    for k, score in rows(zstd_quality.score_quality(d, model), "score").items():
+        t = (good + bad)[k].encode()
+        a, b = (sum(len(p.compress(t[i : i + 1024])) for i in range(0, len(t), 1024)) for p in pack)
+        diff, long = max(-0.5, min(0.5, (b - a) / (len(t) + 1))), math.log(len(t) + 1)
+        z = model.weights[0] + sum(w * (x - m) / s for w, x, m, s in zip(model.weights[1:], (diff, long, diff * long), model.mean, model.scale, strict=True))
+        assert abs(score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_pieces_are_spread_over_the_whole_text():
+    text = bytes(range(100)) * 1024
+    pieces = zstd_quality.spread(text)
+    assert len(pieces) <= zstd_quality.PIECES and pieces[0] == text[:1024] and text.rindex(pieces[-1]) > len(text) // 2
+    assert zstd_quality.spread(b"") == [] and zstd_quality.spread(b"abc") == [b"abc"]
+
+
 # -- op6 ----------------------------------------------------------------------
 
 def test_archive(spark):
