@@ -37,7 +37,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node and component of every row of ``nodes`` (node, rank; no node twice).
 
     ``links`` has columns a and b, in any order and with repeats. A component
-    is named by the smallest rank among its nodes.
+    is named by the smallest rank among its nodes; null ranks name it only if
+    it has no other. A node without links is a component of its own; links with
+    a null end are none; empty tables give no rows.
     """
     edges = staged(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before, now = None, _mark(edges)
@@ -45,5 +47,6 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         edges = staged(_small(_large(edges)), "edges")
         before, now = now, _mark(edges)
     rooted = nodes.join(edges, nodes["node"] == edges["u"], "left").select("node", "rank", F.coalesce("v", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("rank").alias("component"))
+    # written, so that the nodes of one large component are not held where its name was found, and can be split
+    named = staged(rooted.groupBy("root").agg(F.min("rank").alias("component")), "named")
     return rooted.join(named, "root").select("node", "component")
