@@ -19,6 +19,7 @@ from tessera.session import staged
 WARC_DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+RECORD_URI = "urn:x-page:"
 #: Payloads below this size are never revisits.
 LEAST_BYTES = 100
 
@@ -27,11 +28,9 @@ def _lines(*parts: Column | str) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def _record_id(digest: Column, page: Column) -> Column:
-    """A URN from the payload's digest and the page."""
-    h = F.sha2(F.concat_ws(":", digest, page.cast("string")), 256)
-    part = lambda a, n: F.substring(h, a, n)
-    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(13, 3), F.lit("-a"), part(16, 3), F.lit("-"), part(19, 12), F.lit(">"))
+def _record_id(page: Column) -> Column:
+    """The URI of a page's record; what it holds besides the fixed part is the page's id."""
+    return F.concat(F.lit("<" + RECORD_URI), F.url_encode(F.coalesce(page.cast("string"), F.lit(""))), F.lit(">"))
 
 
 def _http(length: Column) -> Column:
@@ -45,10 +44,10 @@ def headers(rows: DataFrame) -> DataFrame:
     block = F.length(http) + F.when(again, F.lit(0)).otherwise(F.col("length"))
     head = _lines(
         "WARC/1.1" + CRLF + "WARC-Type: ", F.when(again, F.lit("revisit")).otherwise("response"),
-        CRLF + "WARC-Record-ID: ", _record_id(F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
+        CRLF + "WARC-Record-ID: ", _record_id(F.col("page_id")),
         CRLF + "WARC-Date: " + WARC_DATE + CRLF + "WARC-Target-URI: ", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", ""),
         CRLF + "WARC-Payload-Digest: sha256:", F.col("digest"),
-        F.when(again, _lines(CRLF + "WARC-Profile: " + PROFILE + CRLF + "WARC-Refers-To: ", _record_id(F.col("digest"), F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(again, _lines(CRLF + "WARC-Profile: " + PROFILE + CRLF + "WARC-Refers-To: ", _record_id(F.col("refers_to")))).otherwise(""),
         CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: ", block.cast("string"), CRLF + CRLF,
     )
     return rows.select("page_id", "digest", "length", "refers_to", F.when(again, F.lit("revisit")).otherwise("response").alias("record_type"), F.encode(head, "UTF-8").alias("warc_header"), http.alias("http_header"))
@@ -63,7 +62,8 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     Defined results: a null body is an empty payload; a null url is an empty
     one; rows with a null id are written, as responses that nothing refers to;
     rows that repeat an id are records of their own, and those that repeat the
-    smallest id are all responses; an empty table gives empty tables.
+    smallest id are all responses; an empty string as an id is read back as
+    null; an empty table gives empty tables.
     """
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
     facts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.sha2(body, 256).alias("digest"), F.length(body).cast("long").alias("length"))
@@ -86,27 +86,47 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/payloads").withColumn("verified", F.sha2("payload", 256) == F.col("digest"))
 
 
+def _stated(head: Column, name: str) -> Column:
+    """What a header line of the WARC header says, null if it isn't there."""
+    said = F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r\n]*)\r\n", 1)
+    return F.when(said != "", said)
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record with what its stored payload is, digested and
-    measured anew: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, and intact (digest and length are those of the header)."""
-    stored = read_payloads(spark, folder).select("digest", F.sha2("payload", 256).alias("found"), F.length("payload").cast("long").alias("size"))
+    """One row per record: page_id, payload_bytes, payload_digest, record_type
+    and refers_to. All are read from the record's stored header bytes and from
+    its payload, which is digested and measured anew; a payload that is lost,
+    or that isn't what the headers say, is an error. Bytes of payloads aren't
+    shuffled: only what they are is."""
+    stored = spark.read.parquet(f"{folder}/payloads").select("digest", F.sha2("payload", 256).alias("found"), F.length("payload").cast("long").alias("size"))
     records = spark.read.parquet(f"{folder}/records")
-    text = F.decode("warc_header", "UTF-8")
-    kind = F.regexp_extract(text, r"WARC-Type: (\w+)\r\n", 1)
-    named = F.regexp_extract(text, r"WARC-Payload-Digest: sha256:(\w+)\r\n", 1)
-    return records.join(stored, "digest", "left").select(
-        "page_id", F.col("size").alias("payload_bytes"), F.col("found").alias("payload_digest"), kind.alias("record_type"), "refers_to", ((F.col("found") == named) & (F.col("size") == F.col("length"))).alias("intact")
+    id_type = records.schema["page_id"].dataType
+    read = records.join(stored, "digest", "left").select("*", F.decode("warc_header", "UTF-8").alias("head"), F.decode("http_header", "UTF-8").alias("http"))
+    number = lambda name: F.regexp_extract(_stated(F.col("head"), name), rf"^<{RECORD_URI}(.*)>$", 1)
+    page = lambda name: F.url_decode(F.when(number(name) != "", number(name))).cast(id_type)
+    again = _stated(F.col("head"), "WARC-Type") == "revisit"
+    block = F.length("http_header") + F.when(again, F.lit(0)).otherwise(F.col("size"))
+    fine = (
+        (F.concat(F.lit("sha256:"), "found") == _stated(F.col("head"), "WARC-Payload-Digest"))
+        & (F.col("size").cast("string") == _stated(F.col("http"), "Content-Length"))
+        & (block.cast("string") == _stated(F.col("head"), "Content-Length"))
     )
+    broken = F.raise_error(F.concat(F.lit("payload lost or changed: "), F.col("digest")))
+    return read.select(
+        page("WARC-Record-ID").alias("page_id"), F.when(fine, F.col("size")).otherwise(broken.cast("long")).alias("payload_bytes"), F.col("found").alias("payload_digest"),
+        _stated(F.col("head"), "WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
+    )
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, record (all bytes of the WARC record) and payload (that of the
-    response, for revisits too)."""
+    response, for revisits too). A payload that is lost or isn't what its
+    digest says is an error."""
     records = spark.read.parquet(f"{folder}/records")
-    whole = records.join(read_payloads(spark, folder).where("verified"), "digest", "left")
+    whole = records.join(read_payloads(spark, folder), "digest", "left")
+    payload = F.when(F.col("verified"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload lost or changed: "), F.col("digest"))).cast("binary"))
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return whole.select("page_id", F.concat("warc_header", "http_header", body, F.lit((CRLF * 2).encode())).alias("record"), "payload")
+    return whole.select("page_id", payload.alias("payload"), F.concat("warc_header", "http_header", body, F.lit((CRLF * 2).encode())).alias("record")).select("page_id", "record", "payload")
 
 
 #: Rows of op6.

@@ -294,7 +294,7 @@ def test_archive(spark):
     folder = scratch(spark, "warc")
     warc_store.write_archive(df, folder)
     index = warc_store.read_index(spark, folder).collect()
-    assert len(index) == len(pages) and all(r["intact"] for r in index)
+    assert len(index) == len(pages) and all(r["payload_digest"] == hashlib.sha256(b).hexdigest() for r in index for b in [next((h or "").encode() for p, _, h in pages if p == r["page_id"])])
     kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in index)
     assert kinds == {(0, "response", None): 1, (1, "revisit", 0): 1, (2, "revisit", 0): 1, (3, "response", None): 1, (4, "response", None): 1, (5, "response", None): 1, (6, "response", None): 1, (7, "response", None): 2, (None, "response", None): 1}
     body = {(r["page_id"], bytes(r["payload"])) for r in warc_store.read_records(spark, folder).collect()}
@@ -304,6 +304,19 @@ def test_archive(spark):
         head, _, rest = raw.partition(b"\r\n\r\n")
         assert len(rest) - 4 == int(re.search(rb"Content-Length: (\d+)", head)[1]) and b"\r\nX: 1" not in head
     assert warc_store.read_payloads(spark, folder).count() == 4
+    broken = scratch(spark, "warc")
+    warc_store.write_archive(df, broken)
+    stored = spark.read.parquet(f"{broken}/payloads")
+    for change in (stored.where(F.length("payload") < 100), stored.withColumn("payload", F.when(F.length("payload") < 100, F.col("payload")).otherwise(F.lit(b"x")))):
+        other = scratch(spark, "warc")
+        spark.read.parquet(f"{broken}/records").write.parquet(f"{other}/records")
+        change.write.parquet(f"{other}/payloads")
+        for read in (warc_store.read_index, warc_store.read_records):
+            with pytest.raises(Exception, match="payload lost or changed"):
+                read(spark, other).collect()
+    named = spark.createDataFrame([("a b>\r\n/é", "u", big), ("z", "u", big)], "page_id string, url string, html string")
+    warc_store.write_archive(named, other := scratch(spark, "warc"))
+    assert {(r["page_id"], r["refers_to"]) for r in warc_store.read_index(spark, other).collect()} == {("a b>\r\n/é", None), ("z", "a b>\r\n/é")}
     warc_store.write_archive(df.limit(0), folder)
     assert warc_store.read_index(spark, folder).count() == 0
 
