@@ -5,10 +5,13 @@ patterns. Over the tokens that hold a digit or an at sign then runs a
 conditional random field whose labels are "none" and the four kinds. Tokens of
 base spans are observed. Neighbouring tokens share a transition potential;
 tokens of one document with the same key (the same address in lower case, the
-same last seven digits, the same whole run of digits) share a skip potential,
-so that a number which is certain in one place carries its label to its other,
-bare mentions. All tokens of a key meet in one hub variable, so a key that
-occurs a thousand times costs a thousand edges and not half a million.
+same four numbers of an IP address, the same last seven digits, the same whole
+run of digits) share a skip potential, so that a number which is certain in one
+place carries its label to its other, bare mentions. All tokens of a key meet
+in one hub variable, so a key that occurs a thousand times costs a thousand
+edges and not half a million. A token is tied to its hub by a distribution over
+the hub's labels, so a key that no other token has says nothing, and a known
+mention never makes its kind less likely for the others, against any other kind.
 Inference is loopy sum-product message passing, for all documents of a batch at
 once. All other tokens are "none" with certainty and cut the chain, so leaving
 them out changes nothing.
@@ -92,6 +95,7 @@ def joined(spans: list[Span]) -> str:
 _DOTTED = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?\Z")
 _GROUPED = re.compile(r"\(?[0-9]{2,4}\)?[-. ]?[0-9]{3,4}[-. ]?[0-9]{0,4}\Z")
 _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\Z")
+_QUAD = re.compile(r"([0-9]{1,3})([.-])([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})(?::[0-9]+)?\Z")
 _ADDRESS = re.compile(r"[^@]+@[^@]+\.[^@.]+\Z")
 _FEATURES = 20
 
@@ -111,9 +115,10 @@ def keys(core: str) -> list[str]:
     if "@" in core:
         return ["@" + core.lower()]
     d = _digits(core)
-    if any(c.isalpha() for c in core) or len(d) < 7:
+    if any(c.isalpha() for c in core):
         return []
-    return ["7" + d[-7:]] + (["a" + d] if len(d) > 7 else [])
+    quad = ["q" + ".".join(str(int(m[k])) for k in (1, 3, 4, 5))] if (m := _QUAD.match(core)) else []
+    return quad + (["7" + d[-7:]] if len(d) >= 7 else []) + (["a" + d] if len(d) > 7 else [])
 
 
 class Graph:
@@ -165,6 +170,8 @@ class Graph:
 # -- potentials ----------------------------------------------------------------
 
 LABELS = 1 + len(KINDS)
+#: The largest skip weight that counts: beyond it a hub would be a certainty.
+MOST = 6.0
 
 
 def _sample(texts: int, seed: int) -> list[tuple[str, list[Span]]]:
@@ -195,14 +202,16 @@ def _sample(texts: int, seed: int) -> list[tuple[str, list[Span]]]:
                 parts += [(e, 1)] + [(e.upper() if r.random() < 0.5 else e, 1)] * int(r.integers(0, 2))
             elif kind == 1:
                 ip = ".".join(str(v) for v in r.integers(1, 255, 4))
-                parts += [(ip, 2)] + [(f"{ip}:{num(4)}", 2)] * int(r.integers(0, 2))
+                bare = (f"{ip}:{num(4)}", ip.replace(".", "-"))
+                parts += [(ip, 2)] + [(bare[r.integers(2)], 2) for _ in range(r.integers(0, 3))]
             elif kind == 2:
                 c = card()
                 parts += [(c, 3)] + [(f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}", 3)] * int(r.integers(0, 2))
             elif kind == 3:
                 full, bare = phone()
                 parts += [(full, 4)] + [(bare[r.integers(len(bare))], 4) for _ in range(r.integers(0, 3))]
-            parts += [(noise(), 0) for _ in range(r.integers(1, 4))]
+            for _ in range(r.integers(1, 4)):
+                parts += [(noise(), 0)] * int(r.integers(1, 3))  # an order number, say, comes again
         text, spans = "", []
         for k in r.permutation(len(parts)):
             s, kind = parts[k]
@@ -217,7 +226,7 @@ def _sample(texts: int, seed: int) -> list[tuple[str, list[Span]]]:
 @lru_cache(maxsize=1)
 def trained(texts: int = 1500, seed: int = 7, steps: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unary weights (features x labels), transitions (labels x labels) and the
-    skip potential (labels) that maximise the ridge-penalised pseudo-likelihood."""
+    skip potential (labels, all the same) that maximise the ridge-penalised pseudo-likelihood."""
     g, truth = Graph(), []
     for k, (text, spans) in enumerate(_sample(texts, seed)):
         g.add(k, text, [])
@@ -233,17 +242,19 @@ def trained(texts: int = 1500, seed: int = 7, steps: int = 400) -> tuple[np.ndar
     others = np.zeros_like(one)
     np.add.at(others, skip[:, 0], (total[skip[:, 1]] - one[skip[:, 0]]) > 0)
     w, t, s = np.zeros((_FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS)
+    # one skip weight for all labels, never below zero: mentions of one thing never repel each other
     moment = [np.zeros_like(a) for a in (w, t, s)] + [np.zeros_like(a) for a in (w, t, s)]
     for k in range(1, steps + 1):
         z = x @ w + before @ t + after @ t.T + others * s
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         e = (one - p) / len(y)
-        grads = (x.T @ e - 1e-4 * w, before.T @ e + (after.T @ e).T - 1e-4 * t, (others * e).sum(0) - 1e-4 * s)
+        grads = (x.T @ e - 1e-4 * w, before.T @ e + (after.T @ e).T - 1e-4 * t, np.full(LABELS, (others * e).sum()) - 1e-4 * s)
         for i, (a, d) in enumerate(zip((w, t, s), grads, strict=True)):
             moment[i] = 0.9 * moment[i] + 0.1 * d
             moment[i + 3] = 0.99 * moment[i + 3] + 0.01 * d * d
             a += 0.1 * (moment[i] / (1 - 0.9**k)) / (np.sqrt(moment[i + 3] / (1 - 0.99**k)) + 1e-8)
+        np.maximum(s, 0, out=s)
     return w, t, s
 
 
@@ -252,6 +263,16 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def tie(s: np.ndarray) -> np.ndarray:
+    """Log probabilities of a hub's labels (columns) given a token's (rows).
+    With one s for all labels a hub of two tokens is the pair potential that
+    makes equal labels exp(s) times as likely as different ones."""
+    e = np.exp(np.minimum(s, MOST))
+    x = e + np.sqrt(e * e + (LABELS - 2) * e - (LABELS - 1))
+    k = np.where(np.eye(LABELS, dtype=bool), x[:, None], 1.0)
+    return np.log(k / k.sum(1, keepdims=True))
+
+
 def marginals(g: Graph, weights: tuple[np.ndarray, ...], rounds: int = 12) -> np.ndarray:
     """Label probabilities of the tokens of ``g`` after ``rounds`` of messages."""
     w, t, s = weights
@@ -261,7 +282,7 @@ def marginals(g: Graph, weights: tuple[np.ndarray, ...], rounds: int = 12) -> np
     own[fixed] = -50.0
     own[fixed, seen[fixed]] = 50.0
     tok, hub = skip[:, 0], skip[:, 1]
-    agree = np.diag(np.maximum(s, 0.0))
+    agree = tie(s)
     norm = lambda m: m - _lse(m, 1)[:, None]
     right, left = np.zeros((len(chain), LABELS)), np.zeros((len(chain), LABELS))
     up, down = np.zeros((len(tok), LABELS)), np.zeros((len(tok), LABELS))
@@ -279,7 +300,7 @@ def marginals(g: Graph, weights: tuple[np.ndarray, ...], rounds: int = 12) -> np
             up = norm(_lse((belief[tok] - down)[:, :, None] + agree[None], 1))
             total = np.zeros((len(g.hub), LABELS))
             np.add.at(total, hub, up)
-            down = norm(_lse((total[hub] - up)[:, :, None] + agree[None], 1))
+            down = norm(_lse((total[hub] - up)[:, :, None] + agree.T[None], 1))
     belief = own.copy()
     np.add.at(belief, chain + 1, right)
     np.add.at(belief, chain, left)
