@@ -68,6 +68,10 @@ SHORT = 120
 LONG = "\ue000"
 #: Pages that must have a slot for its text to be template text.
 LEAST = 3
+#: Levels of elements that a wrapper has.
+DEEPEST = 80
+#: Products of the lengths of two lists of children above which those in the middle are aligned by their keys alone.
+WIDE = 250_000
 
 
 def _marks(value: str) -> Iterator[str]:
@@ -133,34 +137,45 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
             yield -1, tag, ""
 
 
-def walk(page: str) -> Iterator[tuple[str, str, list[str]]]:
-    """("open" | "close" | "text", key or text, stack of keys) with elements closed where HTML closes them."""
-    stack: list[str] = []
-    tags: list[str] = []
+#: Elements that a tag closes if no element of the third kind is open in between.
+_IMPLIED = (
+    (("p",), _P_ENDS),
+    (("li",), frozenset(("li",))),
+    (("dt", "dd"), frozenset(("dt", "dd"))),
+    (("td", "th"), frozenset(("td", "th", "tr"))),
+    (("tr",), frozenset(("tr",))),
+    (("option",), frozenset(("option",))),
+)
+_FENCES = ("ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "select")
+
+
+def walk(page: str) -> Iterator[tuple[str, str]]:
+    """("open" | "close" | "text", key or text) with elements closed where HTML closes them."""
+    stack: list[tuple[str, str]] = []  # key, tag
+    places: dict[str, list[int]] = {}  # of each tag where it is open
 
-    def close_to(n: int) -> Iterator[tuple[str, str, list[str]]]:
+    def close_to(n: int) -> Iterator[tuple[str, str]]:
         while len(stack) > n:
-            key = stack.pop()
-            tags.pop()
-            yield "close", key, stack
+            key, tag = stack.pop()
+            places[tag].pop()
+            yield "close", key
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((at[-1] for t in tags if (at := places.get(t))), default=-1)
 
     for kind, what, marks in events(page):
         if kind == 0:
-            yield "text", what, stack
+            yield "text", what
         elif kind == 1:
-            for same, shut in ((("p",), _P_ENDS), (("li",), ("li",)), (("dt", "dd"), ("dt", "dd")), (("td", "th"), ("td", "th", "tr")), (("tr",), ("tr",)), (("option",), ("option",))):
-                if what in shut:
-                    near = max((k for k in range(len(tags) - 1, max(-1, len(tags) - 12), -1) if tags[k] in same), default=-1)
-                    fence = max((k for k in range(len(tags) - 1, max(-1, len(tags) - 12), -1) if tags[k] in ("ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "select")), default=-1)
-                    if near > fence:
-                        yield from close_to(near)
+            for same, shut in _IMPLIED:
+                if what in shut and (near := last(same)) > last(_FENCES):
+                    yield from close_to(near)
             key = what + ("." + marks if marks else "")
-            stack.append(key)
-            tags.append(what)
-            yield "open", key, stack
-        elif what in tags:
-            k = len(tags) - 1 - tags[::-1].index(what)
-            yield from close_to(k)
+            places.setdefault(what, []).append(len(stack))
+            stack.append((key, what))
+            yield "open", key
+        elif places.get(what):
+            yield from close_to(places[what][-1])
     yield from close_to(0)
 
 
@@ -184,18 +199,39 @@ def _head(a: list, b: list) -> list:
 
 def _join(a: list, b: list, how: str) -> list:
     """One node for two with the same key: of different pages, which must agree
-    on a slot's texts, or of one page, whose slot then has the texts of both."""
+    on a slot's texts, or of one page, whose slot then has the texts of both.
+    Nodes of one page are used up: ``a`` becomes the joined one."""
     if how == PAGE:
-        texts, heads, tails = a[4] + b[4], a[6] + b[6], a[7] + b[7]
-        varies = a[5] or b[5] or a[4][:1] != b[4][:1]
-    else:
-        both = set(a[4]) & set(b[4])
-        texts, heads, tails = sorted(both), _head(a[6], b[6]), _head(a[7][::-1], b[7][::-1])[::-1]
-        varies = a[5] or b[5] or len(both) != len(set(a[4])) or len(both) != len(set(b[4])) or a[6] != b[6]
+        a[1], a[2], a[5] = a[1] or b[1], a[2] or b[2], a[5] or b[5] or a[4][:1] != b[4][:1]
+        for k in (4, 6, 7):
+            a[k].extend(b[k])
+        a[3], a[8] = align(a[3], b[3], PAGE), max(a[8], b[8])
+        return a
+    both = set(a[4]) & set(b[4])
+    texts, heads, tails = sorted(both), _head(a[6], b[6]), _head(a[7][::-1], b[7][::-1])[::-1]
+    varies = a[5] or b[5] or len(both) != len(set(a[4])) or len(both) != len(set(b[4])) or a[6] != b[6]
     pages = a[8] + b[8] if how == PAGES else max(a[8], b[8])
     return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], how), texts, varies, heads, tails, pages]
 
 
+def _by_key(nodes: list, how: str) -> list:
+    """One repeated, optional node for each key, in the order of their first ones."""
+    first: dict[str, list] = {}
+    for n in nodes:
+        old = first.setdefault(_key(n), n)
+        if old is not n:
+            first[_key(n)] = _join(old, n, how)
+    return [[n[0], True, n[0] != "#", *n[3:]] for n in first.values()]
+
+
+def _edges(ka: list[str], kb: list[str]) -> tuple[int, int]:
+    """How many keys two lists begin with together, and how many of the rest they end with."""
+    most = min(len(ka), len(kb))
+    head = next((k for k in range(most) if ka[k] != kb[k]), most)
+    tail = next((k for k in range(most - head) if ka[-1 - k] != kb[-1 - k]), most - head)
+    return head, tail
+
+
 def fold(nodes: list, how: str = PAGE) -> list:
     """Neighbours that repeat, alone or up to four together, become repeated nodes and groups."""
     out: list = []
@@ -229,13 +265,20 @@ def align(a: list, b: list, how: str = PAGES) -> list:
     ka, kb = [_key(n) for n in a], [_key(n) for n in b]
     if ka == kb:
         return [_join(x, y, how) for x, y in zip(a, b, strict=True)]
-    out: list = []
-    for op, a1, a2, b1, b2 in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [_join(x, y, how) for x, y in zip(a[a1:a2], b[b1:b2], strict=True)]
-        else:
-            out += [[n[0], True, *n[2:]] for n in a[a1:a2] + b[b1:b2]]
-    return fold(out, PAGE if how == PAGE else EITHER)
+    head, tail = _edges(ka, kb)
+    ea, eb = len(a) - tail, len(b) - tail
+    join = lambda x, y: [_join(m, n, how) for m, n in zip(x, y, strict=True)]
+    inner = PAGE if how == PAGE else EITHER
+    middle: list = []
+    if (ea - head) * (eb - head) > WIDE:
+        middle = _by_key(_by_key(a[head:ea], inner) + _by_key(b[head:eb], inner), how)
+    else:
+        for op, a1, a2, b1, b2 in SequenceMatcher(None, ka[head:ea], kb[head:eb], autojunk=False).get_opcodes():
+            if op == "equal":
+                middle += join(a[head + a1 : head + a2], b[head + b1 : head + b2])
+            else:
+                middle += [[n[0], True, *n[2:]] for n in a[head + a1 : head + a2] + b[head + b1 : head + b2]]
+    return fold(join(a[:head], b[:head]) + middle + join(a[ea:], b[eb:]), inner)
 
 
 def _digest(text: str) -> str:
@@ -244,14 +287,19 @@ def _digest(text: str) -> str:
 
 def tree(page: str, reader: Reader | None = None) -> list:
     """The wrapper of one page: the children of its root. With a ``reader``,
-    texts, heads and tails come with the numbers of the reader's texts."""
+    texts, heads and tails come with the numbers of the reader's texts.
+    Elements nested deeper than DEEPEST have no node; their texts belong to the
+    node there."""
     levels: list[list] = [[]]
     says: list[list[str]] = [[]]
     since: list[int] = []
-    for what, value, _ in walk(page):
+    deep = 0
+    for what, value in walk(page):
         if reader is not None:
             reader.see(what, value)
-        if what == "open":
+        if what != "text" and (deep or (what == "open" and len(levels) > DEEPEST)):
+            deep += 1 if what == "open" else -1
+        elif what == "open":
             levels.append([])
             says.append([])
             since.append(len(reader.texts) if reader is not None else 0)
@@ -259,7 +307,7 @@ def tree(page: str, reader: Reader | None = None) -> list:
             inner, said, at = fold(levels.pop()), _digest(value + " ".join(says.pop())), since.pop()
             says[-1].append(said)
             run = [said if reader is None else (said, at, len(reader.texts))]
-            levels[-1].append([value, False, False, inner, [], False, run, run, 1])
+            levels[-1].append([value, False, False, inner, [], False, run, [*run], 1])
         elif value.strip():
             said = " ".join(html.unescape(value).split())
             says[-1].append(_digest(said))
@@ -297,10 +345,15 @@ def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None
     if the slot never has another text, or all pages begin or end the repeats
     of an element with them. What the wrapper doesn't have stays variable."""
     ka, kb = [_key(n) for n in nodes], [_key(n) for n in wrapper]
-    if ka == kb:
-        pairs = list(zip(nodes, wrapper, strict=True))
-    else:
-        pairs = [(nodes[i + k], wrapper[j + k]) for i, j, n in SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks() for k in range(n)]
+    head, tail = _edges(ka, kb)
+    ea, eb = len(ka) - tail, len(kb) - tail
+    pairs = list(zip(nodes[:head] + nodes[ea:], wrapper[:head] + wrapper[eb:], strict=True))
+    if (ea - head) * (eb - head) > WIDE:
+        first = dict(zip(kb[head:eb][::-1], wrapper[head:eb][::-1], strict=True))
+        pairs += [(n, first[k]) for n, k in zip(nodes[head:ea], ka[head:ea], strict=True) if k in first]
+    elif ea > head and eb > head:
+        blocks = SequenceMatcher(None, ka[head:ea], kb[head:eb], autojunk=False).get_matching_blocks()
+        pairs += [(nodes[head + i + k], wrapper[head + j + k]) for i, j, n in blocks for k in range(n)]
     for n, w in pairs:
         if w[8] < LEAST:
             if n[0] != "#":
@@ -339,8 +392,9 @@ class Reader:
         tag, mark = value.split(".", 1)[0], "." in value
         if tag in MAIN:
             if what == "open":
-                held = (self.mains[-1][0] if self.mains else NONE, self.marks)
-                self.mains.append((MARKED if self.marks or held[0] == MARKED else FREE, self.marks))
+                outer = self.mains[-1][0] if self.mains else NONE
+                # marked itself (a reader's comment, a teaser) or below a marked element
+                self.mains.append((MARKED if mark or self.marks or outer == MARKED else FREE, self.marks))
                 self.marks = ()
                 self.seen_main = self.seen_main or not self.skip
             else:

@@ -86,13 +86,66 @@ def test_clean_text_gets_no_spans():
 
 
 def test_hub_messages_equal_exact_enumeration():
-    g = skip_chain.Graph()
-    t = "x 555-3824 y +1 (743) 555-3824"
-    g.add(0, t, skip_chain.base_spans(t))
-    w = skip_chain.trained()
-    p = skip_chain.marginals(g, w)
-    assert p.shape == (4, 5) and np.allclose(p.sum(1), 1)
-    assert p[0].argmax() == 4  # the bare number, through the hub
+    import itertools
+
+    w, t, s = skip_chain.trained()
+    assert (s > 0).all()
+    for text in ("x 555-3824 y", "x 555-3824 y +1 (743) 555-3824", "555-9999, 743-555-9999 then 7435559999 zz 555-9999", "10.20.30.40 and 10-20-30-40"):
+        g = skip_chain.Graph()
+        g.add(0, text, skip_chain.base_spans(text))
+        x, seen, chain, skip = g.arrays()
+        # a tree, so that messages are exact: one hub only
+        g.skip = [(i, h) for i, h in g.skip if h == 0 and i not in chain and i - 1 not in chain]
+        skip, tie = np.array(g.skip).reshape(-1, 2), skip_chain.tie(s)
+        p = np.zeros((len(x), skip_chain.LABELS))
+        free = [i for i in range(len(x)) if seen[i] < 0]
+        for y in itertools.product(range(skip_chain.LABELS), repeat=len(free)):
+            z = seen.copy()
+            z[free] = y
+            chance = sum(x[i] @ w[:, z[i]] for i in free) + sum(t[z[i], z[i + 1]] for i in chain)
+            hub = np.exp(sum((tie[z[i]] for i, _ in skip), np.zeros(skip_chain.LABELS))).sum()
+            p[np.arange(len(x)), z] += np.exp(chance) * hub
+        assert np.allclose(skip_chain.marginals(g, (w, t, s)), p / p.sum(1, keepdims=True), atol=1e-6), text
+
+
+def test_pair_through_a_hub():
+    k = np.exp(skip_chain.tie(np.full(skip_chain.LABELS, 2.0)))
+    pair = k @ k.T
+    assert np.allclose(pair / pair[0, 1], np.where(np.eye(skip_chain.LABELS) > 0, np.exp(2.0), 1))
+
+
+def test_known_mentions_never_lower_a_repeat():
+    w, t, s = skip_chain.trained()
+    for text, bare in (("card 4111111111111111 then 4111.1111.1111.1111 fine", "4111.1111.1111.1111"), ("host 10.20.30.40 and then 10-20-30-40 up", "10-20-30-40"), ("call +1 (743) 555-3824 or 555-3824 now", "555-3824")):
+        p = []
+        for skips in (s, s * 0):
+            g = skip_chain.Graph()
+            g.add(0, text, skip_chain.base_spans(text))
+            kind = skip_chain.base_spans(text)[0][1] + 1
+            at = next(i for i, (_, a, b) in enumerate(g.spans) if text[a:b] == bare and g.seen[i] < 0)
+            p.append(skip_chain.marginals(g, (w, t, skips))[at, kind])
+        assert p[0] > p[1]
+        ((base, every),) = skip_chain.find([text], (w, t, s))
+        assert bare in [text[a:b] for a, _, b in every if (a, _, b) not in base]
+
+
+def test_skips_find_bare_mentions():
+    w, t, s = skip_chain.trained()
+    sample = skip_chain._sample(300, 99)
+
+    def found(weights):
+        hits = false = wanted = 0
+        for (_, true), (base, every) in zip(sample, skip_chain.find([text for text, _ in sample], weights), strict=True):
+            meet = lambda a, b: a[0] < b[2] and b[0] < a[2]
+            bare = [m for m in true if not any(meet(m, b) for b in base)]
+            wanted += len(bare)
+            hits += sum(any(meet(m, e) and m[1] == e[1] for e in every) for m in bare)
+            false += sum(not any(meet(m, e) for m in true) for e in every if e not in base)
+        return hits / wanted, false
+
+    hits, false = found((w, t, s))
+    assert hits > 0.75 and false <= 2
+    assert found((w, t, s * 0))[0] < 0.5
 
 
 def test_personal_data(docs, texts):
@@ -436,6 +489,50 @@ def test_main_text(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def _wrapped(pages):
+    import json
+
+    nodes = None
+    for p in pages:
+        nodes = wrappers.tree(p) if nodes is None else wrappers.align(nodes, wrappers.tree(p))
+    return json.dumps([len(pages), nodes])
+
+
+def test_deep_and_wide_pages():
+    kinds = ("<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>", "<p><b>{0}</b>,{0}</p>")
+    r = random.Random(3)
+    for make in (
+        lambda j: "<div>" * 100_000 + f"hello {j}",
+        lambda j: "<p><b>" * 5_000 + f"hello {j}",
+        lambda j: "".join(f"<p>said {j} {k}</p>" for k in range(20_000)) + f"hello {j}",
+        lambda j: "".join(r.choice(kinds).format(f"{k}.{j}") for k in range(3_000)) + f"hello {j}",
+    ):
+        pages = [make(j) for j in range(3)]
+        wrapper = _wrapped(pages)
+        for j, p in enumerate(pages):
+            want = [x for x in re.sub(r"</?(?:p|h2|ul|li|div)>", "\n", re.sub(r"</?b>", "", p)).split("\n") if x]
+            assert wrappers.extract(p, wrapper) == "\n".join(want) and want[-1] == f"hello {j}"
+
+
+def test_long_lists_of_children_are_aligned_by_key(monkeypatch):
+    monkeypatch.setattr(wrappers, "WIDE", 0)
+    pages = [f"<h1>Title {j}</h1>" + "<h3>Also read</h3>" * (j % 2) + f"<p>text {j}</p><h2>more {j}</h2>" + "<h6>All rights reserved</h6>" for j in range(6)]
+    wrapper = _wrapped(pages)
+    assert [wrappers.extract(p, wrapper) for p in pages] == [f"Title {j}\ntext {j}\nmore {j}" for j in range(6)]
+
+
+def test_comments_in_articles_go():
+    pages = [f'<main><article><h1>T{j}</h1><p>body {j}</p><article class="comment"><p>nice {j}</p></article></article><article id="comments"><p>bad {j}</p></article></main>' for j in range(3)]
+    assert [wrappers.extract(p, _wrapped(pages)) for p in pages] == [f"T{j}\nbody {j}" for j in range(3)]
+    teasers = [f'<article class="promo"><p>alone {j}</p></article>' for j in range(3)]
+    assert [wrappers.extract(p, _wrapped(teasers)) for p in teasers] == [f"alone {j}" for j in range(3)]
+
+
+def test_open_paragraphs_far_up_are_closed():
+    page = "<p>one" + "<b>" * 20 + "two<p>three"
+    assert wrappers.extract(page, _wrapped([page])) == "onetwo\nthree"
+
+
 def test_wrapper_has_options_repeats_and_slots():
     a, b = wrappers.tree(page("A", ["x", "y"])), wrappers.tree(page("B", ["z"], '<div class="ad">buy</div>'))
     e = wrappers.expression(wrappers.align(a, b))
