@@ -58,17 +58,22 @@ def fingerprints(texts: list[bytes | None], words: int = 4, seed: int = 42) -> n
     return out
 
 
+def ident(text: F.Column) -> F.Column:
+    """What tells rows with one id apart: a hash of the text, null as the empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and fp (the fingerprint's bits as a signed long) of every row."""
+    """id, ident and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = fingerprints(b.column(1).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            fp = fingerprints(b.column(2).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["id", "ident", "fp"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(id_col, ident(F.col(text_col)), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ident long, fp long")
 
 
 def _field(at: int, width: int) -> F.Column:
@@ -102,8 +107,8 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
-    """id_col, fp and component_id (the smallest id reachable over links) of
-    every row of ``docs``.
+    """id_col, ident, fp and component_id (the smallest id reachable over links)
+    of every row of ``docs``.
 
     Defined results: null, empty and blank texts have fingerprint zero and link
     like any other; rows that repeat an id or a text are rows of the same node;
@@ -115,7 +120,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(with_fingerprint(docs, id_col, text_col), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("id"))
     labels = components(nodes.select(F.col("fp").alias("node"), F.col("id").alias("rank")), links(nodes.select("fp"), max_bits))
-    return rows.join(labels.withColumnRenamed("node", "fp"), "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
+    return rows.join(labels.withColumnRenamed("node", "fp"), "fp").select(F.col("id").alias(id_col), "ident", "fp", F.col("component").alias("component_id"))
 
 
 def hex16(fp: str = "fp") -> F.Column:
