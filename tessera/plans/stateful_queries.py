@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, spatial, stateful, tree
+from tessera.operators import blocks, hierarchy, spatial, stateful
 from tessera.plans.carriers import POINTS, STEPS, nodes, points, steps
 from tessera.plans.registry import query
+from tessera.plans.tree_queries import kd_full_sql
 from tessera.session import table
 
 
@@ -208,13 +209,19 @@ def metropolis_walk(spark, sf_dir):
     return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3, accept_by_degree=True)
 
 
+#: Levels of a heap that are aligned in one task.
+TASK_LEVELS = 14
+
+
 @query(None)
 def rotation_align(spark, sf_dir):
-    """Points in a heap by id: each child's rotation against its parent's."""
+    """Points in a heap by id: each one's rotation turned to its parent's turned one, from the root down."""
     entries = X.rotation("qw", "qx", "qy", "qz")
-    r = points(spark, sf_dir).select("id", F.floor((F.col("id") - 1) / 2).alias("parent"), *[F.expr(t).alias(f"r{k // 3}{k % 3}") for k, t in enumerate(entries)])
-    up = r.select(F.col("id").alias("_p"), *[F.col(f"r{i}{j}").alias(f"p{i}{j}") for i in range(3) for j in range(3)])
-    return stateful.align_rotations(r.join(up, r["parent"] == up["_p"])).select("id", "turn", F.round("score", 6).alias("score"))
+    r = points(spark, sf_dir).select((F.col("id") + 1).alias("code"), *[F.expr(t).alias(n) for n, t in zip(hierarchy.ROTATION, entries, strict=True)], *[F.exp(c).alias(c) for c in hierarchy.SCALES])
+    bits = F.length(F.bin("code"))
+    above = max((r.agg(F.max(bits)).first()[0] or 0) - TASK_LEVELS, 0)
+    r = r.withColumn("cell", F.when(bits <= above, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", "code", (bits - above - 1).cast("int"))))
+    return hierarchy.align(r).select((F.col("code") - 1).alias("id"), *[F.round(c, 6).alias(c) for c in (*hierarchy.ROTATION, *hierarchy.SCALES)])
 
 
 @query(f"WITH {POINTS} SELECT id, round(greatest(exp(s0), exp(s1), exp(s2)), 5) AS s0, round(least(exp(s0), exp(s1), exp(s2)), 5) AS s2 FROM pts")
@@ -225,11 +232,38 @@ def covariance_scales(spark, sf_dir):
     return stateful.eigen_scales(c).select("id", F.round("s0", 5).alias("s0"), F.round("s2", 5).alias("s2"))
 
 
+#: What the build takes in: no missing or infinite opacity or one of zero, no odd place or rotation, no scale above 10.
+VALID = "NOT isnan(op) AND abs(op) <= 1e300 AND op <> 0 AND NOT isnan(x + y + z + qw + qx + qy + qz) AND NOT isnan(s0 + s1 + s2) AND greatest(exp(s0), exp(s1), exp(s2)) <= 10"
+_WEIGHT = f"{X.sigmoid('op')} * {X.surface('exp(s0)', 'exp(s1)', 'exp(s2)')}"
+_COV = dict(zip(hierarchy.COVARIANCE, X.covariance(X.rotation("qw", "qx", "qy", "qz"), ["exp(s0)", "exp(s1)", "exp(s2)"]), strict=True))
+
+
+def _merged(spark, sf_dir):
+    p = points(spark, sf_dir).where(VALID)
+    return hierarchy.moments(hierarchy.merged(p.select("id", *hierarchy.AXES, F.expr(_WEIGHT).alias("w"), *[F.expr(t).alias(c) for c, t in _COV.items()])))
+
+
+@query(
+    f"WITH {POINTS}, v AS (SELECT * FROM pts WHERE {VALID}), {kd_full_sql('v')}, g AS (SELECT id, {_WEIGHT} AS w, "
+    + ", ".join(f"{t} AS {c}" for c, t in _COV.items())
+    + " FROM v), up AS (SELECT k14.cell >> r.i AS code, r.i, k14.x, k14.y, k14.z, g.* FROM k14 JOIN g USING (id), range(0, 15) r(i) WHERE (k14.cell >> r.i) >= 1), "
+    + "s AS (SELECT code, count(*) AS n, max(i)::BIGINT AS height, sum(w) AS w, "
+    + ", ".join(f"sum(w * {a}) / sum(w) AS m{a}" for a in hierarchy.AXES)
+    + ", "
+    + ", ".join(f"sum(w * ({c} + {c[0]} * {c[1]})) / sum(w) AS m{c}" for c in hierarchy.COVARIANCE)
+    + " FROM up GROUP BY code) SELECT code, n, height, round(w, 5) AS w, "
+    + ", ".join(f"round(m{a}, 5) AS {a}" for a in hierarchy.AXES)
+    + ", "
+    + ", ".join(f"round(m{c} - m{c[0]} * m{c[1]}, 5) AS {c}" for c in hierarchy.COVARIANCE)
+    + " FROM s"
+)
+def hierarchy_merge(spark, sf_dir):
+    """Validity filter, k-d tree down to single points, weighted means and covariances of all nodes."""
+    return _merged(spark, sf_dir).select("code", "n", "height", *[F.round(c, 5).alias(c) for c in ("w", *hierarchy.AXES, *hierarchy.COVARIANCE)])
+
+
 @query(None)
 def hierarchy_build(spark, sf_dir):
-    """Validity filter, median splits, then the cells' weighted means: the build, end to end."""
-    p = points(spark, sf_dir).where("op <> 0 AND NOT isnan(op)")
-    cells = tree.kd_levels(p, 4)
-    w = F.expr(f"{X.sigmoid('op')} * {X.surface('exp(s0)', 'exp(s1)', 'exp(s2)')}")
-    j = cells.join(p.select("id", w.alias("w")), "id")
-    return j.groupBy("cell").agg(F.count("*").alias("n"), *[F.round(F.sum(F.col("w") * F.col(c)) / F.sum("w"), 6).alias(c) for c in "xyz"])
+    """The build, end to end: what hierarchy_merge makes, as scales, rotations aligned from the root down, and opacities."""
+    made = hierarchy.align(hierarchy.shapes(_merged(spark, sf_dir)))
+    return made.select("code", F.shiftright("code", 1).alias("parent"), "point", "n", "height", *hierarchy.AXES, *[F.round(c, 5).alias(c) for c in (*hierarchy.SCALES, *hierarchy.ROTATION, "opacity")])

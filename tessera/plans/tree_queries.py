@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, tree
+from tessera.operators import blocks, hierarchy, tree
 from tessera.plans.carriers import CAMERAS_SQL, NODES, POINTS, cameras, nodes, points
 from tessera.plans.registry import query
 
@@ -245,14 +245,30 @@ def _kd_sql(levels: int) -> str:
     return ", ".join(out) + f" SELECT id, cell FROM k{levels}"
 
 
+def kd_full_sql(points: str, levels: int = 14) -> str:
+    """Common tables k<levels> of id and leaf (cell) of every row of ``points``, of at most 2 ** levels rows."""
+    out = [f"k0 AS (SELECT id, x, y, z, 1::BIGINT AS cell FROM {points})"]
+    for k in range(levels):
+        out.append(
+            f"w{k} AS (SELECT *, max(x) OVER c - min(x) OVER c AS wx, max(y) OVER c - min(y) OVER c AS wy, max(z) OVER c - min(z) OVER c AS wz, count(*) OVER c AS n FROM k{k} WINDOW c AS (PARTITION BY cell)), "
+            f"a{k} AS (SELECT *, CASE WHEN wx >= wy AND wx >= wz THEN x WHEN wy >= wz THEN y ELSE z END AS v FROM w{k}), "
+            f"k{k + 1} AS (SELECT id, x, y, z, CASE WHEN n = 1 THEN cell ELSE 2 * cell + CASE WHEN 2 * row_number() OVER (PARTITION BY cell ORDER BY v, id) > n THEN 1 ELSE 0 END END AS cell FROM a{k})"
+        )
+    return ", ".join(out)
+
+
 @query(_kd_sql(1))
 def median_split(spark, sf_dir):
     return tree.kd_levels(points(spark, sf_dir), 1).select("id", "cell")
 
 
-@query(_kd_sql(5))
+@query(f"WITH {POINTS}, {kd_full_sql('pts')} SELECT id, cell FROM k14")
 def kd_build(spark, sf_dir):
-    return tree.kd_levels(points(spark, sf_dir), 5).select("id", "cell")
+    """Each point's leaf: halves along the widest axis, down to single points."""
+    p = points(spark, sf_dir).select("id", *hierarchy.AXES)
+    zero = F.lit(0.0)
+    nodes = hierarchy.merged(p.withColumns({"w": F.lit(1.0)} | dict.fromkeys(hierarchy.COVARIANCE, zero)))
+    return nodes.where("height = 0").select(F.col("point").alias("id"), F.col("code").alias("cell"))
 
 
 @query(f"WITH {NODES}, j AS (SELECT n.id, n.x, n.y, n.z, n.size, p.x AS px, p.y AS py, p.z AS pz, p.size AS ps FROM nodes n JOIN nodes p ON n.parent = p.id), s AS (SELECT j.*, (i * 754877666 % 1000) / 5e2 - 1 AS a, (i * 569840291 % 1000) / 5e2 - 1 AS b, (i * 430159709 % 1000) / 5e2 - 1 AS c FROM j, range(8) r(i)) SELECT id, avg(CASE WHEN power(x + a * size - px, 2) + power(y + b * size - py, 2) + power(z + c * size - pz, 2) > ps * ps THEN 1e0 ELSE 0e0 END) AS outside FROM s GROUP BY id")
