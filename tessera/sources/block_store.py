@@ -2,8 +2,11 @@
 
 Blocks are Parquet folders of their own and never change; a manifest table
 names the live ones with their bounds. A commit writes a new manifest, then one
-small pointer; readers see the old state or the new one. Forking copies the
-manifest only.
+small pointer with the next number, which is made whole before it gets its name
+and never replaced: readers take the largest number, so they see the old state
+or the new one, and of two writers with one number the second fails. Forking
+copies the manifest only, and leaves a note of the fork with each store whose
+files it names, so that their garbage collection passes over them.
 """
 
 from __future__ import annotations
@@ -26,21 +29,32 @@ class BlockStore:
     # -- the pointer -----------------------------------------------------------
     def versions(self) -> list[str]:
         """Names of the current and the previous manifest."""
-        p = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(p):
+        last = self._last()
+        if last < 0:
             return []
-        return [r["value"] for r in self.spark.read.text(str(p.toString())).collect()][0].split(",")
+        return [r["value"] for r in self.spark.read.text(f"{self.root}/pointers/{last:012d}").collect()][0].split(",")
 
-    def _commit(self, name: str) -> None:
-        keep = ",".join([name, *self.versions()[:1]])
-        tmp = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(tmp)
-        out.write(bytearray(keep.encode()))
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(f"{self.root}/{folder}")
+        return [f.getPath().getName() for f in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def _last(self) -> int:
+        return max((int(n) for n in self._names("pointers") if n.isdigit()), default=-1)
+
+    def _put(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path))
+        out.write(bytearray(text.encode()))
         out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(tmp, target)
+
+    def _commit(self, name: str) -> None:
+        number = self._last() + 1
+        made = f"{self.root}/made/{uuid.uuid4().hex}"
+        self._put(made, ",".join([name, *self.versions()[:1]]))
+        target = self._path(f"{self.root}/pointers/{number:012d}")
+        self._fs.mkdirs(self._path(f"{self.root}/pointers"))
+        # a rename takes no name that is taken, but the local file system's does
+        if self._fs.exists(target) or not self._fs.rename(self._path(made), target):
+            raise RuntimeError("another writer has committed")
 
     def manifest(self, version: int = 0) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/manifests/{self.versions()[version]}")
@@ -51,12 +65,15 @@ class BlockStore:
         folders; blocks of other numbers stay as they are."""
         new = uuid.uuid4().hex
         path = f"{self.root}/data/{new}"
+        # until the commit no manifest names the folder
+        self._put(f"{self.root}/pending/{new}", "")
         rows.repartition("block").write.partitionBy("block").parquet(path)
         fresh = bounds(self.spark.read.parquet(path), radius).withColumn("file", F.concat(F.lit(f"{new}/block="), F.col("block").cast("string")))
         fresh = fresh.withColumn("block", F.col("block").cast("long"))
         if self.versions():
             fresh = fresh.unionByName(self.manifest().join(fresh.select("block"), "block", "left_anti"))
         self._save(fresh)
+        self._fs.delete(self._path(f"{self.root}/pending/{new}"), False)
 
     def _save(self, table: DataFrame) -> None:
         name = uuid.uuid4().hex
@@ -69,10 +86,17 @@ class BlockStore:
     def fork(self, root: str) -> BlockStore:
         """A store of its own over the same files: what it writes goes to its folder."""
         other = BlockStore(self.spark, root)
-        here = self.manifest().withColumn("file", F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat(F.lit(f"{self.root}/data/"), "file")))
+        whole = F.col("file").startswith("/") | F.col("file").contains("://")
+        here = self.manifest().withColumn("file", F.when(whole, F.col("file")).otherwise(F.concat(F.lit(f"{self.root}/data/"), "file")))
+        roots = here.select(F.regexp_extract("file", "^(.*)/data/[0-9a-f]{32}/", 1).alias("r")).distinct().collect()  # one row a store
+        for r in {self.root, *(r["r"] for r in roots)}:
+            BlockStore(self.spark, r)._put(f"{r}/forks/{uuid.uuid4().hex}", other.root)
         other._save(here)
         return other
 
+    def _forks(self) -> list[BlockStore]:
+        return [BlockStore(self.spark, r["value"]) for r in self.spark.read.text(f"{self.root}/forks").distinct().collect()] if self._names("forks") else []
+
     # -- reading ---------------------------------------------------------------
     def read(self, hit: str | None = None, scores: DataFrame | None = None) -> DataFrame:
         """Rows of the live blocks whose bounds pass ``hit``; only their files
@@ -93,12 +117,15 @@ class BlockStore:
         return rows
 
     def collect_garbage(self) -> list[str]:
-        """Delete data folders that neither the current nor the previous manifest names."""
-        p = self._path(f"{self.root}/data")
-        there = {f.getPath().getName() for f in self._fs.listStatus(p)} if self._fs.exists(p) else set()
-        named = set()
-        for k in range(len(self.versions())):
-            named |= {r["f"] for r in self.manifest(k).select(F.substring_index("file", "/", 1).alias("f")).distinct().collect()}
+        """Delete data folders that neither the current nor the previous manifest
+        names, of this store or of a fork, and that no unfinished write made.
+        A write that failed for good stays pending: delete its note by hand."""
+        there = set(self._names("data"))
+        named = set(self._names("pending"))
+        for store in (self, *self._forks()):
+            for k in range(len(store.versions())):
+                files = store.manifest(k).select(F.regexp_extract("file", "(?:^|/)([0-9a-f]{32})/block=", 1).alias("f"))
+                named |= {r["f"] for r in files.distinct().collect()}
         gone = sorted(n for n in there - named if len(n) == 32 and all(c in "0123456789abcdef" for c in n))
         for n in gone:
             self._fs.delete(self._path(f"{self.root}/data/{n}"), True)

@@ -127,7 +127,19 @@ def test_block_store(spark, tmp_path):
     assert s.collect_garbage() == []
     s.write(rows, "3.0")
     s.write(rows, "3.0")
-    assert len(s.collect_garbage()) == 2
+    # the folder of the first write is the fork's too
+    assert len(s.collect_garbage()) == 1
+    assert fork.read().agg(F.sum("x")).first()[0] == sum(range(40))
+    again = fork.fork(f"file://{tmp_path}/again")
+    fork.write(rows, "3.0")
+    fork.write(rows, "3.0")
+    assert s.collect_garbage() == [] and fork.collect_garbage() == []
+    assert again.read().agg(F.sum("x")).first()[0] == sum(range(40))
+    again.write(rows, "3.0")
+    again.write(rows, "3.0")
+    s._put(f"{s.root}/data/{'a' * 32}/part", "x")
+    s._put(f"{s.root}/pending/{'a' * 32}", "")
+    assert len(s.collect_garbage()) == 1
     s.drop([0])
     assert s.read().count() == 30
     scores = spark.createDataFrame([(15, 2.0)], "id long, score double")
