@@ -79,8 +79,10 @@ def weighted_draws(rows: DataFrame, draws: int, step: int) -> DataFrame:
 
 
 def digest(rows: DataFrame, value: Column) -> DataFrame:
-    """A digest that does not depend on the order of rows."""
-    return rows.agg(F.bit_xor(value).alias("digest_xor"), F.count("*").alias("n"))
+    """A digest of whole numbers that does not depend on the order of rows: their
+    sum modulo 2 ** 62, in which rows that are equal count each."""
+    total = F.coalesce(F.sum(value.cast("decimal(20,0)")), F.lit(0)) % F.lit(1 << 62)
+    return rows.agg(total.cast("long").alias("digest"), F.count("*").alias("n"))
 
 
 def orphans(files: DataFrame, named: list[DataFrame]) -> DataFrame:

@@ -40,8 +40,7 @@ def ema(steps: DataFrame, key: str, keep: float = 0.6) -> DataFrame:
     it needs one window of counts and a sum, not an ordered fold.
     """
     back = F.row_number().over(Window.partitionBy(key).orderBy(F.col("step").desc())) - 1
-    # weights below 1e-300 add nothing to a double
-    weight = F.when(back < 1300, F.pow(F.lit(float(keep)), back)).otherwise(0.0)
+    weight = F.pow(F.lit(float(keep)), back)
     return steps.withColumn("_w", weight).groupBy(key).agg(((1 - keep) * F.sum(F.col("value") * F.col("_w"))).alias("ema"))
 
 
@@ -144,34 +143,6 @@ def ssim_of_images(pixels: DataFrame, image: str = "image") -> DataFrame:
     return pixels.select(image, "x", "y", "a", "b").groupBy(image).applyInPandas(one, f"{image} {kind}, ssim double")
 
 
-def align_rotations(pairs: DataFrame) -> DataFrame:
-    """id and the signed axis permutation (0-23) of each child that brings its
-    rotation (r00..r22) nearest to its parent's (p00..p22); ties to the first."""
-    from itertools import permutations, product
-
-    ship(pairs.sparkSession)
-
-    turns = []
-    for p in permutations(range(3)):
-        for s in product((1, -1), repeat=3):
-            m = np.zeros((3, 3))
-            for k in range(3):
-                m[k, p[k]] = s[k]
-            if np.linalg.det(m) > 0:
-                turns.append(m)
-    stack = np.array(turns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = [f"{a}{i}{j}" for a in "rp" for i in range(3) for j in range(3)]
-        for pdf in batches:
-            v = pdf[cols].to_numpy(float)
-            r, ref = v[:, :9].reshape(-1, 3, 3), v[:, 9:].reshape(-1, 3, 3)
-            score = np.einsum("nij,tjk,nik->nt", r, stack, ref)
-            yield pd.DataFrame({"id": pdf["id"], "turn": score.round(9).argmax(1).astype("int32"), "score": score.max(1)})
-
-    return pairs.mapInPandas(run, "id long, turn int, score double")
-
-
 def eigen_scales(cov: DataFrame) -> DataFrame:
     """id and the square roots s0 >= s1 >= s2 of the eigenvalues of a covariance (xx, xy, xz, yy, yz, zz)."""
     ship(cov.sparkSession)

@@ -285,9 +285,13 @@ def sample_bincount(spark, sf_dir):
     return blocks.weighted_draws(p, 100, 7919)
 
 
-@query(f"WITH {POINTS} SELECT bit_xor(hash_) AS digest_xor, count(*) AS n FROM (SELECT ((id * 2654435761) % 4294967296) * 1048576 + (label * 40503 + 12345) % 1048576 AS hash_ FROM pts)")
-def digest_xor(spark, sf_dir):
-    return blocks.digest(points(spark, sf_dir), F.expr("((id * 2654435761) % 4294967296) * 1048576 + (label * 40503 + 12345) % 1048576"))
+#: A number of a row from all its columns; the same text in both engines.
+_ROW = "(id * 2654435761 + label * 40503 + " + " + ".join(f"CAST(floor({c} * 1e6) AS BIGINT) * {k}" for c, k in zip(("x", "y", "z", "s0", "s1", "s2", "qw", "qx", "qy", "qz", "d0", "d1", "d2", "op"), range(69069, 10**6, 60493))) + ") % 4294967296 + 4294967296"
+
+
+@query(f"WITH {POINTS} SELECT (sum({_ROW}) % 4611686018427387904)::BIGINT AS digest, count(*) AS n FROM pts")
+def row_digest(spark, sf_dir):
+    return blocks.digest(points(spark, sf_dir), F.expr(_ROW))
 
 
 @query("SELECT n_nationkey AS file FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey IS NOT NULL) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 AND c_nationkey IS NOT NULL)")

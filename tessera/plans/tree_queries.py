@@ -182,13 +182,14 @@ def budgeted_cut(spark, sf_dir):
     return tree.budgeted_target(nodes(spark, sf_dir), [1.0, 0.5, 0.25, 0.12, 0.06, 0.03], 150)
 
 
-@query(f"WITH {NODES} SELECT CASE WHEN (n.parent * 7919) % 100 < 30 AND n.parent >= 0 THEN n.parent ELSE n.id END AS id, count(*) AS n FROM nodes n WHERE n.child_count = 0 AND n.depth = (SELECT max(depth) FROM nodes) GROUP BY 1")
+@query(f"WITH {NODES} SELECT CASE WHEN (n.parent * 7919) % 100 < 30 AND n.parent >= 0 AND NOT EXISTS (SELECT 1 FROM nodes s WHERE s.parent = n.parent AND s.child_count > 0) THEN n.parent ELSE n.id END AS id, count(*) AS n FROM nodes n WHERE n.child_count = 0 GROUP BY 1")
 def random_cut(spark, sf_dir):
-    """A hashed share of sibling pairs gives way to their parents."""
+    """All leaves, of which a hashed share of sibling pairs gives way to their parents."""
     n = nodes(spark, sf_dir)
-    deep = n.join(F.broadcast(n.agg(F.max("depth").alias("deepest"))), F.col("depth") == F.col("deepest")).where("child_count = 0")
-    up = ((F.col("parent") * 7919) % 100 < 30) & (F.col("parent") >= 0)
-    return deep.groupBy(F.when(up, F.col("parent")).otherwise(F.col("id")).alias("id")).agg(F.count("*").alias("n"))
+    inner = n.where("child_count > 0").select(F.col("parent").alias("_p")).distinct()
+    leaves = n.where("child_count = 0").join(inner, F.col("parent") == F.col("_p"), "left")
+    up = ((F.col("parent") * 7919) % 100 < 30) & (F.col("parent") >= 0) & F.col("_p").isNull()
+    return leaves.groupBy(F.when(up, F.col("parent")).otherwise(F.col("id")).alias("id")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {NODES}, c AS (SELECT id, depth, row_number() OVER (ORDER BY id) - 1 AS k FROM nodes WHERE child_count = 0 AND weight > 9.3e2) SELECT 1000000 + 2 * k + s AS id, id AS parent, (depth + 1)::INT AS depth, CASE WHEN s = 0 THEN 1000000 + 2 * k + 1 ELSE 0 END AS next_sibling FROM c, (VALUES (0), (1)) v(s)")
