@@ -137,46 +137,50 @@ def events(page: str) -> Iterator[tuple[int, str, str]]:
             yield -1, tag, ""
 
 
-#: Elements that a tag closes if no element of the third kind is open in between.
-_IMPLIED = (
-    (("p",), _P_ENDS),
-    (("li",), frozenset(("li",))),
-    (("dt", "dd"), frozenset(("dt", "dd"))),
-    (("td", "th"), frozenset(("td", "th", "tr"))),
-    (("tr",), frozenset(("tr",))),
-    (("option",), frozenset(("option",))),
-)
-_FENCES = ("ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "select")
+#: Open elements that a tag closes, of each group the innermost, if no element of _FENCES is open in between.
+_IMPLIED = {t: (("p",),) for t in _P_ENDS}
+for _same, _shut in ((("li",), ("li",)), (("dt", "dd"), ("dt", "dd")), (("td", "th"), ("td", "th", "tr")), (("tr",), ("tr",)), (("option",), ("option",))):
+    _IMPLIED |= {t: (*_IMPLIED.get(t, ()), _same) for t in _shut}
+_FENCES = frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "select"))
 
 
 def walk(page: str) -> Iterator[tuple[str, str]]:
     """("open" | "close" | "text", key or text) with elements closed where HTML closes them."""
     stack: list[tuple[str, str]] = []  # key, tag
     places: dict[str, list[int]] = {}  # of each tag where it is open
-
-    def close_to(n: int) -> Iterator[tuple[str, str]]:
-        while len(stack) > n:
-            key, tag = stack.pop()
-            places[tag].pop()
-            yield "close", key
-
-    def last(tags: tuple[str, ...]) -> int:
-        return max((at[-1] for t in tags if (at := places.get(t))), default=-1)
-
+    fences = [-1]  # where elements of _FENCES are open
     for kind, what, marks in events(page):
         if kind == 0:
             yield "text", what
-        elif kind == 1:
-            for same, shut in _IMPLIED:
-                if what in shut and (near := last(same)) > last(_FENCES):
-                    yield from close_to(near)
-            key = what + ("." + marks if marks else "")
-            places.setdefault(what, []).append(len(stack))
+            continue
+        upto = []
+        if kind == 1:
+            for same in _IMPLIED.get(what, ()):
+                near = max((places[t][-1] for t in same if places.get(t)), default=-1) if len(same) > 1 else places[same[0]][-1] if places.get(same[0]) else -1
+                if near > fences[-1]:
+                    upto.append(near)
+        elif places.get(what):
+            upto.append(places[what][-1])
+        if upto:
+            upto = min(upto)
+            while len(stack) > upto:
+                key, tag = stack.pop()
+                places[tag].pop()
+                if tag in _FENCES:
+                    fences.pop()
+                yield "close", key
+        if kind == 1:
+            key = what + "." + marks if marks else what
+            at = places.get(what)
+            if at is None:
+                at = places[what] = []
+            at.append(len(stack))
+            if what in _FENCES:
+                fences.append(len(stack))
             stack.append((key, what))
             yield "open", key
-        elif places.get(what):
-            yield from close_to(places[what][-1])
-    yield from close_to(0)
+    while stack:
+        yield "close", stack.pop()[0]
 
 
 # -- wrappers: a node is [key, optional, repeated, children, texts, varies, heads, tails, pages]
@@ -232,27 +236,33 @@ def _edges(ka: list[str], kb: list[str]) -> tuple[int, int]:
     return head, tail
 
 
+def _keys(nodes: list) -> list[str]:
+    return [n[0] if n[0] != "()" else _key(n) for n in nodes]
+
+
 def fold(nodes: list, how: str = PAGE) -> list:
     """Neighbours that repeat, alone or up to four together, become repeated nodes and groups."""
     out: list = []
-    for n in nodes:
-        if out and _key(out[-1]) == _key(n):
+    keys: list[str] = []
+    for n, key in zip(nodes, _keys(nodes), strict=True):
+        if keys and keys[-1] == key:
             out[-1] = _join(out[-1], n, how)
             out[-1][2] = n[0] != "#"
         else:
             out.append(n)
+            keys.append(key)
     for width in (2, 3, 4):
         k = 0
         while k + 2 * width <= len(out):
-            names = [_key(n) for n in out[k : k + width]]
             reps = 1
-            while [_key(n) for n in out[k + reps * width : k + (reps + 1) * width]] == names:
+            while keys[k + reps * width : k + (reps + 1) * width] == keys[k : k + width]:
                 reps += 1
             if reps > 1:
                 group = out[k : k + width]
                 for r in range(1, reps):
                     group = [_join(a, b, how) for a, b in zip(group, out[k + r * width : k + (r + 1) * width], strict=True)]
                 out[k : k + reps * width] = [["()", False, True, group, [], False, [], [], max(n[8] for n in group)]]
+                keys[k : k + reps * width] = [_key(out[k])]
             k += 1
     return out
 
@@ -260,9 +270,9 @@ def fold(nodes: list, how: str = PAGE) -> list:
 def align(a: list, b: list, how: str = PAGES) -> list:
     """Two child lists as one: what both have is joined, the rest is optional.
     A page aligned with itself is that page."""
-    if a is b:
+    if a is b or not (a or b):
         return a
-    ka, kb = [_key(n) for n in a], [_key(n) for n in b]
+    ka, kb = _keys(a), _keys(b)
     if ka == kb:
         return [_join(x, y, how) for x, y in zip(a, b, strict=True)]
     head, tail = _edges(ka, kb)
@@ -344,7 +354,7 @@ def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None
     texts that all pages with their slot, ``LEAST`` at least, have in it go to ``shared``, and to ``fixed``
     if the slot never has another text, or all pages begin or end the repeats
     of an element with them. What the wrapper doesn't have stays variable."""
-    ka, kb = [_key(n) for n in nodes], [_key(n) for n in wrapper]
+    ka, kb = _keys(nodes), _keys(wrapper)
     head, tail = _edges(ka, kb)
     ea, eb = len(ka) - tail, len(kb) - tail
     pairs = list(zip(nodes[:head] + nodes[ea:], wrapper[:head] + wrapper[eb:], strict=True))
