@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, line_dedup, merge_agenda, repetition, separator_scan, simhash, skip_chain, warc_store, wrappers, zstd_quality
+from tessera.llm import decontam, filter_audit, line_dedup, merge_agenda, part_codes, repetition, separator_scan, simhash, skip_chain, trigram_scan, warc_store, wrappers, zstd_quality
 from tessera.session import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,10 +81,24 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_windows", "n_found", "n_changed")
 
 
+def op11_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return trigram_scan.secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+def op13_partial_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_skip_chain_pii, op2_separator_scan, op3_repetition_coverage, op4_merge_agenda, op5_zstd_quality, op6_warc_store, op7_simhash_variants, op8_line_dedup, op9_wrapper_text, op10_template_leaks)
+    every = (op1_skip_chain_pii, op2_separator_scan, op3_repetition_coverage, op4_merge_agenda, op5_zstd_quality, op6_warc_store, op7_simhash_variants, op8_line_dedup, op9_wrapper_text, op10_template_leaks, op11_trigram_secrets, op12_filter_audit, op13_partial_codes)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_store": warc_store.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {"op6_warc_store": warc_store.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_partial_codes": part_codes.ORACLE}
