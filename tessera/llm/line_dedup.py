@@ -35,7 +35,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns stay as they are. If ``docs`` has columns n_lines or
     n_dropped, the new ones get underscores in front.
     """
-    n_lines, n_dropped, ident, lines, gone = fresh(docs, ["n_lines", "n_dropped", "ident", "lines", "gone"])
+    n_lines, n_dropped, ident, lines, gone, of, its = fresh(docs, ["n_lines", "n_dropped", "ident", "lines", "gone", "of", "its"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn(ident, F.xxhash64(text))
     split = F.split(text, "\n", -1)
@@ -48,10 +48,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = staged(repeated, "repeated-lines").hint("merge")
     dropped = rows.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "ident").agg(F.collect_set("pos").alias("gone"))
     joined = base.join(
-        dropped.select(F.col("id").alias("_id"), F.col("ident").alias("_ident"), F.col("gone").alias(gone)),
-        base[id_col].eqNullSafe(F.col("_id")) & (base[ident] == F.col("_ident")),
+        dropped.select(F.col("id").alias(of), F.col("ident").alias(its), F.col("gone").alias(gone)),
+        base[id_col].eqNullSafe(F.col(of)) & (base[ident] == F.col(its)),
         "left",
-    ).drop("_id", "_ident")
+    ).drop(of, its)
     split_once = joined.withColumn(lines, split)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))

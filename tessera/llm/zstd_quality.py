@@ -163,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     id with several labels has the largest; one with several texts the largest
     of them; a null text is the empty one; null ids and labels are passed over.
     """
-    known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    known = known.where(~held_out("id") & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y"))
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     n1, n0 = share.get(1, 0), share.get(0, 0)
     prior = (n1 + 1) / (n1 + n0 + 2)
@@ -171,10 +172,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return QualityModel(b"", b"", (), (), (), prior)
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).select(F.col(id_col).alias("_id"), "y", F.xxhash64(id_col).alias("_o")).orderBy("_o", "_id").limit(rows)
+        part = known.where(F.col("y") == y).select(F.col("id").alias("_id"), "y", F.xxhash64("id").alias("_o")).orderBy("_o", "_id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
     # 2 * rows ids at most: a fixed bound
-    text = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"]).select("_id", "y", "_o", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    plain = docs.select(F.col(id_col).alias("_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    text = plain.join(F.broadcast(picked), F.col("_key") == F.col("_id")).drop("_key")
     sample = staged(text.groupBy("_id", "y", "_o").agg(F.max("t").alias("t")), "quality-sample")
     order = sorted((r["_o"], r["_id"], r["y"]) for r in sample.select("_id", "y", "_o").collect())
     second = {i for y in (0, 1) for i in [k for _, k, c in order if c == y][1::2]}

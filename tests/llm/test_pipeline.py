@@ -31,6 +31,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(k, int(k % 6 != 5), 0) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     pages = [(k, f"http://h{k % 2}/p{k}", None if k == 5 else f"<article><p>page {k}</p></article>") for k in range(6)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    vectors = [(k, [r.random() for _ in range(16)], k % 3) for k in range(70)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d, rows, bench
 
 
@@ -65,9 +67,12 @@ def test_stages_keep_columns_and_tell_repeats_apart(spark, folder):
     d, rows, _ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet")
     odd = docs.withColumn("score", F.lit("mine")).withColumn("Predicted", F.col("doc_id")).withColumn("component_id", F.lit(5)).withColumn("n_lines", F.lit(None).cast("int"))
+    own = ("y", "t", "_id", "_o", "_key", "id", "ident", "_ident", "gone", "of", "mark", "first", "doc", "item")
+    odd = odd.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in own})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, d)
         assert out.columns == odd.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in own)
         held = out.select("doc_id", "score", "Predicted", "component_id", "n_lines").collect()
         assert held and all(r["score"] == "mine" and r["Predicted"] == r["doc_id"] and r["component_id"] == 5 and r["n_lines"] is None for r in held)
         assert stage(spark, odd.limit(0), d).count() == 0
@@ -82,11 +87,11 @@ def test_stages_keep_columns_and_tell_repeats_apart(spark, folder):
 def test_registered_queries(spark, folder):
     d, rows, _ = folder
     ops = queries.queries()
-    assert len(ops) == 10
+    assert len(ops) == 13
     for name, f in ops.items():
         pages = name.split("_")[0] in ("op6", "op9")
         if name != "op10_template_leaks":
-            assert f(spark, d).count() == (6 if pages else len(rows)), name
+            assert f(spark, d).count() == (6 if pages else 600 if name == "op12_filter_audit" else 70 if name == "op13_partial_codes" else len(rows)), name
         else:
             found = {x["doc_id"] for x in f(spark, d).collect()}
             assert {k for k, t, *_ in rows if k % 10 == 3 and k < 120 and "$$$" not in t} <= found
