@@ -11,13 +11,15 @@ Every page takes part. A task folds the pages it sees into one wrapper a host,
 so only wrappers are shuffled, and those of one host meet in two steps (first
 by host and salt): no task ever gets all pages of a host.
 
-A page's text is then read by matching its tree against its host's wrapper:
-the variable slots inside the main region (an article or main element, if the
-page has one), without those below menus, headers, footers, sidebars, notices,
-adverts, forms or comments. In the main region a line is template if all its
-slots have one text on all pages, or if all pages begin or end the repeats of
-an element with it; outside an article a slot's text is if all pages with the slot have it. At
-least three pages must have the slot or element.
+The wrapper says where a host's main text is: from the root down, the element
+with most of the variable text is followed as long as what is left beside it is
+little. Names of elements and classes only weigh in: an article or main element
+on that way with half of the text is the region, marked elements count less. A
+page's tree is matched against its host's wrapper, which finds the region in it
+(a page without it, or of a host with fewer than LEAST pages, finds its own).
+All text there is main text but for what lies in menus, headers, footers,
+sidebars, notices, adverts, forms or comments inside the region; and, unless
+the region is an article, for what all pages with a slot have in it.
 """
 
 from __future__ import annotations
@@ -49,9 +51,14 @@ OUTSIDE = frozenset("head nav header footer aside form menu dialog button select
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
-#: A mark after one of these, in one name, marks nothing.
-LAYOUT = frozenset(("has", "have", "no", "with", "without"))
+#: Words that make a longer name of a mark: "ad-box" marks as "ad" does, "share-price" and "has-sidebar" mark nothing.
+PARTS = frozenset("area bar block bottom box button buttons container element frame group holder inner item items left link links list outer panel placeholder row section slot top unit wrap wrapper".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that may be the region, and headings.
+HOLDERS = MAIN | frozenset("html body div section center table tbody tr td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a level's text that may be left beside the region, in elements that are HOLDERS; weight of marked elements' text.
+BESIDE, MARKED = 0.3, 0.25
 #: A closing or opening of these ends an open paragraph.
 _P_ENDS = BLOCKS - {"br", "option", "select", "title", "body", "html"}
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -75,10 +82,12 @@ WIDE = 250_000
 
 
 def _marks(value: str) -> Iterator[str]:
-    """The words of a class, id or role that are marks; "has-sidebar" says how a page is laid out, and marks nothing."""
+    """Marks in a class, id or role: whole names, with nothing but PARTS beside."""
     for name in value.split():
         words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-        yield from (w for k, w in enumerate(words) if w in MARKS and not (k and words[k - 1] in LAYOUT))
+        marks = [w for w in words if w in MARKS]
+        if marks and all(w in MARKS or w in PARTS for w in words):
+            yield from marks
 
 
 def events(page: str) -> Iterator[tuple[int, str, str]]:
@@ -183,10 +192,10 @@ def walk(page: str) -> Iterator[tuple[str, str]]:
         yield "close", stack.pop()[0]
 
 
-# -- wrappers: a node is [key, optional, repeated, children, texts, varies, heads, tails, pages]
-# pages: how many pages surely have the node, and so its texts, heads and tails
+# -- wrappers: a node is [key, optional, repeated, children, texts, varies, pages, chars, run]
+# pages: how many pages surely have the node; chars: characters of a slot on all pages
 # key "#": a text slot with the texts (digests of long ones) that all pages with the slot have in it, and whether it ever had two; key "()": a group.
-# heads, tails of an element: digests of what its first and last repeats say on all pages; it varies if pages differ in them
+# run: for a reader's page, the numbers of the first and after the last text of an element, and of the marked elements until its start
 
 #: How two nodes meet: of one page, of different pages, or of pages that may overlap.
 PAGE, PAGES, EITHER = "page", "pages", "either"
@@ -196,26 +205,21 @@ def _key(node: list) -> str:
     return "(" + " ".join(_key(c) for c in node[3]) + ")" if node[0] == "()" else node[0]
 
 
-def _head(a: list, b: list) -> list:
-    n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return a[:n]
-
-
 def _join(a: list, b: list, how: str) -> list:
     """One node for two with the same key: of different pages, which must agree
     on a slot's texts, or of one page, whose slot then has the texts of both.
     Nodes of one page are used up: ``a`` becomes the joined one."""
     if how == PAGE:
-        a[1], a[2], a[5] = a[1] or b[1], a[2] or b[2], a[5] or b[5] or a[4][:1] != b[4][:1]
-        for k in (4, 6, 7):
-            a[k].extend(b[k])
-        a[3], a[8] = align(a[3], b[3], PAGE), max(a[8], b[8])
+        a[1], a[2], a[5], a[7] = a[1] or b[1], a[2] or b[2], a[5] or b[5] or a[4][:1] != b[4][:1], a[7] + b[7]
+        a[4].extend(b[4])
+        a[3], a[6] = align(a[3], b[3], PAGE), max(a[6], b[6])
         return a
-    both = set(a[4]) & set(b[4])
-    texts, heads, tails = sorted(both), _head(a[6], b[6]), _head(a[7][::-1], b[7][::-1])[::-1]
-    varies = a[5] or b[5] or len(both) != len(set(a[4])) or len(both) != len(set(b[4])) or a[6] != b[6]
-    pages = a[8] + b[8] if how == PAGES else max(a[8], b[8])
-    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], how), texts, varies, heads, tails, pages]
+    texts, varies = a[4], a[5] or b[5]
+    if a[4] != b[4]:
+        both = set(a[4]) & set(b[4])
+        texts, varies = sorted(both), varies or len(both) != len(set(a[4])) or len(both) != len(set(b[4]))
+    pages = a[6] + b[6] if how == PAGES else max(a[6], b[6])
+    return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3], how), texts, varies, pages, a[7] + b[7], None]
 
 
 def _by_key(nodes: list, how: str) -> list:
@@ -261,7 +265,7 @@ def fold(nodes: list, how: str = PAGE) -> list:
                 group = out[k : k + width]
                 for r in range(1, reps):
                     group = [_join(a, b, how) for a, b in zip(group, out[k + r * width : k + (r + 1) * width], strict=True)]
-                out[k : k + reps * width] = [["()", False, True, group, [], False, [], [], max(n[8] for n in group)]]
+                out[k : k + reps * width] = [["()", False, True, group, [], False, max(n[6] for n in group), 0, None]]
                 keys[k : k + reps * width] = [_key(out[k])]
             k += 1
     return out
@@ -297,33 +301,34 @@ def _digest(text: str) -> str:
 
 def tree(page: str, reader: Reader | None = None) -> list:
     """The wrapper of one page: the children of its root. With a ``reader``,
-    texts, heads and tails come with the numbers of the reader's texts.
+    texts come with the numbers of the reader's texts, elements with their runs.
     Elements nested deeper than DEEPEST have no node; their texts belong to the
     node there."""
     levels: list[list] = [[]]
-    says: list[list[str]] = [[]]
-    since: list[int] = []
+    since: list[tuple[int, int]] = []
     deep = 0
     for what, value in walk(page):
         if reader is not None:
             reader.see(what, value)
-        if what != "text" and (deep or (what == "open" and len(levels) > DEEPEST)):
+        if what == "text":
+            said = " ".join(html.unescape(value).split())
+            if said:
+                chars = len(said)
+                if chars > SHORT:
+                    said = LONG + _digest(said)
+                levels[-1].append(["#", False, False, [], [said if reader is None else (said, len(reader.texts) - 1)], False, 1, chars, None])
+        elif deep or (what == "open" and len(levels) > DEEPEST):
             deep += 1 if what == "open" else -1
         elif what == "open":
             levels.append([])
-            says.append([])
-            since.append(len(reader.texts) if reader is not None else 0)
-        elif what == "close":
-            inner, said, at = fold(levels.pop()), _digest(value + " ".join(says.pop())), since.pop()
-            says[-1].append(said)
-            run = [said if reader is None else (said, at, len(reader.texts))]
-            levels[-1].append([value, False, False, inner, [], False, run, [*run], 1])
-        elif value.strip():
-            said = " ".join(html.unescape(value).split())
-            says[-1].append(_digest(said))
-            if len(said) > SHORT:
-                said = LONG + says[-1][-1]
-            levels[-1].append(["#", False, False, [], [said if reader is None else (said, len(reader.texts) - 1)], False, [], [], 1])
+            if reader is not None:
+                since.append((len(reader.texts), reader.made))
+        else:
+            inner, run = fold(levels.pop()), None
+            if reader is not None:
+                at, made = since.pop()
+                run = (at, len(reader.texts), made)
+            levels[-1].append([value, False, False, inner, [], False, 1, 0, run])
     return fold(levels[0])
 
 
@@ -337,23 +342,60 @@ def expression(nodes: list) -> str:
     return "".join(out)
 
 
+def region(nodes: list) -> list | None:
+    """The node with the main text, of a wrapper or of one page; None is all."""
+    mass: dict[int, float] = {}
+
+    def weigh(n: list) -> float:
+        if n[0] == "#":
+            fixed = n[6] >= LEAST and n[4] and not n[5]
+            out = 0.0 if fixed else float(n[7])
+        else:
+            tag, _, marks = n[0].partition(".")
+            out = 0.0 if tag in OUTSIDE else sum(map(weigh, n[3])) * (MARKED if marks else 1)
+        mass[id(n)] = out
+        return out
+
+    def headed(n: list) -> bool:
+        tag, _, marks = n[0].partition(".")
+        return mass[id(n)] > 0 and not marks and (tag in HEADINGS or any(map(headed, n[3])))
+
+    total = sum(map(weigh, nodes))
+    found, close, level = None, True, nodes
+    while level:
+        best = max(level, key=lambda n: mass[id(n)])
+        tag = best[0].partition(".")[0]
+        whole = sum(mass[id(n)] for n in level)
+        if tag not in HOLDERS or best[2] or 2 * mass[id(best)] < whole or not whole:
+            return found
+        if tag in MAIN and 2 * mass[id(best)] >= total * (MARKED if "." in best[0] else 1):
+            found, close = best, False  # only another one inside it is closer
+        elif close and tag not in ("html", "body"):
+            rest = [n for n in level if n is not best and mass[id(n)] > 0]
+            close = whole - mass[id(best)] <= BESIDE * whole and all(n[0].partition(".")[0] in HOLDERS and not headed(n) for n in rest)
+            found = best if close else found
+        level = best[3]
+    return found
+
+
 @lru_cache(maxsize=512)
-def _wrapper(wrapper: str) -> tuple[int, list, bool, bool]:
-    """Pages and nodes, and whether anything varies in the host's pages and in
-    their articles: pages that never differ don't tell template from text."""
+def _wrapper(wrapper: str) -> tuple[int, list, bool, list | None]:
+    """Pages and nodes, whether anything differs between the host's pages
+    (pages that never differ don't tell template from text), and the region."""
     pages, nodes = json.loads(wrapper)
 
-    def varies(level: list, tags: frozenset[str] | None) -> bool:
-        return any(n[0] != "#" and (((tags is None or n[0].split(".", 1)[0] in tags) and (n[1] or n[5])) or varies(n[3], tags)) for n in level)
+    def differs(level: list) -> bool:
+        return any(n[1] or n[5] or differs(n[3]) for n in level)
 
-    return pages, nodes, varies(nodes, None), varies(nodes, MAIN)
+    return pages, nodes, differs(nodes), region(nodes)
 
 
-def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None:
+def match(nodes: list, wrapper: list, shared: set[int], place: list | None = None) -> list | None:
     """Match a page's tree, made with a reader, against the wrapper: numbers of
-    texts that all pages with their slot, ``LEAST`` at least, have in it go to ``shared``, and to ``fixed``
-    if the slot never has another text, or all pages begin or end the repeats
-    of an element with them. What the wrapper doesn't have stays variable."""
+    texts that all pages with their slot, ``LEAST`` at least, have in it go to
+    ``shared``; returns the page's node for the wrapper's node ``place``. What
+    the wrapper doesn't have stays variable."""
+    found = None
     ka, kb = _keys(nodes), _keys(wrapper)
     head, tail = _edges(ka, kb)
     ea, eb = len(ka) - tail, len(kb) - tail
@@ -365,102 +407,74 @@ def match(nodes: list, wrapper: list, shared: set[int], fixed: set[int]) -> None
         blocks = SequenceMatcher(None, ka[head:ea], kb[head:eb], autojunk=False).get_matching_blocks()
         pairs += [(nodes[head + i + k], wrapper[head + j + k]) for i, j, n in blocks for k in range(n)]
     for n, w in pairs:
-        if w[8] < LEAST:
-            if n[0] != "#":
-                match(n[3], w[3], shared, fixed)
-            continue
+        if w is place:
+            found = n
         if n[0] == "#":
-            same = {k for said, k in n[4] if said in w[4]}
-            shared |= same
-            if not w[5]:
-                fixed |= same
-            continue
-        for runs, wants in ((n[6], w[6]), (n[7][::-1], w[7][::-1])):
-            for (said, at, end), want in zip(runs, wants, strict=False):
-                if said != want:
-                    break
-                fixed.update(range(at, end))
-        match(n[3], w[3], shared, fixed)
+            if w[6] >= LEAST:
+                shared |= {k for said, k in n[4] if said in w[4]}
+        else:
+            found = match(n[3], w[3], shared, place) or found
+    return found
 
 
 class Reader:
     """The texts of a page, and where each stands."""
 
     def __init__(self) -> None:
-        #: text, number of its line, how it lies in articles (one of NONE to FREE), whether in an element of OUTSIDE,
-        #: marked elements around it (inside an article, only those inside it)
-        self.texts: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        #: text, number of its line, whether in an element of OUTSIDE, marked elements around it
+        self.texts: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.line = self.skip = self.made = 0
-        self.mains: list[tuple[int, tuple[int, ...]]] = []
         self.marks: tuple[int, ...] = ()
-        self.seen_main = False
 
     def see(self, what: str, value: str) -> None:
         if what == "text":
-            self.texts.append((value, self.line, self.mains[-1][0] if self.mains else NONE, self.skip > 0, self.marks))
+            self.texts.append((value, self.line, self.skip > 0, self.marks))
             return
-        tag, mark = value.split(".", 1)[0], "." in value
-        if tag in MAIN:
+        tag, _, mark = value.partition(".")
+        if tag in OUTSIDE:
+            self.skip += 1 if what == "open" else -1
+        elif mark and tag not in ("html", "body"):
             if what == "open":
-                outer = self.mains[-1][0] if self.mains else NONE
-                # marked itself (a reader's comment, a teaser) or below a marked element
-                self.mains.append((MARKED if mark or self.marks or outer == MARKED else FREE, self.marks))
-                self.marks = ()
-                self.seen_main = self.seen_main or not self.skip
-            else:
-                self.marks = self.mains.pop()[1]
-        elif tag not in ("html", "body"):
-            if tag in OUTSIDE:
-                self.skip += 1 if what == "open" else -1
-            elif mark and what == "open":
                 self.made += 1
                 self.marks = (*self.marks, self.made)
-            elif mark:
+            else:
                 self.marks = self.marks[:-1]
         if tag in BLOCKS:
             self.line += 1
 
 
-#: A text in no article or main element, in one below a marked element, in one below none.
-NONE, MARKED, FREE = range(3)
-
-
 def extract(page: str, wrapper: str) -> str:
     """The main text of ``page``: blocks in page order, one line each.
 
-    In an article or main element a line is left out if the wrapper has all of
-    it as fixed template text; elsewhere each text that all pages share is.
-    Articles below marked elements count if no other has text. Without an
-    article, a mark is void if most of the page's variable text is below it."""
+    The text of the region, without elements of OUTSIDE and marked ones in it;
+    outside articles, without what all pages share. A mark is void if most of
+    the region's text is below it."""
     reader = Reader()
     nodes = tree(page, reader)
-    pages, how, differs, main_differs = _wrapper(wrapper)
+    pages, how, differs, place = _wrapper(wrapper)
     shared: set[int] = set()
-    fixed: set[int] = set()
+    here = None
     if pages >= LEAST and differs:
-        match(nodes, how, shared, fixed)
-    if reader.seen_main:
-        for kind in (FREE, MARKED):
-            lines: dict[int, list[int]] = {}
-            for k, (_, line, main, skip, marks) in enumerate(reader.texts):
-                if main == kind and not skip and not marks:
-                    lines.setdefault(line, []).append(k)
-            said = any(reader.texts[k][0].strip() for texts in lines.values() for k in texts)
-            if said:
-                break
-        if main_differs:
-            lines = {n: texts for n, texts in lines.items() if any(k not in fixed and reader.texts[k][0].strip() for k in texts)}
-    else:
-        lines, size = {}, {}
-        rest = [(k, t) for k, t in enumerate(reader.texts) if t[0].strip() and not t[3] and k not in shared]
-        for _, (said, _, _, _, marks) in rest:
-            for m in marks:
+        here = match(nodes, how, shared, place)
+    if here is None and not (pages >= LEAST and place is None):
+        here = region(nodes)
+    at, end, made = here[8] if here is not None else (0, len(reader.texts), 0)
+    if here is not None and here[0].partition(".")[0] in MAIN:
+        shared = set()
+    rest, size = [], {}
+    for k in range(at, end):
+        said, line, skip, marks = reader.texts[k]
+        if not skip and k not in shared and said.strip():
+            inner = [m for m in marks if m > made]
+            rest.append((said, line, inner))
+            for m in inner:
                 size[m] = size.get(m, 0) + len(said)
-        total = sum(len(t[0]) for _, t in rest)
-        for k, (_, line, _, _, marks) in rest:
-            if all(2 * size[m] > total for m in marks):
-                lines.setdefault(line, []).append(k)
-    out = (" ".join(html.unescape("".join(reader.texts[k][0] for k in texts)).split()) for texts in lines.values())
+    total = sum(len(t[0]) for t in rest)
+    lines: dict[int, list[str]] = {}
+    for said, line, marks in rest:
+        if all(2 * size[m] > total for m in marks):
+            lines.setdefault(line, []).append(said)
+    out = (" ".join(html.unescape("".join(texts)).split()) for texts in lines.values())
     return "\n".join(x for x in out if x)
 
 
