@@ -28,8 +28,8 @@ from tessera.session import ship
 FILTERS = "ABCDE"
 #: The bit of the filter that duplicates fail.
 SEEN = 1 << FILTERS.index("E")
-#: Bytes of text that a table holds before the shuffle until it is sent on.
-HELD_BYTES = 32_000_000
+#: Bytes of text that a table holds before the shuffle until it is sent on, and that a partition gets of the texts of all rows.
+HELD_BYTES, PARTITION_BYTES = 32_000_000, 64_000_000
 
 #: (smallest id, rows of that id by payload)
 Owner = tuple[int, Counter]
@@ -115,10 +115,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     """Rows (id, part, mask, n): n rows of this id and part fail the filters in ``mask``."""
     spark = docs.sparkSession
     ship(spark)
-    plain = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(part_col).cast("string"), F.lit("")))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
+    # a partition holds its different texts in memory: as many partitions as all bytes need
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = plain.rdd.map(lambda r: (r[0], r[1].encode("utf-8", "surrogatepass"), (r[2], mask_of(r[1]))))
-    # the table of a partition holds its texts: as many partitions as the input has, at least
-    found = routed(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions()))
+    found = routed(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES)))
     flat = found.map(lambda r: (r[0], r[1][0], r[1][1] | (0 if r[3] else SEEN), r[2]))
     return spark.createDataFrame(flat, "id long, part string, mask int, n long", verifySchema=False)
 
