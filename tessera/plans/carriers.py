@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,33 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STEPS = "steps AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS step, user_id AS camera, event_type AS kind, value, event_id, ts FROM events)"
 
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of part as the pixels of five square masks: view, u, v, inside."""
+    side = max(1, math.isqrt(table(spark, sf_dir, "part").count() // 5))
+    p = table(spark, sf_dir, "part").where(F.col("p_partkey") < 5 * side * side)
+    return p.select(F.expr(f"p_partkey DIV {side * side}").alias("view"), (F.col("p_partkey") % side).alias("u"), F.expr(f"p_partkey DIV {side} % {side}").alias("v"), F.expr(_INSIDE).alias("inside"))
+
+
+_INSIDE = "(p_partkey * 7919 + p_size * 31) % 61 = 0"
+MASK = (
+    "side AS (SELECT greatest(1, floor(sqrt(count(*) // 5)))::BIGINT AS n FROM part), "
+    f"mask AS (SELECT p_partkey // (n * n) AS view, p_partkey % n AS u, p_partkey // n % n AS v, {_INSIDE} AS inside FROM part, side WHERE p_partkey < 5 * n * n)"
+)
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cameras of CAMERAS two units back and turned, over the images of ``mask``."""
+    side = math.isqrt(table(spark, sf_dir, "part").count() // 5)
+    return cameras(spark).select(F.col("cam").alias("view"), *[F.expr(e).alias(n) for n, e in _VIEW.items()], *[F.lit(float(f * side)).alias(n) for n, f in _IMAGE.items()])
+
+
+_VIEW = {"r0": "96e-2", "r1": "-28e-2", "r2": "0e0", "r3": "28e-2", "r4": "96e-2", "r5": "0e0", "r6": "0e0", "r7": "0e0", "r8": "1e0", "t0": "28e-2 * cy - 96e-2 * cx", "t1": "-28e-2 * cx - 96e-2 * cy", "t2": "2e0 - cz"}
+_IMAGE = {"fx": 1.6, "fy": 1.5, "px": 0.5, "py": 0.45, "w": 1.0, "h": 1.0}
+
 #: Five cameras: id and centre.
 CAMERAS = ((0, 0.0, 0.0, -1.0), (1, 0.5, 0.2, 0.0), (2, -0.6, 0.1, 0.5), (3, 0.1, -0.7, 1.0), (4, 0.0, 0.9, 2.0))
 CAMERAS_SQL = "cams(cam, cx, cy, cz) AS (VALUES " + ", ".join(f"({c}::BIGINT, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for c, x, y, z in CAMERAS) + ")"
+VIEWS = "views AS (SELECT cam AS view, " + ", ".join(f"{e} AS {n}" for n, e in _VIEW.items()) + ", " + ", ".join(f"n * {f}::DOUBLE AS {c}" for c, f in _IMAGE.items()) + " FROM cams, side)"
 
 
 def cameras(spark: SparkSession) -> DataFrame:

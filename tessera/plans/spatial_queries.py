@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, spatial
-from tessera.plans.carriers import CAMERAS_SQL, CLIP, POINTS, cameras, points
+from tessera.operators import blocks, silhouette, spatial
+from tessera.plans.carriers import CAMERAS_SQL, CLIP, MASK, POINTS, VIEWS, cameras, mask, points, views
 from tessera.plans.registry import query
 
 _R = X.support_radius("s0", "s1", "s2")
@@ -51,6 +51,26 @@ def silhouette_vote(spark, sf_dir):
     return spatial.silhouette_vote(points(spark, sf_dir), cameras(spark), 0.4, 2, 0.5)
 
 
+_FAR = f"""{MASK}, far AS (SELECT a.view, a.u, a.v, min((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v)) AS d2
+FROM mask a LEFT JOIN mask b ON b.view = a.view AND b.inside GROUP BY a.view, a.u, a.v)"""
+
+
+@query(f"WITH {_FAR} SELECT view, u, v, coalesce(d2, -1)::BIGINT AS d2 FROM far")
+def distance_transform(spark, sf_dir):
+    """Squared distances to the silhouette in every pixel of five masks; -1 where a mask is empty."""
+    d = silhouette.distances(mask(spark, sf_dir))
+    return d.select("view", "u", "v", F.when(F.col("d2") == float("inf"), -1).otherwise(F.col("d2")).cast("long").alias("d2"))
+
+
+@query(f"""WITH {POINTS}, {CAMERAS_SQL}, {_FAR}, {VIEWS}, p AS (SELECT id, view, fx, fy, px, py, w, h, {_R} AS r, r0 * x + r1 * y + r2 * z + t0 AS a, r3 * x + r4 * y + r5 * z + t1 AS b, r6 * x + r7 * y + r8 * z + t2 AS c FROM pts, views),
+q AS (SELECT *, a / c * fx + px AS u, b / c * fy + py AS v FROM p WHERE c > r + 1e-6), s AS (SELECT id, view, floor(u)::BIGINT AS u, floor(v)::BIGINT AS v, greatest(fx, fy) * r / (c - r) * (1 + greatest(abs((u - px) / fx), abs((v - py) / fy))) AS r FROM q WHERE u >= 0 AND u < w AND v >= 0 AND v < h),
+t AS (SELECT s.id, count(*) AS observed, count(*) FILTER (WHERE sqrt(coalesce(f.d2, 'inf'::DOUBLE)) > s.r + 5e-1) AS outside FROM s JOIN far f USING (view, u, v) GROUP BY s.id)
+SELECT id, coalesce(observed, 0) AS observed, coalesce(outside, 0) AS outside, NOT (coalesce(outside, 0) >= 2 AND coalesce(outside, 0) >= 6e-1 * greatest(coalesce(observed, 0), 1)) AS keep FROM pts LEFT JOIN t USING (id)""")
+def mask_vote(spark, sf_dir):
+    """Points whose support lies outside the silhouette in most of the views that see them."""
+    return silhouette.mask_vote(points(spark, sf_dir), views(spark, sf_dir), mask(spark, sf_dir), F.expr(_R), 0.5, 2, 0.6)
+
+
 @query(f"""WITH {POINTS}, d AS (SELECT a.id, b.id AS nid, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM pts a JOIN pts b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nid) AS k FROM d)
 SELECT id, round(avg(d2), 9) AS mean_d2 FROM r WHERE k <= 3 GROUP BY id""")

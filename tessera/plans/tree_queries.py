@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, hierarchy, tree
+from tessera.operators import blocks, hierarchy, relocation, tree
 from tessera.plans.carriers import CAMERAS_SQL, NODES, POINTS, cameras, nodes, points
 from tessera.plans.registry import query
 
@@ -207,6 +207,31 @@ def relocate_dead(spark, sf_dir):
     return tree.relocate(nodes(spark, sf_dir), F.col("weight") > 9.6e2)
 
 
+_MOVED = f"""WITH RECURSIVE {NODES}, n AS (SELECT id, parent, child_count, child_count = 0 AND weight > 9.6e2 AS dd, -ln(((id * 48271 + 7) % 1000003 + 1) / 1000004e0) / weight AS o FROM nodes WHERE parent >= 0),
+f AS (SELECT *, dd AND NOT (bool_and(dd) OVER w AND id = max(id) OVER w) AS goes, count(*) OVER w AS kids FROM n WINDOW w AS (PARTITION BY parent)),
+h AS (SELECT *, max(id) FILTER (WHERE NOT goes) OVER (PARTITION BY parent) AS sib FROM f),
+going AS (SELECT id AS dead, sib, parent, row_number() OVER (ORDER BY id) AS k FROM h WHERE goes AND kids = 2),
+tg AS (SELECT id AS target, row_number() OVER (ORDER BY o, id) AS k FROM h WHERE child_count = 0 AND NOT dd AND id NOT IN (SELECT sib FROM going)),
+pairs AS (SELECT dead, sib, parent, target FROM going JOIN tg USING (k)),
+chain AS (SELECT parent AS id, sib AS src FROM pairs UNION ALL SELECT c.id, p.sib FROM chain c JOIN pairs p ON c.src = p.parent),
+content AS (SELECT id, src FROM chain WHERE src NOT IN (SELECT parent FROM pairs)),
+freed AS (SELECT dead AS id, target FROM pairs UNION ALL SELECT sib, target FROM pairs),
+tops AS (SELECT id AS stands, src AS held FROM content WHERE id NOT IN (SELECT id FROM freed)),
+whole AS (SELECT n0.id, coalesce(t.stands, n0.parent) AS parent, coalesce(c.src, n0.id) AS source FROM n0 LEFT JOIN content c ON c.id = n0.id LEFT JOIN tops t ON t.held = n0.parent
+  WHERE n0.id NOT IN (SELECT id FROM freed) UNION ALL SELECT id, target, target FROM freed),
+deep AS (SELECT id, 0 AS depth FROM whole WHERE parent < 0 UNION ALL SELECT w.id, d.depth + 1 FROM whole w JOIN deep d ON w.parent = d.id),
+kids AS (SELECT parent, count(*)::INT AS child_count, min(id) AS first_child FROM whole WHERE parent >= 0 GROUP BY parent)
+SELECT w.id, w.parent, d.depth, coalesce(k.child_count, 0)::INT AS child_count, coalesce(k.first_child, 0)::BIGINT AS first_child,
+CASE WHEN w.parent < 0 THEN 0 ELSE coalesce(lead(w.id) OVER (PARTITION BY w.parent ORDER BY w.id), 0) END::BIGINT AS next_sibling, w.source
+FROM whole w JOIN deep d USING (id) LEFT JOIN kids k ON k.parent = w.id"""
+
+
+@query(_MOVED)
+def relocate_tree(spark, sf_dir):
+    """The whole tree after dead leaves were moved below sampled living ones."""
+    return relocation.relocate(nodes(spark, sf_dir), F.col("weight") > 9.6e2, relocation.sampling_key(F.col("weight"), 7))
+
+
 @query(f"WITH {NODES}, p AS (SELECT *, child_count = 0 AND weight > 9.5e2 AS dead FROM nodes) SELECT parent, count(*) FILTER (WHERE dead) AS dead, max(id) FILTER (WHERE dead) AS last FROM p WHERE parent >= 0 GROUP BY parent HAVING count(*) FILTER (WHERE dead) > 0")
 def sibling_exclusion(spark, sf_dir):
     n = nodes(spark, sf_dir).where("parent >= 0").withColumn("dead", F.expr("child_count = 0 AND weight > 9.5e2"))
