@@ -34,6 +34,18 @@ def dense_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return sorted_.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_part", "_local", "_before")
 
 
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before each in the order of
+    unique keys: sums inside range partitions, and of the partitions before."""
+    from tessera.session import staged
+
+    part = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    upto = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = part.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = sums.select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_b"))  # a row per partition
+    return part.withColumn(name, upto).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_b")).drop("_part", "_b")
+
+
 def pages(rows: DataFrame, band: str, order: list[str], size: int) -> DataFrame:
     """``rows`` with a page number inside their band, ``size`` rows a page."""
     ranked = dense_rank(rows, [band, *order], "_place")

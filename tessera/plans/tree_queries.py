@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, hierarchy, relocation, tree
+from tessera.operators import blocks, hierarchy, levels, relocation, tree
 from tessera.plans.carriers import CAMERAS_SQL, NODES, POINTS, cameras, nodes, points
 from tessera.plans.registry import query
 
@@ -260,6 +260,87 @@ def bottom_cut(spark, sf_dir):
     return m.select("id").join(m.select(F.col("parent").alias("id")), "id", "left_anti")
 
 
+@query(f"""WITH RECURSIVE {NODES}, w AS (SELECT id, parent, depth, [id] AS path FROM nodes WHERE parent < 0 UNION ALL SELECT c.id, c.parent, c.depth, list_append(w.path, c.id) FROM nodes c JOIN w ON c.parent = w.id),
+up AS (SELECT id, parent FROM nodes UNION ALL SELECT p.id, p.parent FROM up u JOIN nodes p ON u.parent = p.id), m AS (SELECT id, count(*) AS subtree FROM up GROUP BY id),
+o AS (SELECT w.id, w.parent, w.depth, subtree, child_count, row_number() OVER (ORDER BY path) - 1 AS preorder, row_number() OVER (PARTITION BY w.parent ORDER BY w.id) - 1 AS nth, lead(w.id) OVER (PARTITION BY w.parent ORDER BY w.id) AS after FROM w JOIN m USING (id) JOIN nodes USING (id)),
+f AS (SELECT *, CASE WHEN child_count > 0 THEN 1 + coalesce(sum(child_count) OVER (ORDER BY preorder ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE -1 END::BIGINT AS first_child FROM o)
+SELECT f.id, f.parent, f.depth, f.preorder, f.subtree, CASE WHEN f.after IS NULL OR f.parent < 0 THEN 0 ELSE f.preorder + f.subtree END AS next_sibling, coalesce(p.first_child, 0) + f.nth AS place, f.first_child FROM f LEFT JOIN f p ON f.parent = p.id""")
+def tree_layout(spark, sf_dir):
+    """Both orders in which a tree is written out, from subtree sizes and offsets."""
+    return levels.linearise(nodes(spark, sf_dir))
+
+
+_CUT = "(size < 5e-2 AND (p_size IS NULL OR p_size >= 5e-2)) OR (child_count = 0 AND size >= 5e-2)"
+_SEEN = f"s AS (SELECT n.*, ({_CUT.replace('size', 'n.size').replace('p_n.size', 'p.size').replace('child_count', 'n.child_count')}) AS seen FROM nodes n LEFT JOIN nodes p ON n.parent = p.id)"
+_BOTTOM = f"""WITH RECURSIVE {NODES}, {_SEEN}, up AS (SELECT id AS leaf, id, parent, seen AS hit FROM s WHERE child_count = 0 UNION ALL SELECT u.leaf, p.id, p.parent, u.hit OR p.seen FROM up u JOIN s p ON u.parent = p.id),
+c AS (SELECT id, bool_and(hit) AS covered FROM up GROUP BY id), k AS (SELECT s.parent AS id, count(*) FILTER (WHERE covered) AS n FROM s JOIN c USING (id) GROUP BY s.parent),
+b AS (SELECT s.*, covered, seen AND coalesce(n, 0) = 0 AS bottom FROM s JOIN c USING (id) LEFT JOIN k USING (id))"""
+
+
+@query(f"{_BOTTOM} SELECT id, covered, bottom FROM b")
+def cut_bottom(spark, sf_dir):
+    """What a cut covers and its lowest nodes; an incomplete cut is an error."""
+    n = tree.with_parent(nodes(spark, sf_dir), ["size"])
+    return levels.bottom(n, F.expr(_CUT))
+
+
+_MARKED = "((id * 7919) % 10 < 3)"
+
+
+@query(f"""{_BOTTOM}, m AS (SELECT *, {_MARKED} AS marked FROM b), t AS (SELECT id AS of, id, parent, marked OR bottom OR child_count = 0 AS stop, bottom AND NOT marked AND child_count > 0 AS opens FROM m
+UNION ALL SELECT t.of, p.id, p.parent, p.marked OR p.bottom OR p.child_count = 0, p.bottom AND NOT p.marked AND p.child_count > 0 FROM t JOIN m p ON t.parent = p.id WHERE NOT t.stop),
+g AS (SELECT of AS id, id AS top FROM t WHERE stop AND opens AND of <> id), kept AS (SELECT m.*, coalesce(g.top, m.parent) AS np FROM m LEFT JOIN g ON g.id = m.parent WHERE m.id NOT IN (SELECT id FROM g)),
+d AS (SELECT id, 0 AS depth FROM kept WHERE np < 0 UNION ALL SELECT k.id, d.depth + 1 FROM kept k JOIN d ON k.np = d.id), n AS (SELECT np, count(*)::INT AS n FROM kept GROUP BY np)
+SELECT k.id, k.np AS parent, d.depth, coalesce(n.n, 0)::INT AS child_count, k.marked, k.bottom FROM kept k JOIN d USING (id) LEFT JOIN n ON n.np = k.id""")
+def collapse_tree(spark, sf_dir):
+    """The tree without unmarked interiors below a cut, contracted to the nearest marked ones."""
+    n = nodes(spark, sf_dir)
+    cut = levels.bottom(tree.with_parent(n, ["size"]), F.expr(_CUT)).select("id", "bottom")
+    t = n.join(cut, "id").select("id", "parent", "depth", "child_count", F.expr(_MARKED).alias("marked"), "bottom")
+    return levels.collapse(t)
+
+
+@query(f"WITH RECURSIVE {NODES}, t AS (SELECT id, {_MARKED} AND depth > 2 AS hit FROM nodes WHERE parent < 0 UNION ALL SELECT c.id, t.hit OR (((c.id * 7919) % 10 < 3) AND c.depth > 2) FROM nodes c JOIN t ON c.parent = t.id) SELECT id FROM t WHERE hit")
+def below_marked(spark, sf_dir):
+    return levels.below(nodes(spark, sf_dir), F.expr(f"{_MARKED} AND depth > 2")).select("id")
+
+
+@query(None)
+def thin_tree(spark, sf_dir):
+    """Nodes that are left when the cuts at growing limits have each been contracted."""
+    seen = lambda limit: F.expr(f"(size < {limit!r}D AND (p_size IS NULL OR p_size >= {limit!r}D)) OR (child_count = 0 AND size >= {limit!r}D)")
+    return levels.thinned(nodes(spark, sf_dir), 0.02, 5.0, seen).select("id", "parent", "depth", "child_count", "marked")
+
+
+_T = "power(size * 2e0, 2) / (x*x + y*y + (z + 1e0)*(z + 1e0))"
+_SPANS = f"""WITH RECURSIVE {NODES}, v AS (SELECT id, parent, child_count, {_VIS} AS vis, {_T} AS t FROM nodes), r AS (SELECT *, 'inf'::DOUBLE AS hi FROM v WHERE parent < 0
+UNION ALL SELECT v.*, least(r.hi, r.t) FROM v JOIN r ON v.parent = r.id WHERE r.vis), iv AS (SELECT id, CASE WHEN child_count = 0 THEN '-inf'::DOUBLE ELSE t END AS lo, hi FROM r WHERE vis AND (child_count = 0 OR t < hi) AND (child_count > 0 OR hi > '-inf'::DOUBLE))"""
+
+
+def _spans(spark, sf_dir):
+    return levels.intervals(nodes(spark, sf_dir), F.expr(_VIS), F.expr(_T))
+
+
+@query(f"""{_SPANS}, e AS (SELECT lo AS m, 1 AS d FROM iv UNION ALL SELECT hi, -1 FROM iv), g AS (SELECT m, sum(d) AS d FROM e GROUP BY m),
+u AS (SELECT m, (sum(d) OVER (ORDER BY m))::BIGINT AS n FROM g) SELECT round(m, 9) AS m, n FROM u WHERE isfinite(m)""")
+def cut_curve(spark, sf_dir):
+    """How many rows the cut has for every multiplier, from one sweep."""
+    c = levels.curve(_spans(spark, sf_dir))
+    return c.where((F.col("m") < float("inf")) & (F.col("m") > float("-inf"))).select(F.round("m", 9).alias("m"), F.col("n").cast("long").alias("n"))
+
+
+@query(f"""{_SPANS}, g AS (SELECT k, 1e-3 * power(2e0, k) AS m FROM range(21) q(k)), n AS (SELECT k, m, count(iv.id) AS n FROM g LEFT JOIN iv ON lo <= m AND m < hi GROUP BY k, m), f AS (SELECT min(k) AS k FROM n WHERE n <= 60),
+s AS (SELECT 0 AS step, a.m AS lo, b.m AS hi FROM f JOIN n a ON a.k = f.k - 1 JOIN n b ON b.k = f.k
+UNION ALL SELECT step + 1, CASE WHEN c <= 60 THEN lo ELSE mid END, CASE WHEN c <= 60 THEN mid ELSE hi END FROM (SELECT s.step, s.lo, s.hi, (s.lo + s.hi) / 2 AS mid, (SELECT count(*) FROM iv WHERE iv.lo <= (s.lo + s.hi) / 2 AND (s.lo + s.hi) / 2 < iv.hi) AS c FROM s WHERE step < 4))
+SELECT hi AS multiplier, (SELECT count(*) FROM iv WHERE iv.lo <= s.hi AND s.hi < iv.hi) AS n FROM s WHERE step = 4""")
+def budget_search(spark, sf_dir):
+    """The multiplier that fits 60 rows: doubled from 0.001, then halved back four times."""
+    from tessera.session import staged
+
+    m, n = levels.within_budget(staged(levels.curve(_spans(spark, sf_dir)), "curve"), 1e-3, 60)
+    return spark.createDataFrame([(m, n)], "multiplier double, n long")
+
+
 def _kd_sql(levels: int) -> str:
     out = [f"WITH {POINTS}, k0 AS (SELECT id, x, y, z, 1::BIGINT AS cell FROM pts)"]
     for k in range(levels):
