@@ -121,6 +121,20 @@ def linearise(nodes: DataFrame) -> DataFrame:
     return j.select("id", "parent", "depth", "preorder", "subtree", follows.cast("long").alias("next_sibling"), F.coalesce(F.col("_base"), F.lit(0)).cast("long").alias("_at"), "_nth", "first_child").select("id", "parent", "depth", "preorder", "subtree", "next_sibling", (F.col("_at") + F.col("_nth")).alias("place"), "first_child")
 
 
+def subtree_ranges(nodes: DataFrame, root_volume: float, volume: Column, own_min: Column) -> DataFrame:
+    """The nodes with root, min_d and max_d: which subtree below the volume cut
+    each is in (null above it). From the far end inwards, a node's max is the
+    min of its parent (1e12 at a root) and its min its own, never above its
+    parent's. One sweep down."""
+    opened = (volume > root_volume) & (F.col("child_count") > 0)
+    carry = {
+        "root": (F.when(~opened, F.col("id")), F.coalesce(F.col("up_root"), F.when(~opened, F.col("id")))),
+        "max_d": (F.when(~opened, F.lit(1e12)), F.when(F.col("up_root").isNotNull(), F.col("up_min_d")).when(~opened, F.lit(1e12))),
+        "min_d": (F.when(~opened, own_min), F.when(F.col("up_root").isNotNull(), F.least(own_min, F.col("up_min_d"))).when(~opened, own_min)),
+    }
+    return down(Levels(nodes), carry)
+
+
 # -- bottom cuts and contraction ------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import levels
 from tessera.session import staged
 
 #: Levels after which a loop's rows are written, to cut lineage.
@@ -73,7 +74,8 @@ def descend(nodes: DataFrame, expands: Column, carry: dict[str, tuple[Column, Co
 def predicate_cut(nodes: DataFrame, visible: Column, refine: Column) -> DataFrame:
     """The cut: visible nodes reached through nodes that are visible and to be
     refined, that are leaves or not to be refined themselves."""
-    return descend(nodes, visible & refine & (F.col("child_count") > 0)).where(visible & ((F.col("child_count") == 0) | ~refine))
+    reached = levels.down(levels.Levels(nodes), {}, visible & refine & (F.col("child_count") > 0))
+    return reached.where(visible & ((F.col("child_count") == 0) | ~refine)).select(*nodes.columns)
 
 
 def depth_cut(nodes: DataFrame, target: int) -> DataFrame:
@@ -94,20 +96,8 @@ def roll_up(nodes: DataFrame, start: Column, combine, name: str) -> DataFrame:
     ``combine`` gets the rows of a level joined with their parents' columns
     (p_<column>) and returns the aggregate over a parent's children.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return nodes.withColumn(name, start)
-    level = nodes.where(F.col("depth") == deepest).withColumn(name, start)
-    out = level
-    for d in range(deepest - 1, -1, -1):
-        above = nodes.where(F.col("depth") == d)
-        pc = above.select(F.col("id").alias("_pid"), *[F.col(c).alias("p_" + c) for c in nodes.columns])
-        sums = level.join(pc, level["parent"] == pc["_pid"]).groupBy("_pid").agg(combine.alias("_v"))
-        level = above.join(sums, above["id"] == sums["_pid"], "left").withColumn(name, F.coalesce("_v", start)).select(*nodes.columns, name)
-        if d % LEVELS == 0:
-            level = staged(level, "rollup")
-        out = out.unionByName(level)
-    return out
+    found = levels.up(levels.Levels(nodes), {name: start}, {name: combine})
+    return found.select(*nodes.columns, name)
 
 
 def sibling_weights(nodes: DataFrame) -> DataFrame:
@@ -122,16 +112,8 @@ def subtree_ranges(nodes: DataFrame, root_volume: float, volume: Column, own_min
     max is the min of its parent (1e12 at a root) and its min its own, never
     above its parent's.
     """
-    upper = descend(nodes, (volume > root_volume) & (F.col("child_count") > 0))
-    roots = upper.where(~((volume > root_volume) & (F.col("child_count") > 0))).select("id").withColumnRenamed("id", "_root")
-    marked = nodes.join(roots, nodes["id"] == roots["_root"], "left")
-    as_roots = marked.withColumn("parent", F.when(F.col("_root").isNotNull(), F.lit(-1).cast("long")).otherwise(F.col("parent"))).where((F.col("parent") >= 0) | F.col("_root").isNotNull())
-    below = descend(
-        as_roots,
-        F.col("child_count") > 0,
-        {"root": (F.col("id"), F.col("up_root")), "max_d": (F.lit(1e12), F.col("up_min_d")), "min_d": (own_min, F.least(own_min, F.col("up_min_d")))},
-    )
-    return below.select("root", "id", "depth", "min_d", "max_d")
+    found = levels.subtree_ranges(nodes, root_volume, volume, own_min)
+    return found.where("root IS NOT NULL").select("root", "id", "depth", "min_d", "max_d")
 
 
 def interval_cut(ranges: DataFrame, distances: DataFrame) -> DataFrame:

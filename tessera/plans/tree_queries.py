@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, hierarchy, levels, relocation, tree
+from tessera.operators import blocks, hierarchy, levels, ranges, relocation, tree
 from tessera.plans.carriers import CAMERAS_SQL, NODES, POINTS, cameras, nodes, points
 from tessera.plans.registry import query
 
@@ -89,13 +89,29 @@ def spt_sort(spark, sf_dir):
 
 @query(f"{_RANGES}, dirty AS (SELECT DISTINCT root FROM spt JOIN n0 USING (id) WHERE n0.weight > 9.95e2) SELECT root, count(*) AS n FROM spt WHERE root IN (SELECT root FROM dirty) GROUP BY root")
 def spt_refresh(spark, sf_dir):
-    """Only the subtrees that own changed rows are computed again."""
+    """The subtrees that own changed rows, which a refresh has to compute again."""
     r = _ranges(spark, sf_dir)
     changed = nodes(spark, sf_dir).where("weight > 9.95e2").select("id")
     dirty = r.join(changed, "id", "left_semi").select("root").distinct()
     return r.join(dirty, "root", "left_semi").groupBy("root").agg(F.count("*").alias("n"))
 
 
+_SHRUNK = "CASE WHEN weight > 9.95e2 AND depth >= 4 THEN size * 5e-1 ELSE size END"
+
+
+@query(_RANGES.replace("upper AS (", f"small AS (SELECT * REPLACE ({_SHRUNK} AS size) FROM nodes), upper AS (", 1).replace("SELECT * FROM nodes WHERE parent", "SELECT * FROM small WHERE parent").replace("FROM nodes c", "FROM small c") + " SELECT root, id, depth, round(min_d, 6) AS min_d, round(max_d, 6) AS max_d FROM spt")
+def range_refresh(spark, sf_dir):
+    """Ranges kept as a table, after a change of some nodes of which it computes the owners' subtrees alone."""
+    from tessera.session import scratch
+
+    n = nodes(spark, sf_dir)
+    store = ranges.RangeStore(spark, scratch(spark, "range-store"), 0.5, "size", _OWN)
+    store.build(n)
+    changed = n.where("weight > 9.95e2 AND depth >= 4").withColumn("size", F.expr("size * 5e-1")).withColumn("gone", F.lit(False))
+    store.refresh(changed)
+    return store.read().select("root", "id", "depth", F.round("min_d", 6).alias("min_d"), F.round("max_d", 6).alias("max_d"))
+
+
 @query(f"{_RANGES}, q AS (SELECT root, id, depth, min_d, CASE WHEN min_d > max_d - 1e-9 AND max_d < 1e11 THEN max_d * 9e-1 ELSE min_d END AS fixed FROM spt) SELECT id, round(fixed, 6) AS min_d FROM q WHERE fixed <> min_d")
 def stuck_revive(spark, sf_dir):
     """Nodes that no distance can show get a smaller min."""
@@ -132,7 +148,8 @@ def subtree_rollup(spark, sf_dir):
     return out.select("id", F.col("_agg.n").alias("members"), F.col("_agg.s").alias("id_sum"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {NODES}, up AS (SELECT id, parent, x, y, z, size AS r FROM nodes UNION ALL SELECT p.id, p.parent, p.x, p.y, p.z, u.r + sqrt(power(u.x - p.x, 2) + power(u.y - p.y, 2) + power(u.z - p.z, 2)) FROM up u JOIN nodes p ON u.parent = p.id)
+SELECT id, round(max(r), 6) AS radius FROM up GROUP BY id""")
 def bounds_rollup(spark, sf_dir):
     """The radius around each node that holds the spheres of all below it."""
     n = nodes(spark, sf_dir).select("id", "depth", "parent", "x", "y", "z", "size")
