@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import scalar_queries, spatial_queries, stateful_queries, tree_queries  # noqa: F401
+from tessera.plans import file_queries, scalar_queries, spatial_queries, stateful_queries, tree_queries  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 

@@ -10,7 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.reconstruction import Cursor, exists, parsed
+from tessera.sources import records
+from tessera.sources.pointers import Pointers
+from tessera.sources.records import Section
 
 STATIC_POINTS = "id long, xyz array<float>, rotation array<float>, scale array<float>, opacity float, sh array<float>"
 STATIC_NODES = "id long, depth int, parent int, start int, count_leafs int, count_merged int, start_children int, count_children int, box_min array<float>, box_max array<float>"
@@ -19,55 +21,51 @@ SH = 48
 SHORTS = ("depth", "count_children", "count_leafs", "count_merged")
 
 
-def _sections(raw: bytes) -> tuple[list[np.ndarray], list[dict], np.ndarray]:
-    """Point sections, nodes and boxes; a negative count means half-precision floats and short node fields."""
-    c = Cursor(raw)
-    (count,) = c.take("i")
-    half, n = count < 0, abs(count)
-    real = "<f2" if half else "<f4"
-    points = [c.array("<f4", 3 * n).reshape(n, 3)] + [c.array(real, k * n).reshape(n, k).astype("f4") for k in (4, 3, 1, SH)]
-    (m,) = c.take("i")
-    if half:
-        rec = c.array("<i4,<i4,<i4,(4,)<i2", m)
-        nodes = [{"parent": int(r[0]), "start": int(r[1]), "start_children": int(r[2])} | {k: int(v) for k, v in zip(SHORTS, r[3], strict=True)} for r in rec]
-    else:
-        order = ("depth", "parent", "start", "count_leafs", "count_merged", "start_children", "count_children")
-        nodes = [dict(zip(order, map(int, r), strict=True)) for r in c.array("<i4", 7 * m).reshape(m, 7)]
-    boxes = c.array(real, 8 * m).reshape(m, 2, 4).astype("f4")
-    return points, nodes, boxes
+LONGS = ("depth", "parent", "start", "count_leafs", "count_merged", "start_children", "count_children")
 
 
-def read_static_points(spark: SparkSession, path: str) -> DataFrame:
-    def parse(raw: bytes) -> list[tuple]:
-        (xyz, rot, scale, opacity, sh), _, _ = _sections(raw)
-        return [(k, xyz[k].tolist(), rot[k].tolist(), scale[k].tolist(), float(opacity[k, 0]), sh[k].tolist()) for k in range(len(xyz))]
+def _static(n: int, m: int, half: bool) -> tuple[list[Section], list[Section], int]:
+    """Sections of the points and of the nodes, and where the number of nodes stands."""
+    real, size = ("f2", 2) if half else ("f4", 4)
+    points, at = [Section(4, (("xyz", "f4", 3),))], 4 + 12 * n
+    for c, w in (("rotation", 4), ("scale", 3), ("opacity", 0), ("sh", SH)):
+        points.append(Section(at, ((c, real, w),)))
+        at += size * n * max(w, 1)
+    ints = (*((c, "i4", 0) for c in ("parent", "start", "start_children")), *((c, "i2", 0) for c in SHORTS)) if half else tuple((c, "i4", 0) for c in LONGS)
+    node = Section(at + 4, ints)
+    boxes = Section(at + 4 + m * node.dtype.itemsize, (("box_min", real, 4), ("box_max", real, 4)))
+    return points, [node, boxes], at
+
+
+def _counts(path: str) -> tuple[int, int, bool]:
+    """Points, nodes, and whether numbers are short: the count of points is negative then."""
+    count = records.number(path, 0)
+    half = count < 0
+    return abs(count), records.number(path, _static(abs(count), 0, half)[2]), half
 
-    return parsed(spark, path, parse, STATIC_POINTS)
+
+def read_static_points(spark: SparkSession, path: str) -> DataFrame:
+    n, m, half = _counts(path)
+    return records.read_records(spark, path, _static(n, m, half)[0], n)
 
 
 def read_static_nodes(spark: SparkSession, path: str) -> DataFrame:
-    def parse(raw: bytes) -> list[tuple]:
-        _, nodes, boxes = _sections(raw)
-        names = ("depth", "parent", "start", "count_leafs", "count_merged", "start_children", "count_children")
-        return [(k, *[n[c] for c in names], boxes[k, 0].tolist(), boxes[k, 1].tolist()) for k, n in enumerate(nodes)]
-
-    return parsed(spark, path, parse, STATIC_NODES)
-
-
-def packed_static(points: list, nodes: list, half: bool = False) -> bytes:
-    """A file of collected rows."""
-    real = "<f2" if half else "<f4"
-    points, nodes = sorted(points, key=lambda r: r["id"]), sorted(nodes, key=lambda r: r["id"])
-    flat = lambda rows, c, kind: np.array([r[c] for r in rows], kind).tobytes()
-    out = [np.array([-len(points) if half else len(points)], "<i4").tobytes(), flat(points, "xyz", "<f4")]
-    out += [flat(points, c, real) for c in ("rotation", "scale", "opacity", "sh")] + [np.array([len(nodes)], "<i4").tobytes()]
-    if half:
-        kind = np.dtype([("a", "<i4", 3), ("b", "<i2", 4)])
-        out.append(np.array([((r["parent"], r["start"], r["start_children"]), tuple(r[c] for c in SHORTS)) for r in nodes], kind).tobytes())
-    else:
-        out.append(np.array([[r[c] for c in ("depth", "parent", "start", "count_leafs", "count_merged", "start_children", "count_children")] for r in nodes], "<i4").tobytes())
-    out.append(np.array([[r["box_min"], r["box_max"]] for r in nodes], real).tobytes())
-    return b"".join(out)
+    n, m, half = _counts(path)
+    rows = records.read_records(spark, path, _static(n, m, half)[1], m)
+    return rows.select("id", *[F.col(c).cast("int").alias(c) for c in LONGS], "box_min", "box_max")
+
+
+def write_static(points: DataFrame, nodes: DataFrame, path: str, half: bool = False) -> tuple[int, int]:
+    """A static hierarchy of both tables, in the order of their ids; ``half``
+    writes floats of two bytes and short node fields."""
+
+    def layout(counts: list[int]) -> tuple[list[tuple[int, bytes]], list[list[Section]]]:
+        n, m = counts
+        a, b, at = _static(n, m, half)
+        return [(0, np.array([-n if half else n], "<i4").tobytes()), (at, np.array([m], "<i4").tobytes())], [a, b]
+
+    n, m = records.write_records(path, [points, nodes], layout)
+    return n, m
 
 
 def graph_lines(nodes: DataFrame, max_depth: int) -> DataFrame:
@@ -113,10 +111,11 @@ def read_profile(spark: SparkSession, path: str, schema: str, warmup: int) -> Da
 
 
 def save_checkpoint(rows: DataFrame, folder: str, contract: dict) -> None:
-    """Rows under a new name, then the pointer with the contract; the old rows stay until they are cleared."""
+    """Rows under a new name, then the next pointer with the contract; the old rows stay until they are cleared."""
     spark, name = rows.sparkSession, uuid.uuid4().hex
     rows.write.parquet(f"{folder}/{name}")
-    spark.createDataFrame([(json.dumps({"rows": name, "contract": contract}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/pointer")
+    pointers = Pointers(spark, folder)
+    pointers.commit(pointers.last() + 1, json.dumps({"rows": name, "contract": contract}, sort_keys=True))
 
 
 def load_checkpoint(spark: SparkSession, folder: str, contract: dict, iteration: int, may_grow: tuple[str, ...], finite: list[str]) -> tuple[DataFrame, bool]:
@@ -124,9 +123,11 @@ def load_checkpoint(spark: SparkSession, folder: str, contract: dict, iteration:
     and so is, when it is read, a row with a value in ``finite`` that isn't."""
     from tessera.operators.stateful import contract_matches
 
-    if not exists(spark, f"{folder}/pointer"):
+    pointers = Pointers(spark, folder)
+    last = pointers.last()
+    if last < 0:
         raise FileNotFoundError(folder)
-    state = json.loads(spark.read.text(f"{folder}/pointer").first()["value"])
+    state = json.loads(pointers.read(last))
     fine, fresh = contract_matches(state["contract"], contract, iteration, may_grow)
     if not fine:
         raise ValueError("the checkpoint was made under another contract")

@@ -1,17 +1,16 @@
-"""Point clouds and splats in PLY files, and hierarchies in their binary formats."""
+"""Point clouds and splats in PLY files, and hierarchies in their binary formats,
+all read and written by byte ranges."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import ship
-from tessera.sources.reconstruction import Cursor, parsed
+from tessera.sources import records
+from tessera.sources.records import Section
 
 #: PLY's names of number types.
 TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
@@ -35,27 +34,44 @@ def header(raw: bytes) -> tuple[int, np.dtype, int]:
     return count, np.dtype(fields), body
 
 
-def vertices(raw: bytes) -> np.ndarray:
-    n, kind, at = header(raw)
-    return np.frombuffer(raw, kind, n, at)
+def read_ply(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """id and the properties of a file's vertices, as they are."""
+    n, kind, at = header(records.head(path))
+    fields = tuple((c, kind[c].str.lstrip("<|"), 0) for c in kind.names)
+    return records.read_records(spark, path, [Section(at, fields)], n, skip)
 
 
 def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     """id, x, y, z, r, g, b in 0 to 1 (0.5 if the file has no colours), nx, ny, nz (0 if none)."""
-    ship(spark)
-    names = ["id", "x", "y", "z", "r", "g", "b", "nx", "ny", "nz"]
+    v = read_ply(spark, path)
+    has = set(v.columns)
+    real = lambda c: F.col(c).cast("double")
+    colours = [(real(n) / 255.0 if n in has else F.lit(0.5)).alias(a) for a, n in (("r", "red"), ("g", "green"), ("b", "blue"))]
+    normals = [(real(n) if n in has else F.lit(0.0)).alias(n) for n in ("nx", "ny", "nz")]
+    return v.select("id", *[real(c).alias(c) for c in "xyz"], *colours, *normals)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw in pdf["content"]:
-                v = vertices(bytes(raw))
-                has = v.dtype.names
-                col = {"id": np.arange(len(v), dtype=np.int64)} | {c: v[c].astype(float) for c in "xyz"}
-                col |= {a: v[n] / 255.0 if n in has else np.full(len(v), 0.5) for a, n in (("r", "red"), ("g", "green"), ("b", "blue"))}
-                col |= {n: v[n].astype(float) if n in has else np.zeros(len(v)) for n in ("nx", "ny", "nz")}
-                yield pd.DataFrame(col)[names]
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id long, " + ", ".join(f"{n} double" for n in names[1:]))
+#: The properties of a cloud's file.
+CLOUD = (*((c, "f4", 0) for c in ("x", "y", "z", "nx", "ny", "nz")), *((c, "u1", 0) for c in ("red", "green", "blue")))
+
+
+def write_cloud(cloud: DataFrame, path: str) -> int:
+    """A cloud (id, x, y, z, r, g, b and, if it has them, nx, ny, nz) as one
+    file in the order of ids; colours are rounded to bytes."""
+    byte = lambda c: F.round(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * 255).cast("smallint")
+    normals = [F.col(c) if c in cloud.columns else F.lit(0.0).alias(c) for c in ("nx", "ny", "nz")]
+    rows = cloud.select("id", *"xyz", *normals, *[byte(a).alias(n) for a, n in (("r", "red"), ("g", "green"), ("b", "blue"))])
+    return _write_ply(rows, path, CLOUD)
+
+
+def _write_ply(rows: DataFrame, path: str, fields: tuple[tuple[str, str, int], ...]) -> int:
+    named = {v: k for k, v in TYPES.items() if not k[-1].isdigit()}
+
+    def layout(counts: list[int]) -> tuple[list[tuple[int, bytes]], list[list[Section]]]:
+        top = file_header([(c, named[t]) for c, t, _ in fields], counts[0])
+        return [(0, top)], [[Section(len(top), fields)]]
+
+    return records.write_records(path, [rows], layout)[0]
 
 
 def _numbered(names: tuple[str, ...], prefix: str) -> list[str]:
@@ -68,18 +84,15 @@ SPLATS = "id long, xyz array<float>, scale array<float>, rotation array<float>,
 def read_splats(spark: SparkSession, path: str, degree: int, skip: int = 0) -> DataFrame:
     """Rows of a splat file; rest goes from channels first in the file to
     coefficients first. ``skip`` leaves out the file's first rows."""
-
-    def parse(raw: bytes) -> list[tuple]:
-        v = vertices(raw)
-        rest = _numbered(v.dtype.names, "f_rest_")
-        if len(rest) != 3 * (degree + 1) ** 2 - 3:
-            raise ValueError(f"{len(rest)} rest columns for degree {degree}")
-        pick = lambda cols: np.stack([v[c] for c in cols], 1) if cols else np.zeros((len(v), 0), "f4")
-        r = pick(rest).reshape(len(v), 3, -1).transpose(0, 2, 1).reshape(len(v), -1) if rest else pick(rest)
-        parts = [pick(["x", "y", "z"]), pick(_numbered(v.dtype.names, "scale_")), pick(_numbered(v.dtype.names, "rot_")), pick(_numbered(v.dtype.names, "f_dc_"))]
-        return [(k, *[p[k].tolist() for p in parts], float(v["opacity"][k]), r[k].tolist()) for k in range(skip, len(v))]
-
-    return parsed(spark, path, parse, SPLATS)
+    v = read_ply(spark, path, skip)
+    names = tuple(v.columns)
+    rest = _numbered(names, "f_rest_")
+    n = (degree + 1) ** 2 - 1
+    if len(rest) != 3 * n:
+        raise ValueError(f"{len(rest)} rest columns for degree {degree}")
+    group = lambda cols: F.array(*[F.col(c).cast("float") for c in cols]) if cols else F.array().cast("array<float>")
+    by_coefficient = [rest[c * n + k] for k in range(n) for c in range(3)]
+    return v.select("id", group("xyz").alias("xyz"), group(_numbered(names, "scale_")).alias("scale"), group(_numbered(names, "rot_")).alias("rotation"), group(_numbered(names, "f_dc_")).alias("dc"), F.col("opacity").cast("float").alias("opacity"), group(by_coefficient).alias("rest"))
 
 
 def activated(splats: DataFrame) -> DataFrame:
@@ -98,70 +111,42 @@ def file_header(properties: list[tuple[str, str]], count: int) -> bytes:
     return "\n".join(lines).encode("ascii")
 
 
-def splat_parts(splats: DataFrame, degree: int) -> DataFrame:
-    """part, count and body: the rows of each range of ids as bytes of a file's
-    body; a row that is not finite is an error."""
-    ship(splats.sparkSession)
-    n = (degree + 1) ** 2 - 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        for k, pdf in enumerate(batches):
-            if not len(pdf):
-                continue
-            col = lambda c: np.array(pdf[c].tolist(), "f4").reshape(len(pdf), -1)
-            rest = col("rest").reshape(len(pdf), n, 3).transpose(0, 2, 1).reshape(len(pdf), -1) if n else np.zeros((len(pdf), 0), "f4")
-            m = np.concatenate([col("xyz"), np.zeros((len(pdf), 3), "f4"), col("dc"), rest, pdf[["opacity"]].to_numpy("f4"), col("scale"), col("rotation")], 1)
-            if not np.isfinite(m).all():
-                raise ValueError("a row is not finite")
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId() * (1 << 20) + k], "count": [len(pdf)], "body": [m.astype("<f4").tobytes()]})
-
-    return splats.repartitionByRange("id").sortWithinPartitions("id").mapInPandas(run, "part long, count long, body binary")
-
-
 def write_splats(splats: DataFrame, path: str, degree: int, where: Column | None = None) -> int:
-    """One file, in the order of ids. Parts are made by the tasks and appended
-    one by one; the file gets its name when it is complete."""
-    import os
-    import uuid
-
-    from tessera.session import staged
-
-    parts = staged(splat_parts(splats if where is None else splats.where(where), degree), "splats")
-    total = parts.agg(F.sum("count")).first()[0] or 0
-    temporary = f"{path}.{uuid.uuid4().hex}"
-    with open(temporary, "wb") as f:
-        f.write(file_header([(n, "float") for n in splat_properties(degree)], total))
-        for r in parts.orderBy("part").select("body").toLocalIterator():
-            f.write(r["body"])
-    os.replace(temporary, path)
-    return total
+    """One file, in the order of ids; a row that is not finite is an error."""
+    n = (degree + 1) ** 2 - 1
+    rows = splats if where is None else splats.where(where)
+    channels = F.transform(F.sequence(F.lit(0), F.lit(3 * n - 1)), lambda j: F.get(F.col("rest"), (j % n) * 3 + F.floor(j / n).cast("int"))) if n else F.array().cast("array<float>")
+    names = splat_properties(degree)
+    flat = F.concat("xyz", F.array_repeat(F.lit(0.0).cast("float"), 3), "dc", channels, F.array("opacity"), "scale", "rotation")
+    every = rows.select("id", flat.alias("_all"))
+    return _write_ply(every.select("id", *[F.get("_all", F.lit(k)).alias(c) for k, c in enumerate(names)]), path, tuple((c, "f4", 0) for c in names))
 
 
 NODES = "id long, xyz array<float>, rotation array<float>, scale array<float>, opacity float, sh array<float>, depth int, parent int, child_count int, first_child int, next_sibling int, aux int"
 
 
-def parse_hierarchy(raw: bytes) -> list[tuple]:
-    """A dynamic hierarchy: sections of arrays, then six integers a node."""
-    c = Cursor(raw)
-    n, degree = c.take("ii")
-    width = 3 * (degree + 1) ** 2
-    xyz, rot, scale, opacity, sh = (c.array("<f4", n * k).reshape(n, k) for k in (3, 4, 3, 1, width))
-    c.take("i")
-    nodes = c.array("<i4", 6 * n).reshape(n, 6)
-    return [(k, xyz[k].tolist(), rot[k].tolist(), scale[k].tolist(), float(opacity[k, 0]), sh[k].tolist(), *map(int, nodes[k])) for k in range(n)]
+def _hierarchy(n: int, degree: int) -> list[Section]:
+    """Sections of a dynamic hierarchy: arrays, then six integers a node."""
+    out, at = [], 8
+    for c, w in (("xyz", 3), ("rotation", 4), ("scale", 3), ("opacity", 0), ("sh", 3 * (degree + 1) ** 2)):
+        out.append(Section(at, ((c, "f4", w),)))
+        at += 4 * n * max(w, 1)
+    return [*out, Section(at + 4, tuple((c, "i4", 0) for c in ("depth", "parent", "child_count", "first_child", "next_sibling", "aux")))]
 
 
 def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(spark, path, parse_hierarchy, NODES)
+    n, degree = np.frombuffer(records.head(path, 8), "<i4").tolist()
+    return records.read_records(spark, path, _hierarchy(n, degree), n)
+
+
+def write_hierarchy(rows: DataFrame, path: str, degree: int) -> int:
+    """Rows of NODES as a dynamic hierarchy, in the order of ids."""
 
+    def layout(counts: list[int]) -> tuple[list[tuple[int, bytes]], list[list[Section]]]:
+        sections = _hierarchy(counts[0], degree)
+        return [(0, np.array([counts[0], degree], "<i4").tobytes()), (sections[-1].offset - 4, np.array(counts, "<i4").tobytes())], [sections]
 
-def packed_hierarchy(rows: list, degree: int) -> bytes:
-    rows = sorted(rows, key=lambda r: r["id"])
-    flat = lambda c: np.array([r[c] for r in rows], "<f4").tobytes()
-    nodes = np.array([[r[c] for c in ("depth", "parent", "child_count", "first_child", "next_sibling", "aux")] for r in rows], "<i4")
-    return np.array([len(rows), degree], "<i4").tobytes() + b"".join(map(flat, ("xyz", "rotation", "scale", "opacity", "sh"))) + np.array([len(rows)], "<i4").tobytes() + nodes.tobytes()
+    return records.write_records(path, [rows], layout)[0]
 
 
 def with_background(tree: DataFrame, background: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +12,12 @@ from tests.test_sources import canon
 def test_static_hierarchies_round_trip(spark, tmp_path, half):
     pts = spark.createDataFrame([(k, [1.5 * k, 0.0, 2.0], [1.0, 0.0, 0.0, 0.0], [0.5] * 3, 0.25, [0.125] * 48) for k in range(3)], h.STATIC_POINTS)
     nodes = spark.createDataFrame([(0, 1, -1, 0, 0, 1, 1, 2, [0.0] * 4, [1.0] * 4), (1, 0, 0, 1, 1, 0, -1, 0, [0.5] * 4, [2.0] * 4)], h.STATIC_NODES)
-    (tmp_path / "h.hier").write_bytes(h.packed_static(pts.collect(), nodes.collect(), half))
     path = f"file://{tmp_path}/h.hier"
+    assert h.write_static(pts, nodes.repartition(2), path, half) == (3, 2)
+    raw = (tmp_path / "h.hier").read_bytes()
+    real = 2 if half else 4
+    assert len(raw) == 4 + 3 * (12 + real * 56) + 4 + 2 * ((20 if half else 28) + real * 8)
+    assert struct.unpack("<i", raw[:4])[0] == (-3 if half else 3) and struct.unpack("<3f", raw[16:28]) == (1.5, 0.0, 2.0)
     assert canon(h.read_static_points(spark, path)) == canon(pts)
     assert canon(h.read_static_nodes(spark, path)) == canon(nodes)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.sources import ply, reconstruction as rec
+from tessera.sources import ply, records, reconstruction as rec
 from tessera.sources.block_store import BlockStore
 
 
@@ -89,6 +89,34 @@ def test_splats_round_trip(spark, tmp_path, degree):
         ply.read_splats(spark, f"file://{path}", (degree + 1) % 4).collect()
 
 
+def test_clouds_round_trip_in_many_parts(spark, tmp_path, monkeypatch):
+    """Rows are split by byte ranges, in records that don't align with anything."""
+    monkeypatch.setattr(records, "PART_BYTES", 27 * 101)
+    monkeypatch.setattr(records, "BATCH_BYTES", 27 * 10)
+    df = spark.range(1000).select("id", *[(F.col("id") * k).cast("float").cast("double").alias(c) for k, c in enumerate("xyz")], *[((F.col("id") * k) % 256 / 255).alias(c) for k, c in enumerate("rgb")])
+    path = f"file://{tmp_path}/new/c.ply"
+    assert ply.write_cloud(df.repartition(5), path) == 1000
+    back = ply.read_cloud(spark, path)
+    assert back.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, back.drop("nx", "ny", "nz").collect())) == sorted(map(tuple, df.collect()))
+    raw = (tmp_path / "new" / "c.ply").read_bytes()
+    assert len(raw) == raw.index(b"end_header\n") + 11 + 27 * 1000
+    assert ply.read_ply(spark, path, skip=990).count() == 10
+    assert ply.write_cloud(df.limit(0), path) == 0 and ply.read_cloud(spark, path).count() == 0
+    (tmp_path / "short.ply").write_bytes(raw[:-1])
+    with pytest.raises(Exception, match="last record"):
+        ply.read_cloud(spark, f"file://{tmp_path}/short.ply").collect()
+
+
+def test_arrays_of_wrong_length_leave_no_file(spark, tmp_path):
+    rows = [(k, [0.0] * 3, [0.0] * 4, [0.0] * 3, 0.5, [0.0] * (12 - k), 0, 0, 0, 0, 0, 0) for k in range(2)]
+    with pytest.raises(Exception, match="sh has not 12"):
+        ply.write_hierarchy(spark.createDataFrame(rows, ply.NODES), f"file://{tmp_path}/h", 1)
+    with pytest.raises(Exception):
+        ply.write_hierarchy(spark.createDataFrame(rows, ply.NODES), "hdfs://nowhere/h", 1)
+    assert not list(tmp_path.iterdir())
+
+
 def test_bad_rows_leave_no_file(spark, tmp_path):
     df = spark.createDataFrame([(0, [float("nan"), 0.0, 0.0], [0.0] * 3, [1.0, 0.0, 0.0, 0.0], [0.0] * 3, 0.0, [])], ply.SPLATS)
     with pytest.raises(Exception, match="not finite"):
@@ -105,7 +133,9 @@ def test_activated(spark):
 def test_hierarchy_round_trip(spark, tmp_path):
     rows = [(k, [float(k)] * 3, [1.0, 0.0, 0.0, 0.0], [0.5] * 3, 0.25, [0.5] * 12, 0 if k == 0 else 1, -1 if k == 0 else 0, 2 if k == 0 else 0, 1 if k == 0 else 0, 2 if k == 1 else 0, 0) for k in range(3)]
     df = spark.createDataFrame(rows, ply.NODES)
-    (tmp_path / "h.dhier").write_bytes(ply.packed_hierarchy(df.collect(), 1))
+    assert ply.write_hierarchy(df, f"file://{tmp_path}/h.dhier", 1) == 3
+    raw = (tmp_path / "h.dhier").read_bytes()
+    assert len(raw) == 8 + 3 * 4 * 23 + 4 + 3 * 24 and struct.unpack("<ii", raw[:8]) == (3, 1)
     back = ply.read_hierarchy(spark, f"file://{tmp_path}/h.dhier")
     assert canon(back) == canon(df)
     both = ply.with_background(back, spark.createDataFrame([(0, [9.0] * 3, [1.0, 0.0, 0.0, 0.0], [0.5] * 3, 3.0, [0.5] * 12)], "id long, xyz array<float>, rotation array<float>, scale array<float>, opacity double, sh array<float>"))
