@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows, or groups, that one group of a multinomial draw has.
+GROUP = 4_096
+
+
 def manifest(points: DataFrame, radius: str, key: str = "block") -> DataFrame:
     """Row count and bounds of every block, spheres included: a zone map."""
     r = F.expr(radius)
@@ -90,6 +94,62 @@ def weighted_draws(rows: DataFrame, draws: int, step: int) -> DataFrame:
     return hit.groupBy("id").agg(F.count("*").alias("n"))
 
 
+def multinomial(rows: DataFrame, draws: int, seed: int, weight: str = "w") -> DataFrame:
+    """id and n of ``draws`` draws with replacement in proportion to ``weight``;
+    rows that no draw hits are left out.
+
+    The draws are split down: over a fixed number of groups of ids, then over
+    the ids of a group, each time by binomials of what is left. Seeds come from
+    the group, not from tasks, so the same rows give the same counts under any
+    partitioning; nothing grows with the draws.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from tessera.session import ship, staged
+
+    spark = rows.sparkSession
+    ship(spark)
+    total = rows.where(F.col(weight) > 0).count()
+    if not total or draws <= 0:
+        return rows.limit(0).select("id", F.lit(0).cast("long").alias("n"))
+    # groups by the order of ids, which no partitioning changes
+    placed = dense_rank(rows.where(F.col(weight) > 0).select("id", F.col(weight).cast("double").alias("_w")), ["id"], "_k")
+    placed = staged(placed.withColumn("_group", F.floor(F.col("_k") / GROUP).cast("long")), "drawn-from")
+    sums = placed.groupBy("_group").agg(F.sum("_w").alias("_w"))
+
+    def split(level: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            key = "_k" if level < 0 else "_group"
+            pdf = pdf.sort_values(key, kind="stable")
+            r = np.random.default_rng([seed, level + 2, int(pdf["_of"].iloc[0])])
+            w = pdf["_w"].to_numpy()
+            left, rest = int(pdf["_draws"].iloc[0]), np.cumsum(w[::-1])[::-1]
+            out = np.zeros(len(w), np.int64)
+            for k in range(len(w)):
+                if not left:
+                    break
+                out[k] = left if k == len(w) - 1 else r.binomial(left, min(1.0, w[k] / rest[k]))
+                left -= out[k]
+            return pd.DataFrame({key: pdf[key], "n": out})
+
+        return run
+
+    # up: sums of groups of groups, until one is left
+    tiers = [staged(sums, "draw-tier")]
+    while tiers[-1].count() > 1:
+        tiers.append(staged(tiers[-1].groupBy(F.floor(F.col("_group") / GROUP).cast("long").alias("_group")).agg(F.sum("_w").alias("_w")), "draw-tier"))
+    # down: the draws of a group are dealt to its parts
+    dealt = tiers[-1].select("_group", F.lit(draws).cast("long").alias("n"))
+    for level in range(len(tiers) - 2, -1, -1):
+        parts = tiers[level].withColumn("_of", F.floor(F.col("_group") / GROUP).cast("long"))
+        j = parts.join(dealt.where("n > 0").select(F.col("_group").alias("_of"), F.col("n").alias("_draws")), "_of")
+        dealt = staged(j.groupBy("_of").applyInPandas(split(level), "_group long, n long"), "draw-tier")
+    j = placed.join(dealt.where("n > 0").select("_group", F.col("n").alias("_draws")), "_group").withColumn("_of", F.col("_group"))
+    drawn = j.select("_of", "_k", "_w", "_draws").groupBy("_of").applyInPandas(split(-1), "_k long, n long").where("n > 0")
+    return placed.join(drawn, "_k").select("id", "n")
+
+
 def digest(rows: DataFrame, value: Column) -> DataFrame:
     """A digest of whole numbers that does not depend on the order of rows: their
     sum modulo 2 ** 62, in which rows that are equal count each."""

@@ -14,46 +14,6 @@ def frustum_filter(points: DataFrame, clip: list[str], radius: str, always: Colu
     return points.where(seen if always is None else seen | always)
 
 
-def knn(points: DataFrame, k: int, cell: float, others: DataFrame | None = None) -> DataFrame:
-    """The k nearest other rows of each row: id, nid, d2, rank (ties by id).
-
-    Points fall into grid cells; a row meets, by an equality join, those of the
-    cells within one ring. What is found is exact for a row if its kth distance
-    is no more than the cell size; for the rest the cell size doubles, so the
-    loop ends when one cell holds all. No row is compared with all others
-    unless the data are that sparse.
-    """
-    done: DataFrame | None = None
-    source = others if others is not None else points
-    todo, size = points.select("id", "x", "y", "z"), cell
-    total = source.count()
-    if total <= 1:
-        k = min(k, max(total - (others is None), 0))
-    bounds = source.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    extent = max((bounds[f"hi{c}"] or 0.0) - (bounds[f"lo{c}"] or 0.0) for c in "xyz")
-    while True:
-        at = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: E731, B023
-        ring = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        near = todo.select("id", "x", "y", "z", F.explode(ring).alias("i"), at("x").alias("cx"), at("y").alias("cy"), at("z").alias("cz"))
-        near = near.select("id", "x", "y", "z", (F.col("cx") + F.col("i")).alias("cx"), F.explode(ring).alias("j"), "cy", "cz").select("id", "x", "y", "z", "cx", (F.col("cy") + F.col("j")).alias("cy"), F.explode(ring).alias("l"), "cz").select("id", "x", "y", "z", "cx", "cy", (F.col("cz") + F.col("l")).alias("cz"))
-        held = source.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"), at("x").alias("cx"), at("y").alias("cy"), at("z").alias("cz"))
-        pairs = near.join(held, ["cx", "cy", "cz"]).where(F.col("id") != F.col("nid")) if others is None else near.join(held, ["cx", "cy", "cz"])
-        d2 = sum(((F.col(a) - F.col("n" + a)) * (F.col(a) - F.col("n" + a)) for a in "xyz"), F.lit(0.0))
-        ranked = pairs.select("id", "nid", d2.alias("d2")).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nid"))).where(F.col("rank") <= k)
-        if size >= extent:
-            return ranked if done is None else done.unionByName(ranked)
-        from tessera.session import staged
-
-        ranked = staged(ranked, "knn")
-        sure = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= size * size)).select("id")
-        part = ranked.join(sure, "id", "left_semi")
-        done = part if done is None else done.unionByName(part)
-        todo = staged(todo.join(sure, "id", "left_anti"), "knn-rest")
-        if not todo.take(1):
-            return done
-        size *= 2
-
-
 def mean_distance2(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("id").agg(F.avg("d2").alias("mean_d2"))
 

@@ -63,10 +63,10 @@ NODES = (
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of events as a step log: step (from 1), camera, kind, value."""
-    from pyspark.sql import Window
+    from tessera.operators.blocks import dense_rank
 
-    e = table(spark, sf_dir, "events")
-    return e.select(F.row_number().over(Window.orderBy("ts", "event_id")).cast("long").alias("step"), F.col("user_id").alias("camera"), F.col("event_type").alias("kind"), "value", "event_id", "ts")
+    e = table(spark, sf_dir, "events").select("ts", "event_id", F.col("user_id").alias("camera"), F.col("event_type").alias("kind"), "value")
+    return dense_rank(e, ["ts", "event_id"], "_at").select((F.col("_at") + 1).alias("step"), "camera", "kind", "value", "event_id", "ts")
 
 
 STEPS = "steps AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS step, user_id AS camera, event_type AS kind, value, event_id, ts FROM events)"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, silhouette, spatial
+from tessera.operators import blocks, neighbours, ranks, silhouette, spatial
 from tessera.plans.carriers import CAMERAS_SQL, CLIP, MASK, POINTS, VIEWS, cameras, mask, points, views
 from tessera.plans.registry import query
 
@@ -75,7 +75,7 @@ def mask_vote(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nid) AS k FROM d)
 SELECT id, round(avg(d2), 9) AS mean_d2 FROM r WHERE k <= 3 GROUP BY id""")
 def knn3_mean_dist2(spark, sf_dir):
-    near = spatial.knn(points(spark, sf_dir), 3, 0.06)
+    near = neighbours.nearest(points(spark, sf_dir), 3)
     return spatial.mean_distance2(near).select("id", F.round("mean_d2", 9).alias("mean_d2"))
 
 
@@ -83,7 +83,7 @@ def knn3_mean_dist2(spark, sf_dir):
 SELECT src, dst, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS k FROM d) WHERE k <= 5""")
 def knn_edges(spark, sf_dir):
     """A directed graph of cameras, each to its five nearest, the held-out ones (label 0) left out."""
-    near = spatial.knn(points(spark, sf_dir).where("NOT background"), 5, 0.08)
+    near = neighbours.nearest(points(spark, sf_dir).where("NOT background"), 5)
     return near.select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.round(F.sqrt("d2"), 6).alias("weight"))
 
 
@@ -147,13 +147,15 @@ def scene_norm(spark, sf_dir):
     p = points(spark, sf_dir)
     mean = p.agg(*[F.avg(c).alias("m" + c) for c in "xyz"])
     d = F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2 + (F.col("z") - F.col("mz")) ** 2)
-    return p.join(F.broadcast(mean)).groupBy("mx", "my", "mz").agg((1.1 * F.percentile(d, 0.9)).alias("r")).select(*[F.round("m" + c, 6).alias("c" + c) for c in "xyz"], F.round("r", 6).alias("radius"))
+    far = ranks.quantiles(p.join(F.broadcast(mean)), d, [0.9])[0]
+    return mean.select(*[F.round("m" + c, 6).alias("c" + c) for c in "xyz"], F.round(1.1 * F.lit(far).cast("double"), 6).alias("radius"))
 
 
 @query(f"WITH {POINTS} SELECT round(quantile_cont(x, 5e-1), 6) AS cx, round(quantile_cont(y, 5e-1), 6) AS cy, round(quantile_cont(z, 5e-1), 6) AS cz FROM pts WHERE op > -22e-2 AND NOT background")
 def home_view(spark, sf_dir):
     p = points(spark, sf_dir).where("op > -22e-2 AND NOT background")
-    return p.agg(*[F.round(F.percentile(c, 0.5), 6).alias("c" + c) for c in "xyz"])
+    middle = {c: ranks.quantiles(p, F.col(c), [0.5])[0] for c in "xyz"}
+    return spark.createDataFrame([tuple(middle.values())], "cx double, cy double, cz double").select(*[F.round("c" + c, 6).alias("c" + c) for c in "xyz"])
 
 
 _MIN = ", ".join(f"min({c}) OVER () AS lo_{c}, max({c}) OVER () AS hi_{c}" for c in "xyz")
@@ -188,8 +190,7 @@ g AS (SELECT id, band, code, (row_number() OVER (PARTITION BY band ORDER BY code
 
 def _banded(spark, sf_dir):
     p = _with_bounds(points(spark, sf_dir)).withColumn("s", F.greatest("s0", "s1", "s2"))
-    mid = p.agg(F.percentile("s", 0.5).alias("mid"))
-    p = p.join(F.broadcast(mid))
+    p = p.withColumn("mid", F.lit(ranks.quantiles(p, F.col("s"), [0.5])[0]).cast("double"))
     band = F.greatest(F.ceil(F.expr("(ln(3e0) + s - ln(12e-1) - mid) / ln(2e0)")), F.lit(0).cast("long"))
     p = p.select("id", "x", "y", "z", "s0", "s1", "s2", "background", *[F.expr(c).alias(n) for c, n in zip(_CELLS, ("qx_", "qy_", "qz_"), strict=True)], band.alias("band")).withColumn("code", F.expr(_CODE).cast("long"))
     return p

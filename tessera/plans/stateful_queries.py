@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
-from tessera.operators import blocks, hierarchy, spatial, stateful
+from tessera.operators import blocks, hierarchy, neighbours, ranks, stateful
 from tessera.plans.carriers import POINTS, STEPS, nodes, points, steps
 from tessera.plans.registry import query
 from tessera.plans.tree_queries import kd_full_sql
@@ -51,8 +51,9 @@ def score_max_merge(spark, sf_dir):
 @query(f"WITH {STEPS} SELECT count(*) AS visible, count(*) FILTER (WHERE value > 0) AS positive, count(*) FILTER (WHERE value > 100) AS eligible, round(quantile_cont(value, 5e-1) FILTER (WHERE value > 0), 6) AS p50, round(quantile_cont(value, 9e-1) FILTER (WHERE value > 0), 6) AS p90, round(quantile_cont(value, 99e-2) FILTER (WHERE value > 0), 6) AS p99 FROM steps")
 def window_report(spark, sf_dir):
     s = steps(spark, sf_dir)
-    q = s.agg(F.count("*").alias("visible"), F.count_if(F.col("value") > 0).alias("positive"), F.count_if(F.col("value") > 100).alias("eligible"), F.percentile(F.when(F.col("value") > 0, F.col("value")), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"))
-    return q.select("visible", "positive", "eligible", *[F.round(F.get("q", k), 6).alias(n) for k, n in enumerate(("p50", "p90", "p99"))])
+    n = s.agg(F.count("*").alias("visible"), F.count_if(F.col("value") > 0).alias("positive"), F.count_if(F.col("value") > 100).alias("eligible"))
+    at = ranks.quantiles(s.where("value > 0"), F.col("value"), [0.5, 0.9, 0.99])
+    return n.select("*", *[F.round(F.lit(q).cast("double"), 6).alias(c) for c, q in zip(("p50", "p90", "p99"), at, strict=True)])
 
 
 _ERR = "err AS (SELECT user_id % 12 AS image, power((value - floor(value)) - 5e-1, 2) AS e2, abs((value - floor(value)) - 5e-1) AS e1 FROM events)"
@@ -100,8 +101,8 @@ def profile_scan(spark, sf_dir):
 def depth_params(spark, sf_dir):
     """The median of the positive scales goes to every entry."""
     s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), F.col("o_totalprice").alias("scale"))
-    med = s.where("scale > 0").agg(F.round(F.percentile("scale", 0.5), 4).alias("med"))
-    return s.groupBy("name").agg(F.round(F.max("scale"), 4).alias("scale")).join(F.broadcast(med))
+    med = ranks.quantiles(s.where("scale > 0"), F.col("scale"), [0.5])[0]
+    return s.groupBy("name").agg(F.round(F.max("scale"), 4).alias("scale")).withColumn("med", F.round(F.lit(med).cast("double"), 4))
 
 
 @query("SELECT o_orderkey AS image, c_custkey AS camera, c_mktsegment AS model FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -137,20 +138,14 @@ def consistency_edges(spark, sf_dir):
 def prefix_sum(spark, sf_dir):
     """Where each row's output begins: sums within range partitions, then over them."""
     p = points(spark, sf_dir).select("id", "label")
-    part = p.repartitionByRange("id").withColumn("_part", F.spark_partition_id())
-    from tessera.session import staged
-
-    part = staged(part, "prefix")
-    local = part.withColumn("_upto", F.sum("label").over(Window.partitionBy("_part").orderBy("id")))
-    before = part.groupBy("_part").agg(F.sum("label").alias("_s")).select("_part", (F.sum("_s").over(Window.orderBy("_part")) - F.col("_s")).alias("_b"))
-    return local.join(F.broadcast(before), "_part").select("id", (F.col("_b") + F.col("_upto") - F.col("label")).alias("at"))
+    return blocks.running_sum(p, ["id"], "label", "at").select("id", "at")
 
 
 @query("WITH m AS (SELECT p_partkey AS pos, 1 AS d FROM part WHERE p_size = 3 UNION ALL SELECT p_partkey + 20, -1 FROM part WHERE p_size = 3), s AS (SELECT pos, sum(d) OVER (ORDER BY pos RANGE UNBOUNDED PRECEDING) AS inside FROM m) SELECT DISTINCT pos, inside::BIGINT AS depth FROM s")
 def range_marks(spark, sf_dir):
     starts = table(spark, sf_dir, "part").where("p_size = 3").select(F.col("p_partkey").alias("pos"), F.lit(1).alias("d"))
     marks = starts.unionByName(starts.select((F.col("pos") + 20).alias("pos"), F.lit(-1).alias("d"))).groupBy("pos").agg(F.sum("d").alias("d"))
-    return marks.select("pos", F.sum("d").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    return blocks.running_sum(marks, ["pos"], "d", "before").select("pos", (F.col("before") + F.col("d")).alias("depth"))
 
 
 @query("WITH t AS (SELECT c_custkey AS camera, 640 + c_custkey % 700 AS w, 480 + c_custkey % 300 AS h FROM customer), n AS (SELECT *, ceil(w / 256e0)::BIGINT AS nx, ceil(h / 256e0)::BIGINT AS ny FROM t) SELECT camera, i + nx * j AS tile, w * i // nx AS x, h * j // ny AS y, w * (i + 1) // nx - w * i // nx AS tw, h * (j + 1) // ny - h * j // ny AS th FROM n, range(8) a(i), range(8) b(j) WHERE i < nx AND j < ny")
@@ -199,13 +194,13 @@ def ssim(spark, sf_dir):
 
 @query(None)
 def random_walk(spark, sf_dir):
-    edges = spatial.knn(points(spark, sf_dir), 4, 0.1).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
+    edges = neighbours.nearest(points(spark, sf_dir), 4).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
     return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3)
 
 
 @query(None)
 def metropolis_walk(spark, sf_dir):
-    edges = spatial.knn(points(spark, sf_dir), 4, 0.1).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
+    edges = neighbours.nearest(points(spark, sf_dir), 4).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
     return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3, accept_by_degree=True)
 
 

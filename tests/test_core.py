@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, spatial, stateful, tree
+from tessera.operators import blocks, neighbours, spatial, stateful, tree
 
 
 def complete_tree(spark, depth):
@@ -12,15 +12,17 @@ def complete_tree(spark, depth):
     return spark.createDataFrame(rows, "id long, depth int, parent long, child_count int, first_child long, next_sibling long, size double")
 
 
-@pytest.mark.parametrize("cell", [0.01, 0.3, 5.0])
+@pytest.mark.parametrize("cell", [7, 20_000])
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 120])
-def test_knn_equals_brute_force(spark, n, cell):
+def test_knn_equals_brute_force(spark, monkeypatch, n, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "SAMPLE", 5)
     r = random.Random(n)
     pts = [(k, r.random(), r.choice([0.0, 0.5]), r.gauss(0, 1)) for k in range(n)]
     if n > 5:
         pts[3] = (3, *pts[2][1:])  # the same place twice
     df = spark.createDataFrame(pts, "id long, x double, y double, z double")
-    got = {(r["id"], r["rank"]): r["nid"] for r in spatial.knn(df, 3, cell).collect()}
+    got = {(r["id"], r["rank"]): r["nid"] for r in neighbours.nearest(df, 3).collect()}
     want = {}
     for a in pts:
         near = sorted((sum((u - v) ** 2 for u, v in zip(a[1:], b[1:], strict=True)), b[0]) for b in pts if b[0] != a[0])[:3]
