@@ -3,9 +3,10 @@
 Nodes have heap numbers: the root is 1, the children of c are 2c and 2c + 1, so
 a number says its parent and depth. The top of the tree is split by range
 partitions, all cells of a level at once; a cell of at most ``leaf_rows`` points
-is finished in one task, down to single points. Weights and moments are sums
-over a node's points, so merging its children is adding them up, and only one
-row a cell is left above the cells. Rotations are then aligned from the root
+is finished in one task, down to single points. Nodes are merged pairwise:
+weights add up, means and covariances are weighted, the latter around the new
+mean, so nothing cancels far from the origin. Only one row a cell is left above
+the cells. Rotations are then aligned from the root
 down, each with its parent's aligned one: level by level above the cells, in one
 task a cell below.
 """
@@ -17,7 +18,7 @@ from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.blocks import dense_rank
@@ -29,19 +30,23 @@ AXES = ("x", "y", "z")
 COVARIANCE = ("xx", "xy", "xz", "yy", "yz", "zz")
 #: What a point brings besides its id: weight, place, covariance.
 POINT = ("w", *AXES, *COVARIANCE)
-SUMS = ("n", "height", "w", *("m" + a for a in AXES), *("m" + c for c in COVARIANCE))
+MEANS, SPREADS = tuple("m" + a for a in AXES), tuple("m" + c for c in COVARIANCE)
+BOX = tuple(f"{side}_{a}" for side in ("lo", "hi") for a in AXES)
+#: Of a node: points, levels below it, weight, mean, covariance, and the box of its points' spheres.
+SUMS = ("n", "height", "w", *MEANS, *SPREADS, *BOX)
 ROTATION = tuple(f"r{i}{j}" for i in range(3) for j in range(3))
 SCALES = ("s0", "s1", "s2")
 _ROWS, _COLS = np.triu_indices(3)
 
 
 def cells(points: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``points`` with cell, the heap number of a cell of at most ``leaf_rows``:
-    halves along the widest axis (ties to the first axis, places to the id); of
-    an odd number the right half has one more."""
+    """``points`` (id, x, y, z and radius) with cell, the heap number of a cell of at most
+    ``leaf_rows``: halves along the axis on which the box of all spheres is
+    widest (to nine decimals, ties to the first axis, places to the id); of an odd
+    number the right half has one more."""
     p = points.withColumn("cell", F.lit(1).cast("long"))
     while True:
-        size = p.groupBy("cell").agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias("_w" + a) for a in AXES])
+        size = p.groupBy("cell").agg(F.count("*").alias("_n"), *[F.round(F.max(F.col(a) + F.col("radius")) - F.min(F.col(a) - F.col("radius")), 9).alias("_w" + a) for a in AXES])
         widest = F.greatest(*[F.col("_w" + a) for a in AXES])
         size = staged(size.withColumn("_axis", F.coalesce(*[F.when(F.col("_w" + a) == widest, F.lit(a)) for a in AXES])).where(F.col("_n") > leaf_rows).select("cell", "_n", "_axis"), "kd-cells")
         if not size.take(1):
@@ -55,7 +60,7 @@ def cells(points: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
         p = staged(halves.select(*p.columns).unionByName(j.where("_n IS NULL").select(*p.columns)), "kd")
 
 
-def _finish(cell: int, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _finish(cell: int, ids: np.ndarray, at: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """Heap numbers of the leaves of the points of one cell."""
     out = np.zeros(len(ids), np.int64)
     todo = [(cell, np.arange(len(ids)))]
@@ -64,72 +69,97 @@ def _finish(cell: int, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         if len(rows) == 1:
             out[rows] = code
             continue
-        part = at[rows]
-        axis = int(np.argmax(part.max(0) - part.min(0)))
+        part, r = at[rows], radius[rows, None]
+        axis = int(np.argmax(((part + r).max(0) - (part - r).min(0)).round(9)))
         rows = rows[np.lexsort((ids[rows], part[:, axis]))]
         half = len(rows) // 2
         todo += [(2 * code, rows[:half]), (2 * code + 1, rows[half:])]
     return out
 
 
-def _subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The nodes of one cell, itself the first, with the sums over their points."""
+def _subtree(pdf: pd.DataFrame, also: tuple[str, ...]) -> pd.DataFrame:
+    """The nodes of one cell, itself the first, merged from its points up."""
     cell = int(pdf["cell"].iloc[0])
-    at = pdf[list(AXES)].to_numpy(float)
-    leaf = _finish(cell, pdf["id"].to_numpy(), at)
-    w = pdf["w"].to_numpy(float)
-    square = pdf[list(COVARIANCE)].to_numpy(float) + at[:, _ROWS] * at[:, _COLS]
-    sums = np.column_stack([np.ones(len(pdf)), np.zeros(len(pdf)), w, w[:, None] * at, w[:, None] * square])
-    codes, point = leaf, pdf["id"].to_numpy()
-    out = []
-    while len(codes):
-        # the deepest nodes add up in their parents, which join the nodes of the level above
+    at, radius = pdf[list(AXES)].to_numpy(float), pdf["radius"].to_numpy(float)
+    codes, point = _finish(cell, pdf["id"].to_numpy(), at, radius), pdf["id"].to_numpy()
+    counts = np.column_stack([np.ones(len(pdf)), np.zeros(len(pdf))])
+    w, mean, more = pdf["w"].to_numpy(float), at, pdf[list(also)].to_numpy(float).reshape(len(pdf), len(also))
+    spread, box = pdf[list(COVARIANCE)].to_numpy(float), np.column_stack([at - radius[:, None], at + radius[:, None]])
+    state, out = [codes, point, counts, w, mean, spread, box, more], []
+    while len(state[0]):
+        codes, point, counts, w, mean, spread, box, more = state
+        # the deepest nodes are merged in their parents, which join the nodes of the level above
         deep = codes >= 1 << (int(codes.max()).bit_length() - 1)
-        out.append((codes[deep], sums[deep], point[deep]))
+        out.append([x[deep] for x in state])
         inner = deep & (codes != cell)
         up, of = np.unique(codes[inner] >> 1, return_inverse=True)
-        added = np.zeros((len(up), sums.shape[1]))
-        np.add.at(added, of, sums[inner])
+        total = lambda x, up=up, of=of: _summed(x, of, len(up))
+        wi, whole = w[inner], total(w[inner])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            centre = total(wi[:, None] * mean[inner]) / whole[:, None]
+            off = mean[inner] - centre[of]
+            around = total(wi[:, None] * (spread[inner] + off[:, _ROWS] * off[:, _COLS])) / whole[:, None]
+            means = total(wi[:, None] * more[inner]) / whole[:, None]
+        added = total(counts[inner])
         added[:, 1] = 0
-        np.maximum.at(added[:, 1], of, sums[inner, 1] + 1)
-        codes, sums = np.concatenate([codes[~deep], up]), np.concatenate([sums[~deep], added])
-        point = np.concatenate([point[~deep], np.full(len(up), -1)])
-    codes, sums, point = (np.concatenate(x) for x in zip(*out, strict=True))
-    made = pd.DataFrame(sums, columns=list(SUMS))
+        np.maximum.at(added[:, 1], of, counts[inner, 1] + 1)
+        hull = np.column_stack([np.full((len(up), 3), np.inf), np.full((len(up), 3), -np.inf)])
+        np.minimum.at(hull[:, :3], of, box[inner, :3])
+        np.maximum.at(hull[:, 3:], of, box[inner, 3:])
+        new = [up, np.full(len(up), -1), added, whole, centre, around, hull, means]
+        state = [np.concatenate([x[~deep], y]) for x, y in zip(state, new, strict=True)]
+    codes, point, counts, w, mean, spread, box, more = (np.concatenate(x) for x in zip(*out, strict=True))
+    made = pd.DataFrame(np.column_stack([counts, w, mean, spread, box, more]), columns=[*SUMS, *also])
     made.insert(0, "cell", cell)
     made.insert(1, "code", codes)
-    made.insert(2, "point", np.where(codes == 0, -1, point))
+    made.insert(2, "point", point)
     return made.astype({"n": "int64", "height": "int64"})
 
 
+def _summed(x: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    out = np.zeros((count, *x.shape[1:]))
+    np.add.at(out, of, x)
+    return out
+
+
 _NODE = "cell long, code long, point long, n long, height long, " + ", ".join(f"{s} double" for s in SUMS[2:])
 
 
-def merged(points: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """cell, code, point (its id at a leaf, else -1) and SUMS of all nodes over
-    ``points`` (id and POINT). Nodes above the cells have the cell 0.
+def merged(points: DataFrame, leaf_rows: int = LEAF_ROWS, radius: str | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """cell, code, point (its id at a leaf, else -1), SUMS and the weighted means of ``also`` of all
+    nodes over ``points`` (id and POINT). Nodes above the cells have the cell 0.
 
-    Rows that repeat an id or a place are points of their own; a single point
-    is a root; no points make no nodes.
+    ``radius`` names the column of the points' spheres, which widen the boxes (0 without it). Rows that
+    repeat an id or a place are points of their own; a single point is a root;
+    no points make no nodes.
     """
     ship(points.sparkSession)
-    low = staged(cells(points, leaf_rows).select("id", "cell", *POINT).groupBy("cell").applyInPandas(_subtree, _NODE), "subtrees")
+    spheres = points.select("id", *POINT, (F.lit(0.0) if radius is None else F.col(radius).cast("double")).alias("radius"), *[F.col(c).cast("double").alias(c) for c in also])
+    schema = _NODE + "".join(f", {c} double" for c in also)
+    split = cells(spheres, leaf_rows).select("id", "cell", *POINT, "radius", *also)
+    low = staged(split.groupBy("cell").applyInPandas(lambda pdf: _subtree(pdf, also), schema), "subtrees")
     out, level = low, low.where("code = cell AND code > 1")
     depth = level.agg(F.max(F.length(F.bin("code")))).first()[0] or 1
     for d in range(depth, 1, -1):
         here = F.length(F.bin("code")) == d
-        sums = [(F.max("height") + 1).alias("height") if s == "height" else F.sum(s).alias(s) for s in SUMS]
-        up = level.where(here).groupBy(F.shiftright("code", 1).alias("code")).agg(*sums)
-        up = staged(up.select(F.lit(0).cast("long").alias("cell"), "code", F.lit(-1).cast("long").alias("point"), *SUMS), "upper")
+        pair = Window.partitionBy("_up")
+        rows = level.where(here).withColumn("_up", F.shiftright("code", 1))
+        centre = {"_" + a: F.sum(F.col("w") * F.col(a)).over(pair) / F.sum("w").over(pair) for a in MEANS}
+        rows = rows.withColumns(centre)
+        off = {a: F.col("m" + a) - F.col("_m" + a) for a in AXES}
+        weighted = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+        sums = {"n": F.sum("n"), "height": F.max("height") + 1, "w": F.sum("w")} | {a: F.max("_" + a) for a in MEANS}
+        sums |= {"m" + c: weighted(F.col("m" + c) + off[c[0]] * off[c[1]]) for c in COVARIANCE}
+        sums |= {b: (F.min if b.startswith("lo") else F.max)(b) for b in BOX} | {c: weighted(F.col(c)) for c in also}
+        up = rows.groupBy("_up").agg(*[v.alias(k) for k, v in sums.items()])
+        up = staged(up.select(F.lit(0).cast("long").alias("cell"), F.col("_up").alias("code"), F.lit(-1).cast("long").alias("point"), *SUMS, *also), "upper")
         out, level = out.unionByName(up), level.where(~here).unionByName(up)
     return out
 
 
 def moments(nodes: DataFrame) -> DataFrame:
     """``nodes`` with the weighted mean x, y, z and the covariance of each."""
-    at = {a: F.col("m" + a) / F.col("w") for a in AXES}
-    cov = {c: F.col("m" + c) / F.col("w") - at[c[0]] * at[c[1]] for c in COVARIANCE}
-    return nodes.withColumns(at | cov)
+    return nodes.withColumns({a: F.col("m" + a) for a in (*AXES, *COVARIANCE)})
 
 
 def _turns() -> np.ndarray:

@@ -188,21 +188,23 @@ def merge_chunks(chunks: list[DataFrame]) -> DataFrame:
     return out.unionByName(base.createDataFrame([(0, -1, 0)], "id long, parent long, depth int"))
 
 
-def kd_levels(points: DataFrame, levels: int, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+def kd_levels(points: DataFrame, levels: int, axes: tuple[str, ...] = ("x", "y", "z"), radius: Column | None = None) -> DataFrame:
     """points with cell, the number of their cell after ``levels`` median splits
-    along the widest axis (ties to the first axis; ranks by coordinate and id)."""
+    along the axis on which the box of the points' spheres is widest (ties to
+    the first axis; ranks by coordinate and id)."""
     from tessera.operators.blocks import dense_rank
 
-    p = points.select("id", *axes).withColumn("cell", F.lit(1).cast("long"))
+    r = F.col("radius")
+    p = points.select("id", *axes, (F.lit(0.0) if radius is None else radius).alias("radius")).withColumn("cell", F.lit(1).cast("long"))
     for k in range(levels):
-        wide = p.groupBy("cell").agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias("w_" + a) for a in axes])
+        wide = p.groupBy("cell").agg(F.count("*").alias("n"), *[F.round(F.max(F.col(a) + r) - F.min(F.col(a) - r), 9).alias("w_" + a) for a in axes])
         top = F.greatest(*[F.col("w_" + a) for a in axes])
         axis = F.coalesce(*[F.when(F.col("w_" + a) == top, F.lit(a)) for a in axes])
         j = p.join(wide.select("cell", "n", axis.alias("axis")), "cell")
         along = F.coalesce(*[F.when(F.col("axis") == a, F.col(a)) for a in axes])
         ranked = dense_rank(j.withColumn("_along", along), ["cell", "_along", "id"], "_place")
         j = ranked.join(ranked.groupBy("cell").agg(F.min("_place").alias("_first")), "cell").withColumn("r", F.col("_place") - F.col("_first") + 1)
-        p = j.select("id", *axes, (2 * F.col("cell") + F.when(2 * F.col("r") > F.col("n"), 1).otherwise(0)).alias("cell"))
+        p = j.select("id", *axes, "radius", (2 * F.col("cell") + F.when(2 * F.col("r") > F.col("n"), 1).otherwise(0)).alias("cell"))
         if k % LEVELS == LEVELS - 1:
             p = staged(p, "kd")
-    return p
+    return p.drop("radius")

@@ -9,7 +9,7 @@ from tessera.functions import expressions as X
 from tessera.operators import blocks, hierarchy, neighbours, ranks, stateful
 from tessera.plans.carriers import POINTS, STEPS, nodes, points, steps
 from tessera.plans.registry import query
-from tessera.plans.tree_queries import kd_full_sql
+from tessera.plans.tree_queries import RADIUS, kd_full_sql
 from tessera.session import table
 
 
@@ -235,26 +235,31 @@ _COV = dict(zip(hierarchy.COVARIANCE, X.covariance(X.rotation("qw", "qx", "qy",
 
 def _merged(spark, sf_dir):
     p = points(spark, sf_dir).where(VALID)
-    return hierarchy.moments(hierarchy.merged(p.select("id", *hierarchy.AXES, F.expr(_WEIGHT).alias("w"), *[F.expr(t).alias(c) for c, t in _COV.items()])))
+    p = p.select("id", *hierarchy.AXES, F.expr(_WEIGHT).alias("w"), F.expr(RADIUS).alias("r"), "d0", "d1", "d2", *[F.expr(t).alias(c) for c, t in _COV.items()])
+    return hierarchy.moments(hierarchy.merged(p, radius="r", also=("d0", "d1", "d2")))
 
 
 @query(
-    f"WITH {POINTS}, v AS (SELECT * FROM pts WHERE {VALID}), {kd_full_sql('v')}, g AS (SELECT id, {_WEIGHT} AS w, "
+    f"WITH {POINTS}, v AS (SELECT * FROM pts WHERE {VALID}), {kd_full_sql('v')}, g AS (SELECT id, {_WEIGHT} AS w, d0, d2, "
     + ", ".join(f"{t} AS {c}" for c, t in _COV.items())
-    + " FROM v), up AS (SELECT k14.cell >> r.i AS code, r.i, k14.x, k14.y, k14.z, g.* FROM k14 JOIN g USING (id), range(0, 15) r(i) WHERE (k14.cell >> r.i) >= 1), "
+    + " FROM v), up AS (SELECT k14.cell >> r.i AS code, r.i, k14.x, k14.y, k14.z, k14.r AS radius, g.* FROM k14 JOIN g USING (id), range(0, 15) r(i) WHERE (k14.cell >> r.i) >= 1), "
     + "s AS (SELECT code, count(*) AS n, max(i)::BIGINT AS height, sum(w) AS w, "
     + ", ".join(f"sum(w * {a}) / sum(w) AS m{a}" for a in hierarchy.AXES)
     + ", "
     + ", ".join(f"sum(w * ({c} + {c[0]} * {c[1]})) / sum(w) AS m{c}" for c in hierarchy.COVARIANCE)
+    + ", sum(w * d0) / sum(w) AS d0, sum(w * d2) / sum(w) AS d2, "
+    + ", ".join(f"min({a} - radius) AS lo_{a}, max({a} + radius) AS hi_{a}" for a in hierarchy.AXES)
     + " FROM up GROUP BY code) SELECT code, n, height, round(w, 5) AS w, "
-    + ", ".join(f"round(m{a}, 5) AS {a}" for a in hierarchy.AXES)
+    + ", ".join(f"round({c}, 5) + 0e0 AS {c}" for c in (*hierarchy.BOX, "d0", "d2"))
     + ", "
-    + ", ".join(f"round(m{c} - m{c[0]} * m{c[1]}, 5) AS {c}" for c in hierarchy.COVARIANCE)
+    + ", ".join(f"round(m{a}, 5) + 0e0 AS {a}" for a in hierarchy.AXES)
+    + ", "
+    + ", ".join(f"round(m{c} - m{c[0]} * m{c[1]}, 5) + 0e0 AS {c}" for c in hierarchy.COVARIANCE)
     + " FROM s"
 )
 def hierarchy_merge(spark, sf_dir):
-    """Validity filter, k-d tree down to single points, weighted means and covariances of all nodes."""
-    return _merged(spark, sf_dir).select("code", "n", "height", *[F.round(c, 5).alias(c) for c in ("w", *hierarchy.AXES, *hierarchy.COVARIANCE)])
+    """Validity filter, k-d tree down to single points; weighted means, covariances, harmonics and boxes of all nodes."""
+    return _merged(spark, sf_dir).select("code", "n", "height", *[F.round(c, 5).alias(c) for c in ("w", *hierarchy.AXES, *hierarchy.COVARIANCE, *hierarchy.BOX, "d0", "d2")])
 
 
 @query(None)

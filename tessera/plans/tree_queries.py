@@ -167,11 +167,13 @@ def average_merge(spark, sf_dir):
 @query(f"""WITH {NODES}, m AS (SELECT parent AS id, sum(weight) AS w, sum(weight * x) / sum(weight) AS mx, sum(weight * y) / sum(weight) AS my, sum(weight * z) / sum(weight) AS mz FROM nodes WHERE parent >= 0 GROUP BY parent)
 SELECT m.id, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, round(sum(c.weight / w * (c.size * c.size + (c.x - mx) * (c.x - mx))), 6) AS cxx, round(sum(c.weight / w * (c.x - mx) * (c.y - my)), 6) AS cxy FROM m JOIN nodes c ON c.parent = m.id GROUP BY m.id, mx, my, mz""")
 def gaussian_merge(spark, sf_dir):
-    """Weighted means and covariances of siblings, as sums: one aggregate, no second pass."""
-    n = nodes(spark, sf_dir).where("parent >= 0").withColumns({"wx": F.expr("weight * x"), "wy": F.expr("weight * y"), "wz": F.expr("weight * z"), "wxx": F.expr("weight * (size * size + x * x)"), "wxy": F.expr("weight * x * y")})
-    g = n.groupBy(F.col("parent").alias("id")).agg(*[F.sum(c).alias(c) for c in ("weight", "wx", "wy", "wz", "wxx", "wxy")])
-    m = {"x": "wx / weight", "y": "wy / weight", "z": "wz / weight", "cxx": "wxx / weight - power(wx / weight, 2)", "cxy": "wxy / weight - (wx / weight) * (wy / weight)"}
-    return g.select("id", *[F.expr(f"round({t}, 6)").alias(k) for k, t in m.items()])
+    """Weighted means of siblings, and covariances around them."""
+    w = Window.partitionBy("parent")
+    mean = {"m" + c: F.sum(F.col("weight") * F.col(c)).over(w) / F.sum("weight").over(w) for c in "xyz"}
+    n = nodes(spark, sf_dir).where("parent >= 0").withColumns(mean).withColumns({"cx": F.expr("x - mx"), "cy": F.expr("y - my")})
+    share = lambda e: F.sum(F.expr(f"weight * ({e})")) / F.sum("weight")
+    g = n.groupBy(F.col("parent").alias("id")).agg(*[F.max("m" + c).alias(c) for c in "xyz"], share("size * size + cx * cx").alias("cxx"), share("cx * cy").alias("cxy"))
+    return g.select("id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z", "cxx", "cxy")])
 
 
 @query(f"WITH {NODES}, {CAMERAS_SQL}, s AS (SELECT n.id, n.child_count, n.size / sqrt(power(n.x - cx, 2) + power(n.y - cy, 2) + power(n.z - cz, 2) + 1e-12) AS a, p.size / sqrt(power(p.x - cx, 2) + power(p.y - cy, 2) + power(p.z - cz, 2) + 1e-12) AS b FROM cams, nodes n LEFT JOIN nodes p ON n.parent = p.id) SELECT id, bool_or((a < 8e-2 AND (b IS NULL OR b >= 8e-2)) OR (child_count = 0 AND a >= 8e-2)) AS seen FROM s GROUP BY id")
@@ -358,40 +360,34 @@ def budget_search(spark, sf_dir):
     return spark.createDataFrame([(m, n)], "multiplier double, n long")
 
 
-def _kd_sql(levels: int) -> str:
-    out = [f"WITH {POINTS}, k0 AS (SELECT id, x, y, z, 1::BIGINT AS cell FROM pts)"]
-    for k in range(levels):
-        out.append(
-            f"w{k} AS (SELECT *, max(x) OVER c - min(x) OVER c AS wx, max(y) OVER c - min(y) OVER c AS wy, max(z) OVER c - min(z) OVER c AS wz, count(*) OVER c AS n FROM k{k} WINDOW c AS (PARTITION BY cell)), "
-            f"a{k} AS (SELECT *, CASE WHEN wx >= wy AND wx >= wz THEN x WHEN wy >= wz THEN y ELSE z END AS v FROM w{k}), "
-            f"k{k + 1} AS (SELECT id, x, y, z, 2 * cell + CASE WHEN 2 * row_number() OVER (PARTITION BY cell ORDER BY v, id) > n THEN 1 ELSE 0 END AS cell FROM a{k})"
-        )
-    return ", ".join(out) + f" SELECT id, cell FROM k{levels}"
+#: A point's sphere: three times its largest axis.
+RADIUS = "3e0 * exp(greatest(s0, s1, s2))"
 
 
 def kd_full_sql(points: str, levels: int = 14) -> str:
     """Common tables k<levels> of id and leaf (cell) of every row of ``points``, of at most 2 ** levels rows."""
-    out = [f"k0 AS (SELECT id, x, y, z, 1::BIGINT AS cell FROM {points})"]
+    out = [f"k0 AS (SELECT id, x, y, z, {RADIUS} AS r, 1::BIGINT AS cell FROM {points})"]
     for k in range(levels):
+        wide = ", ".join(f"round(max({a} + r) OVER c - min({a} - r) OVER c, 9) AS w{a}" for a in "xyz")
         out.append(
-            f"w{k} AS (SELECT *, max(x) OVER c - min(x) OVER c AS wx, max(y) OVER c - min(y) OVER c AS wy, max(z) OVER c - min(z) OVER c AS wz, count(*) OVER c AS n FROM k{k} WINDOW c AS (PARTITION BY cell)), "
+            f"w{k} AS (SELECT *, {wide}, count(*) OVER c AS n FROM k{k} WINDOW c AS (PARTITION BY cell)), "
             f"a{k} AS (SELECT *, CASE WHEN wx >= wy AND wx >= wz THEN x WHEN wy >= wz THEN y ELSE z END AS v FROM w{k}), "
-            f"k{k + 1} AS (SELECT id, x, y, z, CASE WHEN n = 1 THEN cell ELSE 2 * cell + CASE WHEN 2 * row_number() OVER (PARTITION BY cell ORDER BY v, id) > n THEN 1 ELSE 0 END END AS cell FROM a{k})"
+            f"k{k + 1} AS (SELECT id, x, y, z, r, CASE WHEN n = 1 THEN cell ELSE 2 * cell + CASE WHEN 2 * row_number() OVER (PARTITION BY cell ORDER BY v, id) > n THEN 1 ELSE 0 END END AS cell FROM a{k})"
         )
     return ", ".join(out)
 
 
-@query(_kd_sql(1))
+@query(f"WITH {POINTS}, {kd_full_sql('pts', 1)} SELECT id, cell FROM k1")
 def median_split(spark, sf_dir):
-    return tree.kd_levels(points(spark, sf_dir), 1).select("id", "cell")
+    return tree.kd_levels(points(spark, sf_dir), 1, radius=F.expr(RADIUS)).select("id", "cell")
 
 
 @query(f"WITH {POINTS}, {kd_full_sql('pts')} SELECT id, cell FROM k14")
 def kd_build(spark, sf_dir):
-    """Each point's leaf: halves along the widest axis, down to single points."""
-    p = points(spark, sf_dir).select("id", *hierarchy.AXES)
+    """Each point's leaf: halves along the axis on which the spheres' box is widest, down to single points."""
+    p = points(spark, sf_dir).select("id", *hierarchy.AXES, F.expr(RADIUS).alias("r"))
     zero = F.lit(0.0)
-    nodes = hierarchy.merged(p.withColumns({"w": F.lit(1.0)} | dict.fromkeys(hierarchy.COVARIANCE, zero)))
+    nodes = hierarchy.merged(p.withColumns({"w": F.lit(1.0)} | dict.fromkeys(hierarchy.COVARIANCE, zero)), radius="r")
     return nodes.where("height = 0").select(F.col("point").alias("id"), F.col("code").alias("cell"))
 
 

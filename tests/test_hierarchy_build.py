@@ -72,3 +72,23 @@ def test_small_inputs(spark, points):
     twice = spark.createDataFrame([points[0]] * 5, SCHEMA)
     assert hierarchy.merged(twice, 2).where("n = 1").count() == 5
     assert len(hierarchy.TURNS) == 24
+
+
+def test_spheres_widen_the_boxes_that_are_split(spark):
+    """Places alone are widest in x; with the spheres the box is widest in y."""
+    rows = [(0, 1.0, 0.0, 0.0, 0.0, 0.1), (1, 1.0, 3.0, 1.0, 0.0, 0.1), (2, 1.0, 1.5, 2.0, 0.0, 2.0), (3, 1.0, 2.0, 0.5, 0.0, 0.1)]
+    df = spark.createDataFrame([(*r[:5], *[0.0] * 6, r[5], 2.0 * r[0]) for r in rows], SCHEMA + ", r double, d double")
+    for radius, left in (("r", {0, 3}), (None, {0, 2})):
+        for leaf_rows in (1, 1000):
+            nodes = hierarchy.merged(df, leaf_rows, radius, ("d",))
+            assert {r["point"] for r in nodes.where("point >= 0").collect() if r["code"] >> 1 == 2} == left
+    root = hierarchy.merged(df, 2, "r", ("d",)).where("code = 1").first()
+    assert (root["d"], root["lo_x"], root["hi_x"], root["lo_y"], root["hi_y"]) == (3.0, -0.5, 3.5, -0.1, 4.0)
+
+
+@pytest.mark.parametrize("leaf_rows", [1, 1000])
+def test_covariances_do_not_cancel_far_from_the_origin(spark, leaf_rows):
+    far = np.array([1e6, 2e6, 3e6])
+    rows = [(k, 1.0, *map(float, far + s * np.array([0.01, 0.0, 0.0])), 1e-4, 0.0, 0.0, 1e-4, 0.0, 2e-4) for k, s in enumerate((-1, 1))]
+    root = hierarchy.moments(hierarchy.merged(spark.createDataFrame(rows, SCHEMA), leaf_rows)).where("code = 1").first()
+    assert np.allclose([root[c] for c in hierarchy.COVARIANCE], [2e-4, 0, 0, 1e-4, 0, 2e-4], rtol=1e-6, atol=1e-12)
