@@ -13,6 +13,8 @@ SH1 = 0.4886025119029199
 SH2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
 SH3 = (-0.5900435899266435, 2.890611442640554, -0.4570457994644658, 0.3731763325901154, -0.4570457994644658, 1.445305721320277, -0.5900435899266435)
 
+SH4 = (2.5033429417967046, -1.7701307697799304, 0.9461746957575601, -0.6690465435572892, 0.10578554691520431, -0.6690465435572892, 0.47308734787878004, -1.7701307697799304, 0.6258357354491761)
+
 
 def num(v: float) -> str:
     """A double literal in both dialects."""
@@ -57,7 +59,7 @@ def min_distance(s0: str, s1: str, s2: str, granularity: float, leaf: str) -> st
 
 
 def sh_basis(x: str, y: str, z: str, degree: int) -> list[str]:
-    """The basis at a unit direction, 1 to 16 terms."""
+    """The basis at a unit direction, 1 to 25 terms, for degrees 0 to 4."""
     out = [num(SH0)]
     if degree > 0:
         out += [f"({num(-SH1)} * {y})", f"({num(SH1)} * {z})", f"({num(-SH1)} * {x})"]
@@ -70,6 +72,13 @@ def sh_basis(x: str, y: str, z: str, degree: int) -> list[str]:
             f"{x}*(4*{z}*{z} - {x}*{x} - {y}*{y})", f"{z}*({x}*{x} - {y}*{y})", f"{x}*({x}*{x} - 3*{y}*{y})",
         )
         out += [f"({num(c)} * {t})" for c, t in zip(SH3, terms, strict=True)]
+    if degree > 3:
+        d2, z2 = f"({x}*{x} - {y}*{y})", f"{z}*{z}"
+        terms = (
+            f"{x}*{y}*{d2}", f"{y}*{z}*(3*{x}*{x} - {y}*{y})", f"{x}*{y}*(7*{z2} - 1)", f"{y}*{z}*(7*{z2} - 3)", f"(35*{z2}*{z2} - 30*{z2} + 3)",
+            f"{x}*{z}*(7*{z2} - 3)", f"{d2}*(7*{z2} - 1)", f"{x}*{z}*({x}*{x} - 3*{y}*{y})", f"({d2}*{d2} - 4*{x}*{x}*{y}*{y})",
+        )
+        out += [f"({num(c)} * {t})" for c, t in zip(SH4, terms, strict=True)]
     return out
 
 
@@ -155,3 +164,45 @@ def field_of_view(focal: str, pixels: str) -> str:
 
 def focal_length(fov: str, pixels: str) -> str:
     return f"({pixels} / (2 * tan({fov} / 2)))"
+
+
+def world_view(r: list[str], t: list[str]) -> list[str]:
+    """The 16 entries, row by row, that map column vectors of the world to those
+    of the camera, for its rotation's entries (camera to world) and translation."""
+    rows = [[*(r[3 * k + i] for k in range(3)), t[i]] for i in range(3)]
+    return [*(e for row in rows for e in row), "0e0", "0e0", "0e0", "1e0"]
+
+
+def recentred(r: list[str], t: list[str], shift: list[str], scale: str) -> list[str]:
+    """``world_view`` of the camera whose centre is moved by ``shift``, then scaled."""
+    centre = [f"(-({' + '.join(f'{r[3 * i + k]} * {t[k]}' for k in range(3))}) + {shift[i]}) * {scale}" for i in range(3)]
+    moved = [f"(-({' + '.join(f'{r[3 * k + i]} * ({centre[k]})' for k in range(3))}))" for i in range(3)]
+    return world_view(r, moved)
+
+
+def projection(near: str, far: str, fov_x: str, fov_y: str, px: str = "5e-1", py: str = "5e-1") -> list[str]:
+    """The 16 entries, row by row, of a projection with the principal point at
+    shares ``px``, ``py`` of the image; depths go to 0 to 1."""
+    out = ["0e0"] * 16
+    # the sides at the near plane: p of 2 tan from the one, 1 - p from the other, so their distance is 2 tan
+    for k, (fov, p) in enumerate(((fov_x, px), (fov_y, py))):
+        out[5 * k], out[4 * k + 2] = f"(1e0 / tan({fov} / 2))", f"(2 * {p} - 1)"
+    out[10], out[11], out[14] = f"({far} / ({far} - {near}))", f"(-({far} * {near}) / ({far} - {near}))", "1e0"
+    return out
+
+
+def product(a: list[str], b: list[str]) -> list[str]:
+    """a b of two matrices of 16 entries."""
+    return ["(" + " + ".join(f"{a[4 * i + k]} * {b[4 * k + j]}" for k in range(4)) + ")" for i in range(4) for j in range(4)]
+
+
+def transformed(m: list[str], v: tuple[str, str, str]) -> list[str]:
+    """x, y, z of a place under a matrix, over its fourth coordinate plus 1e-7."""
+    row = lambda i: "(" + " + ".join(f"{m[4 * i + k]} * {c}" for k, c in enumerate((*v, "1e0"))) + ")"
+    return [f"({row(i)} / ({row(3)} + 1e-7))" for i in range(3)]
+
+
+def intrinsics(width: str, height: str, fov_x: str, fov_y: str, px: str = "5e-1", py: str = "5e-1") -> list[str]:
+    """fx, fy, cx, cy in pixels, and the effective focal length, the larger one."""
+    fx, fy = focal_length(fov_x, width), focal_length(fov_y, height)
+    return [fx, fy, f"({width} * {px})", f"({height} * {py})", f"greatest({fx}, {fy})"]

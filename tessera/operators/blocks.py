@@ -157,5 +157,15 @@ def digest(rows: DataFrame, value: Column) -> DataFrame:
     return rows.agg(total.cast("long").alias("digest"), F.count("*").alias("n"))
 
 
+def bit_digest(rows: DataFrame) -> DataFrame:
+    """n, added and mixed (sum and exclusive or of the rows' 64-bit hashes, modulo 2 ** 64), and the sum
+    of each floating column. Hashes see bit patterns, so the smallest change
+    shows; sum and mix don't depend on the order of rows."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    total = F.sum(h.cast("decimal(20,0)")) % F.lit(str(1 << 64)).cast("decimal(20,0)")
+    real = [c for c, t in rows.dtypes if t in ("float", "double")]
+    return rows.agg(F.count("*").alias("n"), F.coalesce(total, F.lit(0)).cast("string").alias("added"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("mixed"), *[F.sum(c).alias("sum_" + c) for c in real])
+
+
 def orphans(files: DataFrame, named: list[DataFrame]) -> DataFrame:
     return files.join(reduce(DataFrame.unionByName, named).distinct(), "file", "left_anti")

@@ -210,6 +210,20 @@ def thinned(nodes: DataFrame, limit: float, factor: float, seen) -> DataFrame:
         limit *= factor
 
 
+def random_cut(nodes: DataFrame, drawn: Column) -> DataFrame:
+    """The nodes of a random cut: from the leaves up, two siblings that are both
+    in the cut give way to their parent if the first of them is a ``drawn`` leaf
+    or came in like this itself. An only child stays."""
+    first = F.col("next_sibling") > 0
+    levels = Levels(nodes.select("id", "parent", "depth", "child_count", "next_sibling", (drawn & (F.col("child_count") == 0)).alias("_drawn")))
+    # of a leaf: it is in the cut, and may be one that gives way; of an inner node both say that it took its children's place
+    leaf = F.col("child_count") == 0
+    took = F.bool_and("open") & F.bool_or(F.when(first, F.col("gives")).otherwise(F.lit(False))) & (F.count("*") == 2)
+    found = up(levels, {"open": leaf, "gives": F.col("_drawn")}, {"open": took, "gives": took})
+    above = found.where("open").select(F.col("id").alias("_p"))
+    return found.where("open").join(above, F.col("parent") == F.col("_p"), "left_anti")
+
+
 # -- cuts by a multiplier -------------------------------------------------------
 
 

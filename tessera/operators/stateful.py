@@ -111,11 +111,22 @@ def walks(edges: DataFrame, starts: DataFrame, length: int, seed: int, accept_by
     return out.select("start", "step", "node")
 
 
-def view_schedule(spark, views: int, epochs: int, seed: int) -> DataFrame:
-    """step and view: each epoch is a permutation in the order of a hash, so any step can be found again."""
-    n = spark.range(views * epochs).select((F.col("id") % views).alias("view"), F.floor(F.col("id") / views).alias("epoch"))
-    order = F.row_number().over(Window.partitionBy("epoch").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "epoch", "view"), 256), "view"))
-    return n.withColumn("step", (F.col("epoch") * views + order - 1).cast("long")).select("step", "epoch", "view")
+def view_schedule(views: DataFrame, count: int, seed: int, start: int = 0) -> DataFrame:
+    """step, epoch and view of steps ``start`` to ``count`` (exclusive) over the ids in
+    ``views``: each epoch is a permutation in the order of a hash, so a run that
+    begins anew at a step goes on as the first one would have."""
+    from tessera.operators.blocks import dense_rank
+
+    n = views.count()
+    if not n or not 0 <= start <= count:
+        raise ValueError("no views, or a start beyond the end")
+    first, last = start // n, -(-count // n)
+    epochs = views.sparkSession.range(first, max(last, first)).select(F.col("id").alias("epoch"))
+    each = views.select(F.col("id").alias("view")).join(F.broadcast(epochs))
+    shuffled = each.withColumn("_o", F.sha2(F.concat_ws(":", F.lit(seed), "epoch", "view"), 256))
+    placed = dense_rank(shuffled, ["epoch", "_o", "view"], "_at")
+    steps = placed.select((F.col("_at") + first * n).alias("step"), "epoch", "view")
+    return steps.where((F.col("step") >= start) & (F.col("step") < count))
 
 
 def ssim_of_images(pixels: DataFrame, image: str = "image") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.plans.carriers import NODES, POINTS, nodes, points
 from tessera.plans.registry import query
-from tessera.session import scratch
-from tessera.sources import hierarchies, ply
+from tessera.session import scratch, table
+from tessera.sources import hierarchies, ply, reconstruction
 
 _COLOUR = "least(greatest(d{k} + 5e-1, 0e0), 1e0)"
 
@@ -61,3 +61,38 @@ def static_hierarchy_file(spark, sf_dir):
     hierarchies.write_static(pts, rows, path)
     back = hierarchies.read_static_nodes(spark, path)
     return back.select("id", "depth", "parent", "count_children", "start_children", F.round(F.get("box_min", F.lit(0)).cast("double"), 5).alias("low"), F.round(F.get("box_max", F.lit(2)).cast("double"), 5).alias("high"))
+
+
+@query("SELECT c_custkey::INT AS camera_id, 'PINHOLE' AS model, 640 + c_custkey % 700 AS width, 480 + c_custkey % 300 AS height, 5e2 + c_custkey % 90 AS fx, c_acctbal AS last FROM customer")
+def cameras_text_file(spark, sf_dir):
+    """Camera models written as text and read again."""
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_custkey").cast("int").alias("camera_id"), F.lit("PINHOLE").alias("model"), F.expr("640 + c_custkey % 700").alias("width"), F.expr("480 + c_custkey % 300").alias("height"), F.array(F.expr("double(5e2 + c_custkey % 90)"), F.lit(5.5e2), F.lit(3.2e2), F.col("c_acctbal")).alias("params"))
+    path = scratch(spark, "cameras-text")
+    reconstruction.write_text("cameras", rows, path)
+    back = reconstruction.read_cameras_text(spark, path, only="PINHOLE")
+    return back.select("camera_id", "model", "width", "height", F.get("params", F.lit(0)).alias("fx"), F.get("params", F.lit(3)).alias("last"))
+
+
+@query("SELECT p_partkey AS point3d_id, p_retailprice AS x, (p_size % 256)::INT AS red, p_size / 4e0 AS error, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 100 ELSE -1 END::INT AS seen_by FROM part")
+def points_text_file(spark, sf_dir):
+    """Sparse points with tracks of up to two images, written as text and read again."""
+    p = table(spark, sf_dir, "part")
+    seen = F.struct((F.col("p_partkey") % 100).cast("int").alias("image_id"), F.lit(7).alias("point2d_idx"))
+    rows = p.select(F.col("p_partkey").alias("point3d_id"), F.array("p_retailprice", F.lit(0.5), F.lit(-1.0)).alias("xyz"), F.array(F.col("p_size") % 256, F.lit(0), F.lit(255)).alias("rgb"), (F.col("p_size") / 4).alias("error"), F.slice(F.array(seen, seen), 1, (F.col("p_partkey") % 3).cast("int")).alias("track"))
+    path = scratch(spark, "points-text")
+    reconstruction.write_text("points3D", rows, path)
+    back = reconstruction.read_points_text(spark, path)
+    return back.select("point3d_id", F.get("xyz", F.lit(0)).alias("x"), F.get("rgb", F.lit(0)).alias("red"), "error", F.coalesce(F.get("track", F.lit(0))["image_id"], F.lit(-1)).alias("seen_by"))
+
+
+@query("SELECT o_orderkey::INT AS image_id, o_totalprice AS tx, o_custkey::INT AS camera_id, 'i' || o_orderkey || '.png' AS name, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey ELSE -1 END AS point FROM orders")
+def images_text_file(spark, sf_dir):
+    """Image poses, each with a 2-D point or none, written as text and read again."""
+    o = table(spark, sf_dir, "orders")
+    spot = F.struct(F.lit(1.5).alias("x"), F.lit(2.5).alias("y"), F.col("o_orderkey").alias("point3d_id"))
+    rows = o.select(F.col("o_orderkey").cast("int").alias("image_id"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("qvec"), F.array("o_totalprice", F.lit(0.0), F.lit(2.0)).alias("tvec"), F.col("o_custkey").cast("int").alias("camera_id"), F.concat(F.lit("i"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("name"), F.slice(F.array(spot), 1, (F.col("o_orderkey") % 2).cast("int")).alias("points2d"))
+    path = scratch(spark, "images-text")
+    reconstruction.write_text("images", rows, path)
+    back = reconstruction.read_images_text(spark, path)
+    return back.select("image_id", F.get("tvec", F.lit(0)).alias("tx"), "camera_id", "name", F.coalesce(F.get("points2d", F.lit(0))["point3d_id"], F.lit(-1).cast("long")).alias("point"))

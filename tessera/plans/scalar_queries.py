@@ -44,9 +44,15 @@ _scalar("frustum_planes", {f"p{k}{c}": e for k, side in enumerate(X.planes([*CLI
 _scalar("learning_rate", {"plain": X.learning_rate("step", 1.6e-4, 1.6e-6, 5000), "warm": X.learning_rate("(step - 10)", 1e-2, 1e-4, 5000, 500, 0.01)}, "steps", "step")
 _scalar("training_plan", {"steps": "least(greatest(camera * 40, 3000), 30000)", "cache": "least(8.0 * 1024, 25e-2 * camera * 512)", "growth": "=CAST(greatest(100, floor(camera / 3)) AS BIGINT)"}, "steps", "step")
 
+_T, _SIDE = ["x", "y", "z"], ("1200e0", "800e0", "(9e-1 + (id % 7) / 1e1)", "(7e-1 + (id % 5) / 1e1)", "(4e-1 + (id % 3) / 1e1)", "55e-2")
+_VIEW = X.recentred(_ROT, _T, ["1e-1", "-2e-1", "3e-1"], "15e-1")
+_CLIP = X.projection("1e-2", "1e2", *_SIDE[2:])
+_scalar("camera_matrices", {f"v{k}": e for k, e in enumerate(X.world_view(_ROT, _T)[:12])} | {f"m{k}": _VIEW[k] for k in (3, 7, 11)} | {f"p{k}": _CLIP[k] for k in (0, 2, 5, 6, 10, 11)} | dict(zip(("fx", "fy", "cx", "cy", "focal"), X.intrinsics(*_SIDE), strict=True)))
+_scalar("projected_points", dict(zip(("u", "v", "w"), X.transformed(X.product(_CLIP, X.world_view(_ROT, ["0e0", "0e0", "3e0"])), ("x", "y", "z")), strict=True)))
+
 
 def _sh(degree: int) -> None:
-    at = (1, 4, 9, 16)[degree]
+    at = (degree + 1) ** 2
     unit = tuple(f"({c} / greatest({_LEN}, 1e-9))" for c in "xyz")
 
     def run(spark, sf_dir):
@@ -58,7 +64,7 @@ def _sh(degree: int) -> None:
     query(f"WITH {POINTS} SELECT id, round({X.sh_colour([f'e[{12 + k}]::DOUBLE' for k in range(at)], unit, degree)}, 6) AS red FROM pts")(run)
 
 
-for _degree in range(4):
+for _degree in range(5):
     _sh(_degree)
 
 

@@ -33,9 +33,9 @@ def prune_points(spark, sf_dir):
     return points(spark, sf_dir).where(~((F.col("x") > 0.1) & ~F.col("background"))).select("id", "label")
 
 
-@query(f"WITH {POINTS} SELECT id, op <= ln(5e-3 / 995e-3) * 1e-1 AS dead, least(op, ln(1e-2 / 99e-2) * 1e-1 + 5e-1) IS NOT NULL AS reset FROM pts")
+@query(f"WITH {POINTS} SELECT id, op <= ln(5e-3 / 995e-3) * 1e-1 AS dead, round(least(op, ln(1e-2 / 99e-2) * 1e-1 + 5e-1), 6) AS reset FROM pts")
 def opacity_floor(spark, sf_dir):
-    return points(spark, sf_dir).select("id", F.expr("op <= ln(5e-3 / 995e-3) * 1e-1").alias("dead"), F.lit(True).alias("reset"))
+    return points(spark, sf_dir).select("id", F.expr("op <= ln(5e-3 / 995e-3) * 1e-1").alias("dead"), F.expr("round(least(op, ln(1e-2 / 99e-2) * 1e-1 + 5e-1), 6)").alias("reset"))
 
 
 @query(f"WITH {POINTS} SELECT id FROM pts WHERE background OR (greatest(abs(x - 1e-1), abs(y)) > 1e-1 AND greatest(abs(x - 1e-1), abs(y)) < 3e-1)")
@@ -315,6 +315,19 @@ def row_digest(spark, sf_dir):
     return blocks.digest(points(spark, sf_dir), F.expr(_ROW))
 
 
+@query(None)
+def row_digest_bits(spark, sf_dir):
+    """A digest of all columns' bits, in any order of rows, with sums of the numbers."""
+    return blocks.bit_digest(points(spark, sf_dir))
+
+
+@query(None)
+def weighted_sample(spark, sf_dir):
+    """Draws with replacement in proportion to weights, as counts an id."""
+    p = points(spark, sf_dir).where("NOT background").select("id", F.col("label").cast("double").alias("w"))
+    return blocks.multinomial(p, 5_000, 17)
+
+
 @query("SELECT n_nationkey AS file FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 AND s_nationkey IS NOT NULL) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 AND c_nationkey IS NOT NULL)")
 def gc_orphans(spark, sf_dir):
     """Files that neither the current nor the previous manifest names."""

@@ -118,6 +118,33 @@ def preflight(spark, sf_dir):
     return j.agg(F.count("*").alias("images"), F.count_if(F.col("c_custkey").isNull()).alias("dangling"), F.count_if(~(F.col("o_totalprice") > 0)).alias("bad_value"), F.count_if(F.col("o_custkey") % 2 == 0).alias("even"))
 
 
+_DATASET = """cam AS (SELECT c_custkey AS camera_id, CASE WHEN c_custkey % 50 = 7 THEN 'OPENCV' ELSE 'PINHOLE' END AS model, 640 + c_custkey % 9 AS w, CASE WHEN c_custkey % 61 = 3 THEN 0 ELSE 480 END AS h,
+CASE WHEN c_custkey % 53 = 5 THEN 'nan'::DOUBLE ELSE 5e2 END AS f FROM customer),
+img AS (SELECT CASE WHEN o_orderkey % 97 = 4 THEN '../' ELSE '' END || 'i' || o_orderkey || '.png' AS name, o_custkey + CASE WHEN o_orderkey % 89 = 1 THEN 100000000 ELSE 0 END AS camera_id, o_orderkey % 71 = 2 AS odd, o_orderkey FROM orders),
+fil AS (SELECT name, coalesce(c.w, 640) * 2 AS w, CASE WHEN o_orderkey % 67 = 0 THEN 700 ELSE 960 END AS h, o_orderkey FROM img LEFT JOIN cam c USING (camera_id) WHERE o_orderkey % 73 <> 9)"""
+
+
+@query(f"""WITH {_DATASET}, j AS (SELECT i.name, i.camera_id, i.odd, c.camera_id AS c, c.w, c.h, f.name AS f, f.w AS fw, f.h AS fh FROM img i LEFT JOIN cam c USING (camera_id) LEFT JOIN fil f ON f.name = i.name)
+SELECT 'model' AS kind, NULL::VARCHAR AS image, camera_id AS camera FROM cam WHERE model <> 'PINHOLE' UNION ALL SELECT 'size', NULL, camera_id FROM cam WHERE h <= 0
+UNION ALL SELECT 'parameter', NULL, camera_id FROM cam WHERE isnan(f)
+UNION ALL SELECT 'pose', name, camera_id FROM j WHERE odd UNION ALL SELECT 'dangling', name, camera_id FROM j WHERE c IS NULL UNION ALL SELECT 'path', name, camera_id FROM j WHERE name LIKE '../%'
+UNION ALL SELECT 'missing', name, camera_id FROM j WHERE f IS NULL UNION ALL SELECT 'aspect', name, camera_id FROM j WHERE h > 0 AND fh IS NOT NULL AND abs(fw / fh - w / h) > 1e-3 * w / h
+UNION ALL SELECT 'mask_size', name, camera_id FROM j JOIN fil USING (name) WHERE fil.o_orderkey % 79 = 5""")
+def preflight_faults(spark, sf_dir):
+    """All faults of a dataset made of customers as cameras and orders as images."""
+    from tessera.sources import preflight as checks
+
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    real = lambda *e: F.array(*[F.expr(x).cast("double") for x in e])
+    cameras = c.select(F.col("c_custkey").alias("camera_id"), F.expr("CASE WHEN c_custkey % 50 = 7 THEN 'OPENCV' ELSE 'PINHOLE' END").alias("model"), F.expr("640 + c_custkey % 9").alias("width"), F.expr("CASE WHEN c_custkey % 61 = 3 THEN 0 ELSE 480 END").alias("height"), real("CASE WHEN c_custkey % 53 = 5 THEN double('nan') ELSE 5e2 END", "5e2", "3e2", "2e2").alias("params"))
+    key = F.col("o_orderkey")
+    images = o.select(key.alias("key"), F.concat(F.when(key % 97 == 4, F.lit("../")).otherwise(F.lit("")), F.lit("i"), key.cast("string"), F.lit(".png")).alias("name"), (F.col("o_custkey") + F.when(key % 89 == 1, 100000000).otherwise(0)).alias("camera_id"), real("1", "0", "0", "0").alias("qvec"), real("CASE WHEN o_orderkey % 71 = 2 THEN double('inf') ELSE 0 END", "0", "1").alias("tvec"))
+    wide = images.join(cameras.select("camera_id", "width"), "camera_id", "left").where("key % 73 <> 9")
+    files = wide.select("name", (F.coalesce("width", F.lit(640)) * 2).alias("width"), F.expr("CASE WHEN key % 67 = 0 THEN 700 ELSE 960 END").alias("height"), "key")
+    masks = files.select("name", F.expr("width + CASE WHEN key % 79 = 5 THEN 1 ELSE 0 END").alias("width"), "height")
+    return checks.faults(cameras, images.drop("key"), files.drop("key"), masks)
+
+
 @query("SELECT c_name AS name, (row_number() OVER (ORDER BY c_name) - 1) % 8 = 0 AS test FROM customer")
 def llff_split(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
@@ -173,9 +200,11 @@ def invalidated_steps(spark, sf_dir):
     return stateful.downstream(edges, spark.createDataFrame([(5,)], "step long"))
 
 
-@query("WITH v AS (SELECT i % 20 AS view, i // 20 AS epoch FROM range(100) r(i)) SELECT (epoch * 20 + row_number() OVER (PARTITION BY epoch ORDER BY sha256('11:' || epoch || ':' || view), view) - 1)::BIGINT AS step, epoch::BIGINT AS epoch, view FROM v")
+@query("WITH v AS (SELECT c_custkey AS view, epoch FROM customer, range(3) e(epoch)), s AS (SELECT row_number() OVER (ORDER BY epoch, sha256('11:' || epoch || ':' || view), view) - 1 AS step, epoch, view FROM v) SELECT step, epoch, view FROM s WHERE step >= 40 AND step < (SELECT count(*) * 5 // 2 FROM customer)")
 def view_schedule(spark, sf_dir):
-    return stateful.view_schedule(spark, 20, 5, 11)
+    """Two and a half rounds over all views, from step 40 on."""
+    views = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return stateful.view_schedule(views, views.count() * 5 // 2, 11, 40)
 
 
 @query(f"WITH {POINTS}, p AS (SELECT id, id % 3 AS mode, d0 AS c, d1 AS t, abs(d2) AS a, label >= 5 AS mask FROM pts) SELECT id, round(CASE WHEN mode = 0 THEN c WHEN mode = 1 THEN CASE WHEN mask THEN c ELSE t END ELSE c END, 6) AS image, round(CASE WHEN mode = 2 THEN CASE WHEN mask THEN t ELSE 5e-1 END ELSE t END, 6) AS target, round(CASE WHEN mode = 2 AND NOT mask THEN a ELSE 0 END, 6) AS alpha_loss FROM p")

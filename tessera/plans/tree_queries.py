@@ -112,14 +112,41 @@ def range_refresh(spark, sf_dir):
     return store.read().select("root", "id", "depth", F.round("min_d", 6).alias("min_d"), F.round("max_d", 6).alias("max_d"))
 
 
-@query(f"{_RANGES}, q AS (SELECT root, id, depth, min_d, CASE WHEN min_d > max_d - 1e-9 AND max_d < 1e11 THEN max_d * 9e-1 ELSE min_d END AS fixed FROM spt) SELECT id, round(fixed, 6) AS min_d FROM q WHERE fixed <> min_d")
+_UNEVEN = "CASE WHEN child_count = 0 THEN -1e9 ELSE size * (5e-1 + (id % 5) * 5e-1) END"
+_UNEVEN_CHILD = _UNEVEN.replace("child_count", "c.child_count").replace("size", "c.size").replace("(id", "(c.id")
+_OWN_CHILD = _OWN.replace("child_count", "c.child_count").replace("size", "c.size")
+
+
+@query(f"{_RANGES.replace(_OWN_CHILD, _UNEVEN_CHILD).replace(_OWN, _UNEVEN)}, q AS (SELECT root, id, depth, min_d, CASE WHEN min_d > max_d - 1e-9 AND max_d < 1e11 THEN max_d * 9e-1 ELSE min_d END AS fixed FROM spt) SELECT id, round(fixed, 6) AS min_d FROM q WHERE fixed <> min_d")
 def stuck_revive(spark, sf_dir):
-    """Nodes that no distance can show get a smaller min."""
-    r = _ranges(spark, sf_dir)
+    """Nodes that no distance can show, as their own is not below their parent's, get a smaller min."""
+    r = tree.subtree_ranges(nodes(spark, sf_dir), 0.5, F.col("size"), F.expr(_UNEVEN))
     fixed = F.when((F.col("min_d") > F.col("max_d") - 1e-9) & (F.col("max_d") < 1e11), F.col("max_d") * 0.9).otherwise(F.col("min_d"))
     return r.withColumn("fixed", fixed).where("fixed <> min_d").select("id", F.round("fixed", 6).alias("min_d"))
 
 
+_FAULTY = {"child_count": "CASE WHEN id % 97 = 5 THEN child_count + 1 ELSE child_count END", "depth": "CASE WHEN id % 89 = 6 THEN depth + 3 ELSE depth END", "parent": "CASE WHEN id % 83 = 40 THEN 1000000007 ELSE parent END"}
+
+
+@query(f"""WITH RECURSIVE {NODES}, f AS (SELECT id, {", ".join(f"{e} AS {c}" for c, e in _FAULTY.items())} FROM nodes), k AS (SELECT parent, count(*) AS n FROM f GROUP BY parent), r AS (SELECT id FROM f WHERE parent < 0 UNION ALL SELECT f.id FROM f JOIN r ON f.parent = r.id)
+SELECT count(*) AS nodes, count(*) FILTER (WHERE coalesce(k.n, 0) <> f.child_count) AS bad_child_count, count(*) FILTER (WHERE f.parent >= 0 AND p.depth IS DISTINCT FROM f.depth - 1) AS bad_depth,
+count(*) FILTER (WHERE f.parent >= 0 AND p.id IS NULL) AS orphans, (SELECT count(*) FROM r) AS reachable FROM f LEFT JOIN k ON k.parent = f.id LEFT JOIN f p ON p.id = f.parent""")
+def tree_faults(spark, sf_dir):
+    """The audit of a tree with wrong counts, depths and links in it."""
+    return tree.audit(nodes(spark, sf_dir).select("id", "next_sibling", "first_child", *[F.expr(e).cast("long" if c == "parent" else "int").alias(c) for c, e in _FAULTY.items()]))
+
+
+_DRAWN = "(id * 48271 % 1000003) / 1000003e0 < 9e-1"
+
+
+@query(f"""WITH RECURSIVE {NODES}, firsts AS (SELECT p.id, p.parent, p.child_count = 0 OR (p.child_count = 2 AND (f.child_count > 0 OR {_DRAWN.replace("id *", "f.id *")})) AS fine FROM nodes p LEFT JOIN nodes f ON p.child_count > 0 AND f.id = p.first_child),
+up AS (SELECT id, parent, fine FROM firsts UNION ALL SELECT p.id, p.parent, u.fine FROM up u JOIN firsts p ON u.parent = p.id), o AS (SELECT id, bool_and(fine) AS open FROM up GROUP BY id)
+SELECT n.id, n.depth FROM nodes n JOIN o USING (id) LEFT JOIN o p ON p.id = n.parent WHERE o.open AND NOT coalesce(p.open, false)""")
+def random_level_cut(spark, sf_dir):
+    """All leaves, of which a drawn share gives way with its siblings to the parents, level by level up."""
+    return levels.random_cut(nodes(spark, sf_dir), F.expr(_DRAWN)).select("id", "depth")
+
+
 @query(f"WITH {NODES} SELECT id, round(CASE WHEN parent < 0 THEN 1 ELSE weight / sum(weight) OVER (PARTITION BY parent) END, 6) AS share FROM nodes")
 def sibling_weights(spark, sf_dir):
     return tree.sibling_weights(nodes(spark, sf_dir)).select("id", F.round("share", 6).alias("share"))
