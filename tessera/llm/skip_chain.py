@@ -1,9 +1,10 @@
 r"""Personal data by patterns and a skip-chain conditional random field.
 
 The base finds emails, IPv4 addresses, card and phone numbers by fixed
-patterns. Over the tokens that hold a digit or an at sign then runs a
+patterns; full phone numbers whose base pattern ran on too far are certain as
+well. Over the tokens that hold a digit or an at sign then runs a
 conditional random field whose labels are "none" and the four kinds. Tokens of
-base spans are observed. Neighbouring tokens share a transition potential;
+these spans are observed. Neighbouring tokens share a transition potential;
 tokens of one document with the same key (the same address in lower case, the
 same four numbers of an IP address, the same last seven digits, the same whole
 run of digits) share a skip potential, so that a number which is certain in one
@@ -42,6 +43,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_FULL = re.compile(r"(?<![0-9+])\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[-. ][0-9]{4}(?![0-9])")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+")
 _EDGES = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>|*&$#"
@@ -86,6 +88,15 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def certain_spans(text: str, base: list[Span]) -> list[Span]:
+    """International numbers with an area code in brackets that are in no base
+    span, as the base's pattern ran on into the numbers behind them."""
+    if "+" not in text:
+        return []
+    found = [(m.start(), 3, m.end()) for m in _FULL.finditer(text)]
+    return [s for s in found if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -97,7 +108,7 @@ _GROUPED = re.compile(r"\(?[0-9]{2,4}\)?[-. ]?[0-9]{3,4}[-. ]?[0-9]{0,4}\Z")
 _NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\Z")
 _QUAD = re.compile(r"([0-9]{1,3})([.-])([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})(?::[0-9]+)?\Z")
 _ADDRESS = re.compile(r"[^@]+@[^@]+\.[^@.]+\Z")
-_FEATURES = 20
+_FEATURES = 21
 
 
 def features(core: str) -> np.ndarray:
@@ -107,6 +118,7 @@ def features(core: str) -> np.ndarray:
     letters = any(c.isalpha() for c in core)
     x = [1, "@" in core, bool(_ADDRESS.match(core)), bool(_DOTTED.match(core)), n < 4, 4 <= n <= 6, 7 <= n <= 8, 9 <= n <= 11, 12 <= n <= 15, 16 <= n <= 19, n > 19, letters, core.startswith("+"), "-" in core, "/" in core or ":" in core]
     x += [12 <= n <= 19 and luhn(d), bool(_GROUPED.match(core)), core.isdigit(), "." in core, n > 0 and not letters and n / len(core) > 0.7]
+    x.append(bool(m := _QUAD.match(core)) and all(int(m[k]) <= 255 for k in (1, 3, 4, 5)))
     return np.array(x, float)
 
 
@@ -131,7 +143,7 @@ class Graph:
         self.chain: list[int] = []  # tokens whose next token follows at once
         self.hub: dict[tuple[int, str], int] = {}
         self.skip: list[tuple[int, int]] = []
-        self.known: set[tuple[int, int]] = set()  # hub, kind of an observed token that it links
+        self.known: dict[tuple[int, int], str] = {}  # hub, kind of an observed token that it links: the digits of its span
 
     def add(self, number: int, text: str, base: list[Span]) -> None:
         last = None
@@ -160,7 +172,7 @@ class Graph:
                 hub = self.hub.setdefault((number, key), len(self.hub))
                 self.skip.append((me, hub))
                 if cover:
-                    self.known.add((hub, cover[0][1]))
+                    self.known[hub, cover[0][1]] = _digits(text[cover[0][0] : cover[0][2]])
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         x = np.array(self.x).reshape(-1, _FEATURES)
@@ -170,6 +182,8 @@ class Graph:
 # -- potentials ----------------------------------------------------------------
 
 LABELS = 1 + len(KINDS)
+#: Tokens that a linked one may take in on its sides.
+WIDEST = 4
 #: The largest skip weight that counts: beyond it a hub would be a certainty.
 MOST = 6.0
 
@@ -322,40 +336,70 @@ def stands_alone(kind: int, s: str) -> bool:
     return 9 <= len(d) <= 15 and (s.startswith("+") or bool(_NATIONAL.match(s)))
 
 
-def find(texts: list[str], weights: tuple[np.ndarray, ...], least: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and all spans of each text. The field adds a token, or tokens
-    that follow each other with the same label, if each has the label with a
-    probability of at least ``least`` and none is in a base span. One of them
-    must be linked to a base span of that kind, or all together must have its
-    full form: labels that come from neighbours alone are too weak."""
+def find(texts: list[str], weights: tuple[np.ndarray, ...], least: float = 0.9, linked: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
+    """Base spans and all spans of each text. The field adds a token in no base
+    span whose likeliest label is a kind: with a probability of at least
+    ``linked`` if the token shares a key with a base span of that kind, else of at
+    least ``least`` if it has the kind's full form. Tokens that follow each other, none
+    of which is enough by itself, are one span if together they have
+    the full form: labels that come from neighbours alone are too weak. A token
+    that shares a key takes in those beside it as long as their digits, put
+    together, are the end or the beginning of the known ones."""
     base = [base_spans(t) for t in texts]
+    more = [certain_spans(t, b) for t, b in zip(texts, base, strict=True)]
     g = Graph()
     for k, t in enumerate(texts):
         if base[k] or _HINT.search(t):
-            g.add(k, t, base[k])
-    more: list[list[Span]] = [[] for _ in texts]
-    sure: list[list[bool]] = [[] for _ in texts]
+            g.add(k, t, sorted(base[k] + more[k]))
     if g.spans:
         p = marginals(g, weights)
         best = p.argmax(1)
-        best[(p.max(1) < least) | (np.array(g.seen) >= 0)] = 0
+        best[np.array(g.seen) >= 0] = 0
         follows = set(g.chain)
         hubs: dict[int, list[int]] = {}
         for i, h in g.skip:
             hubs.setdefault(i, []).append(h)
+        run: list[int] = []  # tokens in a row with one label, none enough by itself
+
+        def end_run() -> None:
+            if len(run) > 1:
+                k, kind = g.spans[run[0]][0], int(best[run[0]]) - 1
+                a, b = g.spans[run[0]][1], g.spans[run[-1]][2]
+                if stands_alone(kind, texts[k][a:b]):
+                    more[k].append((a, kind, b))
+            run.clear()
+
+        def widened(i: int, kind: int) -> Span:
+            k, a, b = g.spans[i]
+            whole = [g.known[h, kind] for h in hubs[i] if (h, kind) in g.known]
+            left = right = i
+            for _ in range(WIDEST):
+                for x, y, edge in ((left - 1, right, left - 1), (left, right + 1, right)):
+                    if edge in follows and g.seen[x] < 0 and g.seen[y] < 0:
+                        d = _digits(texts[k][g.spans[x][1] : g.spans[y][2]])
+                        if len(d) > len(_digits(texts[k][a:b])) and any(w.endswith(d) or w.startswith(d) for w in whole):
+                            left, right, a, b = x, y, g.spans[x][1], g.spans[y][2]
+                            break
+            return a - (texts[k][a - 1 : a] == "("), kind, b
+
         for i in np.flatnonzero(best).tolist():
             k, a, b = g.spans[i]
             kind = int(best[i]) - 1
-            if i - 1 in follows and best[i - 1] == best[i] and more[k]:
-                more[k][-1] = (more[k][-1][0], kind, b)
-            else:
+            sure = p[i, best[i]] >= least
+            known = any((h, kind) in g.known for h in hubs.get(i, ()))
+            if known and p[i, best[i]] >= linked:
+                run[:] = [j for j in run if g.spans[j][0] != k or i - j > WIDEST]
+                end_run()
+                more[k].append(widened(i, kind))
+            elif sure and stands_alone(kind, texts[k][a:b]):
+                end_run()
                 more[k].append((a, kind, b))
-                sure[k].append(False)
-            sure[k][-1] |= any((h, kind) in g.known for h in hubs.get(i, ()))
-    out = []
-    for t, b, m, ok in zip(texts, base, more, sure, strict=True):
-        out.append((b, sorted(b + [s for s, linked in zip(m, ok, strict=True) if linked or stands_alone(s[1], t[s[0] : s[2]])])))
-    return out
+            elif sure:
+                if not (run and run[-1] == i - 1 and i - 1 in follows and best[i - 1] == best[i]):
+                    end_run()
+                run.append(i)
+        end_run()
+    return [(b, sorted(b + m)) for b, m in zip(base, more, strict=True)]
 
 
 def personal_data(docs: DataFrame, text_col: str = "text", least: float = 0.9) -> DataFrame:
