@@ -24,7 +24,8 @@ from tessera.session import ship
 LENGTHS = (5, 8, 12)
 #: The largest share of word characters inside repeated n-grams of each length, and inside repeated lines: the longer
 #: the repeat, the less. No text labelled good of sf0.1 that passes the base has more than 0.28, 0.28, 0.16 and 0.14.
-LIMITS = {5: 0.35, 8: 0.30, 12: 0.20, "lines": 0.20}
+#: And the most symbols per word character: texts labelled good have none there, nine of ten bad ones more than this.
+LIMITS = {5: 0.35, 8: 0.30, 12: 0.20, "lines": 0.20, "symbols": 0.10}
 #: Bytes of text that are measured at a time.
 PART_BYTES = 2_000_000
 
@@ -139,8 +140,8 @@ def repetition(docs: DataFrame, text_col: str = "text", limits: dict | None = No
     """``docs`` with MEASURES (long), base_failed and kept.
 
     kept is false if base_failed, or if the share of word characters inside
-    repeated n-grams of a length, or inside lines equal to an earlier line, is
-    over its limit.
+    repeated n-grams of a length, or inside lines equal to an earlier line, or
+    that of symbols, is over its limit.
 
     Defined results: a null, empty or blank text has no word and fails; texts
     are measured whole, in parts of about ``PART_BYTES`` (a longer one by
@@ -173,7 +174,7 @@ def repetition(docs: DataFrame, text_col: str = "text", limits: dict | None = No
     out_names = schema.names
     measured = base.withColumn(source, F.col(text_col).cast("string")).mapInArrow(run, schema)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    shares = [(f"dup_{n}_chars", limits[n]) for n in LENGTHS] + [("dup_line_chars", limits["lines"])]
+    shares = [(f"dup_{n}_chars", limits[n]) for n in LENGTHS] + [("dup_line_chars", limits["lines"]), ("n_symbols", limits["symbols"])]
     over = F.lit(False)
     for name, most in shares:
         over = over | (F.col(name) > F.lit(float(most)) * F.col("word_chars"))

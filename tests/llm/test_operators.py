@@ -284,8 +284,12 @@ def test_repetition_rejects_beyond_the_base(spark):
     fresh = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20)) for _ in range(14)]
     text = "\n".join([*fresh, *fresh[:4]])
     clean = "\n".join(fresh)
-    got = rows(repetition.repetition(spark.createDataFrame([(0, text), (1, clean)], "doc_id long, text string")), "base_failed", "kept")
-    assert got == {0: (False, False), 1: (False, True)}
+    noisy = " ".join(w + "%*#" for w in clean.split())  # 3 signs a word of 9 characters
+    some = " ".join(w + "#" * (k % 2) for k, w in enumerate(clean.split()))
+    df = spark.createDataFrame([(0, text), (1, clean), (2, noisy), (3, some)], "doc_id long, text string")
+    got = rows(repetition.repetition(df), "base_failed", "kept")
+    assert got == {0: (False, False), 1: (False, True), 2: (False, False), 3: (False, True)}
+    assert rows(repetition.repetition(df, limits={"symbols": 0.5}), "base_failed", "kept")[2] == (False, True)
 
 
 # -- op4 ----------------------------------------------------------------------
