@@ -141,6 +141,31 @@ def block_scan_semi(spark, sf_dir):
     return spatial.frustum_filter(near, CLIP, _R).select("id", "block")
 
 
+#: The clip matrix of each camera of the list: the one above, moved to the camera's centre.
+_OWN_CLIP = [e if k % 4 < 3 else f"({e} - {CLIP[k - 3]} * cx - {CLIP[k - 2]} * cy - {CLIP[k - 1]} * (cz + 1e0))" for k, e in enumerate(CLIP)]
+_SEES = X.box_in_planes(["min_x", "min_y", "min_z"], ["max_x", "max_y", "max_z"], X.planes([*_OWN_CLIP[:3], f"({_OWN_CLIP[3]} - 5e-1)", *_OWN_CLIP[4:]]))
+
+
+@query(f"WITH {POINTS}, {_BLOCKS}, {CAMERAS_SQL} SELECT block, cam FROM blocks, cams WHERE {_SEES}")
+def block_camera_pairs(spark, sf_dir):
+    """Which blocks each camera may see: boxes against planes, on the manifest alone."""
+    _, m = _manifest(spark, sf_dir)
+    # a row a block against a short list
+    return m.join(F.broadcast(cameras(spark))).where(F.expr(_SEES)).select("block", "cam")
+
+
+@query(f"WITH {POINTS}, {_BLOCKS} SELECT p.id, p.id // 25 AS block, round(p.x, 6) AS x FROM pts p WHERE p.id // 25 IN (SELECT block FROM blocks WHERE {_HIT})")
+def block_store_scan(spark, sf_dir):
+    """Rows of the blocks that a camera can see, from a store that opens only their files."""
+    from tessera.session import scratch
+    from tessera.sources.block_store import BlockStore
+
+    store = BlockStore(spark, scratch(spark, "block-store"))
+    p, _ = _manifest(spark, sf_dir)
+    store.write(p.drop("e"), f"{_R} / 9", finite=True)
+    return store.read(_HIT).select("id", F.floor(F.col("id") / 25).cast("long").alias("block"), F.round("x", 6).alias("x"))
+
+
 @query(f"""WITH {POINTS} SELECT round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz,
 (SELECT round(11e-1 * quantile_cont(sqrt(power(x - a, 2) + power(y - b, 2) + power(z - c, 2)), 9e-1), 6) FROM pts, (SELECT avg(x) AS a, avg(y) AS b, avg(z) AS c FROM pts)) AS radius FROM pts""")
 def scene_norm(spark, sf_dir):

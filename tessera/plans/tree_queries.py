@@ -272,6 +272,12 @@ CASE WHEN w.parent < 0 THEN 0 ELSE coalesce(lead(w.id) OVER (PARTITION BY w.pare
 FROM whole w JOIN deep d USING (id) LEFT JOIN kids k ON k.parent = w.id"""
 
 
+@query(_MOVED[: _MOVED.index("chain AS")].rstrip().rstrip(",") + " SELECT dead, sib AS sibling, parent, target FROM pairs")
+def relocation_pairs(spark, sf_dir):
+    """Dead leaves that move, never both of two siblings, and the living leaf each goes below."""
+    return relocation.chosen_pairs(nodes(spark, sf_dir), F.col("weight") > 9.6e2, relocation.sampling_key(F.col("weight"), 7))
+
+
 @query(_MOVED)
 def relocate_tree(spark, sf_dir):
     """The whole tree after dead leaves were moved below sampled living ones."""
@@ -418,10 +424,10 @@ def kd_build(spark, sf_dir):
     return nodes.where("height = 0").select(F.col("point").alias("id"), F.col("code").alias("cell"))
 
 
-@query(f"WITH {NODES}, j AS (SELECT n.id, n.x, n.y, n.z, n.size, p.x AS px, p.y AS py, p.z AS pz, p.size AS ps FROM nodes n JOIN nodes p ON n.parent = p.id), s AS (SELECT j.*, (i * 754877666 % 1000) / 5e2 - 1 AS a, (i * 569840291 % 1000) / 5e2 - 1 AS b, (i * 430159709 % 1000) / 5e2 - 1 AS c FROM j, range(8) r(i)) SELECT id, avg(CASE WHEN power(x + a * size - px, 2) + power(y + b * size - py, 2) + power(z + c * size - pz, 2) > ps * ps THEN 1e0 ELSE 0e0 END) AS outside FROM s GROUP BY id")
+@query(f"WITH {NODES}, j AS (SELECT n.id, n.x, n.y, n.z, n.size, p.x AS px, p.y AS py, p.z AS pz, p.size AS ps FROM nodes n JOIN nodes p ON n.parent = p.id), s AS (SELECT j.*, (i * 754877666 % 1000) / 5e2 - 1 AS a, (i * 569840291 % 1000) / 5e2 - 1 AS b, (i * 430159709 % 1000) / 5e2 - 1 AS c FROM j, range(64) r(i)) SELECT id, avg(CASE WHEN power(x + a * size - px, 2) + power(y + b * size - py, 2) + power(z + c * size - pz, 2) > ps * ps THEN 1e0 ELSE 0e0 END) AS outside FROM s GROUP BY id")
 def sphere_divergence(spark, sf_dir):
     """The share of sample points of a child's box that lie outside the parent's sphere; samples from a fixed lattice."""
     j = tree.with_parent(nodes(spark, sf_dir), ["x", "y", "z", "size"]).where("parent >= 0")
-    s = j.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))).withColumns({n: F.expr(f"(i * {m} % 1000) / 5e2 - 1") for n, m in (("a", 754877666), ("b", 569840291), ("c", 430159709))})
+    s = j.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).withColumns({n: F.expr(f"(i * {m} % 1000) / 5e2 - 1") for n, m in (("a", 754877666), ("b", 569840291), ("c", 430159709))})
     out = F.expr("power(x + a * size - p_x, 2) + power(y + b * size - p_y, 2) + power(z + c * size - p_z, 2) > p_size * p_size")
     return s.groupBy("id").agg(F.avg(F.when(out, 1.0).otherwise(0.0)).alias("outside"))

@@ -60,9 +60,20 @@ class BlockStore:
         return self.spark.read.parquet(f"{self.root}/manifests/{self.versions()[version]}")
 
     # -- writing ---------------------------------------------------------------
-    def write(self, rows: DataFrame, radius: str) -> None:
+    def write(self, rows: DataFrame, radius: str, finite: bool = False, block_rows: int | None = None) -> None:
         """Write ``rows`` (with columns block, background, x, y, z) as new block
-        folders; blocks of other numbers stay as they are."""
+        folders; blocks of other numbers stay as they are. With ``finite`` a
+        number that isn't is an error; a block of over ``block_rows`` rows is,
+        too, and so are other columns than the store's. No error changes the store."""
+        if self.versions():
+            there = self.spark.read.parquet(self._full(self.manifest().select("file").first()["file"])) if self.manifest().take(1) else None
+            if there is not None and set(there.columns) != set(rows.columns) - {"block"}:
+                raise ValueError(f"the store's columns are {sorted(there.columns)}")
+        if finite:
+            for c, t in rows.dtypes:
+                if t in ("float", "double"):
+                    fine = ~F.isnan(c) & (F.abs(c) < float("inf"))
+                    rows = rows.withColumn(c, F.when(fine, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is not finite")).cast(t)))
         new = uuid.uuid4().hex
         path = f"{self.root}/data/{new}"
         # until the commit no manifest names the folder
@@ -70,6 +81,8 @@ class BlockStore:
         rows.repartition("block").write.partitionBy("block").parquet(path)
         fresh = bounds(self.spark.read.parquet(path), radius).withColumn("file", F.concat(F.lit(f"{new}/block="), F.col("block").cast("string")))
         fresh = fresh.withColumn("block", F.col("block").cast("long"))
+        if block_rows is not None and (full := fresh.where(F.col("row_count") > block_rows).select("block").first()):
+            raise ValueError(f"block {full[0]} has over {block_rows} rows")
         if self.versions():
             fresh = fresh.unionByName(self.manifest().join(fresh.select("block"), "block", "left_anti"))
         self._save(fresh)
@@ -98,18 +111,21 @@ class BlockStore:
         return [BlockStore(self.spark, r["value"]) for r in self.spark.read.text(f"{self.root}/forks").distinct().collect()] if self._names("forks") else []
 
     # -- reading ---------------------------------------------------------------
+    def _full(self, file: str) -> str:
+        return file if file[0] == "/" or "://" in file else f"{self.root}/data/{file}"
+
     def read(self, hit: str | None = None, scores: DataFrame | None = None) -> DataFrame:
         """Rows of the live blocks whose bounds pass ``hit``; only their files
         are opened. Blocks without scores have zeros."""
         m = self.manifest() if hit is None else self.manifest().where(F.expr(hit))
         files = [r["file"] for r in m.select("file").collect()]  # one short name a block
-        full = [f if "/" == f[0] or "://" in f else f"{self.root}/data/{f}" for f in files]
+        full = [self._full(f) for f in files]
         if not full:
             full_table = self.manifest().select("file").first()
             one = full_table["file"] if full_table else None
             if one is None:
                 raise ValueError("the store has no blocks")
-            rows = self.spark.read.parquet(one if "/" == one[0] or "://" in one else f"{self.root}/data/{one}").limit(0)
+            rows = self.spark.read.parquet(self._full(one)).limit(0)
         else:
             rows = self.spark.read.parquet(*full)
         if scores is not None:

@@ -101,6 +101,12 @@ def camera_json(cameras: DataFrame, key: str = "name") -> DataFrame:
     return cameras.select(key, F.to_json(F.struct(*cameras.columns)).alias("json"))
 
 
+def exposure_json(exposures: DataFrame, key: str = "name") -> DataFrame:
+    """One JSON document an image: its three rows of four numbers, from an array of twelve, under its name."""
+    matrix = F.transform(F.array(*[F.lit(k) for k in range(3)]), lambda k: F.slice("exposure", 4 * k + 1, 4))
+    return exposures.select(key, F.to_json(F.create_map(F.col(key).cast("string"), matrix)).alias("json"))
+
+
 def write_profile(steps: DataFrame, path: str, every: Column) -> None:
     """The sampled steps as JSON lines."""
     steps.where(every).write.mode("append").json(path)

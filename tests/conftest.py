@@ -21,4 +21,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tessera.session import clear
+
+    clear(session)
     session.stop()

@@ -150,3 +150,18 @@ assert stateful.ssim_of_images(px).count() == 1
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, timeout=120, capture_output=True)
+
+
+def test_staged_tables_are_kept_by_application_and_cleared(spark, tmp_path):
+    from tessera import session
+
+    other = session.scratch(spark, "x")
+    assert spark.sparkContext.applicationId in other
+    df = session.staged(spark.range(5).toDF("id"), "five")
+    assert df.count() == 5
+    folder = session._own_dir(spark).removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder)
+    assert session.clear(spark) and not os.path.isdir(folder)
+    assert not session.clear(spark)

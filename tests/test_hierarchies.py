@@ -58,3 +58,5 @@ def test_logs_and_pairs(spark, tmp_path):
     assert [tuple(r) for r in h.pair_edges(pairs).collect()] == [(3, 5, 7.0)]
     cams = spark.createDataFrame([("a", 1)], "name string, width int")
     assert h.camera_json(cams).first()["json"] == '{"name":"a","width":1}'
+    light = spark.createDataFrame([("a", [float(k) for k in range(12)])], "name string, exposure array<double>")
+    assert h.exposure_json(light).first()["json"] == '{"a":[[0.0,1.0,2.0,3.0],[4.0,5.0,6.0,7.0],[8.0,9.0,10.0,11.0]]}'

@@ -177,6 +177,16 @@ def test_block_store(spark, tmp_path):
     assert s.read("min_x > 1e9").count() == 0
 
 
+def test_block_store_refuses_bad_rows(spark, tmp_path):
+    rows = spark.range(20).select("id", (F.col("id") / 10).cast("long").alias("block"), F.lit(False).alias("background"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
+    s = BlockStore(spark, f"file://{tmp_path}/store")
+    s.write(rows, "1.0", finite=True, block_rows=10)
+    for bad, match in ((rows.withColumn("y", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("y"))), "y is not finite"), (rows.withColumn("block", F.lit(0)), "over 10 rows"), (rows.withColumn("more", F.lit(1)), "columns")):
+        with pytest.raises(Exception, match=match):
+            s.write(bad, "1.0", finite=True, block_rows=10)
+        assert s.read().agg(F.sum("y"), F.count("*")).first()[:] == (190.0, 20)
+
+
 def test_expressions_against_numpy(spark):
     r = np.random.default_rng(1)
     q, s, d = r.normal(size=4), np.exp(r.normal(size=3)), r.normal(size=3)
