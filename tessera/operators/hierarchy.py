@@ -254,3 +254,40 @@ def align(nodes: DataFrame) -> DataFrame:
         low = low.withColumn("_group", F.col("cell"))
     made = low.groupBy("_group").applyInPandas(lambda pdf: _aligned(pdf)[kind.names], kind)
     return made if done is None else made.unionByName(done)
+
+
+def quaternions(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with qw, qx, qy, qz (qw >= 0) of ROTATION: each part from the
+    largest of the four squares."""
+    r = {c: F.col(c) for c in ROTATION}
+    four = {"w": 1 + r["r00"] + r["r11"] + r["r22"], "x": 1 + r["r00"] - r["r11"] - r["r22"], "y": 1 - r["r00"] + r["r11"] - r["r22"], "z": 1 - r["r00"] - r["r11"] + r["r22"]}
+    pair = {"wx": r["r21"] - r["r12"], "wy": r["r02"] - r["r20"], "wz": r["r10"] - r["r01"], "xy": r["r01"] + r["r10"], "xz": r["r02"] + r["r20"], "yz": r["r12"] + r["r21"]}
+    out = nodes.withColumns({"_t" + k: v for k, v in four.items()}).withColumn("_big", F.greatest(*["_t" + k for k in "wxyz"]))
+    for k in "wxyz":
+        term = lambda lead, k=k: F.col("_t" + k) if lead == k else pair["".join(sorted(lead + k, key="wxyz".index))]
+        out = out.withColumn("_q" + k, F.coalesce(*[F.when(F.col("_big") == F.col("_t" + lead), term(lead) / (2 * F.sqrt("_t" + lead))) for lead in "wxyz"]))
+    sign = F.when(F.col("_qw") < 0, -1.0).otherwise(1.0)
+    return out.withColumns({"q" + k: sign * F.col("_q" + k) for k in "wxyz"}).drop("_big", *["_t" + k for k in "wxyz"], *["_q" + k for k in "wxyz"])
+
+
+def static_tables(built: DataFrame, harmonics: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points and nodes of a static hierarchy's file, from the nodes of ``align``:
+    each node has one row among the points, in preorder, and a node's children
+    lie side by side. ``harmonics`` are columns, by coefficient and channel;
+    missing ones are 0. A node's depth is its height; boxes end with their longest side."""
+    from tessera.operators import levels
+    from tessera.sources.hierarchies import SH
+
+    here = staged(quaternions(built), "built")
+    bits = F.length(F.bin("code"))
+    tree = here.select(F.col("code").alias("id"), F.when(F.col("code") > 1, F.shiftright("code", 1)).otherwise(F.lit(-1)).cast("long").alias("parent"), (bits - 1).cast("int").alias("depth"))
+    at = staged(levels.linearise(tree).select(F.col("id").alias("code"), F.col("parent").alias("_up"), "preorder", "place", "first_child"), "layout")
+    j = here.join(at, "code").join(at.select(F.col("code").alias("_up"), F.col("place").alias("up_place")), "_up", "left")
+    real = lambda *c: F.array(*[F.col(x).cast("float") for x in c])
+    sh = F.concat(real(*harmonics), F.array_repeat(F.lit(0.0).cast("float"), SH - len(harmonics)))
+    points = j.select(F.col("preorder").alias("id"), real(*AXES).alias("xyz"), real("qw", "qx", "qy", "qz").alias("rotation"), F.array(*[F.ln(c).cast("float") for c in SCALES]).alias("scale"), F.col("opacity").cast("float").alias("opacity"), sh.alias("sh"))
+    side = F.greatest(*[F.col("hi_" + a) - F.col("lo_" + a) for a in AXES]).cast("float")
+    leaf = F.col("first_child") < 0
+    corner = lambda s: F.concat(real(*[f"{s}_{a}" for a in AXES]), F.array(side))
+    nodes = j.select(F.col("place").alias("id"), F.col("height").alias("depth"), F.coalesce("up_place", F.lit(-1)).alias("parent"), F.col("preorder").alias("start"), leaf.cast("int").alias("count_leafs"), (~leaf).cast("int").alias("count_merged"), F.col("first_child").alias("start_children"), F.when(leaf, 0).otherwise(2).alias("count_children"), corner("lo").alias("box_min"), corner("hi").alias("box_max"))
+    return points, nodes

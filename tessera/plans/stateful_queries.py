@@ -268,7 +268,7 @@ def _merged(spark, sf_dir):
     return hierarchy.moments(hierarchy.merged(p, radius="r", also=("d0", "d1", "d2")))
 
 
-@query(
+_NODES_SQL = (
     f"WITH {POINTS}, v AS (SELECT * FROM pts WHERE {VALID}), {kd_full_sql('v')}, g AS (SELECT id, {_WEIGHT} AS w, d0, d2, "
     + ", ".join(f"{t} AS {c}" for c, t in _COV.items())
     + " FROM v), up AS (SELECT k14.cell >> r.i AS code, r.i, k14.x, k14.y, k14.z, k14.r AS radius, g.* FROM k14 JOIN g USING (id), range(0, 15) r(i) WHERE (k14.cell >> r.i) >= 1), "
@@ -278,7 +278,12 @@ def _merged(spark, sf_dir):
     + ", ".join(f"sum(w * ({c} + {c[0]} * {c[1]})) / sum(w) AS m{c}" for c in hierarchy.COVARIANCE)
     + ", sum(w * d0) / sum(w) AS d0, sum(w * d2) / sum(w) AS d2, "
     + ", ".join(f"min({a} - radius) AS lo_{a}, max({a} + radius) AS hi_{a}" for a in hierarchy.AXES)
-    + " FROM up GROUP BY code) SELECT code, n, height, round(w, 5) AS w, "
+    + " FROM up GROUP BY code)"
+)
+
+
+@query(
+    f"{_NODES_SQL} SELECT code, n, height, round(w, 5) AS w, "
     + ", ".join(f"round({c}, 5) + 0e0 AS {c}" for c in (*hierarchy.BOX, "d0", "d2"))
     + ", "
     + ", ".join(f"round(m{a}, 5) + 0e0 AS {a}" for a in hierarchy.AXES)
@@ -296,3 +301,23 @@ def hierarchy_build(spark, sf_dir):
     """The build, end to end: what hierarchy_merge makes, as scales, rotations aligned from the root down, and opacities."""
     made = hierarchy.align(hierarchy.shapes(_merged(spark, sf_dir)))
     return made.select("code", F.shiftright("code", 1).alias("parent"), "point", "n", "height", *hierarchy.AXES, *[F.round(c, 5).alias(c) for c in (*hierarchy.SCALES, *hierarchy.ROTATION, "opacity")])
+
+
+@query(
+    f"{_NODES_SQL}, d AS (SELECT *, length(bin(code)) - 1 AS deep, code > 1 AS below FROM s), o AS (SELECT *, row_number() OVER (ORDER BY code << (20 - deep), deep) - 1 AS pre FROM d), "
+    "f AS (SELECT *, CASE WHEN height > 0 THEN 1 + coalesce(sum(CASE WHEN height > 0 THEN 2 ELSE 0 END) OVER (ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE -1 END::BIGINT AS kids FROM o), "
+    "p AS (SELECT f.*, CASE WHEN f.below THEN g.kids + (f.code & 1) ELSE 0 END AS place, g.code AS up FROM f LEFT JOIN f g ON g.code = f.code >> 1) "
+    "SELECT p.place AS id, p.height::INT AS depth, coalesce(q.place, -1)::INT AS parent, p.pre::INT AS start, (p.height = 0)::INT AS count_leafs, p.kids::INT AS start_children, CASE WHEN p.height > 0 THEN 2 ELSE 0 END AS count_children, "
+    "round(p.lo_x::FLOAT::DOUBLE, 4) + 0e0 AS lo_x, round(p.hi_z::FLOAT::DOUBLE, 4) + 0e0 AS hi_z FROM p LEFT JOIN p q ON q.code = p.up"
+)
+def hierarchy_build_file(spark, sf_dir):
+    """The build written as a static hierarchy's file, in its layout, and its nodes read again."""
+    from tessera.session import scratch
+    from tessera.sources import hierarchies
+
+    built = hierarchy.align(hierarchy.shapes(_merged(spark, sf_dir)))
+    path = scratch(spark, "built") + ".hier"
+    hierarchies.write_static(*hierarchy.static_tables(built, ["d0", "d1", "d2"]), path)
+    back = hierarchies.read_static_nodes(spark, path)
+    real = lambda c, k: F.round(F.get(c, F.lit(k)).cast("double"), 4)
+    return back.select("id", "depth", "parent", "start", "count_leafs", "start_children", "count_children", real("box_min", 0).alias("lo_x"), real("box_max", 2).alias("hi_z"))

@@ -92,3 +92,35 @@ def test_covariances_do_not_cancel_far_from_the_origin(spark, leaf_rows):
     rows = [(k, 1.0, *map(float, far + s * np.array([0.01, 0.0, 0.0])), 1e-4, 0.0, 0.0, 1e-4, 0.0, 2e-4) for k, s in enumerate((-1, 1))]
     root = hierarchy.moments(hierarchy.merged(spark.createDataFrame(rows, SCHEMA), leaf_rows)).where("code = 1").first()
     assert np.allclose([root[c] for c in hierarchy.COVARIANCE], [2e-4, 0, 0, 1e-4, 0, 2e-4], rtol=1e-6, atol=1e-12)
+
+
+def test_built_files_hold_the_tree(spark, points, tmp_path):
+    from tessera.sources import hierarchies
+
+    df = spark.createDataFrame([(*p, float(p[0])) for p in points], SCHEMA + ", d double")
+    built = hierarchy.align(hierarchy.shapes(hierarchy.moments(hierarchy.merged(df, 10, also=("d",)))))
+    rows = {r["code"]: r for r in hierarchy.quaternions(built).collect()}
+    for r in rows.values():
+        w, x, y, z = (r["q" + c] for c in "wxyz")
+        m = np.array([r[c] for c in hierarchy.ROTATION]).reshape(3, 3)
+        again = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+        assert w >= 0 and np.allclose(m, again, atol=1e-7)
+    path = f"file://{tmp_path}/b.hier"
+    assert hierarchies.write_static(*hierarchy.static_tables(built, ["d"]), path) == (89, 89)
+    at = {r["id"]: r for r in hierarchies.read_static_points(spark, path).collect()}
+    nodes = {r["id"]: r for r in hierarchies.read_static_nodes(spark, path).collect()}
+    seen = []
+
+    def walk(k, code):
+        n, want = nodes[k], rows[code]
+        seen.append(n["start"])
+        p = at[n["start"]]
+        assert np.allclose(p["xyz"], [want[a] for a in hierarchy.AXES], atol=1e-5) and np.isclose(p["sh"][0], want["d"], rtol=1e-5)
+        assert np.allclose(np.exp(p["scale"]), [want[s] for s in hierarchy.SCALES], rtol=1e-4)
+        assert (n["depth"], n["count_leafs"], n["count_merged"], n["count_children"]) == (want["height"], int(want["n"] == 1), int(want["n"] > 1), 2 * (want["n"] > 1))
+        for side in range(n["count_children"]):
+            assert nodes[n["start_children"] + side]["parent"] == k
+            walk(n["start_children"] + side, 2 * code + side)
+
+    walk(0, 1)
+    assert seen == list(range(89))
