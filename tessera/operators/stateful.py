@@ -96,7 +96,8 @@ def walks(edges: DataFrame, starts: DataFrame, length: int, seed: int, accept_by
     from tessera.session import staged
 
     table = staged(table, "walk-edges")
-    uniform = lambda k, salt: (F.xxhash64(F.lit(seed), F.lit(salt), "start", F.lit(k)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
+    # 52 bits of a SHA-256, which any engine can draw again
+    uniform = lambda k, salt: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(salt), "start", F.lit(k)), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     now = starts.select(F.col("node").alias("start"), F.col("node"))
     out = now.withColumn("step", F.lit(0))
     for k in range(1, length + 1):

@@ -214,20 +214,39 @@ def mask_targets(spark, sf_dir):
     return points(spark, sf_dir).select("id", *[F.expr(f"round({e}, 6)").alias(n) for n, e in t.items()])
 
 
-@query(None)
+_BLUR = ", ".join(f"sum(g.w * {e}) AS {n}" for n, e in (("ma", "s.a"), ("mb", "s.b"), ("aa", "s.a * s.a"), ("bb", "s.b * s.b"), ("ab", "s.a * s.b")))
+
+
+@query(f"""WITH {STEPS}, q AS (SELECT (step - 1) // 1000 AS image, (step - 1) % 40 AS x, (step - 1) // 40 % 25 AS y, value - floor(value) AS a, (value - floor(value)) * 9e-1 + 5e-2 AS b FROM steps),
+k AS (SELECT d, exp(-d * d / 45e-1) / (SELECT sum(exp(-c * c / 45e-1)) FROM range(-5, 6) r(c)) AS w FROM range(-5, 6) r(d)), g AS (SELECT a.d AS dx, b.d AS dy, a.w * b.w AS w FROM k a, k b),
+size AS (SELECT image, max(x) + 1 AS w, max(y) + 1 AS h FROM q GROUP BY image), px AS (SELECT image, x, y FROM size, range(40) u(x), range(25) v(y) WHERE x < w AND y < h),
+m AS (SELECT px.image, px.x, px.y, {_BLUR} FROM px CROSS JOIN g LEFT JOIN q s ON s.image = px.image AND s.x = px.x + g.dx AND s.y = px.y + g.dy GROUP BY px.image, px.x, px.y),
+c AS (SELECT image, ((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4)) / ((ma * ma + mb * mb + 1e-4) * (aa - ma * ma + bb - mb * mb + 9e-4)) AS s FROM m)
+SELECT image, round(avg(s), 6) AS ssim FROM c GROUP BY image""")
 def ssim(spark, sf_dir):
     """Images of 40 x 25 pixels from the event log, against their shifted selves."""
     e = steps(spark, sf_dir).select(F.floor((F.col("step") - 1) / 1000).alias("image"), ((F.col("step") - 1) % 40).alias("x"), (F.floor((F.col("step") - 1) / 40) % 25).alias("y"), F.expr("value - floor(value)").alias("a"))
     return stateful.ssim_of_images(e.withColumn("b", F.col("a") * 0.9 + 0.05)).select("image", F.round("ssim", 6).alias("ssim"))
 
 
-@query(None)
+def _walk_sql(share: str, there: str) -> str:
+    """Walks of twelve steps from every point over its four nearest, drawn from hashes."""
+    draw = lambda salt: f"('0x' || substr(sha256('3:{salt}:' || w.start || ':' || (w.step + 1)), 1, 13))::BIGINT / 4503599627370496e0"
+    return f"""WITH RECURSIVE {POINTS}, d AS (SELECT a.id AS src, b.id AS dst, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM pts a JOIN pts b ON a.id <> b.id),
+e AS (SELECT src, dst, sqrt(d2) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d) WHERE k <= 4),
+g AS (SELECT src, sum(weight) AS deg FROM e GROUP BY src), p AS (SELECT *, {share} AS p FROM e),
+t AS (SELECT p.src, p.dst, p.p, g.deg, h.deg AS deg2, sum(p) OVER (PARTITION BY p.src ORDER BY p.dst ROWS UNBOUNDED PRECEDING) AS hi, sum(p) OVER (PARTITION BY p.src) AS whole FROM p JOIN g ON g.src = p.src JOIN g h ON h.src = p.dst),
+w AS (SELECT id AS start, 0 AS step, id AS node FROM pts UNION ALL SELECT w.start, w.step + 1, {there.replace("@", draw(1))} FROM w LEFT JOIN t ON t.src = w.node AND {draw(0)} * t.whole >= t.hi - t.p AND {draw(0)} * t.whole < t.hi WHERE w.step < 12)
+SELECT start, step, node FROM w"""
+
+
+@query(_walk_sql("1 / (weight + 2e1)", "coalesce(t.dst, w.node)"))
 def random_walk(spark, sf_dir):
     edges = neighbours.nearest(points(spark, sf_dir), 4).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
     return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3)
 
 
-@query(None)
+@query(_walk_sql("weight", "CASE WHEN @ < t.deg / t.deg2 THEN coalesce(t.dst, w.node) ELSE w.node END"))
 def metropolis_walk(spark, sf_dir):
     edges = neighbours.nearest(points(spark, sf_dir), 4).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
     return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3, accept_by_degree=True)
