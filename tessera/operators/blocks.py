@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of a running sum in which rows and picks meet.
+STRETCHES = 4_096
 #: Rows, or groups, that one group of a multinomial draw has.
 GROUP = 4_096
 
@@ -79,8 +81,8 @@ def largest_remainder(sizes: DataFrame, key: str, n: str, budget: int) -> DataFr
 
 
 def weighted_draws(rows: DataFrame, draws: int, step: int) -> DataFrame:
-    """id and n for ``draws`` picks at i * step modulo the total weight: each
-    pick belongs to the row whose share of the running sum it falls in."""
+    """id and n for ``draws`` picks at i * step modulo the total weight (of whole
+    numbers): each pick belongs to the row whose share of the running sum it falls in."""
     from tessera.session import staged
 
     part = staged(rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id()), "draws")
@@ -88,10 +90,17 @@ def weighted_draws(rows: DataFrame, draws: int, step: int) -> DataFrame:
     sums = part.groupBy("_part").agg(F.sum("w").alias("_w"))
     before = sums.select("_part", (F.sum("_w").over(Window.orderBy("_part")) - F.col("_w")).alias("_before"), F.sum("_w").over(Window.partitionBy(F.lit(0))).alias("_total"))
     placed = local.join(F.broadcast(before), "_part").withColumn("_upto", F.col("_upto") + F.col("_before"))
-    spark = rows.sparkSession
-    picks = spark.range(draws).select(F.col("id").alias("_i")).join(F.broadcast(before.agg(F.max("_total").alias("_total")))).select(((F.col("_i") * step) % F.col("_total")).alias("_at"))
-    hit = placed.join(F.broadcast(picks), (F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("w")))
-    return hit.groupBy("id").agg(F.count("*").alias("n"))
+    placed = staged(placed, "draws")
+    total = placed.agg(F.max("_total")).first()[0]
+    if not total:
+        return rows.limit(0).select("id", F.lit(0).cast("long").alias("n"))
+    # rows and picks meet in equal stretches of the running sum; a row spans STRETCHES of them at most
+    wide = max(1, -(-int(total) // STRETCHES))
+    stretch = lambda c: F.floor(c / wide).cast("long")
+    spans = placed.where("w > 0").withColumn("_s", F.explode(F.sequence(stretch(F.col("_upto") - F.col("w")), stretch(F.col("_upto") - 1))))
+    picks = rows.sparkSession.range(draws).select(((F.col("id") * step) % F.lit(int(total))).alias("_at")).groupBy("_at").agg(F.count("*").alias("_picked"))
+    hit = spans.join(picks.withColumn("_s", stretch(F.col("_at"))), "_s").where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("w")))
+    return hit.groupBy("id").agg(F.sum("_picked").alias("n"))
 
 
 def multinomial(rows: DataFrame, draws: int, seed: int, weight: str = "w") -> DataFrame:

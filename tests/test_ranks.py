@@ -49,3 +49,16 @@ def test_multinomial(spark, monkeypatch, group):
     other = {r["id"]: r["n"] for r in blocks.multinomial(df, draws, 12).collect()}
     assert other != got
     assert blocks.multinomial(df, 0, 1).count() == 0 and blocks.multinomial(df.limit(0), 5, 1).count() == 0
+
+
+@pytest.mark.parametrize("stretches", [4096, 3])
+def test_draws_by_stride(spark, monkeypatch, stretches):
+    monkeypatch.setattr(blocks, "STRETCHES", stretches)
+    weight = [0, 3, 1, 500, 0, 2, 7]
+    df = spark.createDataFrame(list(enumerate(weight)), "id long, w long").repartition(3)
+    upto, want = np.cumsum(weight), {}
+    for i in range(200):
+        k = int(np.searchsorted(upto, i * 7919 % upto[-1], side="right"))
+        want[k] = want.get(k, 0) + 1
+    assert {r["id"]: r["n"] for r in blocks.weighted_draws(df, 200, 7919).collect()} == want
+    assert blocks.weighted_draws(df.where("w = 0"), 5, 1).count() == 0

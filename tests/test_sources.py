@@ -177,6 +177,27 @@ def test_block_store(spark, tmp_path):
     assert s.read("min_x > 1e9").count() == 0
 
 
+def test_scenes_are_put_together(spark, model, tmp_path):
+    from tessera.sources import scene
+
+    for kind, df in model.items():
+        (tmp_path / f"{kind}.bin").write_bytes(rec.packed(kind, df.collect()))
+    folder = f"file://{tmp_path}"
+    depths = spark.createDataFrame([("a.png", 2.0, 0.5), ("zz.png", 4.0, 0.0), ("y.png", -1.0, 0.0)], "name string, scale double, offset double")
+    s = scene.assemble(spark, folder, hold=2, depths=depths)
+    got = {r["name"]: r for r in s.images.collect()}
+    assert {n: (r["test"], r["model"], r["scale"], r["med_scale"]) for n, r in got.items()} == {"a.png": (True, "SIMPLE_RADIAL", 2.0, 3.0), "b.png": (False, "PINHOLE", None, None)}
+    assert [got["b.png"][c] for c in ("cx", "cy", "cz")] == [-1.0, -2.0, -3.0]
+    assert s.centre == (-1.0, -2.0, -3.0) and s.radius == 0.0
+    want = {(1.0, 2.0, 3.0, 1.0, 0.0, 9 / 255), (0.0, 0.0, 1.0, 1 / 255, 2 / 255, 3 / 255)}
+    assert {tuple(r)[1:7] for r in s.cloud.collect()} == want
+    ply.write_cloud(s.cloud.where("z > 2"), f"{folder}/points3D.ply")  # from now on the file is the cloud
+    again = scene.assemble(spark, folder, test_names=spark.createDataFrame([("b.png",)], "name string"))
+    assert again.cloud.count() == 1 and {r["name"]: r["test"] for r in again.images.collect()} == {"a.png": False, "b.png": True}
+    none = scene.assemble(spark, folder)
+    assert none.images.where("test").count() == 0 and none.radius > 0
+
+
 def test_block_store_refuses_bad_rows(spark, tmp_path):
     rows = spark.range(20).select("id", (F.col("id") / 10).cast("long").alias("block"), F.lit(False).alias("background"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
     s = BlockStore(spark, f"file://{tmp_path}/store")
