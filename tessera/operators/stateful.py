@@ -79,6 +79,7 @@ def contract_matches(old: dict, new: dict, iteration: int, may_grow: tuple[str,
 
 def walks(edges: DataFrame, starts: DataFrame, length: int, seed: int, accept_by_degree: bool = False, softening: float = 20.0) -> DataFrame:
     """start, step and node of a walk from each start node over edges (src, dst, weight).
+    ``starts`` has node, and start if walks are to be told apart by something else.
 
     Plain walks choose a neighbour in proportion to 1 / (weight + softening);
     with ``accept_by_degree`` the proposal is in proportion to the weight and is
@@ -98,7 +99,7 @@ def walks(edges: DataFrame, starts: DataFrame, length: int, seed: int, accept_by
     table = staged(table, "walk-edges")
     # 52 bits of a SHA-256, which any engine can draw again
     uniform = lambda k, salt: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(salt), "start", F.lit(k)), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    now = starts.select(F.col("node").alias("start"), F.col("node"))
+    now = starts.select(F.col("start" if "start" in starts.columns else "node").alias("start"), F.col("node"))
     out = now.withColumn("step", F.lit(0))
     for k in range(1, length + 1):
         j = now.withColumn("_u", uniform(k, 0)).join(table, (F.col("node") == F.col("src")) & (F.col("_u") * F.col("_all") >= F.col("_lo")) & (F.col("_u") * F.col("_all") < F.col("_hi")), "left")
@@ -130,6 +131,35 @@ def view_schedule(views: DataFrame, count: int, seed: int, start: int = 0) -> Da
     return steps.where((F.col("step") >= start) & (F.col("step") < count))
 
 
+def graph_schedule(edges: DataFrame, count: int, seed: int, start: int = 0, again: int = 100) -> DataFrame:
+    """step and view of steps ``start`` to ``count`` (exclusive) of a walk over a graph of
+    views (src, dst, weight), each to a neighbour in proportion to
+    1 / (weight + 20). It begins at the first view; after step 0 and every
+    ``again``th one it goes on from a view drawn from all, so the stretches
+    between are walked side by side, whatever the count. A view without a
+    neighbour is an error.
+    """
+    from tessera.operators.blocks import dense_rank
+
+    spark = edges.sparkSession
+    if not 0 <= start <= count:
+        raise ValueError("a start beyond the end")
+    views = dense_rank(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), ["id"], "_k")
+    n = views.count()
+    if not n or views.select("id").join(edges.select(F.col("src").alias("id")), "id", "left_anti").take(1):
+        raise ValueError("a view has no neighbour")
+    # stretch 0 is step 0; stretch s has the steps (s - 1) * again + 1 to s * again
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("view"), F.lit(seed), "start"), 256), 1, 13), 16, 10).cast("long") % n
+    first, last = -(-start // again), -(-max(count - 1, 0) // again)
+    starts = spark.range(first, last + 1).select(F.col("id").alias("start")).withColumn("_k", F.when(F.col("start") == 0, F.lit(0).cast("long")).otherwise(drawn))
+    starts = starts.join(views.withColumnRenamed("id", "node"), "_k").select("start", "node")
+    one = walks(edges, starts.where("start = 0"), 1, seed) if first == 0 else None
+    rest = walks(edges, starts.where("start > 0"), again, seed)
+    out = rest if one is None else rest.unionByName(one)
+    step = F.when(F.col("start") == 0, F.lit(0)).otherwise((F.col("start") - 1) * again + F.col("step"))
+    return out.where("step > 0").select(step.alias("step"), F.col("node").alias("view")).where((F.col("step") >= start) & (F.col("step") < count))
+
+
 def ssim_of_images(pixels: DataFrame, image: str = "image") -> DataFrame:
     """Mean SSIM of images given as rows (image, x, y, a, b): an 11 x 11
     Gaussian window of sigma 1.5, zero beyond the border. One task holds one

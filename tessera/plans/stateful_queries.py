@@ -229,15 +229,15 @@ def ssim(spark, sf_dir):
     return stateful.ssim_of_images(e.withColumn("b", F.col("a") * 0.9 + 0.05)).select("image", F.round("ssim", 6).alias("ssim"))
 
 
-def _walk_sql(share: str, there: str) -> str:
-    """Walks of twelve steps from every point over its four nearest, drawn from hashes."""
+def _walk_sql(share: str, there: str, starts: str = "SELECT id AS start, 0 AS step, id AS node FROM pts", length: int = 12, out: str = "SELECT start, step, node FROM w") -> str:
+    """Walks from every point over its four nearest, drawn from hashes."""
     draw = lambda salt: f"('0x' || substr(sha256('3:{salt}:' || w.start || ':' || (w.step + 1)), 1, 13))::BIGINT / 4503599627370496e0"
     return f"""WITH RECURSIVE {POINTS}, d AS (SELECT a.id AS src, b.id AS dst, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS d2 FROM pts a JOIN pts b ON a.id <> b.id),
 e AS (SELECT src, dst, sqrt(d2) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d) WHERE k <= 4),
 g AS (SELECT src, sum(weight) AS deg FROM e GROUP BY src), p AS (SELECT *, {share} AS p FROM e),
 t AS (SELECT p.src, p.dst, p.p, g.deg, h.deg AS deg2, sum(p) OVER (PARTITION BY p.src ORDER BY p.dst ROWS UNBOUNDED PRECEDING) AS hi, sum(p) OVER (PARTITION BY p.src) AS whole FROM p JOIN g ON g.src = p.src JOIN g h ON h.src = p.dst),
-w AS (SELECT id AS start, 0 AS step, id AS node FROM pts UNION ALL SELECT w.start, w.step + 1, {there.replace("@", draw(1))} FROM w LEFT JOIN t ON t.src = w.node AND {draw(0)} * t.whole >= t.hi - t.p AND {draw(0)} * t.whole < t.hi WHERE w.step < 12)
-SELECT start, step, node FROM w"""
+w AS ({starts} UNION ALL SELECT w.start, w.step + 1, {there.replace("@", draw(1))} FROM w LEFT JOIN t ON t.src = w.node AND {draw(0)} * t.whole >= t.hi - t.p AND {draw(0)} * t.whole < t.hi WHERE w.step < {length})
+{out}"""
 
 
 @query(_walk_sql("1 / (weight + 2e1)", "coalesce(t.dst, w.node)"))
@@ -252,6 +252,20 @@ def metropolis_walk(spark, sf_dir):
     return stateful.walks(edges, points(spark, sf_dir).select(F.col("id").alias("node")), 12, 3, accept_by_degree=True)
 
 
+@query(
+    _walk_sql(
+        "1 / (weight + 2e1)", "coalesce(t.dst, w.node)",
+        "SELECT s AS start, 0 AS step, v.id AS node FROM range(0, (SELECT count(*) FROM pts) // 10 + 2) r(s) JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM pts) v ON v.k = CASE WHEN s = 0 THEN 0 ELSE ('0x' || substr(sha256('view:3:' || s), 1, 13))::BIGINT % v.n END",
+        10, "SELECT step, view FROM (SELECT CASE WHEN start = 0 THEN 0 ELSE (start - 1) * 10 + step END AS step, node AS view FROM w WHERE step > 0 AND (start > 0 OR step = 1)) WHERE step < (SELECT count(*) FROM pts)",
+    )
+)
+def graph_schedule(spark, sf_dir):
+    """A step a point over the graph of four nearest ones, drawn anew every ten steps."""
+    p = points(spark, sf_dir)
+    edges = neighbours.nearest(p, 4).select(F.col("id").alias("src"), F.col("nid").alias("dst"), F.sqrt("d2").alias("weight"))
+    return stateful.graph_schedule(edges, p.count(), 3, again=10).select("step", "view")
+
+
 #: Levels of a heap that are aligned in one task.
 TASK_LEVELS = 14
 

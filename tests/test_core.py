@@ -165,3 +165,18 @@ def test_staged_tables_are_kept_by_application_and_cleared(spark, tmp_path):
     assert os.path.isdir(folder)
     assert session.clear(spark) and not os.path.isdir(folder)
     assert not session.clear(spark)
+
+
+def test_walk_schedules_go_on_where_they_stopped(spark):
+    edges = spark.createDataFrame([(k * 2, (k + s) % 9 * 2, 1.0 + k) for k in range(9) for s in (1, 2, 5)], "src long, dst long, weight double")
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+    rows = lambda *a: [tuple(r) for r in stateful.graph_schedule(edges, *a, again=5).orderBy("step").collect()]
+    whole = rows(33, 4)
+    assert [s for s, _ in whole] == list(range(33)) and whole[0][1] in near[0]
+    for (s, a), (_, b) in zip(whole, whole[1:], strict=False):
+        assert s % 5 == 0 or b in near[a]
+    assert rows(33, 4, 12) == whole[12:] and rows(33, 4, 33) == [] and rows(33, 5) != whole
+    with pytest.raises(ValueError, match="neighbour"):
+        stateful.graph_schedule(edges.where("src > 0"), 5, 1)
