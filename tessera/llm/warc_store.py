@@ -33,6 +33,11 @@ def _record_id(page: Column) -> Column:
     return F.concat(F.lit("<" + RECORD_URI), F.url_encode(F.coalesce(page.cast("string"), F.lit(""))), F.lit(">"))
 
 
+def _on_one_line(url: Column) -> Column:
+    """A url as it stands in a header: line ends are percent-encoded, the rest is as it was."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def _http(length: Column) -> Column:
     return _lines("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: ", length.cast("string"), CRLF + CRLF)
 
@@ -45,7 +50,7 @@ def headers(rows: DataFrame) -> DataFrame:
     head = _lines(
         "WARC/1.1" + CRLF + "WARC-Type: ", F.when(again, F.lit("revisit")).otherwise("response"),
         CRLF + "WARC-Record-ID: ", _record_id(F.col("page_id")),
-        CRLF + "WARC-Date: " + WARC_DATE + CRLF + "WARC-Target-URI: ", F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", ""),
+        CRLF + "WARC-Date: " + WARC_DATE + CRLF + "WARC-Target-URI: ", _on_one_line(F.coalesce("url", F.lit(""))),
         CRLF + "WARC-Payload-Digest: sha256:", F.col("digest"),
         F.when(again, _lines(CRLF + "WARC-Profile: " + PROFILE + CRLF + "WARC-Refers-To: ", _record_id(F.col("refers_to")))).otherwise(""),
         CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: ", block.cast("string"), CRLF + CRLF,

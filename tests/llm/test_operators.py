@@ -390,6 +390,7 @@ def test_archive(spark):
         raw = bytes(r["record"])
         head, _, rest = raw.partition(b"\r\n\r\n")
         assert len(rest) - 4 == int(re.search(rb"Content-Length: (\d+)", head)[1]) and b"\r\nX: 1" not in head
+        assert r["page_id"] != 0 or b"WARC-Target-URI: u0%0D%0AX: 1\r\n" in head
     assert warc_store.read_payloads(spark, folder).count() == 4
     broken = scratch(spark, "warc")
     warc_store.write_archive(df, broken)
