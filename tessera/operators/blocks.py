@@ -71,13 +71,12 @@ def append_pages(rows: DataFrame, tails: DataFrame, size: int) -> DataFrame:
 
 def largest_remainder(sizes: DataFrame, key: str, n: str, budget: int) -> DataFrame:
     """``budget`` units over the rows in proportion to n; what is left goes to
-    the largest remainders, ties to the smaller key. The input is one row per
-    block, so its window is small."""
+    the largest remainders, ties to the smaller key. Ranks come from range partitions."""
     total = sizes.agg(F.greatest(F.sum(n), F.lit(1)).alias("_t"))
-    s = sizes.join(F.broadcast(total)).withColumns({"_base": F.floor(F.lit(budget) * F.col(n) / F.col("_t")).cast("long"), "_rem": (F.lit(budget) * F.col(n)) % F.col("_t")})
-    everything = Window.partitionBy(F.lit(0))
-    s = s.withColumns({"_k": F.row_number().over(everything.orderBy(F.col("_rem").desc(), key)), "_over": F.lit(budget) - F.sum("_base").over(everything)})
-    return s.withColumn("share", F.col("_base") + F.when(F.col("_k") <= F.col("_over"), 1).otherwise(0)).drop("_t", "_base", "_rem", "_k", "_over")
+    s = sizes.join(F.broadcast(total)).withColumns({"_base": F.floor(F.lit(budget) * F.col(n) / F.col("_t")).cast("long"), "_less": -((F.lit(budget) * F.col(n)) % F.col("_t"))})
+    ranked = dense_rank(s, ["_less", key], "_k")
+    over = ranked.agg((F.lit(budget) - F.sum("_base")).alias("_over"))
+    return ranked.join(F.broadcast(over)).withColumn("share", F.col("_base") + F.when(F.col("_k") < F.col("_over"), 1).otherwise(0)).drop("_t", "_base", "_less", "_k", "_over")
 
 
 def weighted_draws(rows: DataFrame, draws: int, step: int) -> DataFrame:

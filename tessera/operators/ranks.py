@@ -66,6 +66,20 @@ def quantiles(rows: DataFrame, value: Column, shares: list[float]) -> list[float
     return out
 
 
+def grouped_quantile(rows: DataFrame, key: str, value: str, tie: str, share: float, name: str) -> DataFrame:
+    """``key`` and the value at ``share`` of the way through each group's non-null values,
+    interpolated between two. ``tie`` tells equal values of a group apart. Rows
+    are placed by range partitions, so no task holds a whole group."""
+    from tessera.operators.blocks import dense_rank
+
+    placed = dense_rank(rows.where(F.col(value).isNotNull()).select(F.col(key).alias("_g"), F.col(value).cast("double").alias("_v"), F.col(tie).alias("_t")), ["_g", "_v", "_t"], "_k")
+    spans = placed.groupBy("_g").agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).withColumnRenamed("_g", "_h")
+    spans = spans.withColumn("_at", (F.col("_n") - 1) * F.lit(float(share))).withColumn("_lo", F.floor("_at"))
+    j = placed.join(spans, F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_d", F.col("_k") - F.col("_first") - F.col("_lo")).where("_d IN (0, 1)")
+    two = j.groupBy("_g").agg(F.max(F.when(F.col("_d") == 0, F.col("_v"))).alias("_a"), F.max(F.when(F.col("_d") == 1, F.col("_v"))).alias("_b"), F.max(F.col("_at") - F.col("_lo")).alias("_f"))
+    return two.select(F.col("_g").alias(key), F.when(F.col("_f") == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
+
+
 def _at(data: DataFrame, real: int, nans: int, ranks: list[int]) -> dict[int, float]:
     v = F.col("_v")
     wanted = {k for k in ranks if 0 <= k < real + nans}

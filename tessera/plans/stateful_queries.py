@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expressions as X
 from tessera.operators import blocks, hierarchy, neighbours, ranks, stateful
-from tessera.plans.carriers import POINTS, STEPS, nodes, points, steps
+from tessera.plans.carriers import POINTS, STEPS, points, steps
 from tessera.plans.registry import query
 from tessera.plans.tree_queries import RADIUS, kd_full_sql
 from tessera.session import table
@@ -87,7 +86,9 @@ def eval_means(spark, sf_dir):
 def profile_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_id >= 100")
     per = (F.max_by("value", "event_id") - F.min_by("value", "event_id")) / F.count("*")
-    return e.groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)), 6).alias("hit_ratio"), F.round(per, 6).alias("per_step"))
+    middle = ranks.grouped_quantile(e, "event_type", "value", "event_id", 0.5, "median").withColumnRenamed("event_type", "_p")
+    g = e.groupBy(F.col("event_type").alias("phase")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).alias("hits"), per.alias("per"))
+    return g.join(middle, F.col("phase").eqNullSafe(F.col("_p"))).select("phase", "n", F.round("median", 6).alias("median"), F.round("hits", 6).alias("hit_ratio"), F.round("per", 6).alias("per_step"))
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events WHERE (props->>'k')::BIGINT >= 50")

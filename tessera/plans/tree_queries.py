@@ -84,7 +84,10 @@ def interval_cut(spark, sf_dir):
 
 @query(f"{_RANGES} SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY max_d DESC, id) - 1 AS pos FROM spt")
 def spt_sort(spark, sf_dir):
-    return _ranges(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("root").orderBy(F.col("max_d").desc(), "id")).cast("long") - 1).select("root", "id", "pos")
+    r = _ranges(spark, sf_dir).select("root", "id", (-F.col("max_d")).alias("less"))
+    ranked = blocks.dense_rank(r, ["root", "less", "id"], "place")
+    first = ranked.groupBy("root").agg(F.min("place").alias("first"))
+    return ranked.join(first, "root").select("root", "id", (F.col("place") - F.col("first")).alias("pos"))
 
 
 @query(f"{_RANGES}, dirty AS (SELECT DISTINCT root FROM spt JOIN n0 USING (id) WHERE n0.weight > 9.95e2) SELECT root, count(*) AS n FROM spt WHERE root IN (SELECT root FROM dirty) GROUP BY root")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, neighbours, spatial, stateful, tree
+from tessera.operators import blocks, neighbours, stateful, tree
 
 
 def complete_tree(spark, depth):

@@ -62,3 +62,16 @@ def test_draws_by_stride(spark, monkeypatch, stretches):
         want[k] = want.get(k, 0) + 1
     assert {r["id"]: r["n"] for r in blocks.weighted_draws(df, 200, 7919).collect()} == want
     assert blocks.weighted_draws(df.where("w = 0"), 5, 1).count() == 0
+
+
+def test_quantiles_of_groups(spark):
+    r = random.Random(9)
+    rows = [(k, r.choice(("a", "b", None, "c")), r.choice((None, 1.0, 2.0, r.random()))) for k in range(300)] + [(1000, "alone", 4.0), (1001, "none", None)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    for share in (0.0, 0.5, 0.9, 1.0):
+        got = {x["g"]: x["q"] for x in ranks.grouped_quantile(df, "g", "v", "id", share, "q").collect()}
+        held = {}
+        for _, g, v in rows:
+            if v is not None:
+                held.setdefault(g, []).append(v)
+        assert set(got) == set(held) and all(got[g] == pytest.approx(float(np.quantile(v, share)), abs=1e-12) for g, v in held.items())
