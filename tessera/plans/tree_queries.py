@@ -108,7 +108,7 @@ def range_refresh(spark, sf_dir):
     from tessera.session import scratch
 
     n = nodes(spark, sf_dir)
-    store = ranges.RangeStore(spark, scratch(spark, "range-store"), 0.5, "size", _OWN)
+    store = ranges.RangeStore(spark, scratch(spark, "range-store"), 0.5, "size", _OWN, buckets=32)
     store.build(n)
     changed = n.where("weight > 9.95e2 AND depth >= 4").withColumn("size", F.expr("size * 5e-1")).withColumn("gone", F.lit(False))
     store.refresh(changed)
