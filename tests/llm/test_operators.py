@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import components, decontam, line_dedup, merge_agenda, repetition, separator_scan, simhash, skip_chain, warc_store, wrappers, zstd_quality
 from tessera.llm.queries import tokenizer_path
-from tessera.session import scratch
+from tessera.session import scratch, staged
 
 LONG = "word " * 40_000 + "x" * 100_000
 WORDS = "the quick brown fox jumps over a lazy dog while seven bright stars watch from above and nobody speaks".split()
@@ -458,6 +458,26 @@ def test_links_lose_none(spark):
     assert got == {frozenset((a, b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4}
 
 
+def broadcast_joins(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_links_never_broadcast_the_index(spark):
+    """A staged table of few bytes, whose rows become 67 each."""
+    nodes = staged(spark.range(500).select(F.xxhash64("id").alias("fp")), "nodes")
+    assert broadcast_joins(simhash.links(nodes)) == 0
+
+
+def test_near_copies_of_the_pipeline_never_broadcast_the_index(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    plans = {}
+    monkeypatch.setattr(components, "staged", lambda df, name: (plans.setdefault(name, broadcast_joins(df)), staged(df, name))[1])
+    given = staged(docs, "documents")
+    assert corpus_pipeline.near_copies(spark, given, "").count() == simhash.near_duplicates(given).select("component_id").distinct().count()
+    assert plans["edges"] == 0
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(7)
     pairs = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
