@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.operators import levels
-from tessera.session import staged
+from tessera.operators import levels, relocation
+from tessera.session import scratch, staged
 
 #: Levels after which a loop's rows are written, to cut lineage.
 LEVELS = 8
@@ -37,37 +38,56 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame) -> DataFrame:
-    """Counts of nodes whose child count, depth or parent is wrong, and of unreachable ones."""
-    kids = nodes.where("parent >= 0").groupBy("parent").agg(F.count("*").alias("n")).withColumnRenamed("parent", "_p")
-    j = with_parent(nodes, ["depth"]).join(kids, F.col("id") == F.col("_p"), "left")
+    """Counts of nodes whose child count, depth or parent is wrong, and of those that a root reaches."""
+    n = staged(nodes.select("id", "parent", "depth", "child_count"), "audited")
+    up = n.select(F.col("id").alias("_pid"), F.col("depth").alias("p_depth")).hint("merge")
+    kids = n.where("parent >= 0").groupBy("parent").agg(F.count("*").alias("n")).withColumnRenamed("parent", "_p").hint("merge")
+    j = n.join(up, n["parent"] == up["_pid"], "left").join(kids, F.col("id") == F.col("_p"), "left")
     bad = j.agg(
         F.count("*").alias("nodes"),
         F.count_if(F.coalesce("n", F.lit(0)) != F.col("child_count")).alias("bad_child_count"),
         F.count_if((F.col("parent") >= 0) & ~F.col("depth").eqNullSafe(F.col("p_depth") + 1)).alias("bad_depth"),
         F.count_if((F.col("parent") >= 0) & F.col("p_depth").isNull()).alias("orphans"),
     )
-    reached = descend(nodes, F.lit(True)).agg(F.count("*").alias("reachable"))
+    reached = rooted(n).agg(F.count("*").alias("reachable"))
     return bad.join(F.broadcast(reached)).select("nodes", "bad_child_count", "bad_depth", "orphans", "reachable")
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """The ids of nodes whose parents lead to a root, by pointer jumping: a round
+    doubles what each row has seen of its path. Rows whose path ends elsewhere
+    drop out; what a round no longer changes is on or below a cycle. No join is
+    broadcast, so the driver gets a number a round."""
+    t = staged(nodes.select("id", F.col("parent").alias("end"), (F.col("parent") < 0).alias("done")), "rooted")
+    left, before = t.where("NOT done").count(), None
+    for _ in range(relocation.ROUNDS):
+        if left in (0, before):
+            return t.where("done").select("id")
+        onward = t.select(F.col("id").alias("_at"), F.col("end").alias("_end"), F.col("done").alias("_done")).hint("merge")
+        moved = t.where("NOT done").join(onward, F.col("end") == F.col("_at")).select("id", F.col("_end").alias("end"), F.col("_done").alias("done"))
+        t = staged(t.where("done").unionByName(moved), "rooted")
+        left, before = t.where("NOT done").count(), left
+    raise RuntimeError("ids that occur twice have a cycle in their links")
+
+
 def descend(nodes: DataFrame, expands: Column, carry: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Nodes reached from the roots while ``expands`` holds for all nodes above.
 
     ``carry`` maps a name to its value at a root and its value at a child, where
-    the parent's is the column up_<name>.
+    the parent's is the column up_<name>. Each level is found and written once.
     """
-    carry = carry or {}
+    carry, spark = carry or {}, nodes.sparkSession
+    nodes, path = staged(nodes, "nodes"), scratch(spark, "reached")
     level = nodes.where("parent < 0").withColumns({n: a for n, (a, _) in carry.items()})
-    found = level
     for k in range(DEEPEST):
+        kind = level.schema
+        level.write.parquet(f"{path}/reached_at={k}")
+        level = spark.read.schema(kind).parquet(f"{path}/reached_at={k}")
+        if not level.take(1):
+            return spark.read.schema(StructType([*kind.fields, StructField("reached_at", IntegerType())])).parquet(path).drop("reached_at")
         up = level.where(expands).select(F.col("id").alias("_up"), *[F.col(n).alias("up_" + n) for n in carry])
         level = nodes.join(up, nodes["parent"] == up["_up"])
         level = level.withColumns({n: b for n, (_, b) in carry.items()}).select(*nodes.columns, *carry)
-        if k % LEVELS == LEVELS - 1:
-            level, found = staged(level, "level"), staged(found, "found")
-            if not level.take(1):
-                return found
-        found = found.unionByName(level)
     raise RuntimeError(f"a path of over {DEEPEST} nodes: the links have a cycle")
 
 

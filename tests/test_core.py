@@ -54,6 +54,28 @@ def test_deep_chain_and_cycle(spark, monkeypatch):
         tree.descend(chain, F.lit(True))
 
 
+def test_audit_broadcasts_no_table_and_stops_at_cycles(spark):
+    from tessera.session import staged
+
+    t = staged(complete_tree(spark, 5), "tree")
+    got = tree.audit(t)
+    assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+    assert got.first()[:] == (63, 0, 0, 0, 63)
+    # 1 and 3 are each other's parents, 2 hangs below a missing one: what is below them is not reached
+    torn = t.withColumn("parent", F.when(F.col("id") == 1, 3).when(F.col("id") == 2, 99).otherwise(F.col("parent")).cast("long"))
+    assert tree.audit(torn).first()["reachable"] == 1
+    assert [r["id"] for r in tree.rooted(torn).collect()] == [0]
+    assert tree.audit(t.limit(0)).first()[:] == (0, 0, 0, 0, 0)
+
+
+def test_descend_writes_each_level_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tree, "scratch", lambda s, name, f=tree.scratch: written.append(f(s, name)) or written[-1])
+    assert {r["id"] for r in tree.descend(complete_tree(spark, 5), F.lit(True)).collect()} == set(range(63))
+    sizes = spark.read.parquet(written[0]).groupBy("reached_at").count().collect()
+    assert dict(map(tuple, sizes)) == {k: 1 << k for k in range(6)}
+
+
 def test_interval_cut_is_a_cut(spark):
     t = complete_tree(spark, 4)
     r = tree.subtree_ranges(t, 1.5, F.col("size"), F.expr("CASE WHEN child_count = 0 THEN -1e9 ELSE size END"))
