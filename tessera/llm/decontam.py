@@ -18,12 +18,14 @@ a dot or comma between digits included:
 
 A document's window is hashed with its placeholders, or with its values if it
 has no word. An item's windows are sought in both forms, and in one with
-placeholders but names as words. Only part of an item's windows are sought:
+placeholders but names as words; a document's windows with names come in the
+latter form, too. Documents are sought by part of an item's windows:
 at least so many that a document with the wanted share of them must hold one
 sought, those first that the fewest items have. So a preamble that all items
-share joins nothing unless an item is little else. A hit only tells where a
-document and an item may align: then the whole item is held against the
-document's tokens there.
+share joins nothing unless an item is little else. Where a document has one,
+all windows of the item and of the document are looked at for places where they
+may align, so each part of an item that has been torn apart is found; at each
+the whole item is held against the document's tokens.
 
 Two tokens fit if they are the same but for case, or placeholders of one kind.
 An alignment whose windows hold fewer words than a window less ``max_slots``
@@ -103,16 +105,25 @@ def _unlike(width: int) -> str:
     return f"(size(a) < {width} OR greatest({', '.join(f'bare{k}' for k in range(width))}) <= {NAME})"
 
 
+def _named(width: int) -> str:
+    """The hash of the template in which names are words."""
+    return "xxhash64(" + ", ".join(f"CASE WHEN bare{k} = {NAME} THEN {_word(f'get(a, pos + {k})')} ELSE bare{k} END" for k in range(width)) + ")"
+
+
+def _forms(width: int) -> str:
+    return f"CASE WHEN {_unlike(width)} THEN array({_value(width)}) ELSE array_distinct(array({_value(width)}, {_template(width)}, {_named(width)})) END"
+
+
 def _index(items: DataFrame, width: int, coverage: float) -> DataFrame:
-    """h, item, v, ipos, n: the hashes by which each item is sought."""
-    named = "xxhash64(" + ", ".join(f"CASE WHEN bare{k} = {NAME} THEN {_word(f'get(a, pos + {k})')} ELSE bare{k} END" for k in range(width)) + ")"
+    """h, item, v, ipos, n, sought: the hashes of each item's windows, and whether
+    documents are sought by them. Windows without a word come last, as they are
+    only found with the item's own values."""
     words = " + ".join(f"int(bare{k} > {NAME})" for k in range(width))
-    forms = f"CASE WHEN {_unlike(width)} THEN array({_value(width)}) ELSE array_distinct(array({_value(width)}, {_template(width)}, {named})) END AS forms"
-    each = _windows(items, width).selectExpr("item", "v", "pos", "size(a) AS n", f"greatest(size(a) - {width - 1}, 1) AS all", f"{words} AS words", f"{_template(width)} AS template", forms)
+    each = _windows(items, width).selectExpr("item", "v", "pos", "size(a) AS n", f"greatest(size(a) - {width - 1}, 1) AS all", f"{words} AS words", f"{_unlike(width)} AS unlike", f"{_template(width)} AS template", f"{_forms(width)} AS forms")
     common = each.groupBy("template").agg(F.count_distinct("item", "v").alias("items"))
-    rank = F.row_number().over(Window.partitionBy("item", "v").orderBy("items", F.desc("words"), "pos"))
-    picked = each.join(common, "template").withColumn("rank", rank).where(f"rank <= greatest(floor({1 - coverage} * all + 1e-9) + 1, ceil(all / 2))")
-    return picked.selectExpr("explode(forms) AS h", "item", "v", "pos AS ipos", "n")
+    rank = F.row_number().over(Window.partitionBy("item", "v").orderBy("unlike", "items", F.desc("words"), "pos"))
+    picked = each.join(common, "template").withColumn("sought", rank <= F.expr(f"greatest(floor({1 - coverage} * all + 1e-9) + 1, ceil(all / 2))"))
+    return picked.selectExpr("explode(forms) AS h", "item", "v", "pos AS ipos", "n", "sought")
 
 
 def _once(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -138,17 +149,22 @@ def _cut() -> list[str]:
 
 def _aligned(docs: DataFrame, index: DataFrame, few: bool, width: int) -> DataFrame:
     """doc, item, v, shift, size (of the document) and what _cut() takes, for each
-    alignment with a hit."""
-    spots = _windows(docs, width).selectExpr("doc", "a", "pos", f"CASE WHEN {_unlike(width)} THEN {_value(width)} ELSE {_template(width)} END AS h")
+    alignment with a hit: the windows sought tell which documents hold an item,
+    then all windows of both where."""
+    seed = f"CASE WHEN {_unlike(width)} THEN array({_value(width)}) WHEN least({', '.join(f'abs(bare{k} - {NAME})' for k in range(width))}) = 0 THEN array({_template(width)}, {_named(width)}) ELSE array({_template(width)}) END"
+    spots, sought = _windows(docs, width), index.where("sought").select("h", "item", "v")
     if few:
         # the tokens are at hand where the hit is, and no more of them leaves the scan
-        hits = spots.join(F.broadcast(index), "h").selectExpr("doc", "item", "v", "pos - ipos AS shift", "n", "a")
-        return hits.selectExpr("doc", "item", "v", "shift", *_cut()).distinct()
-    lines = spots.select("doc", "pos", "h").join(index, "h").selectExpr("doc", "struct(item, v, pos - ipos AS shift, n) AS line")
-    # their number grows with the input, so they are never broadcast
-    by_doc = staged(lines.groupBy("doc").agg(F.collect_set("line").alias("lines")), "lines")
-    again = docs.join(by_doc.hint("merge"), "doc").selectExpr("doc", "a", "explode(lines) AS line").select("doc", "a", "line.*")
-    return again.selectExpr("doc", "item", "v", "shift", *_cut()).distinct()
+        pairs = spots.selectExpr("doc", "a", f"explode({seed}) AS h").join(F.broadcast(sought), "h").select("doc", "item", "v", "a").distinct()
+    else:
+        lines = spots.selectExpr("doc", f"explode({seed}) AS h").join(sought, "h").selectExpr("doc", "struct(item, v) AS line")
+        # their number grows with the input, so they are never broadcast
+        by_doc = staged(lines.groupBy("doc").agg(F.collect_set("line").alias("lines")), "lines")
+        pairs = docs.join(by_doc.hint("merge"), "doc").selectExpr("doc", "a", "explode(lines) AS line").select("doc", "a", "line.*")
+    every = index.select("h", "item", "v", "ipos", "n")
+    here = _windows(pairs, width).selectExpr("doc", "item", "v", "a", "pos", f"explode({_forms(width)}) AS h")
+    hits = here.join(F.broadcast(every) if few else every, ["item", "v", "h"]).selectExpr("doc", "item", "v", "pos - ipos AS shift", "n", "a")
+    return hits.selectExpr("doc", "item", "v", "shift", *_cut()).distinct()
 
 
 def _compared(pairs: DataFrame, width: int, max_slots: int) -> DataFrame:

@@ -881,3 +881,30 @@ def test_templates(spark):
     assert got["k"] == [3, 0, 3, 0, 1, 2, 0, 1, 0, 3, 1, 2, 0, 0, 3, 0, 1]
     bare = decontam._windows(df, 1).orderBy("pos").collect()
     assert [b["bare0"] if b["bare0"] <= 3 else 0 for b in bare] == got["k"]
+
+
+# -- all windows and places -------------------------------------------------------
+
+WORDS = "brook lantern meadow copper willow harbor saddle timber violet engine parcel cotton hollow marble candle ribbon feather anchor pepper basket mirror bottle garden ladder needle button puddle kettle pillow hammer saucer thimble walnut turnip radish barrel cellar pebble copse bramble".split()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_items_torn_apart_are_found(spark, monkeypatch, few):
+    """A word put in after two thirds: every part is found where it stands."""
+    if not few:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    item = " ".join(WORDS)
+    torn = " ".join([*WORDS[:27], "instead", *WORDS[27:]])
+    title = " ".join(w.capitalize() if k % 5 < 2 else w for k, w in enumerate(WORDS))
+    docs = spark.createDataFrame([(1, torn), (2, title), (3, "nothing of it here at all"), (4, "so " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r["doc"]: (r["n_windows"], r["n_found"], r["n_changed"]) for r in decontam.leaks(docs, bench).collect()}
+    assert got == {1: (36, 32, 0), 2: (36, 36, 0), 4: (36, 36, 0)}
+
+
+def test_items_of_few_words_are_found_with_other_values(spark):
+    """Most windows hold no word, so that only the others can tell."""
+    item = "add 1 2 3 4 5 6 7 8 9 10 11 to twelve apples quickly"
+    docs = spark.createDataFrame([(1, "add 21 22 23 24 25 26 27 28 29 30 31 to twelve apples quickly")], "doc_id long, text string")
+    got = decontam.leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r["doc"], r["n_windows"], r["n_found"]) for r in got] == [(1, 12, 12)]
