@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 A text is cut where no piece of the vocabulary can cross: before a run of
-blanks that follows another character, and around line feeds. Each segment is
+blanks that follows another character, around line feeds, and between letters
+and signs or digits that no piece joins to letters. Each segment is
 encoded by a score-ordered agenda of adjacent symbol pairs: the pair whose
 piece has the highest score merges first, the leftmost of equals; pairs whose
 symbols have changed meanwhile are skipped. Symbols that are no piece become
@@ -16,7 +17,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +46,16 @@ class Disagreement(AssertionError):
     """The agenda's ids and the library's differ."""
 
 
+def _apart(pieces: Iterable[str]) -> set[str]:
+    """Characters, none of them letters, that no piece joins to any other
+    character than these (or the blank before them)."""
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False) if SPACE not in (a, b) and "\n" not in (a, b)}
+    apart = {c for pair in pairs for c in pair if not c.isalpha()} | {c for c in map(chr, range(33, 127)) if not c.isalpha()}
+    while joined := {c for a, b in pairs if (a in apart) != (b in apart) for c in (a, b) if c in apart}:
+        apart -= joined
+    return apart
+
+
 class Agenda:
     """The encoder and decoder of one model file."""
 
@@ -61,7 +72,9 @@ class Agenda:
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.begin, self.end, self.check = lib.bos_id(), lib.eos_id(), check
         inner = any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.rank)
-        self.cut = re.compile("(?s).+" if inner else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
+        apart = "".join(map(re.escape, sorted(_apart(self.rank))))
+        whole, parts = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+", f"{SPACE}*(?:[^{SPACE}\n{apart}]+|[{apart}]+)|{SPACE}+|\n+"
+        self.cut = re.compile("(?s).+" if inner else parts if apart else whole)
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 

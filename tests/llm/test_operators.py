@@ -908,3 +908,11 @@ def test_items_of_few_words_are_found_with_other_values(spark):
     docs = spark.createDataFrame([(1, "add 21 22 23 24 25 26 27 28 29 30 31 to twelve apples quickly")], "doc_id long, text string")
     got = decontam.leaks(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
     assert [(r["doc"], r["n_windows"], r["n_found"]) for r in got] == [(1, 12, 12)]
+
+
+def test_segments_end_between_letters_and_signs(spark):
+    a = merge_agenda.Agenda(open(tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    assert a.cut.findall("\u2581word,\u2581(two)12b") == ["\u2581word", ",", "\u2581(", "two", ")12", "b"]
+    r = random.Random(3)
+    texts = ["".join(r.choice("abé, .()12\u201d\u2019\u0939\u0948\n-_\u00b2ß中") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in a.encode(texts)] == a.library.encode(texts)
