@@ -13,10 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Bytes of rows that go to a Python worker at a time, about; a longer row goes alone.
+BATCH_BYTES = 1 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of BATCH_BYTES, unless the session has a limit of its own.
+
+    An executor holds each batch several times outside its heap (as vectors, as
+    written, in the worker) and doesn't give that memory back; 10,000 texts to a
+    batch, as Spark has it, take hundreds of MB.
+    """
+    if _BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(_BATCH_LIMIT, f"{BATCH_BYTES}b")
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, so that they
-    need no path of their own to it."""
+    need no path of their own to it, and bound what they get at a time."""
+    small_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

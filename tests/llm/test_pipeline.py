@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera import session
 from tessera.llm import queries, zstd_quality
 from tests.llm.test_operators import closure, plain_line_dedup, plain_simhash, sentence
 
@@ -63,6 +65,26 @@ def test_pipeline_equals_plain_python(spark, folder):
     assert 0 < len(want) < len(firsts) < len(ids) < len(rows)
 
 
+def test_workers_get_texts_in_small_batches(spark, folder):
+    """All but a text that is longer itself; a session's own limit stays."""
+    d, *_ = folder
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    plain, own = spark.newSession(), spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    for s in (plain, own):
+        corpus_pipeline.tokens(s, s.read.parquet(f"{d}/documents.parquet"), d)
+    texts = plain.range(0, 5000, 1, 1).select(F.expr("repeat('word ', if(id = 2500, 1000000, 400))").alias("text"))
+    got = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 5000 and sum(r["size"] for r in got) >= 4999 * 2000 + 5_000_000
+    *others, longest = sorted(r["size"] for r in got)
+    assert max(others, default=0) <= 2 * session.BATCH_BYTES and longest <= 5_000_000 + 2 * session.BATCH_BYTES
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
 def test_stages_keep_columns_and_tell_repeats_apart(spark, folder):
     d, rows, _ = folder
     docs = spark.read.parquet(f"{d}/documents.parquet")
